@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import simhash
+from talus.llm import mixing, quality, simhash, substrings
 from talus.llm.common import table
 
 
@@ -14,8 +14,20 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), shingle=3, budget=2)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).drop("n_lines")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup_in_batches(table(spark, sf_dir, "documents"), batches=2, window=20)
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_totals(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op6_substring_dedup, op7_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
