@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import mixing, quality, simhash, substrings
+from talus.llm import mixing, pii, quality, simhash, substrings
 from talus.llm.common import table
 
 
@@ -26,8 +26,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_totals(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op6_substring_dedup, op7_mix_sources)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op6_substring_dedup, op7_mix_sources, op8_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
