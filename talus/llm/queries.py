@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import mixing, pii, quality, simhash, substrings
+from talus.llm import decontam, mixing, pii, quality, simhash, substrings
 from talus.llm.common import table
 
 
@@ -30,8 +30,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op6_substring_dedup, op7_mix_sources, op8_pii)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op6_substring_dedup, op7_mix_sources, op8_pii, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
