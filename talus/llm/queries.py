@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import decontam, mixing, pii, quality, simhash, substrings
+from talus.llm import decontam, html_text, mixing, pii, quality, simhash, substrings
 from talus.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_in_batches(table(spark, sf_dir, "documents"), batches=2, window=20)
 
@@ -35,7 +39,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op6_substring_dedup, op7_mix_sources, op8_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op4_html_text, op6_substring_dedup, op7_mix_sources, op8_pii, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
