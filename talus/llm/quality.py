@@ -7,8 +7,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from talus.llm.common import ASCII_SPACE, as_bytes, text_batches, written
@@ -159,3 +161,29 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, enou
     for r in rules:
         beyond = beyond | F.coalesce(r.bin > F.col(f"{r.name}_high"), F.lit(False)) | F.coalesce(r.bin < F.col(f"{r.name}_low"), F.lit(False))
     return out.select("doc_id", *COUNTS, "base_failed", (~(F.col("base_failed") | beyond)).alias("kept"))
+
+
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, enough: int = 100) -> DataFrame:
+    """docs without the documents that ``judge`` would not keep; columns stay. Texts are measured twice, never shuffled."""
+    rules = rules or default_rules()
+    names = ["doc_id", "lang", "source", *COUNTS]
+    text_batches(docs.sparkSession)
+    schema = T.StructType([T.StructField("row", docs.select(F.struct("*").alias("row")).schema[0].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            got = np.array([text_counts(t) for t in as_bytes(pa.compute.cast(row.field("text"), pa.string()))], dtype=np.int64).reshape(-1, len(COUNTS))
+            yield pa.RecordBatch.from_arrays([row, *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(COUNTS)))], names=["row", *COUNTS])
+
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    limits = cutoffs(sketch(written(measure(docs).select(*names), "text-counts").where(~failed), rules), rules, reach, enough)
+    wide = written(limits.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(
+        *(F.max(F.when(F.col("rule") == r.name, F.col(side))).alias(f"{r.name}_{side}") for r in rules for side in ("low", "high"))
+    ), "cutoffs")
+    rows = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).where(~failed)
+    out = rows.join(wide, F.col("row.lang").cast("string").eqNullSafe(wide.l) & F.col("row.source").cast("string").eqNullSafe(wide.s), "left")
+    beyond = F.lit(False)
+    for r in rules:
+        beyond = beyond | F.coalesce(r.bin > F.col(f"{r.name}_high"), F.lit(False)) | F.coalesce(r.bin < F.col(f"{r.name}_low"), F.lit(False))
+    return out.where(~beyond).select("row.*")

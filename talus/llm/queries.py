@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import decontam, html_text, mixing, pii, quality, simhash, substrings
-from talus.llm.common import table
+from talus.llm import chat, decontam, html_text, licenses, mixing, pii, quality, simhash, substrings, token_counts
+from talus.llm.common import new_path, table
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,10 +18,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts; committing it again under its name changes nothing."""
+    totals = token_counts.TokenTotals(spark, new_path(spark, "token-totals"))
+    sums = token_counts.delta(token_counts.inserts(table(spark, sf_dir, "documents")), ("words-1", "byte_bpe_50k"))
+    totals.commit("documents-1", sums)
+    totals.commit("documents-1", sums)
+    return totals.totals()
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_in_batches(table(spark, sf_dir, "documents"), batches=2, window=20)
 
@@ -34,13 +47,21 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op9_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_quality_rules, op4_html_text, op6_substring_dedup, op7_mix_sources, op8_pii, op10_decontaminate)}
+    return {f.__name__: f for f in (
+        op1_simhash_near_dedup, op2_quality_rules, op3_license_scan, op4_html_text, op5_token_counts, op6_substring_dedup,
+        op7_mix_sources, op8_pii, op9_chat_rotation, op10_decontaminate,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the operators that SQL can express; the others are tested against brute force."""
+    return {"op3_license_scan": licenses.oracle(), "op9_chat_rotation": chat.ORACLE}
