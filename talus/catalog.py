@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from talus.plans import conversations
+
+PLANS = (conversations,)
+
 
 def queries():
-    return {}
+    return {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for plan in PLANS for name, sql in plan.ORACLE.items()}
