@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import conversations
+from talus.plans import conversations, search, writes
 
-PLANS = (conversations,)
+PLANS = (conversations, search, writes)
 
 
 def queries():
