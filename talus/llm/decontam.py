@@ -8,7 +8,6 @@ verified by an alignment that stays inside the band.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +18,6 @@ from pyspark.sql import functions as F
 from talus.llm.common import text_batches, written
 
 STEP = 0x9E3779B97F4A7C15
-SPACES = re.compile(r"\s+")
 #: log2 of the slots of the first, approximate test of a q-gram.
 SLOTS = 22
 #: Text places that are looked at together.
@@ -28,7 +26,7 @@ BLOCK = 1 << 20
 
 def normalised(text: str) -> str:
     """Lower case, white space as single spaces, trimmed."""
-    return SPACES.sub(" ", text.lower()).strip()
+    return " ".join(text.lower().split())
 
 
 def codes(text: str) -> np.ndarray:
@@ -36,11 +34,20 @@ def codes(text: str) -> np.ndarray:
 
 
 def grams(points: np.ndarray, q: int) -> np.ndarray:
-    """Hash of each q-gram: equal q-grams have equal hashes."""
-    n = len(points) - q + 1
-    out = np.zeros(max(n, 0), dtype=np.uint64)
-    for k in range(q):
-        out = out * np.uint64(STEP) + points[k : k + len(out)]
+    """Hash of each q-gram, put together from runs of doubled length: equal q-grams have equal hashes."""
+    if len(points) < q:
+        return np.zeros(0, dtype=np.uint64)
+    power, span, out, size = points.astype(np.uint64), 1, None, 0
+    while size < q:
+        if q & span:
+            n = len(points) - size - span + 1
+            tail = power[size : size + n]
+            out = tail.copy() if out is None else out[:n] * np.uint64(pow(STEP, span, 1 << 64)) + tail
+            size += span
+        if size < q:
+            n = len(points) - 2 * span + 1
+            power = power[:n] * np.uint64(pow(STEP, span, 1 << 64)) + power[span : span + n]
+            span *= 2
     out ^= out >> np.uint64(29)
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
@@ -73,7 +80,7 @@ class Items:
         return max(0, min(int(m * rate), (m - q) // q))
 
     def candidates(self, points: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, lowest, highest diagonal) of bands with enough shared q-grams."""
+        """(item, lowest, highest diagonal) of bands with enough shared q-grams, for each item those with most first."""
         text, item, place = [], [], []
         for at in range(0, max(0, len(points) - self.q + 1), BLOCK):
             g = grams(points[at : at + BLOCK + self.q - 1], self.q)
@@ -87,7 +94,11 @@ class Items:
         if not text or not sum(map(len, text)):
             return []
         item = np.concatenate(item)
+        enough = np.bincount(item, minlength=len(self.need)) >= self.need  # no band has more than all its item's
+        if not enough.any():
+            return []
         diagonal = np.concatenate(text) - np.concatenate(place)
+        item, diagonal = item[enough[item]], diagonal[enough[item]]
         width = self.edits[item] + 1
         band = np.floor_divide(diagonal, width)
         # Band b holds diagonals b*width to (b+2)*width - 1, so each shared q-gram counts in two bands.
@@ -96,7 +107,8 @@ class Items:
         key = key[:, order]
         first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
         count = np.diff(np.append(first, key.shape[1]))
-        good = first[count >= self.need[key[0, first]]]
+        good = np.flatnonzero(count >= self.need[key[0, first]])
+        good = first[good[np.argsort(-count[good], kind="stable")]]
         return [(int(k), int(b * (self.edits[k] + 1)), int((b + 2) * (self.edits[k] + 1) - 1)) for k, b in key[:, good].T]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
@@ -105,9 +117,12 @@ class Items:
         hits: dict[int, list[tuple[int, int, int]]] = {}
         for k, low, high in self.candidates(points):
             e = int(self.edits[k])
-            got = banded(self.points[k], points, low - e, high + e, e)
+            own = hits.setdefault(k, [])
+            if any(low <= start <= high for _, start, _ in own):
+                continue  # what this band counted has been aligned, with room on both sides
+            got = exact(self.points[k], points, low, high) or banded(self.points[k], points, low - e, high + e, e)
             if got:
-                hits.setdefault(k, []).append(got)
+                own.append(got)
         for k in self.short:
             pattern = self.rows[k][1]
             at = text.find(pattern)
@@ -125,6 +140,17 @@ class Items:
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
 
+def exact(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """(0, start, end) if the item stands in the text as it is on one of the diagonals."""
+    m = len(item)
+    places = np.arange(max(0, low), min(high, len(text) - m) + 1)
+    places = places[text[places] == item[0]]
+    for start in places.tolist():
+        if np.array_equal(text[start : start + m], item):
+            return 0, start, start + m
+    return None
+
+
 def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best alignment of the whole item within diagonals low..high, if at most ``most``.
 
