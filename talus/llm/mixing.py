@@ -59,11 +59,12 @@ def schedule(targets: DataFrame, block: int, cells: int = 4096) -> DataFrame:
     """
     spark = targets.sparkSession
     blocks = F.ceil(F.round("target") / block).cast("long")
-    total, n = targets.agg(F.sum("target"), F.sum(blocks)).first()
+    total, n, n_sources = targets.agg(F.sum("target"), F.sum(blocks), F.count("*")).first()
     total, n = total or 0.0, n or 0
-    upper = F.sum("target").over(Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
+    order = Window.orderBy(F.col("source").asc_nulls_last())
+    upper = F.sum("target").over(order.rowsBetween(Window.unboundedPreceding, 0))
     stretch = targets.select(
-        "source", blocks.alias("blocks"), ((upper - F.col("target")) / max(total, 1e-300)).alias("lo"), (upper / max(total, 1e-300)).alias("hi")
+        "source", F.row_number().over(order).alias("place"), blocks.alias("blocks"), ((upper - F.col("target")) / max(total, 1e-300)).alias("lo"), (upper / max(total, 1e-300)).alias("hi")
     ).where("blocks > 0")
     cell = F.explode(F.sequence(F.floor(F.col("lo") * cells).cast("long"), F.floor(F.col("hi") * cells).cast("long")))
     run = max(1, int(n**0.5))
@@ -81,8 +82,8 @@ def schedule(targets: DataFrame, block: int, cells: int = 4096) -> DataFrame:
     ranked = ranked.select("slot", "source", (F.col("before") + F.col("within")).alias("rank"), "blocks").where("rank < blocks").drop("blocks")
     got = hits.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("got"))
     short = stretch.join(got, stretch.source.eqNullSafe(got.s), "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < blocks")
-    late = short.select("source", F.explode(F.sequence("got", F.col("blocks") - 1)).alias("rank"))
-    return ranked.unionByName(late.select((F.lit(n) + F.col("rank")).alias("slot"), "source", "rank"))
+    late = short.select("source", "place", F.explode(F.sequence("got", F.col("blocks") - 1)).alias("rank"))
+    return ranked.unionByName(late.select((F.lit(n) + F.col("rank") * n_sources + F.col("place")).alias("slot"), "source", "rank"))
 
 
 def mix(
