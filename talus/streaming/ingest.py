@@ -35,6 +35,7 @@ def import_changes(spark: SparkSession, store: Store, places: dict[str, dict[str
     total, fresh = metas.count(), new.count()
     if not fresh:
         metas.unpersist()
+        new.unpersist()
         return {"imported": 0, "skipped": 0, "unchanged": total}
     conversations, messages = parse_all(spark, new.select(*metas.columns), places)
     conversations = conversations.withColumn("status", F.lit("imported")).withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.current_timestamp())
