@@ -49,6 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that operators have written to the shared folder, once nothing reads them any more."""
+    deleted(spark, f"{shared_dir(spark)}/talus")
+
+
 def deleted(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store."""
     jvm = spark.sparkContext._jvm

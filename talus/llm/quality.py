@@ -140,6 +140,24 @@ def cutoffs(sketches: DataFrame, rules: list[Rule], reach: int = 3, enough: int
     )
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
+def _wide(limits: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row for each language (l) and source (s), with a column for each cutoff."""
+    sides = [F.max(F.when(F.col("rule") == r.name, F.col(side))).alias(f"{r.name}_{side}") for r in rules for side in ("low", "high")]
+    return limits.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(*sides)
+
+
+def _beyond(rules: list[Rule]) -> Column:
+    """Whether a row is outside any of its cutoffs; a cutoff that isn't there holds for nobody."""
+    out = F.lit(False)
+    for r in rules:
+        out = out | F.coalesce(r.bin > F.col(f"{r.name}_high"), F.lit(False)) | F.coalesce(r.bin < F.col(f"{r.name}_low"), F.lit(False))
+    return out
+
+
 def judge(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, enough: int = 100) -> DataFrame:
     """One row per document: doc_id, counts, base_failed, kept.
 
@@ -149,24 +167,15 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, enou
     extra columns are not looked at. An empty table gives an empty one.
     """
     rules = rules or default_rules()
-    counts = written(measure(docs), "text-counts")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = counts.withColumn("base_failed", failed)
-    limits = cutoffs(sketch(rows.where(~F.col("base_failed")), rules), rules, reach, enough)
-    wide = limits.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(
-        *(F.max(F.when(F.col("rule") == r.name, F.col(side))).alias(f"{r.name}_{side}") for r in rules for side in ("low", "high"))
-    )
+    rows = written(measure(docs), "text-counts").withColumn("base_failed", _base_failed())
+    wide = _wide(cutoffs(sketch(rows.where(~F.col("base_failed")), rules), rules, reach, enough), rules)
     out = rows.join(wide, rows.lang.eqNullSafe(wide.l) & rows.source.eqNullSafe(wide.s), "left")
-    beyond = F.lit(False)
-    for r in rules:
-        beyond = beyond | F.coalesce(r.bin > F.col(f"{r.name}_high"), F.lit(False)) | F.coalesce(r.bin < F.col(f"{r.name}_low"), F.lit(False))
-    return out.select("doc_id", *COUNTS, "base_failed", (~(F.col("base_failed") | beyond)).alias("kept"))
+    return out.select("doc_id", *COUNTS, "base_failed", (~(F.col("base_failed") | _beyond(rules))).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, enough: int = 100) -> DataFrame:
     """docs without the documents that ``judge`` would not keep; columns stay. Texts are measured twice, never shuffled."""
     rules = rules or default_rules()
-    names = ["doc_id", "lang", "source", *COUNTS]
     text_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("row", docs.select(F.struct("*").alias("row")).schema[0].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS)])
 
@@ -176,14 +185,8 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3,
             got = np.array([text_counts(t) for t in as_bytes(pa.compute.cast(row.field("text"), pa.string()))], dtype=np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([row, *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(COUNTS)))], names=["row", *COUNTS])
 
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    limits = cutoffs(sketch(written(measure(docs).select(*names), "text-counts").where(~failed), rules), rules, reach, enough)
-    wide = written(limits.groupBy(F.col("lang").alias("l"), F.col("source").alias("s")).agg(
-        *(F.max(F.when(F.col("rule") == r.name, F.col(side))).alias(f"{r.name}_{side}") for r in rules for side in ("low", "high"))
-    ), "cutoffs")
-    rows = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).where(~failed)
+    counts = written(measure(docs), "text-counts").where(~_base_failed())
+    wide = written(_wide(cutoffs(sketch(counts, rules), rules, reach, enough), rules), "cutoffs")
+    rows = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).where(~_base_failed())
     out = rows.join(wide, F.col("row.lang").cast("string").eqNullSafe(wide.l) & F.col("row.source").cast("string").eqNullSafe(wide.s), "left")
-    beyond = F.lit(False)
-    for r in rules:
-        beyond = beyond | F.coalesce(r.bin > F.col(f"{r.name}_high"), F.lit(False)) | F.coalesce(r.bin < F.col(f"{r.name}_low"), F.lit(False))
-    return out.where(~beyond).select("row.*")
+    return out.where(~_beyond(rules)).select("row.*")
