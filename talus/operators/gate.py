@@ -167,3 +167,20 @@ def evaluation(rows: DataFrame) -> DataFrame:
         F.coalesce(F.count_if(right) / F.nullif(F.count("*"), F.lit(0)), F.lit(0.0)).alias("pass_rate"),
         F.count_if((F.col("decision") == "accept") & (F.col("expected") != "accept")).alias("false_accepts"), F.count_if((F.col("decision") != "accept") & (F.col("expected") == "accept")).alias("false_rejects"),
     )
+
+
+def load_samples(spark, path: str) -> DataFrame:
+    """Labelled samples of a JSON file, an array or an object with ``samples``: id, label, expected, messages, DIMENSIONS."""
+    message = "struct<type:string,content:string,has_tool_use:boolean,has_code:boolean>"
+    sample = f"struct<id:string,label:string,expected_decision:string,messages:array<{message}>,judge_dimensions:struct<{','.join(f'{d}:double' for d in DIMENSIONS)}>>"
+    rows = spark.read.text(path, wholetext=True)
+    listed = F.coalesce(F.from_json("value", f"struct<samples:array<{sample}>>")["samples"], F.from_json("value", f"array<{sample}>"))
+    rows = rows.select(F.explode(listed).alias("s"))
+    return rows.select("s.id", "s.label", F.col("s.expected_decision").alias("expected"), "s.messages", *(F.coalesce(F.col(f"s.judge_dimensions.{d}"), F.lit(0.0)).alias(d) for d in DIMENSIONS))
+
+
+def evaluate(samples: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
+    """The gate's decision on each sample: id, label, expected, decision, score, reason."""
+    messages = samples.select(F.col("id").alias("conversation_id"), F.posexplode("messages").alias("sort_order", "m")).select("conversation_id", "sort_order", "m.*")
+    decided = decide(messages, samples.select(F.col("id").alias("conversation_id"), *DIMENSIONS), lexicon)
+    return samples.select("id", "label", "expected").join(decided.withColumnRenamed("conversation_id", "id"), "id")

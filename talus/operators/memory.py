@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.text import blank, dense_length, first_non_blank, non_blank, normalised_tags, trim_all, united
+from talus.functions.text import blank, first_non_blank, non_blank, normalised_tags, trim_all, united
 from talus.operators.gate import structured_gaps
 from talus.operators.graph import adjacency
 from talus.schemas import OUTCOMES
+from talus.store import insert_ignore
 
 ARRAYS = ("pitfalls", "reusable_patterns", "decisions", "key_conclusions", "files_touched", "error_signatures")
 MODES, SCOPES = ("auto", "manual"), ("project", "global")
@@ -230,5 +231,7 @@ def similar_edges(note_id: Column, hits: Column) -> Column:
     return F.transform(near, lambda n: F.struct(n.alias("target_note_id"), F.lit("SIMILAR_TO").alias("relation_type"), F.lit(0.75).alias("confidence")))
 
 
-def summary_length(text: Column) -> Column:
-    return dense_length(text)
+def origin_conversations(conversations: DataFrame, origins: DataFrame, source: str) -> DataFrame:
+    """conversations with one for each origin (origin_id, project_name) of written-back memories, made where it lacks."""
+    new = origins.select(F.concat(F.lit("memory:"), "origin_id").alias("id"), F.lit(source).alias("source"), "project_name", F.lit("summarized").alias("status"))
+    return insert_ignore(conversations, new, ["id"])
