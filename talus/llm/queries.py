@@ -36,7 +36,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_in_batches(table(spark, sf_dir, "documents"), batches=2, window=20)
+    return substrings.dedup_in_batches(table(spark, sf_dir, "documents"), parts=(0.25,), window=20)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

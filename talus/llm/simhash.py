@@ -298,7 +298,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         pairs = got if pairs is None else pairs.unionByName(got)
     pairs = written(pairs.distinct(), "proposed")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = written(_shingle_sets(known.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), shingle), "shingle-sets")
+    # Texts meet ids in a shuffle at any size: ids grow with the documents, so a plan that broadcasts few of them misleads.
+    texts = known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
+    sets = written(_shingle_sets(texts.dropDuplicates(["doc_id"]), shingle), "shingle-sets")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     links = pairs.join(left, "a").join(right, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
@@ -310,4 +312,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each group of near copies, the one with the smallest doc_id; null doc_ids stay."""
     gone = written(near_duplicates(docs, **how).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")), "near-copies")
-    return docs.join(gone, docs.doc_id.cast("long") == gone.gone, "left_anti")
+    return docs.join(gone.hint("merge"), docs.doc_id.cast("long") == gone.gone, "left_anti")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import as_bytes, new_path, text_batches, written
+from talus.llm.common import as_bytes, deleted, new_path, shuffles_freed, text_batches, written
 
 #: Odd multipliers of the two window hashes.
 GRAM_STEP, WINDOW_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -67,10 +67,16 @@ def anchors(words: list[bytes], cache: WordHashes, window: int, gram: int) -> tu
     return h, grams, at + np.arange(len(views))
 
 
-def _longs(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+def _anchored(grams: np.ndarray, at: np.ndarray, hits: pa.Scalar) -> np.ndarray:
+    """Whether each window's anchor has one of the hashes; neighbours mostly share one, so each is looked up once."""
+    new = np.concatenate([[True], at[1:] != at[:-1]])
+    return np.isin(grams[at[new]].view(np.int64), hits.values.to_numpy())[np.cumsum(new) - 1]
+
+
+def _longs(values: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
     flat = np.concatenate(values) if values else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))
 
 
 def _sha(words: list[bytes]) -> str:
@@ -84,6 +90,7 @@ class WindowIndex:
         self.spark, self.window, self.gram, self.most_runs = spark, window, gram, most_runs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = []
+        self.paths: dict[str, str] = {}
         self.digests: list[DataFrame] = []
         self.texts: list[DataFrame] = []
 
@@ -91,7 +98,9 @@ class WindowIndex:
         """Write a sorted immutable run, bucketed by hash so that later merge joins don't move it."""
         name = f"talus_run_{uuid.uuid4().hex}"
         ready = anchors.repartition(self.buckets, "h").sortWithinPartitions("h")
-        ready.write.bucketBy(self.buckets, "h").sortBy("h").option("path", new_path(self.spark, "run")).saveAsTable(name)
+        self.paths[name] = new_path(self.spark, "run")
+        with shuffles_freed(self.spark):
+            ready.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def _anchors(self, source: DataFrame) -> DataFrame:
@@ -100,22 +109,18 @@ class WindowIndex:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
             for batch in batches:
-                hs, at = [], []
+                hs = []
                 for text in as_bytes(batch.column(1)):
                     words = (text or b"").split()
                     if len(words) >= window:
-                        _, grams, pos = anchors(words, cache, window, gram)
-                        pos = pos[np.concatenate([[True], pos[1:] != pos[:-1]])]
-                        hs.append(grams[pos].view(np.int64))
-                        at.append(pos)
+                        _, grams, at = anchors(words, cache, window, gram)
+                        h, n = np.unique(grams[at[np.concatenate([[True], at[1:] != at[:-1]])]], return_counts=True)
+                        hs.append(np.repeat(h, np.minimum(n, 2)).view(np.int64))  # two rows say: repeated in the document
                     else:
                         hs.append(np.zeros(0, np.int64))
-                        at.append(np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), _longs(hs, pa.int64()), _longs(at, pa.int32())], names=["doc_id", "hs", "at"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0), _longs(hs)], names=["doc_id", "hs"])
 
-        return source.mapInArrow(run, "doc_id long, hs array<long>, at array<int>")
+        return source.mapInArrow(run, "doc_id long, hs array<long>")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Index a batch and return, for each of its documents, doc_id, n_words, n_removed, kept_sha256.
@@ -129,7 +134,7 @@ class WindowIndex:
         text_batches(spark)
         source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
         scanned = self._anchors(source)
-        run = self._run(scanned.select("doc_id", F.explode(F.arrays_zip("hs", "at")).alias("x")).select(F.col("x.hs").alias("h"), "doc_id", F.col("x.at").alias("at")))
+        run = self._run(scanned.select(F.explode("hs").alias("h"), "doc_id"))
         own = written(self._digests(source), "digests")
         history = list(self.runs)
         self.runs.append(run)
@@ -160,6 +165,7 @@ class WindowIndex:
         self.runs = [self._run(merged)]
         for name in old:
             self.spark.sql(f"drop table {name}")
+            deleted(self.spark, self.paths.pop(name))
 
     def _repeats(self, run: str, history: list[str], own: DataFrame) -> DataFrame:
         spark, least = self.spark, self.window
@@ -168,25 +174,24 @@ class WindowIndex:
         for name in history:
             hits = hits.unionByName(batch.select("h").distinct().join(spark.table(name).select("h"), "h", "left_semi"))
         hits = hits.distinct()
-        found = batch.join(hits, "h", "left_semi").select("doc_id", "at")
+        found = batch.join(hits, "h", "left_semi").select("doc_id", "h")
         for name in history:
-            found = found.unionByName(spark.table(name).join(hits, "h", "left_semi").select("doc_id", "at"))
+            found = found.unionByName(spark.table(name).join(hits, "h", "left_semi").select("doc_id", "h"))
         # Of documents with the same words the first stands for all; the others are repeats as a whole.
         every = self.digests[0]
         for more in self.digests[1:]:
             every = every.unionByName(more)
         firsts = every.groupBy("sha").agg(F.min("doc_id").alias("first"))
         kept = firsts.select(F.col("first").alias("doc_id"))
-        lists = found.groupBy("doc_id").agg(F.collect_list("at").alias("ats")).join(kept.distinct(), "doc_id", "left_semi")
+        lists = written(found.groupBy("doc_id").agg(F.collect_list("h").alias("hits")).join(kept.distinct(), "doc_id", "left_semi"), "hits")
         texts = self.texts[0]
         for more in self.texts[1:]:
             texts = texts.unionByName(more)
-        marked = texts.join(lists, "doc_id")
-        windows = marked.mapInArrow(_windows(self.window, self.gram), "h long, w long, doc_id long, start int")
+        windows = texts.join(lists, "doc_id").mapInArrow(_windows(self.window, self.gram), "h long, w long, doc_id long, start int")
         starts = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "start")).alias("x"))
-        starts = starts.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list("x.start").alias("starts"))
-        new = own.select("doc_id").distinct()
-        cut = marked.join(new, "doc_id", "left_semi").join(starts, "doc_id", "left")
+        # Written before texts are moved again, so the shuffled windows are gone by then.
+        starts = written(starts.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list("x.start").alias("starts")), "starts")
+        cut = self.texts[-1].join(lists, "doc_id").join(starts, "doc_id", "left")
         cut = cut.mapInArrow(_cut(self.window, self.gram), "id long, sha_in string, n_removed long, kept_sha256 string").distinct()
         out = own.join(firsts, "sha").join(cut, (own.doc_id == cut.id) & (own.sha == cut.sha_in), "left")
         copy = (F.col("first") < F.col("doc_id")) & (F.col("n_words") >= least)
@@ -198,18 +203,18 @@ class WindowIndex:
 
 
 def _windows(window: int, gram: int) -> Callable:
-    """(doc_id, text, ats) -> windows whose anchor is one of ats, by anchor hash and the hash of all their words."""
+    """(doc_id, text, hits) -> windows whose anchor's hash is one of hits, by anchor hash and the hash of all their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for doc_id, text, ats in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), strict=True):
+            for doc_id, text, hits in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), strict=True):
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
                 h, grams, at = anchors(words, cache, window, gram)
-                start = np.flatnonzero(np.isin(at, ats.values.to_numpy()))
+                start = np.flatnonzero(_anchored(grams, at, hits))
                 out[0].append(grams[at[start]].view(np.int64))
                 out[1].append(rolled(h, window, WINDOW_STEP)[start].view(np.int64))
                 out[2].append(np.full(len(start), doc_id, np.int64))
@@ -222,18 +227,18 @@ def _windows(window: int, gram: int) -> Callable:
 
 
 def _cut(window: int, gram: int) -> Callable:
-    """(doc_id, text, ats, starts) -> what is left once windows with such an anchor go that aren't their first."""
+    """(doc_id, text, hits, starts) -> what is left once windows with such an anchor go that aren't their first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
             ids, shas, removed, left = [], [], [], []
-            for doc_id, text, ats, first in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True):
+            for doc_id, text, hits, first in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2), batch.column(3), strict=True):
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
-                _, _, at = anchors(words, cache, window, gram)
-                repeat = np.isin(at, ats.values.to_numpy())
+                _, grams, at = anchors(words, cache, window, gram)
+                repeat = _anchored(grams, at, hits)
                 if first.is_valid:
                     repeat[first.values.to_numpy()] = False
                 edges = np.zeros(len(words) + 1, np.int64)
@@ -253,13 +258,11 @@ def _cut(window: int, gram: int) -> Callable:
     return run
 
 
-def dedup_in_batches(docs: DataFrame, batches: int = 2, window: int = 20, gram: int = 8) -> DataFrame:
-    """All documents through a fresh index in ``batches`` ranges of doc_id, with a compaction at the end."""
-    index = WindowIndex(docs.sparkSession, window, gram, most_runs=max(2, batches))
-    parts = [k / batches for k in range(1, batches)]
-    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), parts)).first()[0] if parts else []
-    bounds = sorted(set(bounds or []))
-    edges = [None, *bounds, None]
+def dedup_in_batches(docs: DataFrame, parts: tuple[float, ...] = (0.25,), window: int = 20, gram: int = 8) -> DataFrame:
+    """All documents through a fresh index, in ranges of doc_id that end at these parts of all ids, then compacted."""
+    index = WindowIndex(docs.sparkSession, window, gram, most_runs=len(parts) + 1)
+    bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), list(parts))).first()[0] if parts else []
+    edges = [None, *sorted(set(bounds or [])), None]
     out = None
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         id_ = F.col("doc_id").cast("long")
