@@ -94,7 +94,7 @@ class TokenTotals:
         staged = f"{self.folder}/staged/{batch}"
         deleted(self.spark, staged)
         with shuffles_freed(self.spark):
-            sums.select(*GROUP, "docs", "tokens").coalesce(1).write.parquet(staged)
+            sums.select(*GROUP, "docs", "tokens").write.parquet(staged)  # adaptive plans join small partitions, large ones stay apart
         self._store.mkdirs(self._path(f"{self.folder}/batches"))
         return self._store.rename(self._path(staged), self._path(final))
 
