@@ -192,49 +192,83 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, most:
     )
 
 
-def _proposals(budget: int, nearest: int = 3):
-    """A map over rows sorted by bucket and key: candidate pairs (a, b), each row with its ``nearest`` in its bucket."""
+#: What names a unit of work: a bucket of a shuffle, and the two groups of its rows that meet.
+UNIT = ["turn", "bucket", "g0", "g1"]
 
-    def propose(t: pa.Table) -> pa.RecordBatch:
-        names = np.stack([t.column(g).to_numpy() for g in ("turn", "bucket")], axis=1)
-        keys = np.stack([t.column(w).to_numpy() for w in ("k0", "k1")], axis=1).view(np.uint64)
-        rep = t.column("rep").to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]))
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        found = list(close_pairs(keys, starts, 0, budget))
-        if found:
-            i, j, d = (np.concatenate([f[k] for f in found]) for k in range(3))
-            one, two = np.concatenate([i, j]), np.concatenate([j, i])
-            order = np.lexsort((rep[two], np.concatenate([d, d]), one))
-            one, two = one[order], two[order]
-            first = np.flatnonzero(np.concatenate([[True], one[1:] != one[:-1]]))
-            rank = np.arange(len(one)) - np.repeat(first, np.diff(np.append(first, len(one))))
-            near = rank < nearest
-            a.append(np.minimum(rep[one[near]], rep[two[near]]))
-            b.append(np.maximum(rep[one[near]], rep[two[near]]))
-        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
+
+def _units(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of buckets with their unit and side. A bucket of over ``most`` rows is dealt into groups, and each two of them meet.
+
+    All pairs of a bucket meet in exactly one unit, whatever its size; a row is repeated once for each group of its bucket.
+    """
+    groups = F.ceil(2 * F.col("count") / most).cast("int").alias("groups")
+    hot = written(rows.groupBy("turn", "bucket").count().where(F.col("count") > most).select("turn", "bucket", groups), "hot-buckets")
+    # At most tables x 2^prefix rows, whatever the data.
+    both = rows.join(F.broadcast(hot), ["turn", "bucket"], "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
+    own = F.pmod(F.xxhash64("rep"), F.col("groups").cast("long")).cast("int")
+    met = both.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    side = F.when(F.col("own") > F.col("other"), 1).otherwise(0)
+    return met.select(*rows.columns, F.least("own", "other").alias("g0"), F.greatest("own", "other").alias("g1"), side.alias("side"))
+
+
+def _sides(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The rows of units whose sides are not empty, where each unit starts, and where its second side does."""
+    names = np.stack([t.column(n).to_numpy() for n in UNIT], axis=1)
+    starts = np.flatnonzero(np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)]))
+    size = np.diff(np.append(starts, len(names)))
+    first = np.add.reduceat((t.column("side").to_numpy() == 0).astype(np.int64), starts)
+    cross = names[starts, 2] != names[starts, 3]
+    live = ~cross | ((first > 0) & (first < size))
+    t = t.filter(pa.array(np.repeat(live, size)))
+    size, first, cross = size[live], first[live], cross[live]
+    starts = np.cumsum(size) - size
+    return t, starts, np.where(cross, starts + first, starts)
+
+
+def _by_unit(work, least: int = 4096):
+    """A map over rows sorted by unit: ``work`` gets a table of whole units, of ``least`` rows where there are so many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(x.num_rows for x in held) < 4096:
+            if not held or sum(x.num_rows for x in held) < least:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
-            names = np.stack([t.column(g).to_numpy() for g in ("turn", "bucket")], axis=1)
+            names = np.stack([t.column(g).to_numpy() for g in UNIT], axis=1)
             same = (names == names[-1]).all(axis=1)
             cut = int(len(same) - np.argmin(same[::-1])) if not same.all() else 0
             if cut:
-                yield propose(t.slice(0, cut))
+                yield work(t.slice(0, cut).combine_chunks())
             held = t.slice(cut).to_batches()
         if held:
-            yield propose(pa.Table.from_batches(held).combine_chunks())
+            yield work(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _proposals(budget: int, nearest: int = 3):
+    """A map over rows sorted by unit, side and key: candidate pairs (a, b), each row with its ``nearest`` in its unit."""
+
+    def propose(t: pa.Table) -> pa.RecordBatch:
+        t, starts, cuts = _sides(t)
+        keys = np.stack([t.column(w).to_numpy() for w in ("k0", "k1")], axis=1).view(np.uint64)
+        rep = t.column("rep").to_numpy()
+        kept = np.zeros((3, 0), dtype=np.int64)  # of each row: itself, its nearest so far, differing bits
+        for i, j, d in close_pairs(keys, starts, 0, budget, cuts) if t.num_rows else ():
+            one, two, apart = kept = np.concatenate([kept, [i, j, d], [j, i, d]], axis=1).astype(np.int64)
+            kept = kept[:, np.lexsort((rep[two], apart, one))]
+            first = np.flatnonzero(np.concatenate([[True], kept[0, 1:] != kept[0, :-1]]))
+            rank = np.arange(kept.shape[1]) - np.repeat(first, np.diff(np.append(first, kept.shape[1])))
+            kept = kept[:, rank < nearest]
+        one, two = rep[kept[0]], rep[kept[1]]
+        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(2)], names=["a", "b"])
+
+    return _by_unit(propose)
+
+
 def _shingle_sets(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, shingles): the distinct XXH64 of a text's word shingles."""
 
@@ -256,7 +290,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     Candidates come from 128-bit SimHashes: in each of ``tables`` shuffles of their bits, fingerprints that agree in the
     first ``prefix`` bits meet below one trie node, which is joined with itself within the bits by which sets of that
     similarity differ (two deviations more than the mean). Of the pairs below a node each fingerprint proposes its three
-    nearest, so rows stay linear in groups of any size; nodes with over ``most`` fingerprints go on by four more bits.
+    nearest, so rows stay linear in groups of any size; buckets of over ``most`` fingerprints are dealt into groups, each two
+    of which meet, so a pair that shares a bucket is compared however many others are in it.
     Proposed pairs are verified on the whole shingle sets, and verified links are joined to components.
 
     What it finds is exact; what it finds of all similar pairs is measured in the tests. Equal fingerprints are one node.
@@ -275,27 +310,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     for t in range(tables):
         # Four neighbouring bits at a time: 32 nibbles, of which each shuffle puts others first.
         path = F.lit(0).cast("long")
-        for n in rng.choice(32, size=prefix // 4 + 6, replace=False).tolist():
+        for n in rng.choice(32, size=prefix // 4 + 6, replace=False)[: prefix // 4].tolist():
             path = F.shiftleft(path, 4).bitwiseOR(F.shiftrightunsigned(f"fp{n // 16}", n % 16 * 4).bitwiseAND(15))
-        turns.append(F.struct(F.lit(t).alias("turn"), path.alias("path")))
-    rows = nodes.select("rep", F.col("fp0").alias("k0"), F.col("fp1").alias("k1"), F.explode(F.array(*turns)).alias("x")).select("rep", "k0", "k1", "x.turn", "x.path")
-    rows = rows.withColumn("bucket", F.shiftrightunsigned("path", 24))
-    parts, more = [], 24
-    while more > 0:
-        hot = written(rows.groupBy("turn", "bucket").count().where(F.col("count") > most).drop("count"), "hot-buckets")
-        if hot.isEmpty():
-            break
-        parts.append(rows.join(hot, ["turn", "bucket"], "left_anti"))
-        more -= 4
-        # The bits so far lead the new name, so no two nodes of different depth meet.
-        rows = written(rows.join(hot, ["turn", "bucket"]).withColumn("bucket", F.shiftrightunsigned("path", more)), "split-buckets")
-        rows = rows.withColumn("turn", F.col("turn") + F.lit(tables))
-    parts.append(rows)
-    pairs = None
-    for part in parts:
-        ready = part.drop("path").repartition("turn", "bucket").sortWithinPartitions("turn", "bucket", "k0", "k1")
-        got = ready.mapInArrow(_proposals(budget), "a long, b long")
-        pairs = got if pairs is None else pairs.unionByName(got)
+        turns.append(F.struct(F.lit(t).alias("turn"), path.alias("bucket")))
+    rows = nodes.select("rep", F.col("fp0").alias("k0"), F.col("fp1").alias("k1"), F.explode(F.array(*turns)).alias("x")).select("rep", "k0", "k1", "x.turn", "x.bucket")
+    ready = _units(rows, most).repartition(*UNIT).sortWithinPartitions(*UNIT, "side", "k0", "k1")
+    pairs = ready.mapInArrow(_proposals(budget), "a long, b long")
     pairs = written(pairs.distinct(), "proposed")
     wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     # Texts meet ids in a shuffle at any size: ids grow with the documents, so a plan that broadcasts few of them misleads.

@@ -98,6 +98,24 @@ def test_near_duplicates_recall(spark):
     assert all(want[k] == want[v] for k, v in got.items())
 
 
+def test_near_duplicates_do_not_depend_on_bucket_sizes(spark):
+    """Buckets that are dealt into groups give the components of buckets that are not."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = [rng.choice(words) for _ in range(150)]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = dict(simhash.near_duplicates(df).collect())
+    assert len(set(want.values())) < 120
+    assert dict(simhash.near_duplicates(df, most=2).collect()) == want
+
+
 def test_quality_counts_and_verdicts(spark, docs, rows):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for r in rows:
