@@ -24,12 +24,12 @@ def _expand(alo, ahi, blo, bhi):
     return alo[at] + k // nb[at], blo[at] + k % nb[at]
 
 
-def close_pairs(keys: np.ndarray, starts: np.ndarray, first_bit: int, budget: int, cuts: np.ndarray | None = None):
+def close_pairs(keys: np.ndarray, starts: np.ndarray, first_bit: int, budget: int, cuts: np.ndarray | None = None, chunk: int = CHUNK):
     """Yield (i, j, differing bits) arrays, i < j, of all pairs of one group within ``budget``.
 
     keys: (n, words) uint64, sorted within each group by all bits, most significant first; starts: where groups
     begin; first_bit: bits before it are equal within a group. cuts: where the second of two nodes begins in a group
-    that asks only for the pairs between them, else the group's start.
+    that asks only for the pairs between them, else the group's start. chunk: node pairs that are split at a time.
     """
     n, words = keys.shape
     ends = np.append(starts[1:], n)
@@ -46,9 +46,9 @@ def close_pairs(keys: np.ndarray, starts: np.ndarray, first_bit: int, budget: in
 
     while stack:
         bit, pairs = stack.pop()
-        if pairs.shape[1] > CHUNK:
-            stack.append((bit, pairs[:, CHUNK:]))
-            pairs = pairs[:, :CHUNK]
+        if pairs.shape[1] > chunk:
+            stack.append((bit, pairs[:, chunk:]))
+            pairs = pairs[:, :chunk]
         alo, ahi, blo, bhi, dist = pairs
         done = (ahi - alo) * (bhi - blo) <= LEAF_PAIRS
         if bit == 64 * words:

@@ -116,6 +116,20 @@ def test_near_duplicates_do_not_depend_on_bucket_sizes(spark):
     assert dict(simhash.near_duplicates(df, most=2).collect()) == want
 
 
+def test_near_duplicates_within_a_template_family(spark):
+    """Pairs at 0.83 among hundreds at 0.72, which are near in bits and fail: similar ones are found, nothing else is joined."""
+    rng = random.Random(8)
+    new = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    template = new(200)
+    texts = [template[:-32] + new(32) for _ in range(300)]
+    for k in range(20):
+        texts.append(texts[k][:-18] + new(18))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = dict(simhash.near_duplicates(df).collect())
+    assert sum(got[300 + k] == got[k] for k in range(20)) >= 18
+    assert all(v in (k, k - 300) for k, v in got.items())
+
+
 def test_quality_counts_and_verdicts(spark, docs, rows):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for r in rows:
