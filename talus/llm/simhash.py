@@ -50,10 +50,10 @@ def fingerprint(text: bytes | None, shingle: int = 3, seeds: tuple[int, ...] = (
 
 
 def wide_fingerprint(text: bytes | None, shingle: int) -> tuple[int, int, int, int]:
-    """Two 64-bit SimHashes over the word shingles, as signed longs; zero; how many distinct ones there are."""
+    """Two 64-bit SimHashes over the distinct word shingles, as signed longs; a digest of their set; how many there are."""
     words = (text or b"").lower().split()
     k = min(shingle, len(words))
-    spans = [b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)] if k else []
+    spans = list({b" ".join(words[i : i + k]) for i in range(len(words) - k + 1)}) if k else []
     out = []
     for seed in (42, 43):
         on = np.zeros(64, dtype=np.int64)
@@ -61,8 +61,8 @@ def wide_fingerprint(text: bytes | None, shingle: int) -> tuple[int, int, int, i
             hashes = np.array([xxhash.xxh64_intdigest(x, seed) for x in spans[at : at + BLOCK]], dtype="<u8")
             on += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         out.append(int(np.packbits(2 * on > len(spans), bitorder="little").view("<i8")[0]))
-    digest = 1 << 63
-    return out[0], out[1], digest - (1 << 63), len(set(spans))
+    digest = xxhash.xxh3_64_intdigest(b"\n".join(sorted(spans)))
+    return out[0], out[1], digest - (1 << 63), len(spans)
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
@@ -427,7 +427,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     of which meet, so a pair that shares a bucket is compared however many others are in it.
     Proposed pairs are verified on the whole shingle sets, and verified links are joined to components.
 
-    What it finds is exact; what it finds of all similar pairs is measured in the tests. Equal fingerprints of equal size are one node.
+    What it finds is exact; what it finds of all similar pairs is measured in the tests. Equal shingle sets are one node.
     Rows that share a doc_id count as one document; those with a null doc_id are left out; extra columns are not looked
     at; texts without words are equal. An empty table gives an empty one.
     """

@@ -130,6 +130,20 @@ def test_near_duplicates_within_a_template_family(spark):
     assert all(v in (k, k - 300) for k, v in got.items())
 
 
+def test_near_duplicates_count_each_shingle_once(spark):
+    """A line that is repeated doesn't outweigh the text, and texts that share only such a line aren't equal."""
+    rng = random.Random(9)
+    new = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    texts = []
+    for _ in range(5):
+        base = new(600)
+        texts += [base + new(10) * 20 for _ in range(2)]
+    line = new(9)
+    texts += [line * 50 + new(30) for _ in range(2)]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert dict(simhash.near_duplicates(df).collect()) == {k: k // 2 * 2 if k < 10 else k for k in range(12)}
+
+
 def test_quality_counts_and_verdicts(spark, docs, rows):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for r in rows:
