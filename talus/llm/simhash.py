@@ -246,7 +246,7 @@ def _units(rows: DataFrame, most: int) -> DataFrame:
 
 
 def _dealt(units: DataFrame) -> DataFrame:
-    return units.repartition(*UNIT).sortWithinPartitions(*UNIT, "side", "k0", "k1")
+    return units.repartition(*UNIT).sortWithinPartitions(*UNIT, "side", *(F.col(k).bitwiseXOR(F.lit(-(1 << 63))) for k in ("k0", "k1")))
 
 
 def _sides(t: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:

@@ -144,6 +144,18 @@ def test_near_duplicates_count_each_shingle_once(spark):
     assert dict(simhash.near_duplicates(df).collect()) == {k: k // 2 * 2 if k < 10 else k for k in range(12)}
 
 
+def test_proposals_on_keys_of_both_signs(spark):
+    rng = np.random.default_rng(5)
+    keys = rng.integers(0, 1 << 64, size=(2, 2), dtype=np.uint64)[rng.integers(0, 2, 300)]
+    for _ in range(14):
+        keys ^= (np.uint64(1) << rng.integers(0, 64, (300, 2), dtype=np.uint64)) * rng.integers(0, 2, (300, 2), dtype=np.uint64)
+    rows = [(k, *pair, 100, 0, 0) for k, pair in enumerate(keys.view(np.int64).tolist())]
+    units = simhash._units(spark.createDataFrame(rows, "rep long, k0 long, k1 long, size long, turn int, bucket long"), 4000)
+    out = simhash._dealt(units).mapInArrow(simhash._proposals(20, 0.8, 300), "a long, b long, turn long, bucket long, g0 long, g1 long")
+    want = {(a, b) for a in range(300) for b in range(a + 1, 300) if np.bitwise_count(keys[a] ^ keys[b]).sum() <= 20}
+    assert len(want) > 1000 and {(r.a, r.b) for r in out.collect()} == want
+
+
 def test_quality_counts_and_verdicts(spark, docs, rows):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for r in rows:
