@@ -92,14 +92,14 @@ def test_pages(spark):
 
 def test_chat(spark):
     rows = [(1, 0, "system", "be nice"), (1, 1, "ann", "hi <|im_end|>"), (1, 2, "bob", None), (1, None, None, "late"), (2, 0, "system", "alone"), (None, 0, "ann", ""), (None, 0, "ann", "")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("segment", F.lit(1)).withColumn("perspective", F.lit(1))
-    got = {(r.conv_id, r.perspective, r.segment): r for r in chat.rotate(turns).collect()}
-    assert set(got) == {(1, p, s) for p in ("ann", "bob", "unknown") for s in (0, -1)} | {(None, "ann", 0)}
-    own = got[1, "ann", 0]
-    assert own.rendered.count("<|im_end|>") == 3 and own.n_turns == 3 and got[None, "ann", 0].n_turns == 2
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({c: F.lit(1) for c in ("part", "perspective", "chunk", "tie", "at")})
+    got = {(r.conv_id, r.perspective): r for r in chat.rotate(turns).collect()}
+    assert set(got) == {(1, p) for p in ("ann", "bob", "unknown")} | {(None, "ann")}
+    own = got[1, "ann"]
+    assert own.rendered.count("<|im_end|>") == 4 and own.n_turns == 4 and got[None, "ann"].n_turns == 2 and own.rendered.endswith("late<|im_end|>\n")
     start, end = map(int, own.mask.split(":"))
     assert own.rendered[start:end] == "hi < |im_end|><|im_end|>\n"
-    assert "user name=bob" in own.rendered and "assistant" in got[1, "bob", 0].rendered and chat.rotate(turns.where("false")).count() == 0
+    assert "user name=bob" in own.rendered and "assistant" in got[1, "bob"].rendered and chat.rotate(turns.where("false")).count() == 0
 
 
 def test_token_totals_are_additive_and_idempotent(spark, odd):

@@ -358,5 +358,35 @@ def test_chat_masks_are_what_the_speaker_says(spark):
         assert [r.rendered[a:b] for a, b in spans] == [t + "<|im_end|>\n" for t in said[r.conv_id, r.perspective]]
 
 
+def rotated(turns, me):
+    """Brute force: (rendered, mask) of sorted (turn, speaker, text)."""
+    out, mask = "", []
+    for turn, speaker, text in sorted(turns, key=lambda t: (t[0] is None, t[0] or 0, t[1], t[2])):
+        head = "assistant" if speaker == me else "system" if speaker == "system" else f"user name={speaker}"
+        out += f"<|im_start|>{head}\n"
+        if speaker == me:
+            mask.append(f"{len(out)}:{len(out) + len(text) + 11}")
+        out += text + "<|im_end|>\n"
+    return out, ",".join(mask)
+
+
+def test_chat_renders_whole_dialogues(spark):
+    """One dialogue of 3,000 turns, of which some share a number or have none, holds most rows and is one row a speaker."""
+    rng = random.Random(2)
+    rows = [(1, 0, "system", "be kind 😀")]
+    rows += [(1, None if k % 50 == 0 else k // 2, rng.choice(["ann", "bob", "cy"]), f"says {k} é" * rng.randint(0, 3)) for k in range(3000)]
+    rows += [(2, 0, "ann", "hi"), (2, 10**12, "bob", "much later")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8)
+    got = {(r.conv_id, r.perspective): (r.part, r.n_turns, r.rendered, r.mask) for r in chat.rotate(df, tasks=6).collect()}
+    want = {}
+    for conv, who in ((1, ("ann", "bob", "cy")), (2, ("ann", "bob"))):
+        own = [r[1:] for r in rows if r[0] == conv]
+        want |= {(conv, w): (0, len(own), *rotated(own, w)) for w in who}
+    assert got == want
+    assert chat.chunks(df, 6).where("conv_id = 1").count() > 3
+    parts = chat.rotate(df, row_chars=20_000, tasks=6).where("conv_id = 1 and perspective = 'ann'").orderBy("part").collect()
+    assert len(parts) > 1 and "".join(p.rendered for p in parts) == want[1, "ann"][2] and ",".join(p.mask for p in parts if p.mask) == want[1, "ann"][3]
+
+
 def test_known_licences_have_one_digest_each():
     assert len({licenses.digest(t) for _, t in licenses.KNOWN}) == len(licenses.KNOWN)
