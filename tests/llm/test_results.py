@@ -4,8 +4,10 @@ import collections
 import hashlib
 import html
 import math
+import pathlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -388,5 +390,42 @@ def test_chat_renders_whole_dialogues(spark):
     assert len(parts) > 1 and "".join(p.rendered for p in parts) == want[1, "ann"][2] and ",".join(p.mask for p in parts if p.mask) == want[1, "ann"][3]
 
 
+LONG = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+def test_known_licences_match_at_any_width(spark):
+    """Each known text, with a notice of its own where it has no fixed holder, wrapped at every third width from 30 to 120."""
+    holder = "Copyright (c) 2019-2024 Jane Doe, the Example Project's Contributors & Friends of a Very Long Name Indeed. All rights reserved."
+    texts = [(n, t.split("\n\n", 1)[0] + f"\n\n{holder}\n\n" + t.split("\n\n", 1)[1] if t.startswith(tuple(licenses.TITLES.get(n, ()))) else f"{holder}\n\n{t}") for n, t in licenses.known_texts()]
+    folder = pathlib.Path("/usr/share/common-licenses")
+    texts += [(n, (folder / f).read_text()) for n, f in LONG.items() if (folder / f).exists()]
+    rows, names = [], []
+    for name, text in texts:
+        for width in range(30, 121, 3) if len(text) < 4_000 else (45, 72, 100):
+            wrapped = "\n\n".join(textwrap.fill(" ".join(p.split()), width) for p in re.split(r"\n\s*\n", text))
+            rows.append((len(rows), wrapped.replace("license", "licence") if width % 2 else wrapped.upper()))
+            names.append(name)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.license for r in licenses.scan(df).collect()}
+    assert [(k, n, got[k]) for k, n in enumerate(names) if got[k] != n] == []
+
+
+def test_licence_notices_of_many_forms(spark):
+    mit = dict(licenses.KNOWN)["MIT"].split("\n\n", 1)[1]
+    heads = ["© 2020 Jane", "(c) 2020 Jane", "Copyright 2020 Jane", "Copyright (C) Jane", "Copyright Jane Doe 2021", "Portions Copyright 2001 A", "Copyright © 2020, 2021 Jane\nAll rights reserved."]
+    df = spark.createDataFrame(list(enumerate(f"{h}\n{mit}" for h in heads)), "doc_id long, text string")
+    assert [r.license for r in licenses.scan(df).orderBy("doc_id").collect()] == ["MIT"] * len(heads)
+    changed = spark.createDataFrame([(1, mit.replace("without restriction", "with restriction"))], "doc_id long, text string")
+    assert licenses.scan(changed).first().license is None
+
+
+def test_licence_tables_of_any_size_give_the_same(docs, spark):
+    few, many = licenses.scan(docs).collect(), licenses.scan(docs, most=5).collect()
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many)) and any(r.notices for r in few)
+    own = licenses.registry(spark.createDataFrame([("Mine", "Copyright 2020 Me\n\nDo what you like."), (None, "x")], "license string, text string"))
+    found = licenses.scan(spark.createDataFrame([(1, "(c) 2024 You\ndo what\nyou LIKE")], "doc_id long, text string"), known=own)
+    assert found.first().license == "Mine"
+
+
 def test_known_licences_have_one_digest_each():
-    assert len({licenses.digest(t) for _, t in licenses.KNOWN}) == len(licenses.KNOWN)
+    assert len({licenses.digests(t)[2] for _, t in licenses.KNOWN}) == len(licenses.KNOWN)
