@@ -1,7 +1,7 @@
 """Main text of web pages from flat blocks, classified by a decision tree.
 
 A page is cut into blocks at block-level tags. Each has its words, the share of them inside links, the same of its two
-neighbours, and whether markup calls its region main (1), boilerplate (-1) or nothing (0); a tree trained on a small labelled table keeps or drops it.
+neighbours, and whether markup calls its region main (1), boilerplate (-1), something between or nothing (0); a tree trained on a small labelled table keeps or drops it.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import html
 import json
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +26,15 @@ from talus.llm.trees import tree_column
 #: One piece of markup: comment, declaration, tag with quoted values, or text.
 PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+#: An element that closes itself; a slash at the end of an unquoted value, as of a link, is part of the value.
+CLOSED = re.compile(r"(?:^|[\s\"'])/$")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 #: Fixed names of HTML.
-RAW = {"script", "style", "noscript", "template", "textarea", "svg", "math", "iframe", "object", "canvas", "title", "select", "option", "datalist"}
+RAW = {"script", "style", "textarea", "title"}
+#: Their contents aren't text of the page; one that is never closed is a tag like any other.
+EMBEDDED = {"noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "option", "datalist"}
+FOREIGN = {"svg", "math"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark",
@@ -39,18 +45,19 @@ HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 MAIN_TAGS, BOILER_TAGS = {"article", "main"}, {"nav", "footer", "aside", "form", "header", "button", "fieldset", "dialog", "menu", "head"}
 MAIN_NAMES = {"article", "main", "content", "post", "entry", "story", "body", "text"}
 BOILER_NAMES = {
-    "ad", "ads", "adv", "advert", "advertisement", "sponsor", "sponsored", "promo", "promoted", "banner", "nav", "navbar", "navigation", "menu",
-    "breadcrumb", "breadcrumbs", "footer", "header", "masthead", "topbar", "sidebar", "side", "widget", "cookie", "cookies", "consent", "notice", "alert",
-    "popup", "modal", "overlay", "subscribe", "newsletter", "signup", "login", "share", "sharing", "social", "related", "recommended", "comment",
-    "comments", "reply", "replies", "respond", "disqus", "toolbar", "pagination", "pager", "tags", "copyright", "legal", "disclaimer", "gdpr", "complementary",
-    "contentinfo", "search", "skip", "rail",
+    "ad", "ads", "adv", "advert", "advertisement", "sponsor", "sponsored", "promo", "promoted", "nav", "navbar", "navigation", "menu",
+    "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "sidebar", "cookie", "cookies", "consent",
+    "popup", "modal", "overlay", "subscribe", "newsletter", "signup", "login", "sharing", "social", "related", "recommended", "comment",
+    "comments", "replies", "respond", "disqus", "toolbar", "pagination", "pager", "copyright", "gdpr", "complementary", "contentinfo",
 }
+#: Names that also occur on parts of an article: there they only are a hint, and so they are beside a main name.
+WEAK_NAMES = {"side", "banner", "header", "widget", "notice", "alert", "share", "reply", "tags", "legal", "disclaimer", "search", "skip", "rail"}
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "region", "heading", "list", "marks")
 BLOCK_TYPE = "struct<text:string," + ",".join(f"{n}:double" for n in FEATURES) + ">"
 
 
 def _region(tag: str, attributes: str) -> str:
-    """'boiler', 'main', 'hidden' or '' for what a tag says of its contents."""
+    """'boiler', 'weak', 'main', 'hidden' or '' for what a tag says of its contents."""
     if not attributes.strip():
         return "boiler" if tag in BOILER_TAGS else "main" if tag in MAIN_TAGS else ""
     names: set[str] = set()
@@ -60,42 +67,67 @@ def _region(tag: str, attributes: str) -> str:
             return "hidden"
         if key in ("class", "id", "role"):
             names |= {w.lower() for w in NAME_PART.findall(value)}
-    if tag in BOILER_TAGS or tag not in MAIN_TAGS and names & BOILER_NAMES and tag not in ("body", "html"):
+    if tag in BOILER_TAGS:
         return "boiler"
+    if tag not in MAIN_TAGS and tag not in ("body", "html"):
+        if names & BOILER_NAMES:
+            return "boiler"
+        if names & WEAK_NAMES:
+            return "" if names & MAIN_NAMES else "weak"
     return "main" if tag in MAIN_TAGS or names & MAIN_NAMES else ""
 
 
+class _Open:
+    """The elements that are open at a place of a page, and how many of each tag and region: nothing walks the stack but to close."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str]] = []
+        self.tags: Counter[str] = Counter()
+        self.regions: Counter[str] = Counter()
+        self.headings = 0
+
+    def enter(self, tag: str, region: str) -> None:
+        self.stack.append((tag, region))
+        self.tags[tag] += 1
+        self.regions[region] += 1
+        self.headings += tag in HEADINGS
+
+    def leave(self, tag: str) -> None:
+        """Close the innermost element of a tag and all inside it; a tag that isn't open closes nothing."""
+        while self.tags[tag]:
+            name, region = self.stack.pop()
+            self.tags[name] -= 1
+            self.regions[region] -= 1
+            self.headings -= name in HEADINGS
+            if name == tag:
+                return
+
+    def region(self) -> float:
+        """-1 boilerplate, -0.5 perhaps, 0 unknown, 0.5 a part of the main text that may be none, 1 main text."""
+        if self.regions["boiler"]:
+            return -1.0
+        main = self.regions["main"] > 0
+        return (0.5 if main else -0.5) if self.regions["weak"] else float(main)
+
+
 def blocks(page: str) -> list[tuple]:
-    """(text, *FEATURES) of each block with text, in page order; markup, scripts and styles are gone."""
-    out: list[tuple[str, int, int, int, int, int, int]] = []  # text, words, linked words, main, boiler, heading, list
-    stack: list[tuple[str, str]] = []
-    text: list[str] = []
-    linked = links = 0
-    main = boiler = hidden = 0
-    kind = ""
+    """(text, *FEATURES) of each block with text, in page order; markup, scripts and styles are gone.
+
+    Time grows with the page's length only: neither deep nesting nor unclosed elements are walked again for each block.
+    """
+    out: list[tuple[str, int, int, float, int, int]] = []  # text, words, linked words, region, heading, list
+    now, text, unclosed = _Open(), [], set()
+    linked, kind = 0, ""
 
     def flush() -> None:
         nonlocal linked
         if text:
             words = html.unescape("".join(text)).split()
-            if words and not hidden:
-                tags = {t for t, _ in stack}
-                out.append((" ".join(words), len(words), min(linked, len(words)), int(main > 0), int(boiler > 0), int(kind in HEADINGS or bool(tags & HEADINGS)), int("li" in tags)))
+            if words and not now.regions["hidden"]:
+                out.append((" ".join(words), len(words), min(linked, len(words)), now.region(), int(kind in HEADINGS or now.headings > 0), int(now.tags["li"] > 0)))
             text.clear()
         linked = 0
 
-    def leave(tag: str) -> None:
-        nonlocal main, boiler, hidden, links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == tag:
-                for name, region in stack[k:]:
-                    main -= region == "main"
-                    boiler -= region == "boiler"
-                    hidden -= region == "hidden"
-                    links -= name == "a"
-                del stack[k:]
-                return
-
     at, size = 0, len(page)
     while at < size:
         m = PIECE.match(page, at)
@@ -105,9 +137,9 @@ def blocks(page: str) -> list[tuple]:
             piece = m[0]
             if piece[0] == "<" and len(piece) > 1:
                 continue
-            if not hidden:
+            if not now.regions["hidden"]:
                 text.append(piece)
-                if links:
+                if now.tags["a"]:
                     linked += len(piece.split())
             continue
         tag = tag.lower()
@@ -116,14 +148,18 @@ def blocks(page: str) -> list[tuple]:
                 flush()
             elif tag == "br":
                 text.append(" ")
-            leave(tag)
+            now.leave(tag)
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>|\Z", re.IGNORECASE).search(page, at)
-            at = close.end()
-            if tag not in ("svg", "math"):
-                flush()
+        if tag in FOREIGN and m[0].endswith("/>"):
             continue
+        if tag in RAW or tag in EMBEDDED and tag not in unclosed:
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+            if close or tag in RAW:
+                at = close.end() if close else size
+                if tag not in FOREIGN:
+                    flush()
+                continue
+            unclosed.add(tag)
         if tag in VOID:
             if tag in INLINE:
                 text.append(" " if tag == "br" else "")
@@ -133,40 +169,30 @@ def blocks(page: str) -> list[tuple]:
         if tag not in INLINE:
             flush()
             kind = tag
-            if tag in ("p", "li", "tr", "td", "dt", "dd") or tag in HEADINGS:
-                if any(t == tag for t, _ in stack[-6:]) and tag in ("p", "tr", "td", "dt", "dd", "li"):
-                    inner = next(t for t, _ in reversed(stack) if t in (tag, "ul", "ol", "table", "dl"))
-                    if inner == tag:
-                        leave(tag)
-            elif any(t == "p" for t, _ in stack[-6:]):
-                leave("p")
+            near = [t for t, _ in now.stack[-6:]]
+            if tag in ("p", "tr", "td", "dt", "dd", "li"):
+                if tag in near and next(t for t in reversed(near) if t in (tag, "ul", "ol", "table", "dl")) == tag:
+                    now.leave(tag)
+            elif tag not in HEADINGS and "p" in near:
+                now.leave("p")
         region = _region(tag, m[3] or "")
-        if region == "boiler" and tag == "header" and main:
+        if region == "boiler" and tag == "header" and now.regions["main"]:
             region = ""  # the heading of the article itself
-        main += region == "main"
-        boiler += region == "boiler"
-        hidden += region == "hidden"
-        links += tag == "a"
-        if not m[0].endswith("/>"):
-            stack.append((tag, region))
-        else:
-            main -= region == "main"
-            boiler -= region == "boiler"
-            hidden -= region == "hidden"
-            links -= tag == "a"
+        if not CLOSED.search(m[3] or ""):
+            now.enter(tag, region)
     flush()
     rows = []
-    for k, (words, n, l, in_main, in_boiler, head, item) in enumerate(out):
+    for k, (words, n, l, region, head, item) in enumerate(out):
         before, after = (out[j][1:3] if 0 <= j < len(out) else (0, 0) for j in (k - 1, k + 1))
         marks = sum(words.count(c) for c in ".!?")
         rows.append((
             words, float(n), l / n, float(before[0]), before[1] / max(1, before[0]), float(after[0]), after[1] / max(1, after[0]),
-            -1.0 if in_boiler else float(in_main), float(head), float(item), float(marks),
+            region, float(head), float(item), float(marks),
         ))
     return rows
 
 
-def labelled(pages: int = 150, seed: int = 3) -> list[list[float]]:
+def labelled(pages: int = 300, seed: int = 3) -> list[list[float]]:
     """A small labelled table: features and label of the blocks of made-up pages whose parts are known."""
     rng = random.Random(seed)
 
@@ -186,6 +212,15 @@ def labelled(pages: int = 150, seed: int = 3) -> list[list[float]]:
             for _ in range(rng.randint(1, 9))
         )
         ad = f'<div class="{rng.choice(["ad", "banner", "cookie-notice", "promo"])}">{bad(prose(2, 40))}</div>'
+        links = re.sub(r">([a-z ]+)</a>", r">\1xbadx</a>", menu(rng.randint(3, 9)))
+        if rng.random() < 0.15:  # nothing but a short article
+            inner = "".join(f"<p>{good(prose(1, 12))}</p>" for _ in range(rng.randint(1, 3)))
+            rows += [[*map(float, f), 1.0] for _, *f in blocks(f"<article>{inner}</article>")]
+            continue
+        if rng.random() < 0.6:  # names that say little inside an article
+            inner += f'<div class="{rng.choice(["side", "notice", "legal", "alert", "rail", "disclaimer"])}"><p>{good(prose(*rng.choice([(6, 30), (20, 80)])))}</p></div>'
+        if rng.random() < 0.4:
+            inner += f'<div class="{rng.choice(["share", "tags", "widget", "reply"])}">{links}</div>'
         if tree < 0.5:
             inner = inner.replace("</p>", "</p>" + (ad if rng.random() < 0.1 else ""), 1)
             body = f"<article>{inner}</article>" if rng.random() < 0.7 else f'<div class="post-content">{inner}</div>'
@@ -193,7 +228,6 @@ def labelled(pages: int = 150, seed: int = 3) -> list[list[float]]:
             text = "".join(f"<p>{good(prose(*rng.choice([(25, 120), (25, 120), (3, 24)])))}</p>" for _ in range(rng.randint(3, 8)))
             body = f"<div><h1>{good(prose(2, 9))}</h1>{text}</div>"
             ad = "" if rng.random() < 0.5 else ad
-        links = re.sub(r">([a-z ]+)</a>", r">\1xbadx</a>", menu(rng.randint(3, 9)))
         side = f'<aside><h3>{bad(prose(1, 4))}</h3>{re.sub(r">([a-z ]+)</a>", r">\1xbadx</a>", menu(4))}<p>{bad(prose(3, 40))}</p></aside>'
         talk = f'<section id="comments"><h3>{bad(prose(1, 3))}</h3><p>{bad(prose(3, 60))}</p></section>'
         top = rng.choice([f"<nav>{links}</nav>", f"<header>{bad(prose(1, 8))}{links}</header>", f"<div>{links}</div>"])

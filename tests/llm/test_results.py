@@ -8,6 +8,7 @@ import pathlib
 import random
 import re
 import textwrap
+import time
 
 import numpy as np
 import pytest
@@ -212,6 +213,46 @@ def test_pages(spark):
         assert got[r.page_id] == "\n\n".join(p for p in parts if p)
 
 
+def extracted(spark, *pages):
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    return [r.text for r in html_text.main_text(df).orderBy("page_id").collect()]
+
+
+PROSE = "The old mill stood by the river for as long as anybody could remember, and nobody in the village knew who had built it. It burned in spring."
+
+
+def test_pages_without_hints(spark):
+    """No element or name says where the main text is: words and links of a block and its neighbours do."""
+    menu = "<ul>" + "".join(f'<li><a href="/{k}">Topic {k}</a></li>' for k in range(8)) + "</ul>"
+    body = f"<h1>The mill</h1><p>{PROSE}</p><p>{PROSE} Second.</p><p>{PROSE} Third.</p>"
+    got = extracted(spark, f"<html><body><div>{menu}</div><div>{body}</div><div>{menu}</div></body></html>")
+    assert got == ["\n\n".join(["The mill", PROSE, PROSE + " Second.", PROSE + " Third."])]
+
+
+def test_pages_with_embedded_elements(spark):
+    article = lambda x: f"<article><p>{PROSE}</p>{x}<p>{PROSE} After.</p></article>"
+    odd = ["<svg class=x/>", '<svg viewBox="0 0 1 1"/>', "<svg><path d='M0'/><text>no</text></svg>", "<math/>", "<svg>", "<option>", "<noscript><p>no</p></noscript>", "<br/>", "<hr/>", "<iframe src=x></iframe>"]
+    want = f"{PROSE}\n\n{PROSE} After."
+    assert [(x, t) for x, t in zip(odd, extracted(spark, *map(article, odd))) if t != want] == []
+    assert extracted(spark, f'<article><p>{PROSE} <a href=/x/>and</a> so.</p></article>') == [f"{PROSE} and so."]
+
+
+def test_pages_keep_named_parts_of_an_article(spark):
+    names = ["side", "text-side", "notice-board", "legal", "main-banner", "alert", "disclaimer"]
+    pages = [f'<nav><a href=a>Menu</a></nav><article><h1>Mills</h1><p>{PROSE}</p><div class="{n}"><p>{PROSE} Named.</p></div><p>{PROSE} After.</p></article>' for n in names]
+    want = f"Mills\n\n{PROSE}\n\n{PROSE} Named.\n\n{PROSE} After."
+    assert [(n, t) for n, t in zip(names, extracted(spark, *pages)) if t != want] == []
+    outside = f'<div class="notice"><p>We use your data. {PROSE}</p></div><article><h1>Mills</h1><p>{PROSE}</p></article><section id="comments"><p>{PROSE} I agree.</p></section>'
+    assert extracted(spark, outside) == [f"Mills\n\n{PROSE}"]
+
+
+def test_page_blocks_take_linear_time():
+    for page in ("<div>x" * 100_000, "<svg>x" * 100_000, "<b>x</i>" * 100_000, "<p>x<span>" * 50_000):
+        began = time.perf_counter()
+        html_text.blocks(page)
+        assert time.perf_counter() - began < 10  # 2 s on an idle machine
+
+
 def test_block_tree_on_held_out_pages(spark):
     table = html_text.labelled(pages=80, seed=99)
     names = [*html_text.FEATURES, "label"]
