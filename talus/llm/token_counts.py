@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ FOLDER = "/opt/tokenizers"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 GROUP = ["source", "lang", "tokenizer"]
 CHANGES = ("insert", "delete", "revise")
+SYMBOLS = r"[#*$%&|<>]+"
 
 
 @lru_cache(maxsize=8)
@@ -70,9 +73,13 @@ class TokenTotals:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._path = path
-        self._store = path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._store = self._path(self.folder).getFileSystem(conf)
+        self._context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._store.makeQualified(self._path(self.folder)).toUri(), conf)
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        self._never_onto_another = spark.sparkContext._gateway.new_array(rename, 1)
+        self._never_onto_another[0] = rename.NONE
 
     def _final(self, batch: str) -> str:
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
@@ -85,18 +92,25 @@ class TokenTotals:
     def commit(self, batch: str, sums: DataFrame) -> bool:
         """Add a batch's signed sums once. A batch that is there already changes nothing and gives False.
 
-        The sums are staged and come in by one rename, so a job that dies midway leaves the totals as they were and
-        can run again under the same name.
+        The sums are staged in a folder of their own and come in by one rename that fails where its target exists. So a
+        job that dies midway leaves the totals as they were and can run again under the same name, and of two committers
+        of a name one gets False.
         """
         final = self._final(batch)
         if self.committed(batch):
             return False
-        staged = f"{self.folder}/staged/{batch}"
-        deleted(self.spark, staged)
+        staged = f"{self.folder}/staged/{batch}-{uuid.uuid4().hex}"
         with shuffles_freed(self.spark):
             sums.select(*GROUP, "docs", "tokens").write.parquet(staged)  # adaptive plans join small partitions, large ones stay apart
         self._store.mkdirs(self._path(f"{self.folder}/batches"))
-        return self._store.rename(self._path(staged), self._path(final))
+        try:
+            self._context.rename(self._path(staged), self._path(final), self._never_onto_another)
+        except Py4JJavaError as error:
+            deleted(self.spark, staged)
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                return False
+            raise
+        return True
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, docs, tokens) over all batches; groups that are back to nothing have no row."""
@@ -111,3 +125,43 @@ class TokenTotals:
 def inserts(docs: DataFrame) -> DataFrame:
     """All documents as changes of a first batch."""
     return docs.select(F.lit("insert").alias("change"), "source", "lang", "text", F.lit(None).cast("string").alias("old_text"))
+
+
+def revisions(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """What labels change: toxic documents go, and those of low quality are written anew without SYMBOLS.
+
+    labels: doc_id, quality, toxic; of several rows of a document the worst holds. Documents without a label and null ids
+    stay as they are.
+    """
+    known = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"), F.min("quality").alias("_quality")).where("_toxic = 1 or _quality = 0")
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", "source", "lang", text.alias("text")).join(known, F.col("doc_id").cast("long") == F.col("_id"))
+    gone = F.coalesce(F.col("_toxic") == 1, F.lit(False))
+    return rows.select(
+        F.when(gone, "delete").otherwise("revise").alias("change"), "source", "lang",
+        F.when(~gone, F.regexp_replace("text", SYMBOLS, " ")).alias("text"), F.col("text").alias("old_text"),
+    )
+
+
+def count_all(docs: DataFrame, labels: DataFrame, versions: tuple[str, ...], folder: str) -> DataFrame:
+    """Totals of all documents after the changes of ``revisions``: two batches, each committed again without effect."""
+    totals = TokenTotals(docs.sparkSession, folder)
+    for name, changes in (("documents-1", inserts(docs)), ("labels-1", revisions(docs, labels))):
+        sums = delta(changes, versions)
+        totals.commit(name, sums)
+        totals.commit(name, sums)
+    return totals.totals()
+
+
+#: DuckDB SQL of ``count_all`` with the version words-1.
+ORACLE = r"""
+with counted as (
+  select d.source, d.lang, l.toxic, l.quality,
+         len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) as old,
+         len(regexp_extract_all(regexp_replace(coalesce(d.text, ''), '[#*$%&|<>]+', ' ', 'g'), '[^\x20\x09-\x0D]+')) as new
+  from documents d left join labels l on d.doc_id = l.doc_id
+)
+select source, lang, 'words-1' as tokenizer, cast(count(*) as bigint) as docs,
+       cast(sum(case when quality = 0 then new else old end) as bigint) as tokens
+from counted where toxic is distinct from 1 group by source, lang
+"""

@@ -1,5 +1,6 @@
 """Each operator against brute force, or held-out data, on whole small tables."""
 
+import base64
 import collections
 import hashlib
 import html
@@ -12,10 +13,11 @@ import time
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 
-from talus.llm import chat, decontam, html_text, licenses, mixing, pii, quality, queries, simhash, substrings
+from talus.llm import chat, decontam, html_text, licenses, mixing, pii, quality, queries, simhash, substrings, token_counts
 from talus.llm.trie import close_pairs
 from tests.oracle import same
 
@@ -302,6 +304,43 @@ def test_schedule_spreads_sources_evenly(docs):
             assert abs(sum(slot < part for slot, _ in found) - share * part) <= 8
 
 
+def merged(text, ranks):
+    """Brute force: how many tokens are left of a text once the best pair of each piece is merged again and again."""
+    total = 0
+    for piece in regex.findall(token_counts.PATTERN, text):
+        parts = [bytes([b]) for b in piece.encode()]
+        while True:
+            best = min(((ranks[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks), default=None)
+            if best is None:
+                break
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        total += len(parts)
+    return total
+
+
+def test_token_counts(spark, docs, rows):
+    """The registered query, both versions, against words and merges counted one by one, with deletes and revisions."""
+    with open(f"{token_counts.FOLDER}/byte_bpe_50k.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, f)}
+    labels = {r.doc_id: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    want = collections.defaultdict(lambda: [0, 0])
+    changed = collections.Counter()
+    for r in rows:
+        label, text = labels.get(r["doc_id"]), r["text"] or ""
+        if label and label.toxic == 1:
+            changed["gone"] += 1
+            continue
+        if label and label.quality == 0:
+            changed["new"] += 1
+            text = re.sub(r"[#*$%&|<>]+", " ", text)
+        for version, n in (("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", text))), ("byte_bpe_50k", merged(text, ranks))):
+            entry = want[r["source"], r["lang"], version]
+            entry[0] += 1
+            entry[1] += n
+    got = {(r.source, r.lang, r.tokenizer): [r.docs, r.tokens] for r in queries.op5_token_counts(spark, SF).collect()}
+    assert got == dict(want) and changed["gone"] and changed["new"]
+
+
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
