@@ -12,7 +12,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.llm.common import text_batches, written
@@ -52,53 +54,62 @@ def grams(points: np.ndarray, q: int) -> np.ndarray:
     return out * np.uint64(0xBF58476D1CE4E5B9)
 
 
-class Items:
-    """A block of benchmark items: the sorted hashes of their q-grams, and where each stands."""
+class Grams:
+    """The sorted hashes of the q-grams of items that are all counted with one q, and where each stands."""
 
-    def __init__(self, rows: list[tuple[int, str]], q: int, rate: float):
+    def __init__(self, items: list[tuple[int, np.ndarray]], q: int):
         self.q = q
-        self.rows = [(i, p, self.budget(len(p), q, rate)) for i, p in rows if p]
-        self.points = [codes(p) for _, p, _ in self.rows]
-        hashes, item, place = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k, points in enumerate(self.points):
-            g = grams(points, q)
-            hashes.append(g)
-            item.append(np.full(len(g), k))
-            place.append(np.arange(len(g)))
-        h = np.concatenate(hashes)
+        parts = [(g, np.full(len(g), k, np.int64), np.arange(len(g))) for k, g in ((k, grams(p, q)) for k, p in items)]
+        h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.place = h[order], np.concatenate(item)[order], np.concatenate(place)[order]
+        self.hash, self.item, self.place = h[order], item[order].astype(np.int32), place[order].astype(np.int32)
         self.slots = np.zeros(1 << SLOTS, dtype=bool)
         self.slots[(self.hash >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
-        self.edits = np.array([e for *_, e in self.rows], dtype=np.int64)
-        self.need = np.array([max(1, len(p) - q + 1 - q * e) for _, p, e in self.rows], dtype=np.int64)
-        self.short = [k for k, (_, p, _) in enumerate(self.rows) if len(p) < q]
-
-    @staticmethod
-    def budget(m: int, q: int, rate: float) -> int:
-        """Edits that an item of m characters may have: its share, as far as the bound stays above zero."""
-        return max(0, min(int(m * rate), (m - q) // q))
 
-    def candidates(self, points: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, lowest, highest diagonal) of bands with enough shared q-grams, for each item those with most first."""
-        text, item, place = [], [], []
+    def shared(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of each q-gram that the text shares with an item."""
+        item, diagonal = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for at in range(0, max(0, len(points) - self.q + 1), BLOCK):
             g = grams(points[at : at + BLOCK + self.q - 1], self.q)
             maybe = np.flatnonzero(self.slots[(g >> np.uint64(64 - SLOTS)).astype(np.int64)])
             lo = np.searchsorted(self.hash, g[maybe], "left")
             n = np.searchsorted(self.hash, g[maybe], "right") - lo
             k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            text.append(np.repeat(maybe + at, n))
-            item.append(self.item[k])
-            place.append(self.place[k])
-        if not text or not sum(map(len, text)):
+            item.append(self.item[k].astype(np.int64))
+            diagonal.append(np.repeat(maybe + at, n) - self.place[k])
+        return np.concatenate(item), np.concatenate(diagonal)
+
+
+class Items:
+    """A block of benchmark items. Each is counted with the longest q-grams, of ``q`` at most, that leave its bound above zero."""
+
+    def __init__(self, rows: list[tuple[int, str]], q: int, rate: float):
+        self.rows = [(i, p) for i, p in rows if p]
+        self.points = [codes(p) for _, p in self.rows]
+        size = np.array([len(p) for p in self.points], dtype=np.int64)
+        self.edits = np.array([self.budget(n, rate) for n in size.tolist()], dtype=np.int64)
+        own = np.minimum(q, size // (self.edits + 1))
+        self.need = size - own + 1 - own * self.edits
+        self.short = np.flatnonzero(size < q).tolist()
+        self.grams = [Grams([(k, self.points[k]) for k in np.flatnonzero((own == n) & (size >= q)).tolist()], n) for n in np.unique(own[size >= q]).tolist()]
+
+    @staticmethod
+    def budget(m: int, rate: float) -> int:
+        """Edits that an item of m characters may have."""
+        return int(m * rate + 1e-9)
+
+    def candidates(self, points: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, lowest, highest diagonal) of bands with enough shared q-grams, for each item those with most first."""
+        found = [g.shared(points) for g in self.grams]
+        if not sum(len(k) for k, _ in found):
             return []
-        item = np.concatenate(item)
+        item, diagonal = (np.concatenate(x) for x in zip(*found, strict=True))
         enough = np.bincount(item, minlength=len(self.need)) >= self.need  # no band has more than all its item's
         if not enough.any():
             return []
-        diagonal = np.concatenate(text) - np.concatenate(place)
         item, diagonal = item[enough[item]], diagonal[enough[item]]
+        if not len(item):
+            return []
         width = self.edits[item] + 1
         band = np.floor_divide(diagonal, width)
         # Band b holds diagonals b*width to (b+2)*width - 1, so each shared q-gram counts in two bands.
@@ -118,8 +129,8 @@ class Items:
         for k, low, high in self.candidates(points):
             e = int(self.edits[k])
             own = hits.setdefault(k, [])
-            if any(low <= start <= high for _, start, _ in own):
-                continue  # what this band counted has been aligned, with room on both sides
+            if any(edits == 0 and low <= start <= high for edits, start, _ in own):
+                continue  # nothing in this band is better
             got = exact(self.points[k], points, low, high) or banded(self.points[k], points, low - e, high + e, e)
             if got:
                 own.append(got)
@@ -188,7 +199,7 @@ def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -
 
 
 def item_blocks(benchmark: DataFrame, q: int, rate: float, block_chars: int) -> Iterator[Items]:
-    """The items in blocks of about ``block_chars`` characters, streamed to the driver one block at a time."""
+    """The items in blocks of about ``block_chars`` characters; the driver holds two of them at most."""
     rows: list[tuple[int, str]] = []
     size = 0
     chosen = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null and item_id is not null")
@@ -202,21 +213,35 @@ def item_blocks(benchmark: DataFrame, q: int, rate: float, block_chars: int) ->
         yield Items(rows, q, rate)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, block_chars: int = 1_000_000) -> DataFrame:
+def _blocks_sent(spark: SparkSession, benchmark: DataFrame, q: int, rate: float, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """(block of items, whether another follows). Results over a block that is followed must be written before the next is asked for."""
+    blocks = item_blocks(benchmark, q, rate, block_chars)
+    now = next(blocks, None)
+    while now is not None:
+        following = next(blocks, None)
+        shared = spark.sparkContext.broadcast(now)
+        yield shared, following is not None
+        if following is not None:
+            shared.destroy()
+        now = following
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, start, end, edits): stretches of documents within ``rate`` edits a character of an item.
 
-    start and end are code points of the normalised text (lower case, single spaces). The items are a query set: they
-    are taken in blocks of a bounded size, each sent to the tasks and held against every whole document. Items shorter
-    than q must occur as they are, between spaces. Null or empty texts and items match nothing; repeated rows each
-    match; null doc_ids keep their rows; extra columns are not looked at; empty tables give no rows.
+    start and end are code points of the normalised text (lower case, single spaces). Every stretch within an item's
+    budget is found; of overlapping ones of an item the best is returned. The items are a query set: up to
+    ``block_chars`` characters of them are one scan of the documents; larger sets are taken in blocks of that size, whose
+    hits are written before the next block is sent, so a larger benchmark costs more scans but no more memory. Items
+    shorter than q must occur as they are, between spaces. Null or empty texts and items match nothing; repeated rows
+    each match; null doc_ids keep their rows; extra columns are not looked at; empty tables give no rows.
     """
     spark = docs.sparkSession
     text_batches(spark)
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, start long, `end` long, edits long"
     out = None
-    for items in item_blocks(benchmark, q, rate, block_chars):
-        shared = spark.sparkContext.broadcast(items)
+    for shared, more in _blocks_sent(spark, benchmark, q, rate, block_chars):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -229,11 +254,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "item_id", "start", "end", "edits"])
 
         part = source.mapInArrow(run, schema)
+        if more:
+            part = written(part, "contaminated")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """docs without the documents that hold a benchmark item; rows with a null doc_id stay."""
-    hit = written(contaminated(docs, benchmark, **how).select(F.col("doc_id").alias("hit_id")).where("hit_id is not null").distinct(), "contaminated")
-    return docs.join(hit, docs.doc_id.cast("long") == hit.hit_id, "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item; columns stay.
+
+    Each row is decided by its own text, whatever its doc_id: null, repeated or shared. Otherwise as ``contaminated``.
+    """
+    spark = docs.sparkSession
+    text_batches(spark)
+    schema = docs.select(F.struct("*").alias("row")).schema
+    for shared, more in _blocks_sent(spark, benchmark, q, rate, block_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row = batch.column(0)
+                texts = pa.compute.cast(row.field("text"), pa.string()).to_pylist()
+                stays = [text is None or not shared.value.find(normalised(text)) for text in texts]
+                yield pa.RecordBatch.from_arrays([row.filter(pa.array(stays, pa.bool_()))], names=["row"])
+
+        docs = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).select("row.*")
+        if more:
+            docs = written(docs, "clean")
+    return docs

@@ -119,24 +119,33 @@ def _quartiles(of: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def cutoffs(sketches: DataFrame, rules: list[Rule], reach: int = 3, enough: int = 100) -> DataFrame:
+def merged(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One sketch of several, of parts, days or sources: counts of equal bins are added."""
+    every = first
+    for more in others:
+        every = every.unionByName(more)
+    return every.groupBy("lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
+
+
+def cutoffs(sketches: DataFrame, rules: list[Rule], reach: int = 3, prior: int = 100) -> DataFrame:
     """(lang, source, rule, low, high): bins outside of which a document fails.
 
-    A source with under ``enough`` documents of a language takes that language's merged sketch. No source's own cutoff
-    goes further beyond its language's than the least reach: a source full of junk doesn't set its own standard.
+    A source's quartiles give its own bounds, its language's the common ones. They are averaged, the source's weighing as
+    much as it has documents and the language's as ``prior`` documents: few documents hardly move what holds for the
+    language, many decide, and no number of them switches from one to the other. The result goes no further than
+    the common bound once more as far from the language's quartile: a source full of junk doesn't set its own standard.
     """
     floors = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.least)))[F.col("rule")]
     sided = F.col("rule").isin([r.name for r in rules if r.both_sides])
     spread = reach * F.greatest(F.col("q3") - F.col("q1"), floors)
-    bounds = [F.when(sided, F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high")]
+    bounds = [F.when(sided, F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"), spread.alias("spread")]
     own = _quartiles(sketches, ["lang", "source"]).select("lang", "source", "rule", "total", *bounds)
-    whole = _quartiles(sketches, ["lang"]).select(F.col("lang").alias("l"), F.col("rule").alias("r"), *(b.alias(f"lang_{n}") for b, n in zip(bounds, ("low", "high"), strict=True)))
+    whole = _quartiles(sketches, ["lang"]).select(F.col("lang").alias("l"), F.col("rule").alias("r"), *(b.alias(f"lang_{n}") for b, n in zip(bounds, ("low", "high", "spread"), strict=True)))
     both = own.join(whole, own.lang.eqNullSafe(whole.l) & (own["rule"] == whole.r))
-    few = F.col("total") < enough
+    mean = lambda side: (F.col("total") * F.col(side) + prior * F.col(f"lang_{side}")) / (F.col("total") + prior)
     return both.select(
-        "lang", "source", "rule",
-        F.when(few, F.col("lang_low")).otherwise(F.greatest("low", F.col("lang_low") - reach * floors)).alias("low"),
-        F.when(few, F.col("lang_high")).otherwise(F.least("high", F.col("lang_high") + reach * floors)).alias("high"),
+        "lang", "source", "rule", F.greatest(mean("low"), F.col("lang_low") - F.col("lang_spread")).alias("low"),
+        F.least(mean("high"), F.col("lang_high") + F.col("lang_spread")).alias("high"),
     )
 
 
@@ -158,23 +167,28 @@ def _beyond(rules: list[Rule]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, enough: int = 100) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, prior: int = 100, stored: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, counts, base_failed, kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. Of the rest, the sketches give
-    cutoffs per language and source, which are joined back to the documents; kept is false beyond any of them.
+    cutoffs per language and source, which are joined back to the documents; kept is false beyond any of them. stored: a
+    sketch of earlier documents, which counts with theirs.
     Null text counts as empty and fails; null lang and source are groups of their own; repeated rows are judged alike;
     extra columns are not looked at. An empty table gives an empty one.
     """
     rules = rules or default_rules()
     rows = written(measure(docs), "text-counts").withColumn("base_failed", _base_failed())
-    wide = _wide(cutoffs(sketch(rows.where(~F.col("base_failed")), rules), rules, reach, enough), rules)
+    known = sketch(rows.where(~F.col("base_failed")), rules)
+    wide = _wide(cutoffs(known if stored is None else merged(known, stored), rules, reach, prior), rules)
     out = rows.join(wide, rows.lang.eqNullSafe(wide.l) & rows.source.eqNullSafe(wide.s), "left")
     return out.select("doc_id", *COUNTS, "base_failed", (~(F.col("base_failed") | _beyond(rules))).alias("kept"))
 
 
-def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, enough: int = 100) -> DataFrame:
-    """docs without the documents that ``judge`` would not keep; columns stay. Texts are measured twice, never shuffled."""
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, prior: int = 100) -> DataFrame:
+    """docs without the documents that ``judge`` would not keep; columns stay.
+
+    Texts are measured once: whole rows are written with their counts, and none is shuffled. Edge cases are ``judge``'s.
+    """
     rules = rules or default_rules()
     text_batches(docs.sparkSession)
     schema = T.StructType([T.StructField("row", docs.select(F.struct("*").alias("row")).schema[0].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS)])
@@ -185,8 +199,8 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3,
             got = np.array([text_counts(t) for t in as_bytes(pa.compute.cast(row.field("text"), pa.string()))], dtype=np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([row, *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(COUNTS)))], names=["row", *COUNTS])
 
-    counts = written(measure(docs), "text-counts").where(~_base_failed())
-    wide = written(_wide(cutoffs(sketch(counts, rules), rules, reach, enough), rules), "cutoffs")
-    rows = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).where(~_base_failed())
+    rows = written(docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).where(~_base_failed()), "measured")
+    counts = rows.select(F.col("row.lang").cast("string").alias("lang"), F.col("row.source").cast("string").alias("source"), *COUNTS)
+    wide = written(_wide(cutoffs(sketch(counts, rules), rules, reach, prior), rules), "cutoffs")
     out = rows.join(wide, F.col("row.lang").cast("string").eqNullSafe(wide.l) & F.col("row.source").cast("string").eqNullSafe(wide.s), "left")
     return out.where(~_beyond(rules)).select("row.*")

@@ -78,7 +78,11 @@ def test_decontamination(odd, none, spark):
     hits = decontam.contaminated(odd, items)
     assert sorted((r.doc_id, r.item_id) for r in hits.collect()) == [(1, 1), (1, 1), (7, 4), (8, 1)]
     assert decontam.contaminated(none, items).count() == 0 and decontam.contaminated(odd, items.where("false")).count() == 0
-    assert ids(decontam.clean(odd, items)) == ids(odd.where("doc_id is null or doc_id not in (1, 7, 8)"))
+    gone = {"a b c d e f", "A B c D e F", ODD[8][1]}
+    kept = decontam.clean(odd.withColumns({"hit_id": F.lit(1), "gone": F.lit(1)}), items)
+    assert sorted(map(repr, (r.text for r in kept.collect()))) == sorted(map(repr, (t for _, t, _, _ in ODD if t not in gone)))
+    shared = spark.createDataFrame([(1, "xx a b c d e f xx"), (1, "clean"), (None, "a b c d e f"), (None, "clean too")], "doc_id long, text string")
+    assert sorted(r.text for r in decontam.clean(shared, items).collect()) == ["clean", "clean too"]
 
 
 def test_pages(spark):

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from talus.llm import chat, decontam, html_text, licenses, mixing, pii, quality, queries, simhash, substrings, token_counts
+from talus.llm.common import new_path
 from talus.llm.trie import close_pairs
 from tests.oracle import same
 
@@ -135,6 +136,24 @@ def test_near_duplicates_within_a_template_family(spark):
     assert all(v in (k, k - 300) for k, v in got.items())
 
 
+@pytest.mark.parametrize("copies, most", [(400, 4000), (5000, 4000), (400, 50)])
+def test_near_duplicates_of_one_document(spark, copies, most):
+    """Many copies of one text, three words changed in each: of the pairs at 0.8 or more at least nine of ten are joined, whatever a bucket holds."""
+    rng = random.Random(copies)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    texts = []
+    for _ in range(copies):
+        copy = list(base)
+        for at in rng.sample(range(200), 3):
+            copy[at] = f"w{rng.randrange(4000)}"
+        texts.append(copy)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = dict(simhash.near_duplicates(df, most=most).collect())
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts[:400]]
+    links = [(a, b) for a in range(400) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(links) > 1000 and sum(got[a] == got[b] for a, b in links) >= 0.9 * len(links)
+
+
 def test_near_duplicates_count_each_shingle_once(spark):
     """A line that is repeated doesn't outweigh the text, and texts that share only such a line aren't equal."""
     rng = random.Random(9)
@@ -189,6 +208,55 @@ def test_quality_quantiles_match_sorted_values(docs):
         assert (r.total, r.q1, r.q3) == (len(v), v[math.ceil(len(v) / 4) - 1], v[math.ceil(3 * len(v) / 4) - 1])
 
 
+def test_stored_sketches_merge(spark, docs):
+    """Sketches of parts, written and read again, add up to that of the whole, and a part judged with the others' sketch agrees with the whole."""
+    rules = quality.default_rules()
+    path = new_path(spark, "sketches")
+    kept = quality.measure(docs).where(~quality._base_failed())
+    for k in range(3):
+        quality.sketch(kept.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == k), rules).write.parquet(f"{path}/part={k}")
+    parts = [spark.read.parquet(f"{path}/part={k}") for k in range(3)]
+    whole = quality.sketch(kept, rules)
+    assert sorted(map(tuple, quality.merged(*parts).collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    verdicts = dict(quality.judge(docs).select("doc_id", "kept").collect())
+    mine = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0)
+    again = dict(quality.judge(mine, stored=quality.merged(*parts[1:])).select("doc_id", "kept").collect())
+    assert again == {k: verdicts[k] for k in again} and 20 < len(again) < len(verdicts)
+
+
+def test_kept_against_brute_force(docs, rows):
+    """Every verdict from sorted values: quartiles by language and by source, averaged by count."""
+    counts = {r.doc_id: r for r in quality.judge(docs).collect()}
+    about = {r["doc_id"]: (r["lang"], r["source"]) for r in rows}
+    measures = {
+        "symbols": (lambda c: min(1000, c.n_symbols * 1000 // max(1, c.word_chars)), 10), "word_length": (lambda c: min(10_000, c.word_chars * 100 // max(1, c.n_words)), 60),
+        "dup_lines": (lambda c: min(1000, c.n_dup_lines * 1000 // max(1, c.n_lines)), 200), "repeats": (lambda c: min(1000, c.n_repeat_words * 1000 // max(1, c.n_words)), 150),
+    }
+    bad = {k for k, c in counts.items() if c.base_failed}
+    for name, (measure, least) in measures.items():
+        values = collections.defaultdict(list)
+        for k, c in counts.items():
+            if not c.base_failed:
+                for group in (about[k], about[k][0]):
+                    values[group].append(measure(c))
+
+        def bounds(group):
+            v = sorted(values[group])
+            q1, q3 = v[math.ceil(len(v) / 4) - 1], v[math.ceil(3 * len(v) / 4) - 1]
+            spread = 3 * max(q3 - q1, least)
+            return q1 - spread, q3 + spread, spread, len(v)
+
+        for k, c in counts.items():
+            if c.base_failed:
+                continue
+            (low, high, _, n), (lang_low, lang_high, spread, _) = bounds(about[k]), bounds(about[k][0])
+            top = min((n * high + 100 * lang_high) / (n + 100), lang_high + spread)
+            bottom = max((n * low + 100 * lang_low) / (n + 100), lang_low - spread)
+            if measure(c) > top or name == "word_length" and measure(c) < bottom:
+                bad.add(k)
+    assert {k for k, c in counts.items() if not c.kept} == bad
+
+
 def test_kept_stage_agrees_with_judge(docs):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == {r.doc_id for r in quality.judge(docs).where("kept").collect()}
 
@@ -402,32 +470,75 @@ def edits(a, b):
     return row[-1]
 
 
+def best_place(item, text):
+    """Brute force: the fewest edits between an item and any stretch of a text."""
+    row = np.zeros(len(text) + 1, dtype=np.int64)
+    places = np.arange(len(text) + 1)
+    letters = np.array(list(text))
+    for i, c in enumerate(item, 1):
+        new = np.empty_like(row)
+        new[0] = i
+        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (letters != c))
+        row = np.minimum.accumulate(new - places) + places
+    return int(row.min())
+
+
+def contamination(items, texts, q=10, rate=0.08):
+    """Brute force: {(doc, item): fewest edits} of all items within their budget; short ones stand between spaces."""
+    out = {}
+    for d, text in texts.items():
+        for k, item in items.items():
+            if not item or not text:
+                continue
+            if len(item) < q:
+                if f" {item} " in f" {text} ":
+                    out[d, k] = 0
+            elif (n := best_place(item, text)) <= int(len(item) * rate + 1e-9):
+                out[d, k] = n
+    return out
+
+
+def fewest(hits):
+    out = {}
+    for r in hits.collect():
+        out[r.doc_id, r.item_id] = min(r.edits, out.get((r.doc_id, r.item_id), r.edits))
+    return out
+
+
 def test_decontamination(spark, docs, rows):
+    """The benchmark's items, their heads of 13 to 60 characters among them, against every text under 4,000 characters."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: decontam.normalised(r.text) for r in bench.collect()}
-    got = collections.defaultdict(set)
-    for r in decontam.contaminated(docs, bench, block_chars=2_000).collect():
-        got[r.doc_id].add(r.item_id)
-    for r in rows:
-        text = decontam.normalised(r["text"])
-        assert {k for k, t in items.items() if t in text} <= got[r["doc_id"]]
-
-
-def test_decontamination_of_edited_items(spark):
-    rng = random.Random(8)
+    items |= {1000 + n: decontam.normalised(items[k][:n]) for n, k in zip(range(13, 61), sorted(items))}
+    texts = {r["doc_id"]: decontam.normalised(r["text"] or "") for r in rows if len(r["text"] or "") < 4_000}
+    df = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    found = decontam.contaminated(docs.where("length(text) < 4000"), df, block_chars=3_000)
+    want = contamination(items, texts)
+    assert len(want) > 3 and fewest(found) == want
+    once = decontam.contaminated(docs.where("length(text) < 4000"), df)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, found.collect()))
+    clean = {r.doc_id for r in decontam.clean(docs.where("length(text) < 4000"), df, block_chars=3_000).collect()}
+    assert clean == {r["doc_id"] for r in rows if len(r["text"]) < 4_000} - {d for d, _ in want}
+
+
+@pytest.mark.parametrize("low, high", [(10, 40), (40, 120), (120, 300)])
+def test_decontamination_of_edited_items(spark, low, high):
+    """Items with up to two edits more than their budget, in the midst of other text: exactly those within it are found."""
+    rng = random.Random(high)
     letters = "abcdefghijklmnopqrstuvwxyz  "
-    items = [decontam.normalised("".join(rng.choice(letters) for _ in range(rng.randint(60, 300)))) for _ in range(30)]
-    block = decontam.Items(list(enumerate(items)), 10, 0.08)
-    for k, item in enumerate(items):
-        text, most = list(item), decontam.Items.budget(len(item), 10, 0.08)
-        for _ in range(rng.randint(0, most)):
-            at = rng.randrange(len(text))
-            text[at : at + 1] = rng.choice([[], ["0"], ["0", text[at]]])
-        around = "".join(rng.choice(letters) for _ in range(400))
-        whole = decontam.normalised(around + " " + "".join(text) + " " + around)
-        hits = [h for h in block.find(whole) if h[0] == k]
-        assert len(hits) == 1 and edits(item, whole[hits[0][1] : hits[0][2]]) == hits[0][3] <= most
-        assert not [h for h in block.find(decontam.normalised(around)) if h[0] == k]
+    some = lambda n: decontam.normalised("".join(rng.choice(letters) for _ in range(n)))
+    items = {k: some(rng.randint(low, high)) for k in range(60)}
+    texts = {}
+    for k, item in items.items():
+        for extra in (0, 1, 2):
+            text = list(item)
+            for _ in range(rng.randint(0, decontam.Items.budget(len(item), 0.08)) + extra):
+                at = rng.randrange(len(text))
+                text[at : at + 1] = rng.choice([[], ["0"], ["0", text[at]]])
+            texts[3 * k + extra] = decontam.normalised(some(150) + " " + "".join(text) + " " + some(150))
+    got = fewest(decontam.contaminated(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")))
+    want = contamination(items, texts)
+    assert got == want and 60 < len(want) < 180
 
 
 def test_chat_masks_are_what_the_speaker_says(spark):
