@@ -87,12 +87,12 @@ def schedule(targets: DataFrame, block: int, cells: int = 4096) -> DataFrame:
 
 
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, block: int = 1024, seed: int = 17
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2, block: int = 1024, seed: int = 17, row_id: str | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, pieces, targets) of a mix of all documents.
 
-    rows: row_id, doc_id, source, size. pieces: slot, row_id, epoch, words: the stretch of a document that a slot
-    holds. Each source's documents are laid end to end in hash order of doc_id and ``seed``, one pass after another,
+    rows: row_id, doc_id, source, size. pieces: slot, part, row_id, epoch, first, words: the stretch of a document that a
+    slot holds, from its word ``first`` (from 0), in order of part. Each source's documents are laid end to end in hash order of doc_id and ``seed``, one pass after another,
     and cut into blocks of ``block`` words; the last block ends at the target. Word offsets are counted in two levels,
     within hash buckets and over their sums, so no source is ever in one task. Blocks meet the slots of ``schedule``.
 
@@ -101,7 +101,7 @@ def mix(
     """
     rows = written(
         docs.select(
-            F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
+            (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"), word_count().alias("size"),
             F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("at"), F.xxhash64(F.col("text").cast("string")).alias("tie"),
         ),
@@ -124,13 +124,35 @@ def mix(
     laid = laid.where("begin < quota").withColumn("end", F.least(F.col("begin") + F.col("size"), "quota"))
     rank = F.explode(F.sequence(F.floor(F.col("begin") / block).cast("long"), F.floor((F.col("end") - 1) / block).cast("long")))
     cut = laid.select("row_id", "epoch", F.col("source").alias("s"), "begin", "end", rank.alias("r"))
-    words = F.least(F.col("end"), (F.col("r") + 1) * block) - F.greatest(F.col("begin"), F.col("r") * block)
-    cut = cut.select("row_id", "epoch", "s", "r", words.alias("words"))
+    start = F.greatest(F.col("begin"), F.col("r") * block)
+    words = F.least(F.col("end"), (F.col("r") + 1) * block) - start
+    cut = cut.select("row_id", "epoch", "s", "r", (start - F.col("r") * block).alias("part"), (start - F.col("begin")).alias("first"), words.alias("words"))
     slots = schedule(targets, block)
-    pieces = slots.join(cut, slots.source.eqNullSafe(cut.s) & (slots["rank"] == cut.r)).select("slot", "row_id", "epoch", "words")
+    pieces = slots.join(cut, slots.source.eqNullSafe(cut.s) & (slots["rank"] == cut.r)).select("slot", "part", "row_id", "epoch", "first", "words")
     return rows, pieces, targets
 
 
+def mix_corpus(docs: DataFrame, **how) -> DataFrame:
+    """The mixed corpus in slot order: slot, part, doc_id, source, epoch, words, text.
+
+    Each row is the stretch of one document that a slot holds, its words joined by single spaces; a slot's rows, in order
+    of part, are its block of words. Partitions hold ranges of slots, sorted. Edge cases are those of ``mix``: documents
+    without words have no rows. A document's text meets its pieces, as many as its length and the passes ask for, in one row.
+    """
+    docs = written(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", F.col("text").cast("string").alias("text")), "numbered")
+    rows, pieces, _ = mix(docs, row_id="row_id", **how)
+    of = rows.select("row_id", "doc_id", "source")
+    pieces = pieces.groupBy("row_id").agg(F.collect_list(F.struct("slot", "part", "epoch", "first", "words")).alias("pieces"))
+    texts = docs.select("row_id", F.explode(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("said"))
+    cut = F.transform("pieces", lambda p: F.struct(
+        p["slot"].alias("slot"), p["part"].alias("part"), p["epoch"].alias("epoch"), p["words"].alias("words"),
+        F.array_join(F.slice("said", (p["first"] + 1).cast("int"), p["words"].cast("int")), " ").alias("text")))
+    # Texts meet ids by a shuffle at any size: pieces grow with the documents.
+    out = texts.join(pieces.hint("merge"), "row_id").join(of.hint("merge"), "row_id").select("doc_id", "source", F.explode(cut).alias("x"))
+    out = out.select("x.slot", "x.part", "doc_id", "source", "x.epoch", "x.words", "x.text")
+    return out.repartitionByRange("slot").sortWithinPartitions("slot", "part")
+
+
 def mix_totals(docs: DataFrame, **how) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (words that the mix takes, repeats counted)."""
     rows, pieces, targets = mix(docs, **how)

@@ -17,8 +17,9 @@ import regex
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from talus.llm import chat, decontam, html_text, licenses, mixing, pii, quality, queries, simhash, substrings, token_counts
-from talus.llm.common import new_path
+from talus.llm.common import new_path, table
 from talus.llm.trie import close_pairs
 from tests.oracle import same
 
@@ -358,6 +359,48 @@ def test_mixing(docs, rows):
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_totals(docs.repartition(7)).collect()))
 
 
+def test_mixed_corpus(docs, rows):
+    """Slots in order hold blocks of words; each document's pieces of a pass follow each other and make up its text."""
+    got = mixing.mix_corpus(docs.withColumns({c: F.lit(1) for c in ("row_id", "slot", "words", "said")}), block=256).collect()
+    totals = {r.doc_id: r.taken for r in mixing.mix_totals(docs, block=256).collect()}
+    assert [(r.slot, r.part) for r in got] == sorted((r.slot, r.part) for r in got)
+    said = {r["doc_id"]: re.findall(r"[^\x20\x09-\x0D]+", r["text"]) for r in rows}
+    taken, passes, fill = collections.Counter(), collections.defaultdict(list), collections.Counter()
+    for r in got:
+        assert r.words == len(r.text.split(" ")) and r.part == fill[r.slot]
+        taken[r.doc_id] += r.words
+        fill[r.slot] += r.words
+        passes[r.doc_id, r.epoch].append(r.text)
+    assert taken == collections.Counter({k: v for k, v in totals.items() if v}) and max(fill.values()) == 256
+    for (doc_id, _), texts in passes.items():
+        assert sum(len(t.split(" ")) for t in texts) <= len(said[doc_id]) and all(f" {t} " in f" {' '.join(said[doc_id])} " for t in texts)
+
+
+def test_pipeline(spark, rows):
+    """Every stage on what its predecessor kept, against brute force; the run is the stages one after another."""
+    kept, by = {}, {r["doc_id"]: r for r in rows}
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        path = new_path(spark, f"test-{name}")
+        stage(spark, docs, SF).write.parquet(path)
+        docs = spark.read.parquet(path)
+        kept[name] = docs.collect()
+        assert name == "mix_sources" or docs.columns == list(rows[0])
+    ids = {n: {r.doc_id for r in kept[n]} for n in kept}
+    assert ids["quality_rules"] == {r.doc_id for r in quality.judge(table(spark, SF, "documents")).where("kept").collect()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for k in ids["quality_rules"] if (w := by[k]["text"].lower().split())}
+    near = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert near and ids["near_dedup"] == set(components(near, sets).values())
+    bench = {r.item_id: decontam.normalised(r.text) for r in table(spark, SF, "benchmark").collect()}
+    held = {k for k in ids["near_dedup"] if any(t in decontam.normalised(by[k]["text"]) for t in bench.values())}
+    assert held and ids["decontaminate"] <= ids["near_dedup"] - held and len(ids["decontaminate"]) >= len(ids["near_dedup"] - held) - 2
+    for r in kept["redact_pii"]:
+        assert not base_spans(r.text) and (r.text == by[r.doc_id]["text"]) == (not re.search(r"\[(EMAIL|IP|CARD|PHONE)\]", r.text))
+    assert ids["redact_pii"] == ids["decontaminate"] >= ids["mix_sources"]  # of a source above its target some are not taken
+    whole = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(map(tuple, whole)) == sorted(map(tuple, kept["mix_sources"])) and [r.slot for r in whole] == sorted(r.slot for r in whole)
+
+
 def test_schedule_spreads_sources_evenly(docs):
     _, _, targets = mixing.mix(docs, block=16)
     slots = mixing.schedule(targets, 16).collect()
