@@ -25,7 +25,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix_totals(docs, weights=(3, 1, 2), share=1.5, most=2)
+    return mixing.mix_corpus(docs, weights=(3, 1, 2), share=1.5, most=2)
 
 
 STAGES = [
@@ -35,12 +35,16 @@ STAGES = [
     ("redact_pii", redact_pii),
     ("mix_sources", mix_sources),
 ]
-#: Trained models, SimHash and shuffled blocks are beyond SQL; the stages are tested against brute force.
+#: Trained models, SimHash and shuffled blocks are beyond SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again by the next."""
+    """All stages over documents, each written as Parquet in the shared folder and read again by the next.
+
+    The result is the mixed corpus in slot order: slot, part, doc_id, source, epoch, words, text. Null texts fail the
+    quality rules; empty tables pass through all stages and give no rows; extra columns of documents are kept up to the mix.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = new_path(spark, name)
