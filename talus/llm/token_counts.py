@@ -10,10 +10,10 @@ from functools import lru_cache
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talus.llm.common import deleted, shuffles_freed, text_batches
+from talus.llm.common import deleted, shuffles_freed, text_batches, written
 
 #: Where the vocabulary files lie on every machine; a parameter of whatever counts tokens.
 FOLDER = "/opt/tokenizers"
@@ -127,27 +127,42 @@ def inserts(docs: DataFrame) -> DataFrame:
     return docs.select(F.lit("insert").alias("change"), "source", "lang", "text", F.lit(None).cast("string").alias("old_text"))
 
 
-def revisions(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """What labels change: toxic documents go, and those of low quality are written anew without SYMBOLS.
+def ledger(docs: DataFrame, revised: Column, versions: tuple[str, ...], folder: str = FOLDER) -> DataFrame:
+    """(doc_id, source, lang, tokenizer, tokens, new_tokens): each document's counts, and those of its text as ``revised``.
 
-    labels: doc_id, quality, toxic; of several rows of a document the worst holds. Documents without a label and null ids
-    stay as they are.
+    Texts are counted in their row; what is shuffled later are counts. Only a revision that differs is counted again.
     """
-    known = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("_toxic"), F.min("quality").alias("_quality")).where("_toxic = 1 or _quality = 0")
-    text = F.col("text").cast("string")
-    rows = docs.select("doc_id", "source", "lang", text.alias("text")).join(known, F.col("doc_id").cast("long") == F.col("_id"))
-    gone = F.coalesce(F.col("_toxic") == 1, F.lit(False))
-    return rows.select(
-        F.when(gone, "delete").otherwise("revise").alias("change"), "source", "lang",
-        F.when(~gone, F.regexp_replace("text", SYMBOLS, " ")).alias("text"), F.col("text").alias("old_text"),
-    )
+    text_batches(docs.sparkSession)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    new = F.coalesce(revised, F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string"), F.col("lang").cast("string"), text.alias("text"), F.when(new != text, new).alias("new"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = [counter(v, folder) for v in versions]
+        for batch in batches:
+            old = [[n(t) for n in count] for t in batch.column(3).to_pylist()]
+            new = [o if t is None else [n(t) for n in count] for o, t in zip(old, batch.column(4).to_pylist(), strict=True)]
+            for k, version in enumerate(versions):
+                counts = [pa.array([o[k] for o in side], pa.int64()) for side in (old, new)]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array([version] * batch.num_rows), *counts], names=["doc_id", *GROUP, "tokens", "new_tokens"])
+
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, tokenizer string, tokens long, new_tokens long")
 
 
 def count_all(docs: DataFrame, labels: DataFrame, versions: tuple[str, ...], folder: str) -> DataFrame:
-    """Totals of all documents after the changes of ``revisions``: two batches, each committed again without effect."""
+    """Totals of all documents after what their labels change: toxic ones go, those of low quality are written anew without SYMBOLS.
+
+    labels: doc_id, quality, toxic; of several rows of a document the worst holds. Documents without a label and null ids
+    stay as they are. Two batches, the inserts and the signed changes, are each committed again without effect.
+    """
+    counts = written(ledger(docs, F.regexp_replace(F.col("text").cast("string"), SYMBOLS, " "), versions), "token-ledger")
+    known = labels.groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality")).where("toxic = 1 or quality = 0")
+    gone = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    changed = counts.join(known, counts.doc_id == known["_id"]).select(
+        *GROUP, F.when(gone, -1).otherwise(0).alias("docs"), F.when(gone, -F.col("tokens")).otherwise(F.col("new_tokens") - F.col("tokens")).alias("tokens"))
     totals = TokenTotals(docs.sparkSession, folder)
-    for name, changes in (("documents-1", inserts(docs)), ("labels-1", revisions(docs, labels))):
-        sums = delta(changes, versions)
+    for name, rows in (("documents-1", counts.select(*GROUP, F.lit(1).alias("docs"), "tokens")), ("labels-1", changed)):
+        sums = rows.groupBy(*GROUP).agg(F.sum("docs").cast("long").alias("docs"), F.sum("tokens").alias("tokens"))
         totals.commit(name, sums)
         totals.commit(name, sums)
     return totals.totals()
