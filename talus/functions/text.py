@@ -64,3 +64,13 @@ def united(a: Column, b: Column) -> Column:
     """Both arrays without repeats, in order of first appearance; null counts as empty."""
     empty = F.array().cast("array<string>")
     return F.array_distinct(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)))
+
+
+def united_values(a: Column, b: Column) -> Column:
+    """``united`` for arrays of any type, such as structs, which are equal by value; null only where both are."""
+    return F.coalesce(F.array_distinct(F.concat(a, b)), F.array_distinct(a), F.array_distinct(b))
+
+
+def contains_literal(text: Column, part: str) -> Column:
+    """Whether a text has ``part`` somewhere, whatever its case; nothing in it is a wildcard."""
+    return F.contains(F.lower(text), F.lower(F.lit(part)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talus.functions.text import CJK, blank, dense_length, trim_all
+from talus.operators.turns import meaningful
 
 
 @dataclass(frozen=True)
@@ -42,10 +43,14 @@ def message_texts(messages: DataFrame) -> DataFrame:
 
 
 def signals(messages: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """One row per conversation with the ten signals. messages may lack has_code and has_tool_use."""
+    """One row per conversation with the ten signals. messages may lack has_code and has_tool_use.
+
+    Messages that only call a tool, without text, don't count: a conversation of such alone has no row.
+    """
     for flag in ("has_code", "has_tool_use"):
         if flag not in messages.columns:
             messages = messages.withColumn(flag, F.lit(False))
+    messages = meaningful(messages)
     content = F.coalesce("content", F.lit(""))
     said = F.struct("sort_order", content.alias("content"))
     effective = (F.col("type") == "user") & ~trim_all(content).rlike(lexicon.low_info)
@@ -169,6 +174,11 @@ def evaluation(rows: DataFrame) -> DataFrame:
     )
 
 
+def failures(evaluated: DataFrame) -> DataFrame:
+    """The samples of ``evaluate`` that were decided otherwise than expected, by id."""
+    return evaluated.where(~F.col("decision").eqNullSafe(F.col("expected"))).orderBy("id")
+
+
 def load_samples(spark, path: str) -> DataFrame:
     """Labelled samples of a JSON file, an array or an object with ``samples``: id, label, expected, messages, DIMENSIONS."""
     message = "struct<type:string,content:string,has_tool_use:boolean,has_code:boolean>"

@@ -17,7 +17,8 @@ KEY = ["source_note_id", "target_note_id", "relation_type"]
 
 def note_relations(relations: DataFrame, notes: DataFrame, note_id: int) -> DataFrame:
     """Relations of a note in either direction with both titles, most confident first."""
-    own = relations.where((F.col("source_note_id") == note_id) | (F.col("target_note_id") == note_id))
+    ends = ("source_note_id", "target_note_id")
+    own = relations.where(F.col(ends[0]) == note_id).unionByName(relations.where((F.col(ends[1]) == note_id) & ~F.col(ends[0]).eqNullSafe(F.lit(note_id))))
     for end in ("source", "target"):
         own = own.join(notes.select(F.col("id").alias(f"{end}_note_id"), F.col("title").alias(f"{end}_title")), f"{end}_note_id")
     return own.orderBy(F.desc("confidence"), "id")
@@ -30,6 +31,11 @@ def edges_within(relations: DataFrame, nodes: DataFrame) -> DataFrame:
     return relations
 
 
+def edges_of_types(relations: DataFrame, kinds: list[str]) -> DataFrame:
+    """Relations of the named types; no type named means all."""
+    return relations.where(F.col("relation_type").isin(kinds)) if kinds else relations
+
+
 def degrees(relations: DataFrame) -> DataFrame:
     """(note_id, degree, size): ends at each note, and how large to draw it."""
     ends = relations.select(F.explode(F.array("source_note_id", "target_note_id")).alias("note_id"))

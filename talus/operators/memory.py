@@ -7,17 +7,19 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from talus.functions.text import blank, first_non_blank, non_blank, normalised_tags, trim_all, united
+from talus.functions.text import blank, first_non_blank, non_blank, normalised_tags, round_up_ties, trim_all, united, united_values
 from talus.operators.gate import structured_gaps
 from talus.operators.graph import adjacency
+from talus.operators.vectors import DECAY, LEAST_CONFIDENCE, both_ways
 from talus.schemas import OUTCOMES
-from talus.store import insert_ignore
+from talus.store import insert_ignore, with_new_ids
 
 ARRAYS = ("pitfalls", "reusable_patterns", "decisions", "key_conclusions", "files_touched", "error_signatures")
 MODES, SCOPES = ("auto", "manual"), ("project", "global")
@@ -156,24 +158,29 @@ def knowledge_delta() -> Column:
     return F.coalesce(first_non_blank(F.col("resolution"), F.col("root_cause")), F.try_element_at(F.filter(lists, lambda x: ~blank(x)), F.lit(1)))
 
 
-def decide_writes(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+def decide_writes(candidates: DataFrame, existing: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """candidates (candidate_id and a memory's columns) with decision, reason, target_note_id.
 
     skipped: a summary under 24 characters, ``fixed it.``, or nothing learnt. merged: the first existing memory (by
     ``rank``) of the same project with the same root cause and resolution (two blank ones are the same) that shares an
-    error signature. Else created. The match joins on project and root cause; the rest is tested on what meets.
+    error signature. Else created. With ``near`` (candidate_id, note_id, rank) only those memories are looked at, in its
+    order. Without, both sides are taken apart by error signature and joined on all four values, so a frequent cause
+    meets only what shares a signature with it, and a partial minimum leaves one row a candidate.
     """
     norm = lambda c: F.lower(trim_all(non_blank(F.col(c))))
     summary = F.lower(trim_all(F.coalesce("summary", F.lit(""))))
     skip = (F.length(summary) < 24) | (summary == "fixed it.") | knowledge_delta().isNull()
-    left = candidates.withColumn("_skip", skip).withColumn("_cause", norm("root_cause")).withColumn("_fix", norm("resolution"))
+    left = candidates.withColumn("_skip", skip)
+    sign = F.explode(F.array_distinct("error_signatures"))
+    keys = ["_project", "_cause", "_fix", "_sign"]
+    mine = left.where("not _skip").select("candidate_id", F.col("project_key").alias("_project"), norm("root_cause").alias("_cause"), F.coalesce(norm("resolution"), F.lit("")).alias("_fix"), sign.alias("_sign"))
     right = existing.where(~blank(F.col("project_key"))).select(
-        F.col("project_key").alias("_project"), norm("root_cause").alias("_cause2"), norm("resolution").alias("_fix2"), F.col("error_signatures").alias("_signs"), "note_id", "rank"
-    )
-    met = left.where("not _skip").join(
-        right,
-        (left.project_key == right["_project"]) & (left["_cause"] == right["_cause2"]) & left["_fix"].eqNullSafe(right["_fix2"]) & F.arrays_overlap("error_signatures", "_signs"),
+        F.col("project_key").alias("_project"), norm("root_cause").alias("_cause"), F.coalesce(norm("resolution"), F.lit("")).alias("_fix"), sign.alias("_sign"), "note_id", *([] if near is not None else ["rank"])
     )
+    if near is not None:
+        met = mine.join(near.select("candidate_id", "note_id", "rank"), "candidate_id").join(right, ["note_id", *keys])
+    else:  # of equal memories only the first can be chosen
+        met = mine.join(right.groupBy(*keys).agg(F.min(F.struct("rank", "note_id")).alias("x")).select(*keys, "x.rank", "x.note_id"), keys)
     first = met.groupBy("candidate_id").agg(F.min_by("note_id", F.struct("rank", "note_id")).alias("target_note_id"))
     out = left.join(first, "candidate_id", "left")
     decision = F.when(F.col("_skip"), "skipped").when(F.col("target_note_id").isNotNull(), "merged").otherwise("created")
@@ -182,47 +189,109 @@ def decide_writes(candidates: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def merge_memories(existing: DataFrame, merges: DataFrame) -> DataFrame:
-    """existing memories with those of ``merges`` (target_note_id and a memory's columns, one a target) worked in."""
-    new = merges.select(F.col("target_note_id").alias("note_id"), *(F.col(c).alias(f"_{c}") for c in ("summary", "root_cause", "resolution", "tags", *ARRAYS)))
+    """existing memories with those of ``merges`` (candidate_id, target_note_id and a memory's columns) worked in.
+
+    Several merges into one memory are worked in one after another, in order of candidate_id: summaries are appended, the
+    last cause and resolution hold, lists are united. code_snippets, where both sides have them, are united by value.
+    """
+    values = ["summary", "root_cause", "resolution", "tags", *ARRAYS] + [c for c in ("code_snippets",) if c in existing.columns and c in merges.columns]
+    new = merges.groupBy(F.col("target_note_id").alias("note_id")).agg(F.array_sort(F.collect_list(F.struct("candidate_id", *values))).alias("_m"))
     both = existing.join(new, "note_id", "left")
-    hit = F.col("_summary").isNotNull()
+    hit = F.col("_m").isNotNull()
+
+    def of(name: str) -> Column:
+        return F.transform("_m", lambda m: m[name])
+
+    def last(name: str) -> Column:
+        return F.coalesce(F.try_element_at(F.filter(of(name), lambda x: ~blank(x)), F.lit(-1)), name)
+
+    def lists(name: str) -> Column:
+        return F.flatten(F.filter(of(name), lambda x: x.isNotNull()))
+
     changed = {
-        "summary": F.concat("summary", F.lit("\n\nEvidence update:\n"), F.col("_summary")),
-        "root_cause": F.coalesce(non_blank(F.col("_root_cause")), "root_cause"), "resolution": F.coalesce(non_blank(F.col("_resolution")), "resolution"),
-        "tags": normalised_tags(united(F.col("tags"), F.col("_tags"))), **{a: united(F.col(a), F.col(f"_{a}")) for a in ARRAYS},
+        "summary": F.concat("summary", F.array_join(F.transform(of("summary"), lambda x: F.concat(F.lit("\n\nEvidence update:\n"), x)), "")),
+        "root_cause": last("root_cause"), "resolution": last("resolution"),
+        "tags": normalised_tags(united(F.col("tags"), lists("tags"))), **{a: united(F.col(a), lists(a)) for a in ARRAYS},
     }
+    if "code_snippets" in values:
+        changed["code_snippets"] = united_values(F.col("code_snippets"), lists("code_snippets"))
     return both.select(*(F.when(hit, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in existing.columns))
 
 
-def write_memories(requests: DataFrame, memories: DataFrame, receipts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(responses, memories, receipts) after a batch of requests (candidate_id, rank order by candidate_id).
+def write_memories(requests: DataFrame, memories: DataFrame, receipts: DataFrame, near: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(responses, memories, receipts) after a batch of requests, one response a request, in order of candidate_id.
 
-    A request of mode auto whose (source_agent, source_run_key) has a receipt is answered from it and changes nothing.
-    Invalid memories are skipped before any matching. New ids go on from the largest; several merges into one memory in
-    a batch are applied one after another by calling again: a batch takes the first for each target.
+    A request of mode auto whose (source_agent, source_run_key) has a receipt, or that an earlier request of the batch
+    also has, is answered as that one and changes nothing. Invalid memories are skipped before any matching. Every
+    merge is worked in and answered, several into one memory one after another. New ids go on from the largest.
+    near: the memories each request is compared with (``nearest_memories``); all of its project where not given.
+    Receipts of what was written are pending until ``completed_receipts`` finds it embedded.
     """
     keys = ["source_agent", "source_run_key"]
-    old = receipts.select(*keys, F.col("decision").alias("_d"), F.col("note_id").alias("_n"), F.col("merged_into_note_id").alias("_m"), F.col("reason").alias("_r"))
-    known = requests.where("mode = 'auto'").join(old, keys)
-    replayed = known.select("candidate_id", F.col("_d").alias("decision"), F.col("_n").alias("note_id"), F.col("_m").alias("merged_into_note_id"), F.col("_r").alias("reason"))
-    fresh = requests.join(known.select("candidate_id"), "candidate_id", "left_anti")
-    fresh = structured_gaps(fresh)
-    ranked = memories.withColumn("rank", F.col("note_id"))
-    decided = decide_writes(fresh.where(F.size("missing") == 0).drop("missing"), ranked)
+    answer = ["decision", "note_id", "merged_into_note_id", "reason"]
+    auto = F.col("mode") == "auto"
+    first = F.row_number().over(Window.partitionBy(*keys, F.when(~auto, F.col("candidate_id"))).orderBy("candidate_id"))
+    ranked = requests.withColumn("_nth", first)
+    known = ranked.where(auto).join(receipts.select(*keys), keys, "left_semi").select("candidate_id")
+    fresh = structured_gaps(ranked.where("_nth = 1").drop("_nth").join(known, "candidate_id", "left_anti"))
+    decided = decide_writes(fresh.where(F.size("missing") == 0).drop("missing"), memories.withColumn("rank", F.col("note_id")), near)
     invalid = fresh.where(F.size("missing") > 0).drop("missing").select("*", F.lit("skipped").alias("decision"), F.lit("low-signal").alias("reason"), F.lit(None).cast("long").alias("target_note_id"))
     decided = decided.unionByName(invalid)
-    nth = F.row_number().over(Window.partitionBy("target_note_id").orderBy("candidate_id"))
-    merges = decided.where("decision = 'merged'").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    merges = decided.where("decision = 'merged'")
     last = memories.agg(F.coalesce(F.max("note_id"), F.lit(0))).first()[0]
-    created = decided.where("decision = 'created'").withColumn("note_id", F.lit(last) + F.row_number().over(Window.orderBy("candidate_id")))
+    created = with_new_ids(decided.where("decision = 'created'"), "candidate_id", "note_id", last)
     new = created.withColumn("tags", normalised_tags(F.col("tags")))
     all_memories = merge_memories(memories, merges).unionByName(new.select(*(F.col(c) if c in new.columns else F.lit(None).alias(c) for c in memories.columns)))
-    done = created.select("candidate_id", "decision", "note_id", F.lit(None).cast("long").alias("merged_into_note_id"), "reason", "mode", *keys)
-    done = done.unionByName(merges.select("candidate_id", "decision", F.lit(None).cast("long").alias("note_id"), F.col("target_note_id").alias("merged_into_note_id"), "reason", "mode", *keys))
-    done = done.unionByName(decided.where("decision = 'skipped'").select("candidate_id", "decision", F.lit(None).cast("long").alias("note_id"), F.lit(None).cast("long").alias("merged_into_note_id"), "reason", "mode", *keys))
-    receipt = done.where("mode = 'auto'").select(*keys, "decision", "note_id", "merged_into_note_id", "reason", F.when(F.col("decision") == "skipped", "completed").otherwise("pending").alias("index_status"))
-    answers = done.drop("mode", *keys).unionByName(replayed)
-    return answers, all_memories, receipts.unionByName(receipt)
+    none = F.lit(None).cast("long")
+    parts = [(created, F.col("note_id"), none), (merges, none, F.col("target_note_id")), (decided.where("decision = 'skipped'"), none, none)]
+    done = reduce(DataFrame.unionByName, [d.select("candidate_id", "decision", n.alias("note_id"), m.alias("merged_into_note_id"), "reason", "mode", *keys) for d, n, m in parts])
+    receipt = done.where(auto).select(*keys, *answer, F.when(F.col("decision") == "skipped", "completed").otherwise("pending").alias("index_status"))
+    all_receipts = receipts.unionByName(receipt)
+    repeated = ranked.where(auto).select("candidate_id", *keys).join(done.select("candidate_id"), "candidate_id", "left_anti").join(all_receipts.select(*keys, *answer), keys)
+    return done.select("candidate_id", *answer).unionByName(repeated.select("candidate_id", *answer)), all_memories, all_receipts
+
+
+def completed_receipts(receipts: DataFrame, chunks: DataFrame) -> DataFrame:
+    """receipts with those completed that are pending and whose memory has vectors (chunks: note_id)."""
+    have = chunks.select(F.col("note_id").alias("_have")).distinct()
+    out = receipts.join(have, F.coalesce("note_id", "merged_into_note_id") == F.col("_have"), "left")
+    status = F.when((F.col("index_status") == "pending") & F.col("_have").isNotNull(), "completed").otherwise(F.col("index_status"))
+    return out.select(*(status.alias(c) if c == "index_status" else F.col(c) for c in receipts.columns))
+
+
+def to_index(receipts: DataFrame) -> DataFrame:
+    """(note_id): memories whose receipts are pending, to embed now or, after a run that died, again."""
+    return receipts.where("index_status = 'pending'").select(F.coalesce("note_id", "merged_into_note_id").alias("note_id")).where("note_id is not null").distinct()
+
+
+def request_text() -> Column:
+    """What of a request is embedded to find memories near it: goal, summary, cause, resolution and the lists, a line each."""
+    lists = F.concat(*(F.coalesce(a, F.array().cast("array<string>")) for a in ("reusable_patterns", "decisions", "pitfalls", "error_signatures")))
+    texts = F.concat(F.array("title", "summary", "root_cause", "resolution"), lists)
+    return F.array_join(F.filter(texts, lambda x: x.isNotNull() & (x != "")), "\n")
+
+
+def nearest_memories(hits: DataFrame, relations: DataFrame, notes: DataFrame) -> DataFrame:
+    """(candidate_id, note_id, score, rank): the memories that requests found (hits: candidate_id, note_id, score), and those one relation away.
+
+    The best chunk of each memory counts; a neighbour's score is its hit's times 0.7 and the confidence, 0.5 at least.
+    """
+    ready = notes.where("embedding_status = 'done'").select(F.col("id").alias("note_id"))
+    direct = hits.join(ready, "note_id", "left_semi").groupBy("candidate_id", "note_id").agg(F.max("score").alias("score"))
+    edges = both_ways(relations.where(F.col("confidence") >= LEAST_CONFIDENCE)).select("note_id", "linked_id", "confidence")
+    reached = direct.join(edges, "note_id").select("candidate_id", F.col("linked_id").alias("note_id"), round_up_ties(F.col("score") * DECAY * F.col("confidence"), 3).alias("score"))
+    reached = reached.join(ready, "note_id", "left_semi").join(direct.select("candidate_id", "note_id"), ["candidate_id", "note_id"], "left_anti")
+    every = direct.unionByName(reached.groupBy("candidate_id", "note_id").agg(F.max("score").alias("score")), allowMissingColumns=True)
+    return every.withColumn("rank", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("score"), "note_id")))
+
+
+def edges_of_created(responses: DataFrame, near: DataFrame) -> DataFrame:
+    """(source_note_id, target_note_id, relation_type, confidence) from each memory just made to the three most similar, 0.75 at least."""
+    made = responses.where("decision = 'created'").select("candidate_id", F.col("note_id").alias("source_note_id"))
+    hits = near.where("score >= 0.75").groupBy("candidate_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "note_id", "score"))), lambda x: F.struct(x["note_id"].alias("note_id"), x["score"].alias("score"))).alias("hits"))
+    edges = made.join(hits, "candidate_id").select("source_note_id", F.explode(similar_edges(F.col("source_note_id"), F.col("hits"))).alias("e"))
+    return edges.select("source_note_id", "e.target_note_id", "e.relation_type", "e.confidence")
 
 
 def similar_edges(note_id: Column, hits: Column) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.text import contains_ci, first_non_blank
+from talus.functions.text import contains_ci, contains_literal, first_non_blank
 
 SYNTHETIC = "memory-writeback"
 MOST_ROWS = 100
+#: The agent that a source's conversations were held with.
+AGENTS = {"codex": "codex", "claude-code": "claude", "copilot": "copilot", "cursor": "cursor", "trae": "trae"}
 
 
 def conversation_filter(
@@ -58,6 +60,11 @@ def tag_counts(tags: DataFrame, note_tags: DataFrame) -> DataFrame:
     return tags.select("tag").join(used, "tag", "left").select("tag", F.coalesce("notes", F.lit(0)).cast("long").alias("notes")).orderBy(F.desc("notes"), "tag")
 
 
+def tags_containing(tags: DataFrame, text: str) -> DataFrame:
+    """Tags with ``text`` somewhere in their name, whatever its case; % and _ are themselves."""
+    return tags.where(contains_literal(F.col("tag"), text))
+
+
 def unsummarised(conversations: DataFrame) -> DataFrame:
     return conversations.where(F.col("status").isin("imported", "error", "summarizing"))
 
@@ -99,7 +106,7 @@ def conversation_detail(conversations: DataFrame, messages: DataFrame) -> DataFr
     return conversations.join(nested, "id", "left")
 
 
-def backfill(notes: DataFrame, conversations: DataFrame, agents: dict[str, str], synthetic: str = SYNTHETIC) -> tuple[DataFrame, DataFrame]:
+def backfill(notes: DataFrame, conversations: DataFrame, agents: dict[str, str] = AGENTS, synthetic: str = SYNTHETIC) -> tuple[DataFrame, DataFrame]:
     """(notes, aliases) with what can be derived for notes of imported conversations that lack metadata.
 
     conversations: id, source, derived_project_key. A note that lacks its key, scope, source type or agent gets the derived

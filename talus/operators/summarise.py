@@ -11,9 +11,12 @@ from pyspark.sql.window import Window
 
 from talus.functions.text import normalised_tags
 from talus.operators import gate
-from talus.operators.notes import unsummarised
+from talus.operators.chunks import chunk
+from talus.operators.graph import KEY, add_relations, discovered
+from talus.operators.notes import embedding_text, unsummarised
 from talus.operators.turns import transcripts
-from talus.operators.vectors import top_chunks_of_many
+from talus.operators.vectors import embed, swapped_chunks, top_chunks_of_many
+from talus.store import upsert, with_new_ids
 
 #: A judge gives the five dimensions of a transcript; a summariser a dict with title, summary, conclusions and tags.
 Judge = Callable[[str], dict[str, float]]
@@ -67,7 +70,7 @@ def summarise_all(
     good = texts.join(decisions.where("decision = 'accept'"), "conversation_id", "left_semi")
     done = written(summaries(good, summarise))
     last = notes.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    made = done.where("failed is null").withColumn("id", F.lit(last) + F.row_number().over(Window.orderBy("conversation_id")))
+    made = with_new_ids(done.where("failed is null"), "conversation_id", "id", last)
     new = made.select("id", "conversation_id", "title", "summary", "key_conclusions", F.lit("pending").alias("embedding_status"))
     tags = made.select(F.col("id").alias("note_id"), F.explode(normalised_tags(F.col("tags"))).alias("tag"))
     marked = gate.mark_filtered(conversations, decisions)
@@ -77,6 +80,40 @@ def summarise_all(
     return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in marked.columns)), new, tags
 
 
+def resummarised(notes: DataFrame, note_tags: DataFrame, new: DataFrame, new_tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, note_tags) with new summaries stored: a conversation's note is replaced where it has one, under the id it had.
+
+    new: id, conversation_id and a note's columns; new_tags: note_id, tag. Tags of replaced notes are those of the new summary.
+    """
+    had = notes.select("conversation_id", F.col("id").alias("_old"))
+    ids = new.select(F.col("id").alias("_new"), "conversation_id").join(had, "conversation_id", "left").select("_new", F.coalesce("_old", "_new").alias("_id"))
+    placed = new.join(ids, new.id == ids["_new"]).withColumn("id", F.col("_id")).select(*new.columns)
+    tags = new_tags.join(ids, new_tags.note_id == ids["_new"]).select(F.col("_id").alias("note_id"), "tag")
+    stay = note_tags.join(ids.select(F.col("_id").alias("note_id")), "note_id", "left_anti")
+    return upsert(notes, placed, ["conversation_id"]), stay.select("note_id", "tag").unionByName(tags).distinct()
+
+
+def embed_and_relate(
+    notes: DataFrame, note_tags: DataFrame, chunks: DataFrame, relations: DataFrame, model: Callable[[list[str]], list[list[float]]],
+    propose: Callable[[DataFrame], DataFrame], written: Callable[[DataFrame], DataFrame]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(notes, chunks, relations) once the notes that wait for vectors are embedded and related: what follows a summary.
+
+    propose: (source_note_id, target_note_id) candidates -> a model's proposals for ``graph.discovered``. New relations
+    get ids that go on from the largest. Notes whose text can't be embedded are left as failed, and stop nothing else.
+    """
+    waiting = notes.where(F.col("embedding_status").isin("pending", "failed", "syncing"))
+    texts = embedding_text(waiting, note_tags)
+    fresh = written(embed(chunk(texts), model, failing=True))
+    notes, chunks = swapped_chunks(notes, chunks, fresh)
+    titles = fresh.where("chunk_index = 0 and failed is null").select(F.col("note_id").alias("query_id"), "vector")
+    candidates = written(relation_candidates(notes, titles, chunks))
+    found = add_relations(relations.drop("id"), discovered(propose(candidates), candidates).select("source_note_id", "target_note_id", "relation_type", "confidence"))
+    last = relations.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    added = found.join(relations.select(*KEY), KEY, "left_anti").withColumn("_key", F.concat_ws(":", *KEY))
+    return notes, chunks, relations.unionByName(with_new_ids(added, "_key", "id", last).drop("_key"), allowMissingColumns=True)
+
+
 def reset_errors(conversations: DataFrame) -> DataFrame:
     """Conversations in error wait again."""
     return conversations.withColumn("status", F.when(F.col("status") == "error", "imported").otherwise(F.col("status")))

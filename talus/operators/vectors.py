@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions.text import round_up_ties
+from talus.operators.notes import tags_of_notes
 
 DECAY = 0.7
 LEAST_CONFIDENCE = 0.5
@@ -125,12 +126,67 @@ def search(chunks: DataFrame, notes: DataFrame, relations: DataFrame, query: Seq
     return direct.orderBy("rank").select("note_id", "chunk_text", "score", F.lit(None).cast("string").alias("via_relation"))
 
 
-def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]]) -> DataFrame:
-    """(note_id, chunk_index, chunk_text) with vector and norm; ``model`` runs once a batch on the executors."""
+def with_note_tags(hits: DataFrame, note_tags: DataFrame) -> DataFrame:
+    """hits with the sorted tags of their notes, an empty list for notes without."""
+    return hits.join(tags_of_notes(note_tags), "note_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+def embed(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]], failing: bool = False) -> DataFrame:
+    """(note_id, chunk_index, chunk_text) with vector and norm; ``model`` runs once a batch on the executors.
+
+    failing: whether a batch that the model can't embed is asked for again text by text, and a text that fails gives a
+    row without a vector and with the error in ``failed``; else an error ends the job.
+    """
+
+    def one(text: str) -> tuple[list[float] | None, str | None]:
+        try:
+            return model([text])[0], None
+        except Exception as error:  # noqa: BLE001 - whatever a model raises becomes the chunk's state
+            return None, str(error)[:500]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield batch.assign(vector=model(batch["chunk_text"].tolist()))
+            texts = batch["chunk_text"].tolist()
+            try:
+                yield batch.assign(vector=model(texts), failed=None)
+            except Exception:
+                if not failing:
+                    raise
+                got = [one(t) for t in texts]
+                yield batch.assign(vector=[v for v, _ in got], failed=[f for _, f in got])
+
+    schema = "note_id long, chunk_index int, chunk_text string, vector array<float>, failed string"
+    done = with_norm(chunks.select("note_id", "chunk_index", "chunk_text").mapInPandas(run, schema))
+    return done if failing else done.drop("failed")
+
+
+def syncing(notes: DataFrame, ids: DataFrame) -> DataFrame:
+    """notes with those of ``ids`` (note_id) marked as being written: their vectors may be old or new until it is done."""
+    own = ids.select(F.col("note_id").alias("_sync")).distinct()
+    out = notes.join(own, notes.id == own["_sync"], "left")
+    return out.withColumn("embedding_status", F.when(F.col("_sync").isNotNull(), "syncing").otherwise(F.col("embedding_status"))).drop("_sync")
 
-    done = chunks.select("note_id", "chunk_index", "chunk_text").mapInPandas(run, "note_id long, chunk_index int, chunk_text string, vector array<float>")
-    return with_norm(done)
+
+def swapped_chunks(notes: DataFrame, chunks: DataFrame, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, chunks) after embedding: a note all of whose new chunks (fresh, with ``failed``) have vectors gets them in place of its old ones and is done.
+
+    A note with a chunk that failed keeps its old chunks and is failed. Commit both tables at once.
+    """
+    state = fresh.groupBy(F.col("note_id").alias("_id")).agg(F.bool_and(F.col("failed").isNull()).alias("_good"))
+    good = state.where("_good").select(F.col("_id").alias("note_id"))
+    new = fresh.drop("failed").join(good, "note_id", "left_semi")
+    out = notes.join(state, notes.id == state["_id"], "left")
+    status = F.when(F.col("_good"), "done").when(~F.col("_good"), "failed").otherwise(F.col("embedding_status"))
+    return out.withColumn("embedding_status", status).drop("_id", "_good"), chunks.join(good, "note_id", "left_anti").unionByName(new.select(*chunks.columns))
+
+
+def finalised(notes: DataFrame, chunks: DataFrame, texts: DataFrame) -> DataFrame:
+    """notes that were left as syncing, done where the stored chunks are those of their text (texts: note_id, chunk_index, chunk_text).
+
+    So a run that died between commit and mark is finished without asking the model again; the others still wait.
+    """
+    of = lambda df: df.groupBy("note_id").agg(F.count("*").alias("n"), F.sum(F.xxhash64("chunk_index", "chunk_text").cast("decimal(38,0)")).alias("digest"))
+    whole = of(chunks).join(of(texts), ["note_id", "n", "digest"]).select(F.col("note_id").alias("_whole"))
+    out = notes.join(whole, notes.id == whole["_whole"], "left")
+    ready = (F.col("embedding_status") == "syncing") & F.col("_whole").isNotNull()
+    return out.withColumn("embedding_status", F.when(ready, "done").otherwise(F.col("embedding_status"))).drop("_whole")

@@ -9,6 +9,7 @@ from talus import store
 from talus.functions.text import united
 from talus.operators import memory
 from talus.plans.views import table
+from talus.sources.tool_b import marked_by_followers, told_twice
 from talus.sources.tool_d import monotonic
 
 
@@ -25,17 +26,14 @@ def monotonic_ts(spark, sf_dir):
 
 def dup_suppress(spark, sf_dir):
     """Events whose type isn't that of the user's event before."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return _events(spark, sf_dir).withColumn("before", before).where("before is null or before <> event_type").select("event_id", "user_id", "event_type")
+    rows = _events(spark, sf_dir).withColumn("told", told_twice("user_id", "event_id", "event_type"))
+    return rows.where("not told").select("event_id", "user_id", "event_type")
 
 
 def tool_mark_forward(spark, sf_dir):
     """Each view, and whether a click follows before the user's next view."""
-    rows = _events(spark, sf_dir)
-    nth = F.count_if(F.col("event_type") == "view").over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = rows.withColumn("nth", nth)
-    marked = F.max(F.when(F.col("event_type") == "click", 1).otherwise(0)).over(Window.partitionBy("user_id", "nth")) == 1
-    return rows.withColumn("marked", marked).where("event_type = 'view'").select("event_id", "user_id", "marked")
+    rows = marked_by_followers(_events(spark, sf_dir), "user_id", "event_id", F.col("event_type") == "view", F.col("event_type") == "click", "marked")
+    return rows.where("event_type = 'view'").select("event_id", "user_id", "marked")
 
 
 def array_union_order(spark, sf_dir):

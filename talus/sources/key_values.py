@@ -1,71 +1,66 @@
-"""A Spark data source for tools that keep their state in SQLite key-value files: (file_path, key, value) rows."""
+"""Tools that keep their state in SQLite key-value files: (file_path, key, value) rows of files that Spark reads."""
 
 from __future__ import annotations
 
-import shutil
 import sqlite3
-import tempfile
-import time
 from collections.abc import Iterator
 from contextlib import closing
-from urllib.parse import unquote, urlparse
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
 
 #: Fixed value: the tables that hold keys and values.
 TABLES = ("ItemTable", "cursorDiskKV")
+SCHEMA = "file_path string, key string, value string, unreadable string"
+#: Rows that leave a task at a time.
+BATCH = 1_000
 
 
-class File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def _image(content: bytes) -> bytearray:
+    """A database's bytes, with its header saying that no log lies beside it: what was read is one file at one time."""
+    image = bytearray(content)
+    image[18:20] = b"\x01\x01"
+    return image
 
 
-class KeyValueReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]):
-        self.paths = [p for p in options.get("paths", "").split("\n") if p]
-        self.table, self.prefix = options["table"], options.get("prefix", "")
-        if self.table not in TABLES:
-            raise ValueError(f"unknown table: {self.table}")
+def _rows(content: bytes, table: str, prefix: str) -> Iterator[list[tuple[str, str]]]:
+    with closing(sqlite3.connect(":memory:")) as db:
+        db.deserialize(bytes(_image(content)))
+        last = prefix[:-1] + chr(ord(prefix[-1]) + 1) if prefix else None
+        where = " where key >= ? and key < ?" if last else ""
+        found = db.execute(f"select key, value from {table}{where}", (prefix, last) if last else ())
+        while rows := found.fetchmany(BATCH):
+            yield [(k, v.decode("utf-8", "replace") if isinstance(v, bytes) else v) for k, v in rows]
 
-    def partitions(self) -> list[InputPartition]:
-        return [File(p) for p in self.paths]
 
-    def read(self, partition: File) -> Iterator[tuple]:
-        """Rows of one file, from a private copy, since its tool may be writing; a file that can't be read has none."""
-        for attempt in range(2):
-            try:
-                yield from list(self._rows(partition.path))
-                return
-            except (sqlite3.Error, OSError):
-                if attempt == 0:
-                    time.sleep(0.5)
+def every(spark: SparkSession, root: str, pattern: str, table: str, prefix: str = "") -> DataFrame:
+    """(file_path, key, value, unreadable) of all files below ``root`` by name, or of the one file that ``root`` is.
 
-    def _rows(self, path: str) -> Iterator[tuple]:
-        local = unquote(urlparse(path).path) if path.startswith("file:") else path
-        with tempfile.NamedTemporaryFile(suffix=".db") as copy:
-            shutil.copyfile(local, copy.name)
-            with closing(sqlite3.connect(copy.name)) as db:
-                last = self.prefix[:-1] + chr(ord(self.prefix[-1]) + 1) if self.prefix else None
-                where = " where key >= ? and key < ?" if last else ""
-                for key, value in db.execute(f"select key, value from {self.table}{where}", (self.prefix, last) if last else ()):
-                    yield path, key, value.decode("utf-8", "replace") if isinstance(value, bytes) else value
+    Spark lists and reads the files, wherever they lie; each is opened in its task, in memory, and only keys with the
+    prefix leave it, some at a time. A file that is no database gives one row that says so in ``unreadable``.
+    """
+    if table not in TABLES:
+        raise ValueError(f"unknown table: {table}")
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    for rows in _rows(content, table, prefix):
+                        yield pd.DataFrame({"file_path": path, "key": [k for k, _ in rows], "value": [v for _, v in rows], "unreadable": None})
+                except sqlite3.Error as error:
+                    yield pd.DataFrame({"file_path": [path], "key": [None], "value": [None], "unreadable": [str(error)]})
 
-class KeyValueSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "sqlite_kv"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    return files.select("path", "content").mapInPandas(run, SCHEMA)
 
-    def schema(self) -> str:
-        return "file_path string, key string, value string"
 
-    def reader(self, schema) -> DataSourceReader:
-        return KeyValueReader(dict(self.options))
+def read(spark: SparkSession, root: str, pattern: str, table: str, prefix: str = "") -> DataFrame:
+    """(file_path, key, value) of all readable files; ``unreadable`` names the others."""
+    return every(spark, root, pattern, table, prefix).where(F.col("unreadable").isNull()).drop("unreadable")
 
 
-def read(spark: SparkSession, paths: list[str], table: str, prefix: str = "") -> DataFrame:
-    """One partition a file; only keys with the prefix leave it."""
-    spark.dataSource.register(KeyValueSource)
-    return spark.read.format("sqlite_kv").option("paths", "\n".join(paths)).option("table", table).option("prefix", prefix).load()
+def unreadable(spark: SparkSession, root: str, pattern: str, table: str) -> DataFrame:
+    """(file_path, unreadable): files that are no database of this kind, and why, to report after an import."""
+    return every(spark, root, pattern, table, "\x00").where(F.col("unreadable").isNotNull()).select("file_path", "unreadable")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,6 +32,19 @@ def titles(spark: SparkSession, index_file: str) -> DataFrame:
     return rows.groupBy(F.col("x.id").alias("id")).agg(F.max_by("x.thread_name", "line_no").alias("slug"))
 
 
+def told_twice(group: str, order: str, value: str) -> Column:
+    """Whether a row's value is that of the row before it in its group."""
+    return F.coalesce(F.lag(value).over(Window.partitionBy(group).orderBy(order)) == F.col(value), F.lit(False))
+
+
+def marked_by_followers(rows: DataFrame, group: str, order: str, head: Column, mark: Column, name: str) -> DataFrame:
+    """rows with ``name``: whether a head has a mark between itself and the group's next head; false for what is no head."""
+    nth = F.count_if(head).over(Window.partitionBy(group).orderBy(order))
+    rows = rows.withColumn("_head", head).withColumn("_mark", mark).withColumn("_nth", nth)
+    met = F.max(F.when(F.col("_mark"), 1).otherwise(0)).over(Window.partitionBy(group, "_nth")) == 1
+    return rows.withColumn(name, met & F.col("_head")).drop("_head", "_mark", "_nth")
+
+
 def parse(spark: SparkSession, metas: DataFrame, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(conversations, messages). The session's own id is the conversation's; that of the file name stands in for it."""
     rows = lines(whole_texts(spark, metas.select(*META)))
@@ -54,14 +67,10 @@ def parse(spark: SparkSession, metas: DataFrame, index: DataFrame | None = None)
     about = about.groupBy("file_path").agg(last_seen("own_id"), last_seen("cwd"), last_seen("git_branch"))
     # A response that repeats the last assistant text before it is the same message told twice.
     replies = rows.where(F.col("kind").isin("agent", "response"))
-    before = F.lag("content").over(Window.partitionBy("file_path").orderBy("line_no"))
-    replies = replies.withColumn("before", before).where((F.col("kind") == "agent") | F.col("before").isNull() | (F.col("before") != F.col("content"))).drop("before")
+    replies = replies.withColumn("told", told_twice("file_path", "line_no", "content")).where((F.col("kind") == "agent") | ~F.col("told")).drop("told")
     events = replies.unionByName(rows.where(F.col("kind").isin("user", "call")))
     # Calls mark the assistant message before them.
-    nth = F.count_if(F.col("kind").isin("agent", "response")).over(Window.partitionBy("file_path").orderBy("line_no"))
-    events = events.withColumn("nth", nth)
-    called = F.max(F.when(F.col("kind") == "call", 1).otherwise(0)).over(Window.partitionBy("file_path", "nth")) == 1
-    said = events.withColumn("has_tool_use", called & F.col("kind").isin("agent", "response")).where("kind <> 'call'")
+    said = marked_by_followers(events, "file_path", "line_no", F.col("kind").isin("agent", "response"), F.col("kind") == "call", "has_tool_use").where("kind <> 'call'")
     said = said.join(about.select("file_path", "own_id"), "file_path", "left")
     id_ = F.coalesce("own_id", "id")
     role = F.when(F.col("kind") == "user", "user").otherwise("assistant")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talus.functions.text import file_uri_path, last_segment, trim_all
 from talus.sources import key_values
-from talus.sources.common import FENCE, META, files, iso, iso_millis, numbered, with_bounds
+from talus.sources.common import FENCE, META, iso, iso_millis, numbered, with_bounds
 
 #: Fixed values.
 SOURCE, STATE_FILE = "cursor", "state.vscdb"
@@ -19,7 +19,7 @@ COMPOSERS = "allComposers array<struct<composerId:string,createdAt:bigint,name:s
 
 
 def _bubbles(spark: SparkSession, global_file: str) -> DataFrame:
-    rows = key_values.read(spark, [global_file], "cursorDiskKV", "bubbleId:")
+    rows = key_values.read(spark, global_file, "*", "cursorDiskKV", "bubbleId:")
     return rows.select(F.split("key", ":")[1].alias("id"), "key", "value", F.xxhash64("key", "value").alias("mark"))
 
 
@@ -28,11 +28,9 @@ def scan(spark: SparkSession, workspaces: str, global_file: str) -> DataFrame:
 
     All bubbles of an orphan are looked at. The change mark is a hash of the session's own bubbles, not of the file.
     """
-    found = files(spark, workspaces, STATE_FILE)
-    paths = [r.file_path for r in found.select("file_path").toLocalIterator()]
     folders = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "workspace.json").text(workspaces, wholetext=True)
     folders = folders.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/workspace\.json$", 1).alias("hash"), F.get_json_object("value", "$.folder").alias("uri"))
-    heads = key_values.read(spark, paths, "ItemTable", "composer.composerData").where("key = 'composer.composerData'")
+    heads = key_values.read(spark, workspaces, STATE_FILE, "ItemTable", "composer.composerData").where("key = 'composer.composerData'")
     heads = heads.select(F.regexp_extract("file_path", r"([^/]+)/state\.vscdb$", 1).alias("hash"), F.explode(F.from_json("value", COMPOSERS)["allComposers"]).alias("x"))
     bubbles = _bubbles(spark, global_file)
     marks = bubbles.groupBy("id").agg(F.sum(F.length("value")).alias("file_size"), F.format_string("%016x", F.bit_xor("mark")).alias("mark"))

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from talus.functions.text import file_uri_path, last_segment, trim_all
 from talus.sources import key_values
-from talus.sources.common import FENCE, META, files, iso_millis, with_bounds
+from talus.sources.common import FENCE, META, iso_millis, with_bounds
 
 #: Fixed values.
 SOURCE, STATE_FILE, KEY = "trae", "state.vscdb", "memento/icube-ai-agent-storage"
@@ -20,8 +20,7 @@ STORAGE = (
 
 
 def _sessions(spark: SparkSession, workspaces: str) -> DataFrame:
-    paths = [r.file_path for r in files(spark, workspaces, STATE_FILE).select("file_path").toLocalIterator()]
-    rows = key_values.read(spark, paths, "ItemTable", KEY).where(F.col("key") == KEY)
+    rows = key_values.read(spark, workspaces, STATE_FILE, "ItemTable", KEY).where(F.col("key") == KEY)
     rows = rows.select("file_path", F.explode(F.from_json("value", STORAGE)["list"]).alias("s"))
     return rows.where(F.size("s.messages") > 0)
 

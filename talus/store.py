@@ -16,6 +16,18 @@ def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
+def with_new_ids(rows: DataFrame, key: str, name: str, last: int, buckets: int = 1024) -> DataFrame:
+    """rows with ``name``: last + 1, last + 2, ... without gaps, in an order that only the distinct ``key`` decides.
+
+    Ids are counted in two levels, within hash buckets of the key and over the buckets' sizes, so no task sees all rows.
+    """
+    rows = rows.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
+    return rows.withColumn("_within", within).join(sizes, "_bucket").withColumn(name, F.lit(last) + F.col("_before") + F.col("_within")).drop("_bucket", "_within", "_before")
+
+
 def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """target with ``rows`` in place of those with the same keys; of several new rows of a key the last wins."""
     new = last_of(rows, keys, order).drop(order) if order else rows.dropDuplicates(keys)

@@ -133,8 +133,12 @@ def test_new_files_as_a_stream(spark, places, tmp_path):
     assert sum(n for _, n in got) == 2
 
 
-def test_unreadable_key_value_file_has_no_rows(spark, tmp_path):
+def test_unreadable_key_value_files_are_named(spark, places, tmp_path):
     from talus.sources import key_values
 
-    (tmp_path / "x.vscdb").write_text("not a database")
-    assert key_values.read(spark, [str(tmp_path / "x.vscdb"), str(tmp_path / "missing")], "ItemTable").count() == 0
+    (tmp_path / "d" / "w1" / "sub").mkdir()
+    (tmp_path / "d" / "w1" / "sub" / "state.vscdb").write_text("not a database")
+    root = places[tool_d.SOURCE]["workspaces"]
+    assert key_values.read(spark, root, tool_d.STATE_FILE, "ItemTable").count() == 1
+    assert [r.file_path.rsplit("/", 2)[1] for r in key_values.unreadable(spark, root, tool_d.STATE_FILE, "ItemTable").collect()] == ["sub"]
+    assert tool_d.scan(spark, root).count() == 1
