@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import conversations, search, writes
+from talus.plans import conversations, imports, search, writes
 
-PLANS = (conversations, search, writes)
+PLANS = (conversations, search, writes, imports)
 
 
 def queries():

@@ -18,6 +18,14 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tool_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """messages with code and tool use read off their length; every fourth only calls a tool and says nothing."""
+    silent = F.col("sort_order") % 4 == 3
+    rows = messages(spark, sf_dir).withColumn("has_code", F.length("content") % 5 == 0)
+    rows = rows.withColumn("has_tool_use", silent | ((F.col("type") == "assistant") & (F.length("content") % 7 == 0)))
+    return rows.withColumn("content", F.when(silent, "").otherwise(F.col("content")))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two chunks a note."""
     rows = table(spark, sf_dir, "embeddings").select(
