@@ -39,7 +39,7 @@ def token_totals_of_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.dedup_in_batches(table(spark, sf_dir, "documents"), parts=(0.25,), window=20)
+    return substrings.dedup_in_batches(table(spark, sf_dir, "documents"), parts=(1 / 3, 2 / 3), window=20)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,18 @@
 
 Which windows of ``window`` words repeat is found by a sample of shorter windows: of the ``gram``-word windows inside a
 window, the one with the smallest hash is its anchor. Equal windows have equal anchors, so a window can only repeat
-where its anchor does. The index keeps anchors, about two of every ``window - gram + 2``, in immutable runs sorted by
-hash: one run a batch of documents, compacted when there are many. A new batch is merge-joined with the runs; windows
-whose anchor occurs elsewhere are then verified by a second, independent hash of all their words.
+where its anchor does. A batch's anchors, about two of every ``window - gram + 2``, are merge-joined with the index's
+immutable runs, sorted by anchor; only windows whose anchor occurs elsewhere go on, and are verified by a second,
+independent hash of all their words, which the runs keep beside the anchor. Runs are compacted when there are many.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from talus.llm.common import as_bytes, deleted, new_path, shuffles_freed, text_b
 GRAM_STEP, WINDOW_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Null doc_ids stand behind all others.
 LAST = (1 << 63) - 1
+#: Into how many a text's copies are dealt.
+SALTS = 16
 
 
 class WordHashes(dict):
@@ -83,117 +87,177 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
+@contextmanager
+def _by_first_key(spark: SparkSession) -> Iterator[None]:
+    """Joins on (h, w) take both sides as they lie, dealt by h."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class WindowIndex:
-    """Runs of anchors and of whole-text digests of all batches so far, in the shared folder."""
-
-    def __init__(self, spark: SparkSession, window: int = 20, gram: int = 8, most_runs: int = 4, buckets: int | None = None):
-        self.spark, self.window, self.gram, self.most_runs = spark, window, gram, most_runs
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.runs: list[str] = []
-        self.paths: dict[str, str] = {}
-        self.digests: list[DataFrame] = []
-        self.texts: list[DataFrame] = []
-
-    def _run(self, anchors: DataFrame) -> str:
-        """Write a sorted immutable run, bucketed by hash so that later merge joins don't move it."""
-        name = f"talus_run_{uuid.uuid4().hex}"
-        ready = anchors.repartition(self.buckets, "h").sortWithinPartitions("h")
-        self.paths[name] = new_path(self.spark, "run")
+    """Runs of window fingerprints of all batches so far, in a shared folder that later sessions open again.
+
+    A run is an immutable table of distinct (h, w): the hash of a window's anchor and a second, independent hash of all
+    its words, bucketed and sorted by h, so a batch is merge-joined with it where it lies. Texts of earlier batches are
+    never opened again. Which runs count is said by the newest manifest, written after them by a rename-free create: a
+    job that dies midway leaves the index as it was. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 20, gram: int = 8, most_runs: int = 3, buckets: int | None = None):
+        self.spark, self.most_runs = spark, most_runs
+        self.folder = (folder or new_path(spark, "window-index")).rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._store = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found = self._newest()
+        self.window, self.gram = (found or {}).get("window", window), (found or {}).get("gram", gram)
+        self.buckets = (found or {}).get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[str] = (found or {}).get("runs", [])
+        self.last: int | None = (found or {}).get("last")
+        self._number: int = (found or {}).get("number", 0)
+
+    def _newest(self) -> dict | None:
+        where = self._path(f"{self.folder}/manifests")
+        if not self._store.exists(where):
+            return None
+        names = sorted(f.getPath().getName() for f in self._store.listStatus(where) if f.getLen() > 0)
+        if not names:
+            return None
+        return json.loads(self.spark.read.text(f"{self.folder}/manifests/{names[-1]}", wholetext=True).first().value)
+
+    def _commit(self) -> None:
+        self._number += 1
+        state = {"window": self.window, "gram": self.gram, "buckets": self.buckets, "runs": self.runs, "last": self.last, "number": self._number}
+        out = self._store.create(self._path(f"{self.folder}/manifests/{self._number:012d}"), False)
+        try:
+            out.write(bytearray(json.dumps(state).encode()))
+        finally:
+            out.close()
+
+    def _run(self, name: str) -> DataFrame:
+        """A run as a bucketed table; a session that sees it for the first time is told how it lies."""
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(f"create table {name} (h bigint, w bigint) using parquet clustered by (h) sorted by (h) into {self.buckets} buckets location '{self.folder}/{name}'")
+        return self.spark.table(name)
+
+    def _bucketed(self, rows: DataFrame, kind: str) -> str:
+        """Write rows, dealt by h already, as a table bucketed and sorted by h."""
+        name = f"talus_{kind}_{uuid.uuid4().hex}"
         with shuffles_freed(self.spark):
-            ready.write.bucketBy(self.buckets, "h").sortBy("h").option("path", self.paths[name]).saveAsTable(name)
+            rows.sortWithinPartitions("h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
-    def _anchors(self, source: DataFrame) -> DataFrame:
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"drop table if exists {name}")
+        deleted(self.spark, f"{self.folder}/{name}")
+
+    def _scan(self, source: DataFrame) -> DataFrame:
+        """Of each text: words, digest, anchors, and the windows below each anchor."""
         window, gram = self.window, self.gram
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
+            none = np.zeros(0, np.int64)
             for batch in batches:
-                hs = []
+                n_words, shas, hs, heads, sizes, ws = [], [], [], [], [], []
                 for text in as_bytes(batch.column(1)):
                     words = (text or b"").split()
-                    if len(words) >= window:
-                        _, grams, at = anchors(words, cache, window, gram)
-                        h, n = np.unique(grams[at[np.concatenate([[True], at[1:] != at[:-1]])]], return_counts=True)
-                        hs.append(np.repeat(h, np.minimum(n, 2)).view(np.int64))  # two rows say: repeated in the document
-                    else:
-                        hs.append(np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([batch.column(0), _longs(hs)], names=["doc_id", "hs"])
+                    n_words.append(len(words))
+                    shas.append(_sha(words))
+                    if len(words) < window:
+                        hs.append(none), heads.append(none), sizes.append(none), ws.append(none)
+                        continue
+                    whole, grams, at = anchors(words, cache, window, gram)
+                    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                    own = grams[at[new]]
+                    h, n = np.unique(own, return_counts=True)
+                    hs.append(np.repeat(h, np.minimum(n, 2)).view(np.int64))  # two rows say: repeated in the document
+                    heads.append(own.view(np.int64))
+                    sizes.append(np.diff(np.append(new, len(at))))
+                    ws.append(rolled(whole, window, WINDOW_STEP).view(np.int64))
+                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                below = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ws), pa.int64()))
+                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(heads), pa.int64()), below], names=["h", "ws"])
+                upto = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(n_words, pa.int64()), pa.array(shas), _longs(hs), pa.ListArray.from_arrays(pa.array(upto), pairs)],
+                    names=["doc_id", "n_words", "sha", "hs", "windows"])
 
-        return source.mapInArrow(run, "doc_id long, hs array<long>")
+        return source.mapInArrow(run, "doc_id long, n_words long, sha string, hs array<long>, windows array<struct<h:long,ws:array<long>>>")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Index a batch and return, for each of its documents, doc_id, n_words, n_removed, kept_sha256.
 
         A word goes if a window over it starts earlier: in a smaller doc_id of this or an earlier batch, or before in
-        the same document. So batches come in the order of doc_id. Rows that share a doc_id count as one document;
-        null doc_ids stand last; null and empty texts have no words; texts under a window stay whole; extra columns
-        are not looked at.
+        the same document. So batches come in the order of doc_id; one that reaches back is refused. Rows that share a
+        doc_id count as one document; null doc_ids stand last; null and empty texts have no words; texts under a window
+        stay whole; extra columns are not looked at; a batch without rows changes nothing.
         """
         spark = self.spark
         text_batches(spark)
         source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-        scanned = self._anchors(source)
-        run = self._run(scanned.select(F.explode("hs").alias("h"), "doc_id"))
-        own = written(self._digests(source), "digests")
-        history = list(self.runs)
-        self.runs.append(run)
-        self.digests.append(own)
-        self.texts.append(source)
-        result = written(self._repeats(run, history, own), "repeats")
         if len(self.runs) >= self.most_runs:
             self.compact()
+        path = new_path(spark, "scanned")
+        with shuffles_freed(spark):
+            self._scan(source).write.parquet(path)
+        scanned = spark.read.parquet(path)
+        low, high = scanned.agg(F.min("doc_id"), F.max("doc_id")).first()
+        if low is not None and self.last is not None and low <= self.last:
+            raise ValueError(f"doc_id {low} isn't behind {self.last}, the last one indexed")
+        near = self._bucketed(scanned.select(F.explode("hs").alias("h"), "doc_id").repartition(self.buckets, "h"), "anchors")
+        result = written(self._repeats(near, scanned.select("doc_id", "n_words", "sha"), source), "repeats")
+        self._drop(near)
+        if low is not None:
+            dealt = scanned.select(F.explode("windows").alias("x")).select("x.h", "x.ws").repartition(self.buckets, "h")
+            self.runs = [*self.runs, self._bucketed(dealt.select("h", F.explode("ws").alias("w")).distinct(), "run")]
+            self.last = high
+            self._commit()
+        deleted(spark, path)
         return result
 
-    def _digests(self, source: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                words = [(t or b"").split() for t in as_bytes(batch.column(1))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([_sha(w) for w in words])],
-                    names=["doc_id", "n_words", "sha"],
-                )
-
-        return source.mapInArrow(run, "doc_id long, n_words long, sha string")
-
     def compact(self) -> None:
-        """Merge all runs into one sorted run and drop the old ones."""
+        """Merge all runs into one; the old ones go once a manifest names the new one."""
         old = self.runs
-        merged = self.spark.table(old[0])
+        merged = self._run(old[0])
         for name in old[1:]:
-            merged = merged.unionByName(self.spark.table(name))
-        self.runs = [self._run(merged)]
+            merged = merged.unionByName(self._run(name))
+        self.runs = [self._bucketed(merged.repartition(self.buckets, "h").distinct(), "run")]
+        self._commit()
         for name in old:
-            self.spark.sql(f"drop table {name}")
-            deleted(self.spark, self.paths.pop(name))
+            self._drop(name)
 
-    def _repeats(self, run: str, history: list[str], own: DataFrame) -> DataFrame:
+    def _repeats(self, near: str, own: DataFrame, source: DataFrame) -> DataFrame:
         spark, least = self.spark, self.window
-        batch = spark.table(run)
+        batch = spark.table(near)
         hits = batch.groupBy("h").count().where("count > 1").select("h")
-        for name in history:
-            hits = hits.unionByName(batch.select("h").distinct().join(spark.table(name).select("h"), "h", "left_semi"))
-        hits = hits.distinct()
-        found = batch.join(hits, "h", "left_semi").select("doc_id", "h")
-        for name in history:
-            found = found.unionByName(spark.table(name).join(hits, "h", "left_semi").select("doc_id", "h"))
-        # Of documents with the same words the first stands for all; the others are repeats as a whole.
-        every = self.digests[0]
-        for more in self.digests[1:]:
-            every = every.unionByName(more)
-        firsts = every.groupBy("sha").agg(F.min("doc_id").alias("first"))
-        kept = firsts.select(F.col("first").alias("doc_id"))
-        lists = written(found.groupBy("doc_id").agg(F.collect_list("h").alias("hits")).join(kept.distinct(), "doc_id", "left_semi"), "hits")
-        texts = self.texts[0]
-        for more in self.texts[1:]:
-            texts = texts.unionByName(more)
-        windows = texts.join(lists, "doc_id").mapInArrow(_windows(self.window, self.gram), "h long, w long, doc_id long, start int")
+        for name in self.runs:
+            hits = hits.unionByName(batch.select("h").distinct().join(self._run(name).select("h"), "h", "left_semi"))
+        found = batch.join(hits.distinct(), "h", "left_semi").select("doc_id", "h")
+        # Of documents of the batch with the same words the first stands for all. Salted: one text may have very many copies.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        firsts = own.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first", salts)
+        own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(firsts, ["sha", "salt"], "left")
+        own = written(own.select("doc_id", "n_words", "sha", F.coalesce("first", "doc_id").alias("first")), "copies")
+        kept = own.where("doc_id = first").select("doc_id").distinct()
+        lists = written(found.groupBy("doc_id").agg(F.collect_list("h").alias("hits")).join(kept, "doc_id", "left_semi"), "hits")
+        windows = source.join(lists, "doc_id").mapInArrow(_windows(self.window, self.gram), "h long, w long, doc_id long, start int")
         starts = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "start")).alias("x"))
-        # Written before texts are moved again, so the shuffled windows are gone by then.
-        starts = written(starts.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list("x.start").alias("starts")), "starts")
-        cut = self.texts[-1].join(lists, "doc_id").join(starts, "doc_id", "left")
+        with _by_first_key(spark):
+            if self.runs:  # what history has isn't first here
+                starts = starts.repartition(self.buckets, "h")
+                for name in self.runs:
+                    starts = starts.join(self._run(name), ["h", "w"], "left_anti")
+            # Written before texts are moved again, so the shuffled windows are gone by then.
+            starts = written(starts.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list("x.start").alias("starts")), "starts")
+        cut = source.join(lists, "doc_id").join(starts, "doc_id", "left")
         cut = cut.mapInArrow(_cut(self.window, self.gram), "id long, sha_in string, n_removed long, kept_sha256 string").distinct()
-        out = own.join(firsts, "sha").join(cut, (own.doc_id == cut.id) & (own.sha == cut.sha_in), "left")
+        out = own.join(cut, (own.doc_id == cut.id) & (own.sha == cut.sha_in), "left")
         copy = (F.col("first") < F.col("doc_id")) & (F.col("n_words") >= least)
         return out.select(
             F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "n_words",
@@ -258,9 +322,12 @@ def _cut(window: int, gram: int) -> Callable:
     return run
 
 
-def dedup_in_batches(docs: DataFrame, parts: tuple[float, ...] = (0.25,), window: int = 20, gram: int = 8) -> DataFrame:
-    """All documents through a fresh index, in ranges of doc_id that end at these parts of all ids, then compacted."""
-    index = WindowIndex(docs.sparkSession, window, gram, most_runs=len(parts) + 1)
+def dedup_in_batches(docs: DataFrame, parts: tuple[float, ...] = (1 / 3, 2 / 3), window: int = 20, gram: int = 8, most_runs: int = 2) -> DataFrame:
+    """All documents through a fresh index, in ranges of doc_id that end at these parts of all ids.
+
+    Where there are ``most_runs`` runs they are compacted before a batch: the third meets one run of the first two.
+    """
+    index = WindowIndex(docs.sparkSession, window=window, gram=gram, most_runs=most_runs)
     bounds = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), list(parts))).first()[0] if parts else []
     edges = [None, *sorted(set(bounds or [])), None]
     out = None

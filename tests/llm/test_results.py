@@ -262,17 +262,46 @@ def test_kept_stage_agrees_with_judge(docs):
     assert {r.doc_id for r in quality.keep_good(docs).collect()} == {r.doc_id for r in quality.judge(docs).where("kept").collect()}
 
 
-def test_substrings(docs, rows):
-    first, words = {}, {r["doc_id"]: r["text"].encode().split() for r in rows}
+def left_by(rows):
+    """Brute force: {doc_id: (words, removed, digest of what is left)}."""
+    first, words = {}, {r["doc_id"]: (r["text"] or "").encode().split() for r in rows}
     for doc_id in sorted(words):
         w = words[doc_id]
         for i in range(len(w) - 19):
             first.setdefault(tuple(w[i : i + 20]), (doc_id, i))
-    got = {r.doc_id: r for r in substrings.dedup_in_batches(docs, parts=(0.3, 0.6)).collect()}
+    out = {}
     for doc_id, w in words.items():
         gone = {j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (doc_id, i) for j in range(i, i + 20)}
-        digest = hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
-        assert (got[doc_id].n_words, got[doc_id].n_removed, got[doc_id].kept_sha256) == (len(w), len(gone), digest)
+        out[doc_id] = len(w), len(gone), hashlib.sha256(b" ".join(x for k, x in enumerate(w) if k not in gone)).hexdigest()
+    return out
+
+
+def removed(df):
+    return {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in df.collect()}
+
+
+def test_substrings(docs, rows):
+    want = left_by(rows)
+    assert sum(n for _, n, _ in want.values()) > 1000
+    assert removed(substrings.dedup_in_batches(docs, parts=(0.3, 0.6))) == want
+
+
+def test_window_index_lasts(spark, docs, rows):
+    """An index that other sessions open: batches meet runs, and compacted runs, of before; a batch that reaches back is refused."""
+    ids = sorted(r["doc_id"] for r in rows)
+    cuts = [ids[0], *(ids[len(ids) * k // 5] for k in range(1, 5)), ids[-1] + 1]
+    folder, got = new_path(spark, "lasting"), {}
+    for low, high in zip(cuts, cuts[1:]):
+        index = substrings.WindowIndex(spark, folder, most_runs=2)
+        for name in index.runs:  # a new session knows no table
+            spark.sql(f"drop table if exists {name}")
+        got |= removed(index.add(docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))))
+        assert len(index.runs) <= 2
+    assert got == left_by(rows)
+    index = substrings.WindowIndex(spark, folder)
+    assert index.last == ids[-1] and index.add(docs.where("false")).count() == 0
+    with pytest.raises(ValueError):
+        index.add(docs.where(F.col("doc_id") == ids[3]))
 
 
 def test_pages(spark):
