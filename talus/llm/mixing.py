@@ -139,18 +139,23 @@ def mix_corpus(docs: DataFrame, **how) -> DataFrame:
     of part, are its block of words. Partitions hold ranges of slots, sorted. Edge cases are those of ``mix``: documents
     without words have no rows. A document's text meets its pieces, as many as its length and the passes ask for, in one row.
     """
+    spark = docs.sparkSession
     docs = written(docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "source", F.col("text").cast("string").alias("text")), "numbered")
     rows, pieces, _ = mix(docs, row_id="row_id", **how)
-    of = rows.select("row_id", "doc_id", "source")
-    pieces = pieces.groupBy("row_id").agg(F.collect_list(F.struct("slot", "part", "epoch", "first", "words")).alias("pieces"))
-    texts = docs.select("row_id", F.explode(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("said"))
+    pieces = written(pieces.join(rows.select("row_id", "doc_id", "source"), "row_id"), "pieces")
+    slots = (pieces.agg(F.max("slot")).first()[0] or 0) + 1
+    lists = pieces.groupBy("row_id", "doc_id", "source").agg(F.collect_list(F.struct("slot", "part", "epoch", "first", "words")).alias("pieces"))
+    # Texts meet ids by a shuffle at any size: pieces grow with the documents. They are cut into words after it.
+    met = docs.select("row_id", "text").join(lists.hint("merge"), "row_id")
+    said = F.explode(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("said")
     cut = F.transform("pieces", lambda p: F.struct(
         p["slot"].alias("slot"), p["part"].alias("part"), p["epoch"].alias("epoch"), p["words"].alias("words"),
         F.array_join(F.slice("said", (p["first"] + 1).cast("int"), p["words"].cast("int")), " ").alias("text")))
-    # Texts meet ids by a shuffle at any size: pieces grow with the documents.
-    out = texts.join(pieces.hint("merge"), "row_id").join(of.hint("merge"), "row_id").select("doc_id", "source", F.explode(cut).alias("x"))
+    out = met.select("doc_id", "source", "pieces", said).select("doc_id", "source", F.explode(cut).alias("x"))
     out = out.select("x.slot", "x.part", "doc_id", "source", "x.epoch", "x.words", "x.text")
-    return out.repartitionByRange("slot").sortWithinPartitions("slot", "part")
+    # Blocks are of equal size, so equal ranges of slots are equal shares of the corpus: nothing needs to be sampled.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return out.repartitionById(tasks, F.floor(F.col("slot") * tasks / slots).cast("int")).sortWithinPartitions("slot", "part")
 
 
 def mix_totals(docs: DataFrame, **how) -> DataFrame:
