@@ -3,8 +3,8 @@
 Which windows of ``window`` words repeat is found by a sample of shorter windows: of the ``gram``-word windows inside a
 window, the one with the smallest hash is its anchor. Equal windows have equal anchors, so a window can only repeat
 where its anchor does. A batch's anchors, about two of every ``window - gram + 2``, are merge-joined with the index's
-immutable runs, sorted by anchor; only windows whose anchor occurs elsewhere go on, and are verified by a second,
-independent hash of all their words, which the runs keep beside the anchor. Runs are compacted when there are many.
+immutable runs, sorted by anchor; windows whose anchor occurs elsewhere are verified by a second, independent hash of
+all their words. Runs are compacted when there are many.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import hashlib
 import json
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -87,24 +86,12 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-@contextmanager
-def _by_first_key(spark: SparkSession) -> Iterator[None]:
-    """Joins on (h, w) take both sides as they lie, dealt by h."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "false")
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
 class WindowIndex:
-    """Runs of window fingerprints of all batches so far, in a shared folder that later sessions open again.
+    """Runs of anchors of all batches so far, in a shared folder that later sessions open again.
 
-    A run is an immutable table of distinct (h, w): the hash of a window's anchor and a second, independent hash of all
-    its words, bucketed and sorted by h, so a batch is merge-joined with it where it lies. Texts of earlier batches are
-    never opened again. Which runs count is said by the newest manifest, written after them by a rename-free create: a
+    A run is an immutable table of (h, doc_id), an anchor's hash and where it stands, bucketed and sorted by h: a batch is
+    merge-joined with it where it lies. Texts are kept bucketed and sorted by doc_id, so that documents with a common
+    anchor are verified without moving a text. Which tables count is said by the newest manifest, created after them: a
     job that dies midway leaves the index as it was. One writer at a time.
     """
 
@@ -118,6 +105,7 @@ class WindowIndex:
         self.window, self.gram = (found or {}).get("window", window), (found or {}).get("gram", gram)
         self.buckets = (found or {}).get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = (found or {}).get("runs", [])
+        self.stores: list[str] = (found or {}).get("stores", [])
         self.last: int | None = (found or {}).get("last")
         self._number: int = (found or {}).get("number", 0)
 
@@ -132,24 +120,31 @@ class WindowIndex:
 
     def _commit(self) -> None:
         self._number += 1
-        state = {"window": self.window, "gram": self.gram, "buckets": self.buckets, "runs": self.runs, "last": self.last, "number": self._number}
+        state = {"window": self.window, "gram": self.gram, "buckets": self.buckets, "runs": self.runs, "stores": self.stores, "last": self.last, "number": self._number}
         out = self._store.create(self._path(f"{self.folder}/manifests/{self._number:012d}"), False)
         try:
             out.write(bytearray(json.dumps(state).encode()))
         finally:
             out.close()
 
-    def _run(self, name: str) -> DataFrame:
-        """A run as a bucketed table; a session that sees it for the first time is told how it lies."""
+    def _table(self, name: str, columns: str, key: str) -> DataFrame:
+        """A table of the index; a session that sees it for the first time is told how it lies."""
         if not self.spark.catalog.tableExists(name):
-            self.spark.sql(f"create table {name} (h bigint, w bigint) using parquet clustered by (h) sorted by (h) into {self.buckets} buckets location '{self.folder}/{name}'")
+            self.spark.sql(f"create table {name} ({columns}) using parquet clustered by ({key}) sorted by ({key}) into {self.buckets} buckets location '{self.folder}/{name}'")
         return self.spark.table(name)
 
-    def _bucketed(self, rows: DataFrame, kind: str) -> str:
-        """Write rows, dealt by h already, as a table bucketed and sorted by h."""
+    def _run(self, name: str) -> DataFrame:
+        return self._table(name, "h bigint, doc_id bigint", "h")
+
+    def _texts(self, name: str) -> DataFrame:
+        return self._table(name, "doc_id bigint, text string", "doc_id")
+
+    def _bucketed(self, rows: DataFrame, kind: str, key: str) -> str:
+        """Write rows as a table bucketed and sorted by a key, so that later merge joins don't move it."""
         name = f"talus_{kind}_{uuid.uuid4().hex}"
+        ready = rows.repartition(self.buckets, key).sortWithinPartitions(key)
         with shuffles_freed(self.spark):
-            rows.sortWithinPartitions("h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.folder}/{name}").saveAsTable(name)
+            ready.write.bucketBy(self.buckets, key).sortBy(key).option("path", f"{self.folder}/{name}").saveAsTable(name)
         return name
 
     def _drop(self, name: str) -> None:
@@ -157,38 +152,26 @@ class WindowIndex:
         deleted(self.spark, f"{self.folder}/{name}")
 
     def _scan(self, source: DataFrame) -> DataFrame:
-        """Of each text: words, digest, anchors, and the windows below each anchor."""
+        """Of each text: words, digest and anchors."""
         window, gram = self.window, self.gram
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cache = WordHashes()
-            none = np.zeros(0, np.int64)
             for batch in batches:
-                n_words, shas, hs, heads, sizes, ws = [], [], [], [], [], []
+                n_words, shas, hs = [], [], []
                 for text in as_bytes(batch.column(1)):
                     words = (text or b"").split()
                     n_words.append(len(words))
                     shas.append(_sha(words))
-                    if len(words) < window:
-                        hs.append(none), heads.append(none), sizes.append(none), ws.append(none)
-                        continue
-                    whole, grams, at = anchors(words, cache, window, gram)
-                    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                    own = grams[at[new]]
-                    h, n = np.unique(own, return_counts=True)
-                    hs.append(np.repeat(h, np.minimum(n, 2)).view(np.int64))  # two rows say: repeated in the document
-                    heads.append(own.view(np.int64))
-                    sizes.append(np.diff(np.append(new, len(at))))
-                    ws.append(rolled(whole, window, WINDOW_STEP).view(np.int64))
-                ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
-                below = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ws), pa.int64()))
-                pairs = pa.StructArray.from_arrays([pa.array(np.concatenate(heads), pa.int64()), below], names=["h", "ws"])
-                upto = np.concatenate([[0], np.cumsum([len(x) for x in heads])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(n_words, pa.int64()), pa.array(shas), _longs(hs), pa.ListArray.from_arrays(pa.array(upto), pairs)],
-                    names=["doc_id", "n_words", "sha", "hs", "windows"])
-
-        return source.mapInArrow(run, "doc_id long, n_words long, sha string, hs array<long>, windows array<struct<h:long,ws:array<long>>>")
+                    if len(words) >= window:
+                        _, grams, at = anchors(words, cache, window, gram)
+                        h, n = np.unique(grams[at[np.concatenate([[True], at[1:] != at[:-1]])]], return_counts=True)
+                        hs.append(np.repeat(h, np.minimum(n, 2)).view(np.int64))  # two rows say: repeated in the document
+                    else:
+                        hs.append(np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(shas), _longs(hs)], names=["doc_id", "n_words", "sha", "hs"])
+
+        return source.mapInArrow(run, "doc_id long, n_words long, sha string, hs array<long>")
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Index a batch and return, for each of its documents, doc_id, n_words, n_removed, kept_sha256.
@@ -196,66 +179,66 @@ class WindowIndex:
         A word goes if a window over it starts earlier: in a smaller doc_id of this or an earlier batch, or before in
         the same document. So batches come in the order of doc_id; one that reaches back is refused. Rows that share a
         doc_id count as one document; null doc_ids stand last; null and empty texts have no words; texts under a window
-        stay whole; extra columns are not looked at; a batch without rows changes nothing.
+        stay whole; extra columns are not looked at; a batch without rows changes nothing. Of documents of a batch with
+        the same words the first stands for all: the others are repeats as a whole and aren't indexed.
         """
         spark = self.spark
         text_batches(spark)
-        source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
         if len(self.runs) >= self.most_runs:
             self.compact()
-        path = new_path(spark, "scanned")
-        with shuffles_freed(spark):
-            self._scan(source).write.parquet(path)
-        scanned = spark.read.parquet(path)
+        source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+        scanned = written(self._scan(source), "scanned")
         low, high = scanned.agg(F.min("doc_id"), F.max("doc_id")).first()
         if low is not None and self.last is not None and low <= self.last:
             raise ValueError(f"doc_id {low} isn't behind {self.last}, the last one indexed")
-        near = self._bucketed(scanned.select(F.explode("hs").alias("h"), "doc_id").repartition(self.buckets, "h"), "anchors")
-        result = written(self._repeats(near, scanned.select("doc_id", "n_words", "sha"), source), "repeats")
-        self._drop(near)
-        if low is not None:
-            dealt = scanned.select(F.explode("windows").alias("x")).select("x.h", "x.ws").repartition(self.buckets, "h")
-            self.runs = [*self.runs, self._bucketed(dealt.select("h", F.explode("ws").alias("w")).distinct(), "run")]
-            self.last = high
-            self._commit()
-        deleted(spark, path)
+        # Salted: one text may have very many copies. Only texts that have any are written so often.
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        firsts = scanned.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first", salts)
+        own = scanned.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(firsts, ["sha", "salt"], "left")
+        own = own.select("doc_id", "n_words", "sha", "hs", F.coalesce("first", "doc_id").alias("first"))
+        own = written(own.withColumn("hs", F.when(F.col("doc_id") == F.col("first"), F.col("hs"))), "copies")
+        run = self._bucketed(own.select(F.explode("hs").alias("h"), "doc_id"), "run", "h")
+        texts = self._bucketed(source, "texts", "doc_id")
+        result = written(self._repeats(run, texts, own.drop("hs")), "repeats")
+        if low is None:
+            self._drop(run)
+            self._drop(texts)
+            return result
+        self.runs, self.stores, self.last = [*self.runs, run], [*self.stores, texts], high
+        self._commit()
         return result
 
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go once a manifest names the new one."""
+        """Merge all runs into one; the old ones go once a manifest names the new one. Texts stay as they are."""
         old = self.runs
         merged = self._run(old[0])
         for name in old[1:]:
             merged = merged.unionByName(self._run(name))
-        self.runs = [self._bucketed(merged.repartition(self.buckets, "h").distinct(), "run")]
+        self.runs = [self._bucketed(merged, "run", "h")]
         self._commit()
         for name in old:
             self._drop(name)
 
-    def _repeats(self, near: str, own: DataFrame, source: DataFrame) -> DataFrame:
+    def _repeats(self, run: str, texts: str, own: DataFrame) -> DataFrame:
         spark, least = self.spark, self.window
-        batch = spark.table(near)
+        batch = self._run(run)
         hits = batch.groupBy("h").count().where("count > 1").select("h")
         for name in self.runs:
             hits = hits.unionByName(batch.select("h").distinct().join(self._run(name).select("h"), "h", "left_semi"))
-        found = batch.join(hits.distinct(), "h", "left_semi").select("doc_id", "h")
-        # Of documents of the batch with the same words the first stands for all. Salted: one text may have very many copies.
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        firsts = own.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first", salts)
-        own = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(firsts, ["sha", "salt"], "left")
-        own = written(own.select("doc_id", "n_words", "sha", F.coalesce("first", "doc_id").alias("first")), "copies")
-        kept = own.where("doc_id = first").select("doc_id").distinct()
-        lists = written(found.groupBy("doc_id").agg(F.collect_list("h").alias("hits")).join(kept, "doc_id", "left_semi"), "hits")
-        windows = source.join(lists, "doc_id").mapInArrow(_windows(self.window, self.gram), "h long, w long, doc_id long, start int")
+        hits = written(hits.distinct(), "hit-anchors")
+        found = batch.join(hits, "h", "left_semi").select("doc_id", "h")
+        for name in self.runs:
+            found = found.unionByName(self._run(name).join(hits, "h", "left_semi").select("doc_id", "h"))
+        lists = written(found.groupBy("doc_id").agg(F.collect_list("h").alias("hits")), "hits")
+        windows = None
+        for name in (*self.stores, texts):
+            part = self._texts(name).join(lists, "doc_id").mapInArrow(_windows(self.window, self.gram), "h long, w long, doc_id long, start int")
+            windows = part if windows is None else windows.unionByName(part)
         starts = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "start")).alias("x"))
-        with _by_first_key(spark):
-            if self.runs:  # what history has isn't first here
-                starts = starts.repartition(self.buckets, "h")
-                for name in self.runs:
-                    starts = starts.join(self._run(name), ["h", "w"], "left_anti")
-            # Written before texts are moved again, so the shuffled windows are gone by then.
-            starts = written(starts.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list("x.start").alias("starts")), "starts")
-        cut = source.join(lists, "doc_id").join(starts, "doc_id", "left")
+        if self.last is not None:  # firsts of earlier batches are told by all that isn't first here
+            starts = starts.where(F.col("x.doc_id") > self.last)
+        starts = written(starts.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list("x.start").alias("starts")), "starts")
+        cut = self._texts(texts).join(lists, "doc_id").join(starts, "doc_id", "left")
         cut = cut.mapInArrow(_cut(self.window, self.gram), "id long, sha_in string, n_removed long, kept_sha256 string").distinct()
         out = own.join(cut, (own.doc_id == cut.id) & (own.sha == cut.sha_in), "left")
         copy = (F.col("first") < F.col("doc_id")) & (F.col("n_words") >= least)

@@ -293,7 +293,7 @@ def test_window_index_lasts(spark, docs, rows):
     folder, got = new_path(spark, "lasting"), {}
     for low, high in zip(cuts, cuts[1:]):
         index = substrings.WindowIndex(spark, folder, most_runs=2)
-        for name in index.runs:  # a new session knows no table
+        for name in index.runs + index.stores:  # a new session knows no table
             spark.sql(f"drop table if exists {name}")
         got |= removed(index.add(docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))))
         assert len(index.runs) <= 2
