@@ -15,6 +15,8 @@ from talus.operators.notes import tags_of_notes
 DECAY = 0.7
 LEAST_CONFIDENCE = 0.5
 MOST_HITS = 50
+#: Queries of a block that are scored against a batch of chunks at a time.
+SCORED = 256
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -40,11 +42,11 @@ def top_chunks(chunks: DataFrame, query: Sequence[float], k: int = 10) -> DataFr
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows
 
 
-def top_chunks_of_many(chunks: DataFrame, queries: DataFrame, k: int = 10, block: int = 256) -> DataFrame:
+def top_chunks_of_many(chunks: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """Top k chunks of each of many queries (query_id, vector): query_id, note_id, chunk_index, score, rank.
 
-    Queries are a stated set, taken in blocks: a block is sent to the tasks, scored there by one matrix product a batch
-    of chunks, and leaves k rows a query and batch, of which a window keeps the best.
+    Queries are a stated set, taken in blocks, one scan of the chunks each: a block is sent to the tasks, scored there by
+    matrix products, and leaves k rows a query and batch, of which a window keeps the best.
     """
     out = None
     rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
@@ -70,8 +72,7 @@ def _block_scores(ids: list[int], vectors: list[list[float]], k: int) -> Callabl
                 continue
             v = np.array(batch["vector"].tolist(), dtype=np.float64)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            scores = q @ v.T
-            for query_id, row in zip(ids, scores, strict=True):
+            for query_id, row in ((ids[at + n], r) for at in range(0, len(q), SCORED) for n, r in enumerate(q[at : at + SCORED] @ v.T)):
                 least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
                 best = np.flatnonzero(row >= least)  # all that tie at the edge
                 yield pd.DataFrame({"query_id": query_id, "note_id": batch["note_id"].to_numpy()[best], "chunk_index": batch["chunk_index"].to_numpy()[best], "score": row[best]})

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,41 +80,96 @@ def cascade_delete(tables: Mapping[str, DataFrame], doomed: DataFrame) -> dict[s
     return out
 
 
+#: The folder name of a table's parts.
+PART = "_part"
+
+
+@dataclass(frozen=True)
+class Change:
+    """New rows of a table, and the keys whose old rows go."""
+
+    rows: DataFrame
+    gone: DataFrame
+    key: str
+
+
 class Store:
-    """Named tables in a shared folder. A commit writes new versions of some and then moves one pointer file."""
+    """Named tables in a shared folder. A commit writes new versions of some, whole or in part, and then moves one pointer file."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, parts: int = 64):
+        self.spark, self.root, self.parts = spark, root.rstrip("/"), parts
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _versions(self) -> dict[str, str]:
-        """Table name -> version; the newest pointer wins, so readers see all of a commit or nothing."""
+    def _versions(self) -> dict[str, dict[int, str]]:
+        """Table name -> version of each of its parts, part -1 being a whole table; the newest pointer wins, so readers see all of a commit or nothing."""
         where = self._path(f"{self.root}/_commits")
         if not self._fs.exists(where):
             return {}
         names = sorted(f.getPath().getName() for f in self._fs.listStatus(where) if not f.getPath().getName().startswith("."))
-        return {r.name: r.version for r in self.spark.read.json(f"{self.root}/_commits/{names[-1]}").collect()} if names else {}
+        out: dict[str, dict[int, str]] = {}
+        if names:
+            for r in self.spark.read.schema("name string, part int, version string").json(f"{self.root}/_commits/{names[-1]}").collect():
+                out.setdefault(r.name, {})[r.part] = r.version
+        return out
 
     def tables(self) -> list[str]:
         return sorted(self._versions())
 
+    def _place(self, name: str, part: int, version: str) -> str:
+        return f"{self.root}/{name}/{version}" + (f"/{PART}={part}" if part >= 0 else "")
+
     def read(self, name: str) -> DataFrame | None:
-        version = self._versions().get(name)
-        return None if version is None else self.spark.read.parquet(f"{self.root}/{name}/{version}")
+        parts = self._versions().get(name)
+        return self.spark.read.parquet(*(self._place(name, p, v) for p, v in sorted(parts.items()))) if parts else None
+
+    def _part(self, key: str):
+        return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(self.parts)).cast("int")
 
-    def commit(self, tables: Mapping[str, DataFrame]) -> None:
-        """Write all given tables, then make them current by one rename. One writer at a time."""
+    def commit(self, tables: Mapping[str, DataFrame], changes: Mapping[str, Change] | None = None) -> None:
+        """Write the given tables and changes, then make them current by one rename. One writer at a time.
+
+        A table given as a change is kept in parts by a hash of its key, and only those parts are read and written anew
+        that the new rows and keys fall in; the other parts are named again as they are.
+        """
         versions = self._versions()
         where = self._path(f"{self.root}/_commits")
         number = len(self._fs.listStatus(where)) if self._fs.exists(where) else 0
         for name, df in tables.items():
-            versions[name] = uuid.uuid4().hex
-            df.write.parquet(f"{self.root}/{name}/{versions[name]}")
+            versions[name] = {-1: uuid.uuid4().hex}
+            df.write.parquet(self._place(name, -1, versions[name][-1]))
+        for name, change in (changes or {}).items():
+            own, version = versions.get(name, {}), uuid.uuid4().hex
+            rows = change.rows.withColumn(PART, self._part(change.key))
+            gone = change.gone.select(F.col(change.key)).distinct().withColumn(PART, self._part(change.key))
+            touched = {r[PART] for r in rows.select(PART).union(gone.select(PART)).distinct().collect()}  # at most as many as there are parts
+            old = [self._place(name, p, v) for p, v in own.items() if p in touched or p < 0]
+            if -1 in own:  # a whole table becomes one of parts
+                touched = set(range(self.parts))
+            if old:
+                stay = self.spark.read.parquet(*old).withColumn(PART, self._part(change.key)).join(gone.select(change.key), change.key, "left_anti")
+                rows = stay.unionByName(rows, allowMissingColumns=True)
+            rows.repartition(self.parts, PART).write.partitionBy(PART).parquet(f"{self.root}/{name}/{version}")
+            written = {int(f.getPath().getName().split("=")[1]) for f in self._fs.listStatus(self._path(f"{self.root}/{name}/{version}")) if f.isDirectory() and "=" in f.getPath().getName()}
+            versions[name] = {p: v for p, v in own.items() if p not in touched and p >= 0} | dict.fromkeys(written, version)
         staged = f"{self.root}/_staged/{uuid.uuid4().hex}"
-        rows = self.spark.createDataFrame(sorted(versions.items()), "name string, version string")
+        rows = self.spark.createDataFrame([(n, p, v) for n, parts in sorted(versions.items()) for p, v in sorted(parts.items())], "name string, part int, version string")
         rows.coalesce(1).write.json(staged)
         self._fs.mkdirs(where)
         if not self._fs.rename(self._path(staged), self._path(f"{self.root}/_commits/{number:08d}")):
             raise RuntimeError("another writer committed first")
+
+    def vacuum(self) -> int:
+        """Remove versions that the newest commit doesn't name, once no reader is at them; how many."""
+        used = {(n, v) for n, parts in self._versions().items() for v in parts.values()}
+        gone = 0
+        for table in self._fs.listStatus(self._path(self.root)):
+            name = table.getPath().getName()
+            if name.startswith("_"):
+                continue
+            for version in self._fs.listStatus(table.getPath()):
+                if (name, version.getPath().getName()) not in used:
+                    self._fs.delete(version.getPath(), True)
+                    gone += 1
+        return gone

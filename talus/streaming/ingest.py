@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from talus.schemas import CONVERSATION, MESSAGE
 from talus.sources.registry import parse_all, scan_all
-from talus.store import Store, changed
+from talus.store import Change, Store, changed
 
 LEAST_MESSAGES = 2
 #: What a changed session's file is recognised by.
@@ -21,12 +21,10 @@ def import_changes(spark: SparkSession, store: Store, places: dict[str, dict[str
     """Import what is new or changed and return counts of outcomes: imported, skipped (too short), unchanged.
 
     Sessions are compared by (file, size, mtime) before any is read, so a log that grows is read again and one that
-    doesn't is not. A changed conversation and its messages are replaced together in one commit; notes stay. Running it
+    doesn't is not. Only parts of the tables that changed sessions fall in are written. A changed conversation and its messages are replaced together in one commit; notes stay. Running it
     again without changes commits nothing, so a batch that died can simply be repeated.
     """
     metas = scan_all(spark, places).cache()
-    old = store.read("conversations")
-    old_messages = store.read("messages")
     log = store.read("import_log")
     keys = ["source", "file_path"] + ["scan_id"]
     found = metas.withColumn("scan_id", F.col("id"))
@@ -41,16 +39,13 @@ def import_changes(spark: SparkSession, store: Store, places: dict[str, dict[str
     conversations = conversations.withColumn("status", F.lit("imported")).withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.current_timestamp())
     long_ones = conversations.where(F.col("message_count") >= LEAST_MESSAGES).dropDuplicates(["id"]).cache()
     kept = messages.join(long_ones.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi").select(*MESSAGE.names).dropDuplicates(["conversation_id", "id"])
-    if old is not None:
-        stay = old.join(long_ones.select("id"), "id", "left_anti").select(*CONVERSATION.names)
-        others = old_messages.join(long_ones.select(F.col("id").alias("conversation_id")), "conversation_id", "left_anti").select(*MESSAGE.names)
-        all_conversations, all_messages = stay.unionByName(long_ones), others.unionByName(kept)
-    else:
-        all_conversations, all_messages = long_ones, kept
-    entries = new.select(*keys, *MARKS, F.current_timestamp().alias("created_at"))
-    previous = log.join(entries.select(*keys), keys, "left_anti").unionByName(entries) if log is not None else entries
+    entries = new.select(F.concat_ws("\n", *keys).alias("log_key"), *keys, *MARKS, F.current_timestamp().alias("created_at"))
     imported = long_ones.count()
-    store.commit({"conversations": all_conversations, "messages": all_messages, "import_log": previous})
+    ids = long_ones.select("id")
+    store.commit({}, {
+        "conversations": Change(long_ones.select(*CONVERSATION.names), ids, "id"), "messages": Change(kept, ids.withColumnRenamed("id", "conversation_id"), "conversation_id"),
+        "import_log": Change(entries, entries.select("log_key"), "log_key"),
+    })
     for df in (metas, new, long_ones):
         df.unpersist()
     return {"imported": imported, "skipped": fresh - imported, "unchanged": total - fresh}

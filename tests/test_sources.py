@@ -123,6 +123,10 @@ def test_incremental_import(spark, places, tmp_path):
     watch(spark, store, only, every=0, rounds=2, report=seen.append)
     assert [s["imported"] for s in seen] == [1, 0]
     assert store.read("messages").where("conversation_id = 's1'").count() == 5 and store.read("conversations").count() == 3
+    parts = store._versions()["conversations"]
+    assert len(parts) > 1 and len(set(parts.values())) == 2  # the third import wrote the part of s1 alone
+    before = sorted(map(tuple, store.read("messages").collect()))
+    assert store.vacuum() == 0 or sorted(map(tuple, store.read("messages").collect())) == before
 
 
 def test_new_files_as_a_stream(spark, places, tmp_path):
@@ -142,3 +146,19 @@ def test_unreadable_key_value_files_are_named(spark, places, tmp_path):
     assert key_values.read(spark, root, tool_d.STATE_FILE, "ItemTable").count() == 1
     assert [r.file_path.rsplit("/", 2)[1] for r in key_values.unreadable(spark, root, tool_d.STATE_FILE, "ItemTable").collect()] == ["sub"]
     assert tool_d.scan(spark, root).count() == 1
+
+
+def test_project_keys_of_checkouts(spark, tmp_path):
+    from talus.operators.memory import short_digest
+    from talus.sources.checkouts import checkouts, with_project_keys
+    from pyspark.sql import functions as F
+
+    for name, text in (("shop", '[core]\n\tbare = false\n[remote "fork"]\n\turl = https://x.org/o/fork\n[remote "origin"]\n\turl = git@x.org:O/Shop.git\n\tfetch = +refs\n'), ("shop/inner", "[core]\n")):
+        (tmp_path / name / ".git").mkdir(parents=True)
+        (tmp_path / name / ".git" / "config").write_text(text)
+    known = checkouts(spark, str(tmp_path))
+    assert {r.git_root.removeprefix(f"{tmp_path}/"): [tuple(x) for x in r.remotes] for r in known.collect()} == {
+        "shop": [("fork", "https://x.org/o/fork"), ("origin", "git@x.org:O/Shop.git")], "shop/inner": []}
+    rows = spark.createDataFrame([(1, f"{tmp_path}/shop/src/a"), (2, f"{tmp_path}/shop/inner"), (3, "/elsewhere"), (4, None)], "id int, cwd string")
+    keys = spark.range(1).select(short_digest(F.lit("x.org/o/shop")).alias("a"), short_digest(F.lit(f"{tmp_path}/shop/inner")).alias("b"), short_digest(F.lit("/elsewhere")).alias("c")).first()
+    assert dict(with_project_keys(rows, known).select("id", "project_key").collect()) == {1: f"git:{keys.a}", 2: f"path:{keys.b}", 3: f"cwd:{keys.c}", 4: None}
