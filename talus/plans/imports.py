@@ -128,7 +128,7 @@ def _conversations_of(source):
 def import_twice(spark, sf_dir):
     """Outcomes of an import, of the same again, and of a third after a session of tool A has grown; then what is stored."""
     places = {s: w for s, w in _places(spark, sf_dir).items() if s in (tool_a.SOURCE, tool_d.SOURCE)}
-    store = Store(spark, shared(spark))
+    store = Store(spark, shared(spark), parts=4)
     rounds = [import_changes(spark, store, places), import_changes(spark, store, places)]
     _put(spark, f"{places[tool_a.SOURCE]['root']}/c--Users-Projects-Shop0/a0.jsonl", _lines([
         {"uuid": f"n{k}", "type": "user", "timestamp": _stamp(k), "message": {"role": "user", "content": "z" * 200}} for k in range(3)]))
