@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+import re
 import sqlite3
 import tempfile
 import uuid
@@ -24,6 +24,8 @@ from talus.streaming.ingest import import_changes
 def shared(spark) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='talus-shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder.rstrip('/')}/talus/sessions-{uuid.uuid4().hex}"
