@@ -211,7 +211,8 @@ def simhash_components(docs: DataFrame, shingle: int = 3, budget: int = 2, most:
 
     Equal fingerprints are one node with their smallest doc_id, so a group of copies of any size is combined
     map-side and costs the trie one row. Null and empty texts have fingerprint zero and link like any other.
-    Rows repeat as often as in the input; a null doc_id gets its group's smallest doc_id, null if there is none.
+    Rows repeat as often as in the input; a null doc_id gets its group's smallest doc_id, null if there is none, and a
+    fingerprint that only rows without a doc_id have links nothing.
     Extra columns are not looked at. An empty table gives an empty one.
     """
     fps = written(fingerprints(docs, shingle, (42,)), "fingerprints")
