@@ -187,7 +187,8 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, prio
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, prior: int = 100) -> DataFrame:
     """docs without the documents that ``judge`` would not keep; columns stay.
 
-    Texts are measured once: whole rows are written with their counts, and none is shuffled. Edge cases are ``judge``'s.
+    Texts are measured twice, once for the cutoffs and once for the verdict: writing whole rows with their counts instead
+    would leave a copy of the corpus on disk. None is shuffled. Edge cases are ``judge``'s.
     """
     rules = rules or default_rules()
     text_batches(docs.sparkSession)
@@ -199,8 +200,8 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3,
             got = np.array([text_counts(t) for t in as_bytes(pa.compute.cast(row.field("text"), pa.string()))], dtype=np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([row, *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(COUNTS)))], names=["row", *COUNTS])
 
-    rows = written(docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).where(~_base_failed()), "measured")
-    counts = rows.select(F.col("row.lang").cast("string").alias("lang"), F.col("row.source").cast("string").alias("source"), *COUNTS)
+    counts = written(measure(docs), "text-counts").where(~_base_failed())
     wide = written(_wide(cutoffs(sketch(counts, rules), rules, reach, prior), rules), "cutoffs")
+    rows = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).where(~_base_failed())
     out = rows.join(wide, F.col("row.lang").cast("string").eqNullSafe(wide.l) & F.col("row.source").cast("string").eqNullSafe(wide.s), "left")
     return out.where(~_beyond(rules)).select("row.*")
