@@ -10,8 +10,12 @@ from pyspark.sql.window import Window
 from talus.llm.common import new_path, written
 
 SPACE = r"[\x20\x09-\x0D]+"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
+STATE = "spark.sql.streaming.stateStore"
+#: State on disk, small commits, and no space set aside for what many small stores never write.
+SETTINGS = {
+    f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE}.rocksdb.changelogCheckpointing.enabled": "true", f"{STATE}.rocksdb.allowFAllocate": "false",
+}
 #: A group with at least one in so many of all rows is dealt out; there are at most as many such groups.
 SHARES = 1000
 
@@ -39,26 +43,25 @@ def _glob(path: str) -> str:
 
 
 def ingest(spark: SparkSession, path: str, schema: T.StructType, folder: str, files: int = 1000, digits: int = 64) -> DataFrame:
-    """Stream the Parquet files of ``path`` that ``folder`` hasn't seen into its state: key, best, size.
+    """Stream the Parquet files of ``path`` that ``folder`` hasn't seen into its state, and give the state as a written table: key, best, size.
 
     The state is a streaming aggregation in RocksDB, without watermark, so no key ever expires; it lies in the shared
     folder, survives lost executors and is taken up again by a later call, which reads new files only. Rows of a key are
     combined in their tasks before they meet. ``files`` are read a micro-batch. The number of state partitions is that of
     spark.sql.shuffle.partitions at the first call and stays.
     """
-    settings = {"spark.sql.streaming.stateStore.providerClass": PROVIDER, CHANGELOG: "true"}
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
         spark.conf.set(k, v)
     try:
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(_glob(path))
         groups = _rows(source, digits).groupBy("key").agg(F.min("at").alias("best"), F.count("*").alias("size"))
         query = groups.writeStream.outputMode("update").format("noop").option("checkpointLocation", folder).trigger(availableNow=True).start()
         query.awaitTermination()
+        return written(state(spark, folder), "groups")
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return state(spark, folder)
 
 
 def state(spark: SparkSession, folder: str) -> DataFrame:
@@ -106,7 +109,7 @@ def decide(docs: DataFrame, groups: DataFrame, digits: int = 64) -> DataFrame:
         mixed = not other.isEmpty()
         equal = compared.where("same")
         if mixed:  # the state counted other texts with them
-            sizes = equal.where(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("_size"))
+            sizes = equal.groupBy("key").agg(F.count("*").alias("_size"))
             equal = equal.join(sizes, "key").withColumn("size", F.col("_size"))
         here = equal.select(
             F.col("at.doc_id").alias("doc_id"), F.col("best.doc_id").alias("keep_id"), F.col("size").alias("group_size"), _same_place(F.col("at"), F.col("best")).alias("kept"),
@@ -129,7 +132,7 @@ def dedup(spark: SparkSession, path: str, folder: str | None = None, files: int
     docs = spark.read.parquet(path)
     folder = folder or new_path(spark, "dedup-state")
     schema = T.StructType([f for f in docs.schema if f.name in ("doc_id", "text")])
-    groups = written(ingest(spark, path, schema, folder, files, digits), "groups")
+    groups = ingest(spark, path, schema, folder, files, digits)
     return decide(docs, groups, digits)
 
 
