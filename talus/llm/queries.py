@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import chat, decontam, html_text, licenses, mixing, pii, quality, simhash, stream_dedup, substrings, token_counts
+from talus.llm import chat, decontam, divergence, html_text, licenses, mixing, pii, quality, simhash, stream_dedup, substrings, token_counts
 from talus.llm.common import new_path, table
 
 
@@ -62,13 +62,18 @@ def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least=30, k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup, op2_quality_rules, op3_license_scan, op4_html_text, op5_token_counts, op6_substring_dedup,
-        op7_mix_sources, op8_pii, op9_chat_rotation, op10_decontaminate, op12_stream_dedup, token_totals_of_words,
+        op7_mix_sources, op8_pii, op9_chat_rotation, op10_decontaminate, op12_stream_dedup, op13_source_divergence, token_totals_of_words,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express; the others are tested against brute force."""
-    return {"op3_license_scan": licenses.oracle(), "op9_chat_rotation": chat.ORACLE, "op12_stream_dedup": stream_dedup.ORACLE, "token_totals_of_words": token_counts.ORACLE}
+    return {"op3_license_scan": licenses.oracle(), "op9_chat_rotation": chat.ORACLE, "op12_stream_dedup": stream_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE,
+            "token_totals_of_words": token_counts.ORACLE}
