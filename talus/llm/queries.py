@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from talus.llm import chat, decontam, divergence, html_text, licenses, mixing, pii, quality, simhash, stream_dedup, substrings, token_counts
+from talus.llm import chat, decontam, divergence, html_text, licenses, mixing, pii, quality, search, simhash, stream_dedup, substrings, token_counts
 from talus.llm.common import new_path, table
 
 
@@ -58,6 +58,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup.dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -69,11 +73,11 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_simhash_near_dedup, op2_quality_rules, op3_license_scan, op4_html_text, op5_token_counts, op6_substring_dedup,
-        op7_mix_sources, op8_pii, op9_chat_rotation, op10_decontaminate, op12_stream_dedup, op13_source_divergence, token_totals_of_words,
+        op7_mix_sources, op8_pii, op9_chat_rotation, op10_decontaminate, op11_lexical_search, op12_stream_dedup, op13_source_divergence, token_totals_of_words,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the operators that SQL can express; the others are tested against brute force."""
-    return {"op3_license_scan": licenses.oracle(), "op9_chat_rotation": chat.ORACLE, "op12_stream_dedup": stream_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE,
+    return {"op3_license_scan": licenses.oracle(), "op9_chat_rotation": chat.ORACLE, "op11_lexical_search": search.ORACLE, "op12_stream_dedup": stream_dedup.ORACLE, "op13_source_divergence": divergence.ORACLE,
             "token_totals_of_words": token_counts.ORACLE}
