@@ -22,7 +22,7 @@ TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
 #: Characters of queries that are searched for in one pass over the documents; larger query sets take several.
 QUERY_CHARS = 4_000_000
 #: Documents, and entries of their lists, that make a block of the index.
-BLOCK_DOCS, BLOCK_ENTRIES = 4096, 1 << 20
+BLOCK_DOCS, BLOCK_ENTRIES = 4096, 1 << 18
 NO_ID = 2**63 - 1
 
 
