@@ -39,7 +39,7 @@ def term_counts(docs: DataFrame) -> DataFrame:
         for (lang, source), terms in counts.items():
             own, keys = holders[lang, source], [None, *terms]
             sums = [0, *terms.values()], [0, *(own[t] for t in terms)]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys)), pa.array([source] * len(keys)), pa.array(keys, pa.binary()), *(pa.array(s, pa.int64()) for s in sums)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array([source] * len(keys), pa.string()), pa.array(keys, pa.binary()), *(pa.array(s, pa.int64()) for s in sums)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, holders, held = {}, {}, [0, 0]
@@ -184,7 +184,7 @@ class _Unit:
         pairs = [(x, y) for x in range(len(self.ids)) for y in range(len(self.ids)) if self.ids[x] < self.ids[y] and (bi == bj or self.ids[x] // self.block != self.ids[y] // self.block)]
         both = [(min(x, y), max(x, y)) for x, y in pairs]
         yield pa.RecordBatch.from_arrays([
-            pa.array([lang] * len(pairs)), pa.array([self.ids[x] for x, _ in pairs], pa.int64()), pa.array([self.ids[y] for _, y in pairs], pa.int64()),
+            pa.array([lang] * len(pairs), pa.string()), pa.array([self.ids[x] for x, _ in pairs], pa.int64()), pa.array([self.ids[y] for _, y in pairs], pa.int64()),
             pa.array([int(self.total[x, y]) for x, y in both], pa.int64())], names=["lang", "a", "b", "value"])
 
 
@@ -231,7 +231,7 @@ def skybands(rows: DataFrame, k: int) -> DataFrame:
                     held[2] = 2 * len(held[0]) + BAND_BUFFER  # a wide band isn't reduced again and again
         for (lang, source), (terms, counts, _) in groups.items():
             terms, counts = reduced(terms, counts)
-            columns = [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()), *(pa.array([c[x] for c in counts], pa.int64()) for x in range(2))]
+            columns = [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()), *(pa.array([c[x] for c in counts], pa.int64()) for x in range(2))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.select(*names).mapInArrow(run, "lang string, source string, term binary, count long, lang_count long")
