@@ -98,7 +98,7 @@ def distances(rows: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFra
 
     Terms are dealt into PARTS a language and sorted, so a task streams through them and compares a block of terms by a
     block of sources at a time; what it gives is one sum a pair and part. Each part opens with a row for each source, so
-    that terms a source lacks count with its share of zero.
+    that terms a source lacks count with its share of zero; those that no source of the blocks has are added at the end.
     """
     order = F.dense_rank().over(Window.partitionBy("lang").orderBy("source")) - 1  # a row a source
     numbered = written(groups.withColumn("sid", order.cast("long")).withColumn("block", F.floor(F.col("sid") / block).cast("int")), "numbered")
@@ -133,12 +133,14 @@ def distances(rows: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFra
                 unit.take(term, sid, count)
         yield from closed()
 
-    parts = sorted_rows.mapInArrow(run, "lang string, a long, b long, value long")
-    sums = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-    names = numbered.select("lang", F.col("sid").alias("_sid"), "source")
+    parts = sorted_rows.mapInArrow(run, "lang string, a long, b long, value long, seen long")
+    sums = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
+    names = numbered.select("lang", F.col("sid").alias("_sid"), "source", "v", share(F.lit(0).cast("long"), F.col("n"), F.col("v")).alias("zero"))
     for end in ("a", "b"):
-        named_end = names.select("lang", F.col("_sid").alias(end), F.col("source").alias(f"_{end}"))
+        named_end = names.select("lang", F.col("_sid").alias(end), F.col("source").alias(f"_{end}"), F.col("zero").alias(f"_zero_{end}"), *(["v"] if end == "a" else []))
         sums = sums.join(named_end, ["lang", end])
+    neither = (F.col("v") - F.col("seen")) * F.abs(F.col("_zero_a") - F.col("_zero_b"))  # kept terms that no source of the two blocks has
+    sums = sums.withColumn("value", F.col("value") + neither)
     pairs = numbered.select("lang", F.col("source").alias("_a"), "v").join(names.select("lang", F.col("source").alias("_b")), "lang").where("v = 0 and _a < _b")
     nothing = pairs.select("lang", F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(0).cast("long").alias("value"))
     return sums.select("lang", F.col("_a").alias("a"), F.col("_b").alias("b"), "value").unionByName(nothing)
@@ -148,7 +150,7 @@ class _Unit:
     """The terms of one part of a language by two blocks of sources, summed a block of terms at a time."""
 
     def __init__(self, key: tuple, v: int, block: int):
-        self.block, self.key, self.v, self.ids, self.n, self.at, self.term, self.used = block, key, v, [], [], None, None, 0
+        self.block, self.key, self.v, self.ids, self.n, self.at, self.term, self.used, self.seen = block, key, v, [], [], None, None, 0, 0
 
     def take(self, term: bytes | None, sid: int, count: int) -> None:
         if term is None:
@@ -160,7 +162,7 @@ class _Unit:
         if term != self.term:
             if self.used == TERM_BLOCK:
                 self._add()
-            self.term, self.used = term, self.used + 1
+            self.term, self.used, self.seen = term, self.used + 1, self.seen + 1
         self.counts[self.used - 1, self.at[sid]] = count
 
     def _open(self) -> None:
@@ -176,16 +178,16 @@ class _Unit:
         self.used = 0
 
     def sums(self) -> Iterator[pa.RecordBatch]:
-        """One row a pair of sources; a pair of one block belongs to the unit of that block alone."""
+        """One row a pair of sources, with how many terms it was summed over; a pair of one block belongs to that block's unit alone."""
         if self.at is None:
-            return
+            self._open()
         self._add()
         lang, bi, bj, _ = self.key
         pairs = [(x, y) for x in range(len(self.ids)) for y in range(len(self.ids)) if self.ids[x] < self.ids[y] and (bi == bj or self.ids[x] // self.block != self.ids[y] // self.block)]
         both = [(min(x, y), max(x, y)) for x, y in pairs]
         yield pa.RecordBatch.from_arrays([
             pa.array([lang] * len(pairs), pa.string()), pa.array([self.ids[x] for x, _ in pairs], pa.int64()), pa.array([self.ids[y] for _, y in pairs], pa.int64()),
-            pa.array([int(self.total[x, y]) for x, y in both], pa.int64())], names=["lang", "a", "b", "value"])
+            pa.array([int(self.total[x, y]) for x, y in both], pa.int64()), pa.array([self.seen] * len(pairs), pa.int64())], names=["lang", "a", "b", "value", "seen"])
 
 
 def skyband(count: np.ndarray, lang_count: np.ndarray, terms: list[bytes], k: int) -> np.ndarray:
