@@ -135,13 +135,13 @@ def distances(rows: DataFrame, groups: DataFrame, block: int = BLOCK) -> DataFra
 
     parts = sorted_rows.mapInArrow(run, "lang string, a long, b long, value long, seen long")
     sums = parts.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"), F.sum("seen").alias("seen"))
-    names = numbered.select("lang", F.col("sid").alias("_sid"), "source", "v", share(F.lit(0).cast("long"), F.col("n"), F.col("v")).alias("zero"))
+    names = numbered.where("v > 0").select("lang", F.col("sid").alias("_sid"), "source", "v", share(F.lit(0).cast("long"), F.col("n"), F.col("v")).alias("zero"))
     for end in ("a", "b"):
         named_end = names.select("lang", F.col("_sid").alias(end), F.col("source").alias(f"_{end}"), F.col("zero").alias(f"_zero_{end}"), *(["v"] if end == "a" else []))
         sums = sums.join(named_end, ["lang", end])
     neither = (F.col("v") - F.col("seen")) * F.abs(F.col("_zero_a") - F.col("_zero_b"))  # kept terms that no source of the two blocks has
     sums = sums.withColumn("value", F.col("value") + neither)
-    pairs = numbered.select("lang", F.col("source").alias("_a"), "v").join(names.select("lang", F.col("source").alias("_b")), "lang").where("v = 0 and _a < _b")
+    pairs = numbered.select("lang", F.col("source").alias("_a"), "v").join(numbered.select("lang", F.col("source").alias("_b")), "lang").where("v = 0 and _a < _b")
     nothing = pairs.select("lang", F.col("_a").alias("a"), F.col("_b").alias("b"), F.lit(0).cast("long").alias("value"))
     return sums.select("lang", F.col("_a").alias("a"), F.col("_b").alias("b"), "value").unionByName(nothing)
 
