@@ -42,7 +42,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet in the shared folder and read again by the next.
 
-    The result is the mixed corpus in slot order: slot, part, doc_id, source, epoch, words, text. Null texts fail the
+    The result is the mixed corpus, sorted into slot order after the last read: slot, part, doc_id, source, epoch, words, text. Null texts fail the
     quality rules; empty tables pass through all stages and give no rows; extra columns of documents are kept up to the mix.
     """
     docs = table(spark, sf_dir, "documents")
@@ -50,4 +50,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = new_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return docs.orderBy("slot", "part")
