@@ -123,7 +123,7 @@ def test_incremental_import(spark, places, tmp_path):
     watch(spark, store, only, every=0, rounds=2, report=seen.append)
     assert [s["imported"] for s in seen] == [1, 0]
     assert store.read("messages").where("conversation_id = 's1'").count() == 5 and store.read("conversations").count() == 3
-    parts = store._versions()["conversations"]
+    parts = store._manifest().versions["conversations"]
     assert len(parts) > 1 and len(set(parts.values())) == 2  # the third import wrote the part of s1 alone
     before = sorted(map(tuple, store.read("messages").collect()))
     assert store.vacuum() == 0 or sorted(map(tuple, store.read("messages").collect())) == before
