@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talus.plans import conversations, imports, search, writes
+from talus.plans import conversations, imports, search, transactions, writes
 
-PLANS = (conversations, search, writes, imports)
+PLANS = (conversations, search, writes, imports, transactions)
 
 
 def queries():

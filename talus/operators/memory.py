@@ -19,6 +19,7 @@ from talus.operators.gate import structured_gaps
 from talus.operators.graph import adjacency
 from talus.operators.vectors import DECAY, LEAST_CONFIDENCE, both_ways
 from talus.schemas import OUTCOMES
+from talus.shared import written
 from talus.store import insert_ignore, with_new_ids
 
 ARRAYS = ("pitfalls", "reusable_patterns", "decisions", "key_conclusions", "files_touched", "error_signatures")
@@ -159,7 +160,7 @@ def knowledge_delta() -> Column:
 
 
 def decide_writes(candidates: DataFrame, existing: DataFrame, near: DataFrame | None = None) -> DataFrame:
-    """candidates (candidate_id and a memory's columns) with decision, reason, target_note_id.
+    """candidates (candidate_id and a memory's columns) with decision, reason, target_note_id, each as if it came alone.
 
     skipped: a summary under 24 characters, ``fixed it.``, or nothing learnt. merged: the first existing memory (by
     ``rank``) of the same project with the same root cause and resolution (two blank ones are the same) that shares an
@@ -167,25 +168,87 @@ def decide_writes(candidates: DataFrame, existing: DataFrame, near: DataFrame |
     order. Without, both sides are taken apart by error signature and joined on all four values, so a frequent cause
     meets only what shares a signature with it, and a partial minimum leaves one row a candidate.
     """
-    norm = lambda c: F.lower(trim_all(non_blank(F.col(c))))
+    left = candidates.withColumn("_skip", _says_nothing())
+    first = _first_matches(_signed(left.where("not _skip"), F.col("candidate_id")), existing, near).select("candidate_id", F.col("first.note_id").alias("target_note_id"))
+    return _with_decision(left.join(first, "candidate_id", "left"), F.col("target_note_id").isNotNull()).select(*candidates.columns, "decision", "reason", "target_note_id")
+
+
+#: What two memories must share to be merged.
+MATCH = ["_project", "_cause", "_fix", "_sign"]
+#: Ranges of candidates that a frequent signature's requests are dealt into.
+RANGES = 128
+
+
+def _says_nothing() -> Column:
     summary = F.lower(trim_all(F.coalesce("summary", F.lit(""))))
-    skip = (F.length(summary) < 24) | (summary == "fixed it.") | knowledge_delta().isNull()
-    left = candidates.withColumn("_skip", skip)
-    sign = F.explode(F.array_distinct("error_signatures"))
-    keys = ["_project", "_cause", "_fix", "_sign"]
-    mine = left.where("not _skip").select("candidate_id", F.col("project_key").alias("_project"), norm("root_cause").alias("_cause"), F.coalesce(norm("resolution"), F.lit("")).alias("_fix"), sign.alias("_sign"))
-    right = existing.where(~blank(F.col("project_key"))).select(
-        F.col("project_key").alias("_project"), norm("root_cause").alias("_cause"), F.coalesce(norm("resolution"), F.lit("")).alias("_fix"), sign.alias("_sign"), "note_id", *([] if near is not None else ["rank"])
-    )
+    return (F.length(summary) < 24) | (summary == "fixed it.") | knowledge_delta().isNull()
+
+
+def _signed(rows: DataFrame, *columns: Column) -> DataFrame:
+    """One row for each error signature of a memory: ``columns`` and MATCH."""
+    norm = lambda c: F.lower(trim_all(non_blank(F.col(c))))
+    return rows.select(
+        *columns, F.col("project_key").alias("_project"), norm("root_cause").alias("_cause"), F.coalesce(norm("resolution"), F.lit("")).alias("_fix"), F.explode(F.array_distinct("error_signatures")).alias("_sign"))
+
+
+def _first_matches(mine: DataFrame, existing: DataFrame, near: DataFrame | None) -> DataFrame:
+    """(candidate_id, first): rank and note_id of the first existing memory that each candidate matches."""
+    right = _signed(existing.where(~blank(F.col("project_key"))), F.col("note_id"), *([] if near is not None else [F.col("rank")]))
     if near is not None:
-        met = mine.join(near.select("candidate_id", "note_id", "rank"), "candidate_id").join(right, ["note_id", *keys])
+        met = mine.join(near.select("candidate_id", "note_id", "rank"), "candidate_id").join(right, ["note_id", *MATCH])
     else:  # of equal memories only the first can be chosen
-        met = mine.join(right.groupBy(*keys).agg(F.min(F.struct("rank", "note_id")).alias("x")).select(*keys, "x.rank", "x.note_id"), keys)
-    first = met.groupBy("candidate_id").agg(F.min_by("note_id", F.struct("rank", "note_id")).alias("target_note_id"))
-    out = left.join(first, "candidate_id", "left")
-    decision = F.when(F.col("_skip"), "skipped").when(F.col("target_note_id").isNotNull(), "merged").otherwise("created")
-    reason = F.when(F.col("_skip"), "low-signal").when(F.col("target_note_id").isNotNull(), "merged-into-existing-memory").otherwise("created-new-memory")
-    return out.select(*candidates.columns, decision.alias("decision"), reason.alias("reason"), "target_note_id")
+        met = mine.join(right.groupBy(*MATCH).agg(F.min(F.struct("rank", "note_id")).alias("x")).select(*MATCH, "x.rank", "x.note_id"), MATCH)
+    return met.groupBy("candidate_id").agg(F.min(F.struct(F.col("rank").cast("long").alias("rank"), "note_id")).alias("first"))
+
+
+def _with_decision(rows: DataFrame, merged: Column) -> DataFrame:
+    decision = F.when(F.col("_skip"), "skipped").when(merged, "merged").otherwise("created")
+    reason = F.when(F.col("_skip"), "low-signal").when(merged, "merged-into-existing-memory").otherwise("created-new-memory")
+    return rows.withColumn("decision", decision).withColumn("reason", reason)
+
+
+def decide_batch(candidates: DataFrame, existing: DataFrame, near: DataFrame | None = None) -> DataFrame:
+    """candidates with decision, reason, target_note_id, target_candidate_id, as if written one after another by candidate_id.
+
+    A memory that an earlier candidate created can be merged into by a later one (target_candidate_id), and one that took
+    in a candidate has its signatures too. With ``near``, memories of the batch count as found after those of ``near``.
+
+    What a candidate is merged into is the smallest of: its first existing match, itself, and what any earlier candidate
+    with which it shares all of MATCH was merged into. So rounds of a running minimum by signature, each followed by a
+    look at what the found candidate itself was merged into, end after a number of rounds that grows with the logarithm
+    of the longest chain. A frequent signature is dealt into ranges of candidates; only a count reaches the driver.
+    """
+    left = candidates.withColumn("_skip", _says_nothing())
+    bounds = left.select(F.col("candidate_id").cast("double").alias("c")).approxQuantile("c", [k / RANGES for k in range(1, RANGES)], 0.001)
+    signed = _signed(left.where("not _skip"), F.col("candidate_id")).where(~blank(F.col("_project")) & F.col("_cause").isNotNull() & F.col("_sign").isNotNull())
+    limits = F.array(*(F.lit(b) for b in sorted(set(bounds)))).cast("array<double>")
+    signed = written(signed.withColumn("_range", F.size(F.filter(limits, lambda b: b < F.col("candidate_id")))), "signed")
+    own = F.struct(F.lit(1).alias("made"), F.col("candidate_id").alias("rank"), F.col("candidate_id").alias("id"))
+    found = _first_matches(signed.drop("_range"), existing, near).select("candidate_id", F.struct(F.lit(0).alias("made"), F.col("first.rank").alias("rank"), F.col("first.note_id").alias("id")).alias("_found"))
+    ids = signed.select("candidate_id").distinct()
+    best = written(ids.join(found, "candidate_id", "left").select("candidate_id", F.least(own, "_found").alias("best")), "best")
+    while True:
+        passed = F.when(F.col("best.made") == 1, F.col("best")) if near is not None else F.col("best")
+        rows = signed.join(best, "candidate_id").withColumn("_passed", passed)
+        before = Window.partitionBy(*MATCH, "_range").orderBy("candidate_id").rowsBetween(Window.unboundedPreceding, -1)
+        ranges = rows.groupBy(*MATCH, "_range").agg(F.min("_passed").alias("_least"))
+        earlier = Window.partitionBy(*MATCH).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
+        ranges = ranges.select(*MATCH, "_range", F.min("_least").over(earlier).alias("_earlier"))
+        prior = rows.withColumn("_before", F.min("_passed").over(before)).join(ranges, [*MATCH, "_range"]).groupBy("candidate_id").agg(F.min(F.least("_before", "_earlier")).alias("_prior"))
+        step = best.join(prior, "candidate_id").select("candidate_id", "best", F.least("best", "_prior").alias("next"))
+        step = written(step, "step")
+        then = step.select(F.col("candidate_id").alias("_of"), F.col("next").alias("_then"))
+        jumped = step.join(then, (step["next.made"] == 1) & (step["next.id"] == then["_of"]), "left").select("candidate_id", "best", F.least("next", "_then").alias("next"))
+        jumped = written(jumped, "best")
+        best = jumped.select("candidate_id", F.col("next").alias("best"))
+        if jumped.where("next <> best").isEmpty():
+            break
+    out = left.join(best, "candidate_id", "left")
+    made = F.col("best.made") == 1
+    target = F.when(~made & ~F.col("_skip"), F.col("best.id"))
+    into = F.when(made & ~F.col("_skip") & (F.col("best.id") != F.col("candidate_id")), F.col("best.id"))
+    out = out.withColumn("target_note_id", target).withColumn("target_candidate_id", into)
+    return _with_decision(out, F.col("target_note_id").isNotNull() | F.col("target_candidate_id").isNotNull()).select(*candidates.columns, "decision", "reason", "target_note_id", "target_candidate_id")
 
 
 def merge_memories(existing: DataFrame, merges: DataFrame) -> DataFrame:
@@ -222,8 +285,9 @@ def write_memories(requests: DataFrame, memories: DataFrame, receipts: DataFrame
     """(responses, memories, receipts) after a batch of requests, one response a request, in order of candidate_id.
 
     A request of mode auto whose (source_agent, source_run_key) has a receipt, or that an earlier request of the batch
-    also has, is answered as that one and changes nothing. Invalid memories are skipped before any matching. Every
-    merge is worked in and answered, several into one memory one after another. New ids go on from the largest.
+    also has, is answered as that one and changes nothing. Invalid memories are skipped before any matching. A request sees
+    what earlier ones of the batch created (``decide_batch``). Every merge is worked in and answered, several into one
+    memory one after another. New ids go on from the largest.
     near: the memories each request is compared with (``nearest_memories``); all of its project where not given.
     Receipts of what was written are pending until ``completed_receipts`` finds it embedded.
     """
@@ -234,14 +298,18 @@ def write_memories(requests: DataFrame, memories: DataFrame, receipts: DataFrame
     ranked = requests.withColumn("_nth", first)
     known = ranked.where(auto).join(receipts.select(*keys), keys, "left_semi").select("candidate_id")
     fresh = structured_gaps(ranked.where("_nth = 1").drop("_nth").join(known, "candidate_id", "left_anti"))
-    decided = decide_writes(fresh.where(F.size("missing") == 0).drop("missing"), memories.withColumn("rank", F.col("note_id")), near)
-    invalid = fresh.where(F.size("missing") > 0).drop("missing").select("*", F.lit("skipped").alias("decision"), F.lit("low-signal").alias("reason"), F.lit(None).cast("long").alias("target_note_id"))
-    decided = decided.unionByName(invalid)
-    merges = decided.where("decision = 'merged'")
+    decided = decide_batch(fresh.where(F.size("missing") == 0).drop("missing"), memories.withColumn("rank", F.col("note_id")), near)
+    nothing = F.lit(None).cast("long")
+    invalid = fresh.where(F.size("missing") > 0).drop("missing").select(
+        "*", F.lit("skipped").alias("decision"), F.lit("low-signal").alias("reason"), nothing.alias("target_note_id"), nothing.alias("target_candidate_id"))
+    decided = written(decided.unionByName(invalid), "decided")
     last = memories.agg(F.coalesce(F.max("note_id"), F.lit(0))).first()[0]
     created = with_new_ids(decided.where("decision = 'created'"), "candidate_id", "note_id", last)
+    made = created.select(F.col("candidate_id").alias("target_candidate_id"), F.col("note_id").alias("_made"))
+    merges = decided.where("decision = 'merged'").join(made, "target_candidate_id", "left").withColumn("target_note_id", F.coalesce("target_note_id", "_made")).drop("_made")
     new = created.withColumn("tags", normalised_tags(F.col("tags")))
-    all_memories = merge_memories(memories, merges).unionByName(new.select(*(F.col(c) if c in new.columns else F.lit(None).alias(c) for c in memories.columns)))
+    new = new.select(*(F.col(c) if c in new.columns else F.lit(None).alias(c) for c in memories.columns))
+    all_memories = merge_memories(memories.unionByName(new), merges)
     none = F.lit(None).cast("long")
     parts = [(created, F.col("note_id"), none), (merges, none, F.col("target_note_id")), (decided.where("decision = 'skipped'"), none, none)]
     done = reduce(DataFrame.unionByName, [d.select("candidate_id", "decision", n.alias("note_id"), m.alias("merged_into_note_id"), "reason", "mode", *keys) for d, n, m in parts])

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import json
-import re
 import sqlite3
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import closing
 
@@ -16,21 +13,12 @@ from talus import models
 from talus.operators import gate, memory, notes, summarise, vectors
 from talus.plans.views import messages, table, tool_messages
 from talus.schemas import CONVERSATION, ensure_columns
+from talus.shared import new_path as shared
 from talus.sources import registry, tool_a, tool_b, tool_c, tool_d, tool_e
 from talus.store import Store
 from talus.streaming.ingest import import_changes
 
 
-def shared(spark) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = f"file://{tempfile.mkdtemp(prefix='talus-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/talus/sessions-{uuid.uuid4().hex}"
-
-
 def _put(spark, path: str, content: bytes) -> None:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
@@ -215,10 +203,14 @@ def _written_back(spark, sf_dir):
 
 
 def writeback_batch(spark, sf_dir):
-    """The answer to each request: replayed, created, merged or skipped. New ids are numbered by key, so only their presence is compared."""
+    """The answer to each request: replayed, created, merged or skipped. New ids are numbered by key: ``into_candidate`` says whose memory was merged into."""
     answers, _, _ = _written_back(spark, sf_dir)
     made = (F.col("decision") == "created") & (F.col("note_id") != 77)
-    return answers.select("candidate_id", "decision", F.when(~made, F.col("note_id")).alias("note_id"), "merged_into_note_id", "reason", made.alias("is_new"))
+    new = answers.where(made).select(F.col("note_id").alias("_new"), F.col("candidate_id").alias("into_candidate"))
+    rows = answers.join(new, answers["merged_into_note_id"] == new["_new"], "left")
+    return rows.select(
+        "candidate_id", "decision", F.when(~made, F.col("note_id")).alias("note_id"), F.when(F.col("_new").isNull(), F.col("merged_into_note_id")).alias("merged_into_note_id"), "into_candidate",
+        "reason", made.alias("is_new"))
 
 
 def writeback_memories(spark, sf_dir):
@@ -343,7 +335,9 @@ s as (
   select f.*, t.target, length(regexp_replace(summary, '\\s', '', 'g')) < 24 or length(trim(summary, ' ' || chr(9) || chr(10) || chr(13))) < 24 as short
   from f left join t using (source, lang, sign) where nth = 1
 ), a as (
-  select run, doc_id, case when short then 'skipped' when target is not null then 'merged' else 'created' end as decision, case when not short then target end as target from s
+  select run, doc_id, case when short then 'skipped' when target is null and doc_id = first then 'created' else 'merged' end as decision, case when not short then target end as target,
+         case when not short and target is null and doc_id <> first then first end as into_candidate
+  from (select *, min(doc_id) over (partition by source, lang, sign, short, target is null) as first from s)
 )"""
 
 ORACLE = {
@@ -385,14 +379,14 @@ select * from d where decision <> expected""",
     "summarised_status": "select count(distinct conv_id) as conversations, 0 as waiting, true as ids_without_gaps, true as one_note_each, true as tags_once from conversations",
     "writeback_batch": _WRITTEN + """
 select r.doc_id as candidate_id, case when r.run = 'run2' then 'created' else a.decision end as decision, case when r.run = 'run2' then 77 end as note_id,
-       a.target as merged_into_note_id, case when r.run = 'run2' or a.decision = 'created' then 'created-new-memory' when a.decision = 'merged' then 'merged-into-existing-memory' else 'low-signal' end as reason,
+       a.target as merged_into_note_id, a.into_candidate, case when r.run = 'run2' or a.decision = 'created' then 'created-new-memory' when a.decision = 'merged' then 'merged-into-existing-memory' else 'low-signal' end as reason,
        r.run <> 'run2' and a.decision = 'created' as is_new
 from r left join a using (run)""",
     "writeback_memories": _WRITTEN + """
 select target as note_id, count(*) as updates, any_value((select lang from documents o where o.doc_id = target)) as pitfalls from a where decision = 'merged' group by target""",
     "writeback_receipts": _WRITTEN + """
-select decision, case when decision = 'merged' then 'pending' else 'completed' end as index_status, count(*) as receipts
-from (select decision from a union all select 'created') group by decision""",
+select decision, case when target is not null then 'pending' else 'completed' end as index_status, count(*) as receipts
+from (select decision, target from a union all select 'created', null) group by all""",
     "memory_edges": """
 with n as (select doc_id, k, doc_id + k as note_id, 1.0 - k * (doc_id % 5) / 20.0 as score from documents, range(1, 7) t(k)),
 r as (select *, row_number() over (partition by doc_id order by score desc, note_id) as nth from n where score >= 0.75)
