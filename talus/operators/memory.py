@@ -201,6 +201,13 @@ def _first_matches(mine: DataFrame, existing: DataFrame, near: DataFrame | None)
     return met.groupBy("candidate_id").agg(F.min(F.struct(F.col("rank").cast("long").alias("rank"), "note_id")).alias("first"))
 
 
+def _taken_in(signed: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(candidate_id, _taken): the first found memory that has a signature of the candidate by taking in an earlier one."""
+    since = rows.where("best.made = 0").groupBy(F.col("best.id").alias("note_id"), *MATCH).agg(F.min("candidate_id").alias("_since"))
+    met = signed.join(near.select("candidate_id", "note_id", "rank"), "candidate_id").join(since, ["note_id", *MATCH]).where("_since < candidate_id")
+    return met.groupBy("candidate_id").agg(F.min(F.struct(F.lit(0).alias("made"), F.col("rank").cast("long").alias("rank"), F.col("note_id").alias("id"))).alias("_taken"))
+
+
 def _with_decision(rows: DataFrame, merged: Column) -> DataFrame:
     decision = F.when(F.col("_skip"), "skipped").when(merged, "merged").otherwise("created")
     reason = F.when(F.col("_skip"), "low-signal").when(merged, "merged-into-existing-memory").otherwise("created-new-memory")
@@ -211,7 +218,8 @@ def decide_batch(candidates: DataFrame, existing: DataFrame, near: DataFrame | N
     """candidates with decision, reason, target_note_id, target_candidate_id, as if written one after another by candidate_id.
 
     A memory that an earlier candidate created can be merged into by a later one (target_candidate_id), and one that took
-    in a candidate has its signatures too. With ``near``, memories of the batch count as found after those of ``near``.
+    in a candidate has its signatures too. With ``near``, memories of the batch count as found after those of ``near``;
+    as each candidate then has an order of its own, rounds grow with the length of the longest chain.
 
     What a candidate is merged into is the smallest of: its first existing match, itself, and what any earlier candidate
     with which it shares all of MATCH was merged into. So rounds of a running minimum by signature, each followed by a
@@ -227,21 +235,24 @@ def decide_batch(candidates: DataFrame, existing: DataFrame, near: DataFrame | N
     found = _first_matches(signed.drop("_range"), existing, near).select("candidate_id", F.struct(F.lit(0).alias("made"), F.col("first.rank").alias("rank"), F.col("first.note_id").alias("id")).alias("_found"))
     ids = signed.select("candidate_id").distinct()
     best = written(ids.join(found, "candidate_id", "left").select("candidate_id", F.least(own, "_found").alias("best")), "best")
+    start = best
     while True:
-        passed = F.when(F.col("best.made") == 1, F.col("best")) if near is not None else F.col("best")
-        rows = signed.join(best, "candidate_id").withColumn("_passed", passed)
+        rows = signed.join(best, "candidate_id").withColumn("_passed", F.when(F.col("best.made") == 1, F.col("best")) if near is not None else F.col("best"))
         before = Window.partitionBy(*MATCH, "_range").orderBy("candidate_id").rowsBetween(Window.unboundedPreceding, -1)
         ranges = rows.groupBy(*MATCH, "_range").agg(F.min("_passed").alias("_least"))
         earlier = Window.partitionBy(*MATCH).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # at most RANGES rows
         ranges = ranges.select(*MATCH, "_range", F.min("_least").over(earlier).alias("_earlier"))
         prior = rows.withColumn("_before", F.min("_passed").over(before)).join(ranges, [*MATCH, "_range"]).groupBy("candidate_id").agg(F.min(F.least("_before", "_earlier")).alias("_prior"))
-        step = best.join(prior, "candidate_id").select("candidate_id", "best", F.least("best", "_prior").alias("next"))
-        step = written(step, "step")
-        then = step.select(F.col("candidate_id").alias("_of"), F.col("next").alias("_then"))
-        jumped = step.join(then, (step["next.made"] == 1) & (step["next.id"] == then["_of"]), "left").select("candidate_id", "best", F.least("next", "_then").alias("next"))
-        jumped = written(jumped, "best")
-        best = jumped.select("candidate_id", F.col("next").alias("best"))
-        if jumped.where("next <> best").isEmpty():
+        if near is not None:
+            after = start.join(prior, "candidate_id").join(_taken_in(signed, rows, near), "candidate_id", "left").select("candidate_id", F.least("best", "_prior", "_taken").alias("next"))
+            after = written(after, "step").join(best, "candidate_id")
+        else:
+            step = written(best.join(prior, "candidate_id").select("candidate_id", "best", F.least("best", "_prior").alias("next")), "step")
+            then = step.select(F.col("candidate_id").alias("_of"), F.col("next").alias("_then"))
+            after = step.join(then, (step["next.made"] == 1) & (step["next.id"] == then["_of"]), "left").select("candidate_id", "best", F.least("next", "_then").alias("next"))
+        after = written(after, "best")
+        best = after.select("candidate_id", F.col("next").alias("best"))
+        if after.where("next <> best").isEmpty():
             break
     out = left.join(best, "candidate_id", "left")
     made = F.col("best.made") == 1

@@ -206,7 +206,7 @@ def writeback_batch(spark, sf_dir):
     """The answer to each request: replayed, created, merged or skipped. New ids are numbered by key: ``into_candidate`` says whose memory was merged into."""
     answers, _, _ = _written_back(spark, sf_dir)
     made = (F.col("decision") == "created") & (F.col("note_id") != 77)
-    new = answers.where(made).select(F.col("note_id").alias("_new"), F.col("candidate_id").alias("into_candidate"))
+    new = answers.where(made).groupBy(F.col("note_id").alias("_new")).agg(F.min("candidate_id").alias("into_candidate"))
     rows = answers.join(new, answers["merged_into_note_id"] == new["_new"], "left")
     return rows.select(
         "candidate_id", "decision", F.when(~made, F.col("note_id")).alias("note_id"), F.when(F.col("_new").isNull(), F.col("merged_into_note_id")).alias("merged_into_note_id"), "into_candidate",
@@ -383,7 +383,7 @@ select r.doc_id as candidate_id, case when r.run = 'run2' then 'created' else a.
        r.run <> 'run2' and a.decision = 'created' as is_new
 from r left join a using (run)""",
     "writeback_memories": _WRITTEN + """
-select target as note_id, count(*) as updates, any_value((select lang from documents o where o.doc_id = target)) as pitfalls from a where decision = 'merged' group by target""",
+select target as note_id, count(*) as updates, any_value((select lang from documents o where o.doc_id = target)) as pitfalls from a where target is not null group by target""",
     "writeback_receipts": _WRITTEN + """
 select decision, case when target is not null then 'pending' else 'completed' end as index_status, count(*) as receipts
 from (select decision, target from a union all select 'created', null) group by all""",

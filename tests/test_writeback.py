@@ -17,7 +17,7 @@ def one_at_a_time(requests, stored, near=None):
     known = {("old", n): (p, norm(c), norm(f), set(s)) for n, p, c, f, s in stored}
     order, answers = sorted(known), {}
     for i, p, c, f, signs, summary in sorted(requests):
-        if len(summary) < 24:
+        if len(summary) < 24 or not (norm(c) or norm(f) or signs):
             answers[i] = ("skipped", None)
             continue
         pool = order if near is None else [("old", n) for n in near.get(i, [])] + [m for m in order if m[0] == "new"]
