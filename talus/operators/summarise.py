@@ -14,8 +14,8 @@ from talus.operators import gate
 from talus.operators.chunks import chunk
 from talus.operators.graph import KEY, add_relations, discovered
 from talus.operators.notes import embedding_text, unsummarised
-from talus.operators.turns import transcripts
-from talus.operators.vectors import embed, swapped_chunks, top_chunks_of_many
+from talus.operators.turns import meaningful, transcripts
+from talus.operators.vectors import VectorIndex, embed, swapped_chunks, top_chunks_of_many
 from talus.store import upsert, with_new_ids
 
 #: A judge gives the five dimensions of a transcript; a summariser a dict with title, summary, conclusions and tags.
@@ -53,12 +53,21 @@ def summaries(texts: DataFrame, summarise: Summariser) -> DataFrame:
     return texts.select("conversation_id", "transcript").mapInPandas(run, SUMMARY)
 
 
+#: Why a conversation in which nobody says anything ends in error.
+NO_TEXT = "no meaningful messages in conversation"
+
+
+def without_text(conversations: DataFrame, messages: DataFrame) -> DataFrame:
+    """Conversations that have no message, or none but calls of tools."""
+    return conversations.join(meaningful(messages).select(F.col("conversation_id").alias("id")), "id", "left_anti")
+
+
 def summarise_all(
     conversations: DataFrame, messages: DataFrame, notes: DataFrame, judge: Judge, summarise: Summariser, written: Callable[[DataFrame], DataFrame], budget: int = 32_000
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(conversations, new notes, their tags) after all conversations that wait for it.
 
-    Conversations that have a note are left alone. The lexical prefilter comes before the judge, the judge before the
+    Conversations that have a note are left alone, and those without a meaningful message end in error. The lexical prefilter comes before the judge, the judge before the
     summary, so a model only ever sees what is left; ``written`` cuts lineage after each model, so none is asked twice.
     notes: conversation_id and id; new ids go on from the largest.
     """
@@ -74,7 +83,9 @@ def summarise_all(
     new = made.select("id", "conversation_id", "title", "summary", "key_conclusions", F.lit("pending").alias("embedding_status"))
     tags = made.select(F.col("id").alias("note_id"), F.explode(normalised_tags(F.col("tags"))).alias("tag"))
     marked = gate.mark_filtered(conversations, decisions)
+    silent = without_text(waiting, messages).select("id", F.lit("error").alias("_status"), F.lit(NO_TEXT).alias("_why")).toDF("_id", "_status", "_why")
     state = done.select(F.col("conversation_id").alias("_id"), F.when(F.col("failed").isNull(), "summarized").otherwise("error").alias("_status"), F.col("failed").alias("_why"))
+    state = state.unionByName(silent)
     out = marked.join(state, marked.id == state["_id"], "left")
     changed = {"status": F.coalesce("_status", "status"), "experience_gate_reason": F.coalesce("_why", "experience_gate_reason")}
     return out.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in marked.columns)), new, tags
@@ -119,12 +130,14 @@ def reset_errors(conversations: DataFrame) -> DataFrame:
     return conversations.withColumn("status", F.when(F.col("status") == "error", "imported").otherwise(F.col("status")))
 
 
-def relation_candidates(notes: DataFrame, title_vectors: DataFrame, chunks: DataFrame, most: int = CANDIDATES) -> DataFrame:
+def relation_candidates(notes: DataFrame, title_vectors: DataFrame, chunks: DataFrame, most: int = CANDIDATES, index: VectorIndex | None = None) -> DataFrame:
     """(source_note_id, target_note_id): for each note (query_id, vector) the notes its title is most similar to.
 
-    A note that finds none but itself takes the latest others instead.
+    A note that finds none but itself takes the latest others instead. With an ``index`` of the chunks only the lists
+    near a title are looked at; without, all chunks are, which is the product of titles and chunks.
     """
-    near = top_chunks_of_many(chunks, title_vectors, most).where("note_id <> query_id").select(F.col("query_id").alias("source_note_id"), F.col("note_id").alias("target_note_id")).distinct()
+    found = index.search(title_vectors, most) if index is not None else top_chunks_of_many(chunks, title_vectors, most)
+    near = found.where("note_id <> query_id").select(F.col("query_id").alias("source_note_id"), F.col("note_id").alias("target_note_id")).distinct()
     alone = title_vectors.select(F.col("query_id").alias("source_note_id")).join(near.select("source_note_id"), "source_note_id", "left_anti")
     latest = notes.orderBy(F.col("created_at").desc_nulls_last(), "id").limit(most + 1).select(F.col("id").alias("target_note_id"))
     # At most ``most`` + 1 rows against the notes that found nothing.

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions.text import round_up_ties
 from talus.operators.notes import tags_of_notes
+from talus.shared import written
 
 DECAY = 0.7
 LEAST_CONFIDENCE = 0.5
@@ -45,8 +49,9 @@ def top_chunks(chunks: DataFrame, query: Sequence[float], k: int = 10) -> DataFr
 def top_chunks_of_many(chunks: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """Top k chunks of each of many queries (query_id, vector): query_id, note_id, chunk_index, score, rank.
 
-    Queries are a stated set, taken in blocks, one scan of the chunks each: a block is sent to the tasks, scored there by
-    matrix products, and leaves k rows a query and batch, of which a window keeps the best.
+    Queries are a stated set, taken in blocks, one scan of the chunks each: a block is sent to the tasks and scored there by
+    matrix products. A task keeps the k best of each query across its batches, so it leaves k rows a query, of which a
+    window keeps the best. This is exact, and the product of both sides; ``VectorIndex`` looks at parts of the chunks only.
     """
     out = None
     rows = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
@@ -61,25 +66,154 @@ def top_chunks_of_many(chunks: DataFrame, queries: DataFrame, k: int = 10, block
     return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+class BestHits:
+    """The k best chunks of each of a block of queries so far, ties by note and chunk."""
+
+    def __init__(self, queries: np.ndarray, k: int):
+        self.queries, self.k = unit(queries), k
+        self.least = np.full(len(queries), -np.inf)
+        self.rows = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64)]  # query, score, note, chunk
+
+    def add(self, vectors: np.ndarray, notes: np.ndarray, places: np.ndarray) -> None:
+        """Score a batch; only what reaches a query's k-th best so far is looked at again."""
+        for at in range(0, len(self.queries), SCORED):
+            scores = self.queries[at : at + SCORED] @ unit(vectors).T
+            floor = self.least[at : at + SCORED]
+            if scores.shape[1] > self.k:  # what k of this batch beat can't stay
+                floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
+            q, c = np.nonzero(scores >= floor[:, None])
+            new = (q + at, scores[q, c], notes[c], places[c])
+            self.rows = [np.concatenate(x) for x in zip(self.rows, new, strict=True)]
+        self._trim()
+
+    def _trim(self) -> None:
+        q, score, note, place = self.rows
+        order = np.lexsort((place, note, -score, q))
+        q = q[order]
+        first = np.searchsorted(q, np.arange(len(self.queries)))
+        keep = np.arange(len(q)) - first[q] < self.k
+        self.rows = [r[order][keep] for r in self.rows]
+        last = np.searchsorted(self.rows[0], np.arange(len(self.queries)), "right")
+        full = last - np.searchsorted(self.rows[0], np.arange(len(self.queries))) == self.k
+        self.least[full] = self.rows[1][last[full] - 1]
+
+
+def unit(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
 def _block_scores(ids: list[int], vectors: list[list[float]], k: int) -> Callable:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        q = np.array(vectors, dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+        best = BestHits(np.array(vectors, dtype=np.float64), k)
         for batch in batches:
-            if not len(batch):
-                continue
-            v = np.array(batch["vector"].tolist(), dtype=np.float64)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-            for query_id, row in ((ids[at + n], r) for at in range(0, len(q), SCORED) for n, r in enumerate(q[at : at + SCORED] @ v.T)):
-                least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                best = np.flatnonzero(row >= least)  # all that tie at the edge
-                yield pd.DataFrame({"query_id": query_id, "note_id": batch["note_id"].to_numpy()[best], "chunk_index": batch["chunk_index"].to_numpy()[best], "score": row[best]})
+            if len(batch):
+                best.add(_matrix(batch["vector"]), batch["note_id"].to_numpy(), batch["chunk_index"].to_numpy())
+        q, score, note, place = best.rows
+        yield pd.DataFrame({"query_id": np.array(ids, np.int64)[q], "note_id": note, "chunk_index": place.astype(np.int32), "score": score})
 
     return run
 
 
+#: Vectors that centres are fitted on, at most; all chunks are indexed.
+SAMPLE = 50_000
+#: Stored vectors, at most, that are asked for to find how many lists a query must look at.
+TRIED = 128
+#: Chunks, and queries, of a piece of a list: what a task scores at a time.
+PIECE = 8192
+
+
+class VectorIndex:
+    """Chunks in lists by their nearest centre, a list in pieces of about PIECE chunks: a query looks at its nearest lists only.
+
+    Centres are fitted on a sample of at most SAMPLE vectors; every chunk is in a list. ``lists`` is twice the square root
+    of their number where not given. A list that holds a third of all chunks is cut into pieces like any other.
+    ``probes``, the lists that a query looks at, are as many as the exact nearest of TRIED stored vectors need for a share
+    of ``recall`` of them: few where vectors lie in clusters, half of the lists where they lie at random.
+    """
+
+    def __init__(self, centres: np.ndarray, chunks: DataFrame, sizes: DataFrame, probes: int):
+        self.centres, self.chunks, self.sizes, self.probes = centres, chunks, sizes, probes
+
+    @classmethod
+    def build(cls, chunks: DataFrame, lists: int | None = None, recall: float = 0.95, seed: int = 7) -> VectorIndex:
+        total = chunks.count()
+        lists = min(lists or max(1, round(2 * total**0.5)), 4096, max(1, total))
+        share = min(1.0, SAMPLE / max(1, total))
+        sample = chunks.select("vector") if share == 1.0 else chunks.select("vector").sample(share, seed)
+        points = sample.where("vector is not null").limit(SAMPLE).select(array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
+        centres = np.zeros((1, 1))
+        if total:
+            model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine", initMode="random").fit(_not_zero(points))
+            centres = unit(np.array(model.clusterCenters()))
+        placed = _with_lists(chunks, centres, 1, "vector", "note_id long, chunk_index int").withColumnRenamed("list", "_list")
+        placed = written(placed, "vector-lists")
+        sizes = placed.groupBy("_list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_pieces"))
+        cut = placed.join(sizes, "_list").withColumn("_piece", F.pmod(F.xxhash64("note_id", "chunk_index"), F.col("_pieces")).cast("int"))
+        cut = written(cut.drop("_pieces"), "vector-index")
+        tried = chunks.where("vector is not null").select("vector").sample(min(1.0, 2 * TRIED / max(1, total)), seed).limit(TRIED).collect()
+        return cls(centres, cut, written(sizes, "list-sizes"), _lists_needed(cut, centres, [list(r.vector) for r in tried], recall))
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
+        """Top k chunks of each query (query_id, vector) among those of its ``probes`` nearest lists: query_id, note_id, chunk_index, score, rank.
+
+        ``probes`` is what the index has measured where not given; with all lists the result is exact.
+        """
+        probes = min(len(self.centres), probes or self.probes)
+        asked = _with_lists(queries, self.centres, probes, "vector", "query_id long").withColumnRenamed("list", "_list")
+        asked = asked.join(self.sizes, "_list").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
+        per = asked.groupBy("_list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_parts"))  # a piece's queries are dealt out too
+        asked = asked.join(per, "_list").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")).drop("_parts")
+        held = self.chunks.join(per, "_list").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+
+        def scored(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+            if not len(mine) or not len(near):
+                return pd.DataFrame({"query_id": [], "note_id": [], "chunk_index": [], "score": []})
+            best = BestHits(_matrix(mine["vector"]), k)
+            best.add(_matrix(near["vector"]), near["note_id"].to_numpy(), near["chunk_index"].to_numpy())
+            q, score, note, place = best.rows
+            return pd.DataFrame({"query_id": mine["query_id"].to_numpy()[q], "note_id": note, "chunk_index": place.astype(np.int32), "score": score})
+
+        keys = ["_list", "_piece", "_part"]
+        hits = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(scored, "query_id long, note_id long, chunk_index int, score double")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "note_id", "chunk_index"))
+        return hits.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _lists_needed(chunks: DataFrame, centres: np.ndarray, vectors: list[list[float]], recall: float, k: int = 10) -> int:
+    """How many of its nearest lists a query must look at, so that they hold a share ``recall`` of the exact k nearest of the given vectors."""
+    if not vectors:
+        return len(centres)
+    asked = chunks.sparkSession.createDataFrame(list(enumerate(vectors)), "query_id long, vector array<double>")
+    exact = top_chunks_of_many(chunks.select("note_id", "chunk_index", "vector"), asked, k)
+    where = exact.join(chunks.select("note_id", "chunk_index", "_list"), ["note_id", "chunk_index"]).select("query_id", "_list").collect()  # TRIED * k rows
+    nearness = np.argsort(np.argsort(-(unit(np.array(vectors, dtype=np.float64)) @ centres.T), axis=1, kind="stable"), axis=1)
+    places = np.sort([nearness[r.query_id, r["_list"]] for r in where])
+    return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) + 1 if len(places) else len(centres)
+
+
+def _not_zero(points: DataFrame) -> DataFrame:
+    """Rows whose vector has a direction; cosine distance knows no other."""
+    return points.where(F.exists(vector_to_array("features"), lambda x: x != 0))
+
+
+def _with_lists(rows: DataFrame, centres: np.ndarray, probes: int, vector: str, columns: str) -> DataFrame:
+    """``columns``, vector and list: one row for each of the ``probes`` centres nearest to the row's vector."""
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                near = np.argsort(-(unit(_matrix(batch[vector])) @ centres.T), axis=1, kind="stable")[:, :probes]
+                out = batch.loc[batch.index.repeat(probes)].reset_index(drop=True)
+                yield out.assign(list=near.reshape(-1).astype(np.int32))[[*names, "vector", "list"]]
+
+    return rows.where(F.col(vector).isNotNull()).select(*names, F.col(vector).alias("vector")).mapInPandas(run, f"{columns}, vector array<double>, list int")
+
+
 def direct_hits(hits: DataFrame, notes: DataFrame) -> DataFrame:
     """Best chunk of each note that is there and embedded: hits' columns with a new rank over notes.
 

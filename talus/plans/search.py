@@ -17,6 +17,22 @@ def knn_topk(spark, sf_dir):
     return vectors.top_chunks(chunks(spark, sf_dir), QUERY, K).select("note_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
 
 
+def _titles(spark, sf_dir):
+    """The first chunk of every tenth note, as a stated set of queries: those of vectors whose id is divisible by 20."""
+    return chunks(spark, sf_dir).where("chunk_index = 0 and note_id % 10 = 0").select(F.col("note_id").alias("query_id"), "vector")
+
+
+def knn_of_many(spark, sf_dir):
+    """The ten chunks nearest to each title, by one scan."""
+    return vectors.top_chunks_of_many(chunks(spark, sf_dir), _titles(spark, sf_dir), 10).select("query_id", "note_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+
+
+def knn_of_many_indexed(spark, sf_dir):
+    """The same by an index that looks at all its lists, which is exact."""
+    index = vectors.VectorIndex.build(chunks(spark, sf_dir))
+    return index.search(_titles(spark, sf_dir), 10, probes=len(index.centres)).select("query_id", "note_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
+
+
 def knn_dedupe(spark, sf_dir):
     hits = vectors.direct_hits(vectors.top_chunks(chunks(spark, sf_dir), QUERY, K), vector_notes(spark, sf_dir))
     return hits.select("note_id", "chunk_index", F.round("score", 6).alias("score"), "rank")
@@ -142,8 +158,16 @@ with bridge as (
 )
 """
 
+_MANY = """
+with v as (select vec_id // 2 as note_id, (vec_id % 2)::int as chunk_index, embedding::double[] as x from embeddings),
+q as (select note_id as query_id, x from v where chunk_index = 0 and note_id % 10 = 0),
+s as (select query_id, note_id, chunk_index, coalesce(list_dot_product(q.x, v.x) / nullif(sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(v.x, v.x)), 0), 0) as score from q, v)
+select query_id, note_id, chunk_index, round(score, 6) as score, (row_number() over (partition by query_id order by score desc, note_id, chunk_index))::int as rank from s qualify rank <= 10"""
+
 ORACLE = {
     "knn_topk": VECTORS + "select note_id, chunk_index, round(score, 6) as score, rank from hits",
+    "knn_of_many": _MANY,
+    "knn_of_many_indexed": _MANY,
     "knn_dedupe": VECTORS + "select note_id, chunk_index, round(score, 6) as score, rank from direct",
     "knn_expand": VECTORS + """
 , near as (
@@ -188,7 +212,7 @@ from documents join t on note_id = doc_id""",
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_topk, knn_dedupe, knn_expand, recall_buckets, graph_degree, graph_edges_filtered, neighbours_bidir, no_outgoing_anti, project_colours, tag_counts, tag_semi,
+        knn_topk, knn_of_many, knn_of_many_indexed, knn_dedupe, knn_expand, recall_buckets, graph_degree, graph_edges_filtered, neighbours_bidir, no_outgoing_anti, project_colours, tag_counts, tag_semi,
         note_tags_array, paged_notes, latest_n, status_summary, embedding_texts,
     )
 }
