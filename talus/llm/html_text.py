@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from talus.llm.common import text_batches
 from talus.llm.trees import tree_column
 
-#: One piece of markup: comment, declaration, tag with quoted values, or text.
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|[^<]+|<", re.DOTALL)
+#: One piece of markup: comment, declaration, tag whose values are quoted right after the equals sign or not at all, or text.
+PIECE = re.compile(
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|=\s*[^\s\"'>][^\s>]*|[\"'=])*+)(?:>|\Z)|[^<]+|<", re.DOTALL)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 #: An element that closes itself; a slash at the end of an unquoted value, as of a link, is part of the value.
 CLOSED = re.compile(r"(?:^|[\s\"'])/$")
@@ -42,12 +44,21 @@ INLINE = {
 }
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Regions by tag and by the words of class, id and role.
-MAIN_TAGS, BOILER_TAGS = {"article", "main"}, {"nav", "footer", "aside", "form", "header", "button", "fieldset", "dialog", "menu", "head"}
+MAIN_TAGS, BOILER_TAGS = {"article", "main"}, {"nav", "footer", "aside", "header", "button", "fieldset", "dialog", "menu", "head"}
+#: What may stand in a head: any other tag ends it, whether its end tag is there or not.
+HEAD_TAGS = {"title", "meta", "link", "script", "style", "base", "noscript", "template", "head"}
+#: Tags that hold an article's own text: a name makes them a doubtful part of it, not boilerplate.
+TEXT_TAGS = {"p", "blockquote", "q", "pre", "figure", "figcaption", "table", "dl"}
+#: Words at the start or end of a name by which it says how something is shown or filed, not what it is.
+FILED, STATES = {"has", "with", "without", "no", "is", "tag", "category", "format", "type", "status", "show", "hide"}, {
+    "open", "opened", "close", "closed", "active", "inactive", "enabled", "disabled", "visible", "expanded", "collapsed", "loaded", "fixed", "sticky", "on", "off"}
+#: What makes social a name of buttons; beside any other word it is a subject.
+SOCIAL = {"social", "media", "share", "sharing", "links", "link", "icons", "icon", "buttons", "button", "bar", "follow", "nav", "menu", "list"}
 MAIN_NAMES = {"article", "main", "content", "post", "entry", "story", "body", "text"}
 BOILER_NAMES = {
     "ad", "ads", "adv", "advert", "advertisement", "sponsor", "sponsored", "promo", "promoted", "nav", "navbar", "navigation", "menu",
     "breadcrumb", "breadcrumbs", "footer", "masthead", "topbar", "sidebar", "cookie", "cookies", "consent",
-    "popup", "modal", "overlay", "subscribe", "newsletter", "signup", "login", "sharing", "social", "related", "recommended", "comment",
+    "popup", "modal", "overlay", "subscribe", "newsletter", "signup", "login", "sharing", "related", "recommended", "comment",
     "comments", "replies", "respond", "disqus", "toolbar", "pagination", "pager", "copyright", "gdpr", "complementary", "contentinfo",
 }
 #: Names that also occur on parts of an article: there they only are a hint, and so they are beside a main name.
@@ -56,25 +67,43 @@ FEATURES = ("words", "links", "words_before", "links_before", "words_after", "li
 BLOCK_TYPE = "struct<text:string," + ",".join(f"{n}:double" for n in FEATURES) + ">"
 
 
+def _names(value: str) -> tuple[bool, bool, bool]:
+    """Whether the words of a class, id or role name boilerplate, something doubtful, main text. A word counts as a whole token says it."""
+    boiler = weak = main = False
+    for token in value.split():
+        parts = [w.lower() for w in NAME_PART.findall(token)]
+        if len(parts) > 1 and (parts[0] in FILED or parts[-1] in STATES):
+            continue
+        own = set(parts)
+        bad = bool(own & BOILER_NAMES) or "social" in own and own <= SOCIAL
+        boiler |= bad
+        weak |= bool(own & WEAK_NAMES)
+        main |= bool(own & MAIN_NAMES) and not bad
+    return boiler, weak, main
+
+
 def _region(tag: str, attributes: str) -> str:
-    """'boiler', 'weak', 'main', 'hidden' or '' for what a tag says of its contents."""
+    """'boiler', 'form', 'weak', 'main', 'article', 'hidden' or '' for what a tag says of its contents."""
+    plain = "boiler" if tag in BOILER_TAGS else "form" if tag == "form" else "article" if tag in MAIN_TAGS else ""
     if not attributes.strip():
-        return "boiler" if tag in BOILER_TAGS else "main" if tag in MAIN_TAGS else ""
-    names: set[str] = set()
+        return plain
+    values = []
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return "hidden"
         if key in ("class", "id", "role"):
-            names |= {w.lower() for w in NAME_PART.findall(value)}
-    if tag in BOILER_TAGS:
-        return "boiler"
-    if tag not in MAIN_TAGS and tag not in ("body", "html"):
-        if names & BOILER_NAMES:
-            return "boiler"
-        if names & WEAK_NAMES:
-            return "" if names & MAIN_NAMES else "weak"
-    return "main" if tag in MAIN_TAGS or names & MAIN_NAMES else ""
+            values.append(value)
+    boiler, weak, main = _names(" ".join(values))
+    if plain == "boiler" or tag in ("body", "html", "main"):
+        return plain or ("main" if main else "")
+    if tag == "article":
+        return "boiler" if boiler and not main else "article"
+    if boiler:
+        return "weak" if tag in TEXT_TAGS else "boiler"
+    if weak:
+        return "" if main else "weak"
+    return plain or ("main" if main else "")
 
 
 class _Open:
@@ -85,12 +114,16 @@ class _Open:
         self.tags: Counter[str] = Counter()
         self.regions: Counter[str] = Counter()
         self.headings = 0
+        #: Of those that decide for all inside them, from the outermost: which, and how many doubtful ones are round it.
+        self.decisive: list[tuple[str, int, int]] = []
 
     def enter(self, tag: str, region: str) -> None:
         self.stack.append((tag, region))
         self.tags[tag] += 1
         self.regions[region] += 1
         self.headings += tag in HEADINGS
+        if region in ("boiler", "article"):
+            self.decisive.append((region, self.regions["weak"], self.regions["form"]))
 
     def leave(self, tag: str) -> None:
         """Close the innermost element of a tag and all inside it; a tag that isn't open closes nothing."""
@@ -99,15 +132,28 @@ class _Open:
             self.tags[name] -= 1
             self.regions[region] -= 1
             self.headings -= name in HEADINGS
+            if region in ("boiler", "article"):
+                self.decisive.pop()
             if name == tag:
                 return
 
     def region(self) -> float:
-        """-1 boilerplate, -0.5 perhaps, 0 unknown, 0.5 a part of the main text that may be none, 1 main text."""
-        if self.regions["boiler"]:
+        """-1 boilerplate, -0.5 perhaps, 0 unknown, 0.5 a part of the main text that may be none, 1 main text.
+
+        The innermost of boilerplate and main tags decides; a name of main text inside boilerplate doesn't.
+        """
+        kind, weak, _ = self.decisive[-1] if self.decisive else ("", 0, 0)
+        if kind == "boiler":
             return -1.0
-        main = self.regions["main"] > 0
-        return (0.5 if main else -0.5) if self.regions["weak"] else float(main)
+        main = kind == "article" or self.regions["main"] > 0
+        return (0.5 if main else -0.5) if self.regions["weak"] > weak else float(main)
+
+    def in_form(self) -> bool:
+        """Whether a form is round this place, inside what decides for it."""
+        return self.regions["form"] > (self.decisive[-1][2] if self.decisive else 0)
+
+    def inside_main(self) -> bool:
+        return self.regions["main"] > 0 or self.regions["article"] > 0
 
 
 def blocks(page: str) -> list[tuple]:
@@ -115,7 +161,7 @@ def blocks(page: str) -> list[tuple]:
 
     Time grows with the page's length only: neither deep nesting nor unclosed elements are walked again for each block.
     """
-    out: list[tuple[str, int, int, float, int, int]] = []  # text, words, linked words, region, heading, list
+    out: list[tuple[str, int, int, float, int, int, bool]] = []  # text, words, linked words, region, heading, list, in a form
     now, text, unclosed = _Open(), [], set()
     linked, kind = 0, ""
 
@@ -124,7 +170,7 @@ def blocks(page: str) -> list[tuple]:
         if text:
             words = html.unescape("".join(text)).split()
             if words and not now.regions["hidden"]:
-                out.append((" ".join(words), len(words), min(linked, len(words)), now.region(), int(kind in HEADINGS or now.headings > 0), int(now.tags["li"] > 0)))
+                out.append((" ".join(words), len(words), min(linked, len(words)), now.region(), int(kind in HEADINGS or now.headings > 0), int(now.tags["li"] > 0), now.in_form()))
             text.clear()
         linked = 0
 
@@ -137,6 +183,8 @@ def blocks(page: str) -> list[tuple]:
             piece = m[0]
             if piece[0] == "<" and len(piece) > 1:
                 continue
+            if now.tags["head"] and not piece.isspace():
+                now.leave("head")
             if not now.regions["hidden"]:
                 text.append(piece)
                 if now.tags["a"]:
@@ -152,6 +200,9 @@ def blocks(page: str) -> list[tuple]:
             continue
         if tag in FOREIGN and m[0].endswith("/>"):
             continue
+        if now.tags["head"] and tag not in HEAD_TAGS:
+            flush()
+            now.leave("head")
         if tag in RAW or tag in EMBEDDED and tag not in unclosed:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             if close or tag in RAW:
@@ -176,13 +227,17 @@ def blocks(page: str) -> list[tuple]:
             elif tag not in HEADINGS and "p" in near:
                 now.leave("p")
         region = _region(tag, m[3] or "")
-        if region == "boiler" and tag == "header" and now.regions["main"]:
+        if region == "boiler" and tag == "header" and now.inside_main():
             region = ""  # the heading of the article itself
         if not CLOSED.search(m[3] or ""):
             now.enter(tag, region)
     flush()
     rows = []
-    for k, (words, n, l, region, head, item) in enumerate(out):
+    # A form round most of the page's text is the page, and words and links decide; any other holds no text of it.
+    free, formed = (sum(b[1] for b in out if b[3] > -1 and b[6] == f) for f in (False, True))
+    for k, (words, n, l, region, head, item, form) in enumerate(out):
+        if form and formed <= free:
+            region = -1.0
         before, after = (out[j][1:3] if 0 <= j < len(out) else (0, 0) for j in (k - 1, k + 1))
         marks = sum(words.count(c) for c in ".!?")
         rows.append((
