@@ -8,6 +8,7 @@ verified by an alignment that stays inside the band.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,9 @@ STEP = 0x9E3779B97F4A7C15
 #: log2 of the slots of the first, approximate test of a q-gram.
 SLOTS = 22
 #: Text places that are looked at together.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
+#: Cells of bands that are aligned together.
+CELLS = 1 << 19
 
 
 def normalised(text: str) -> str:
@@ -61,23 +64,52 @@ class Grams:
         self.q = q
         parts = [(g, np.full(len(g), k, np.int64), np.arange(len(g))) for k, g in ((k, grams(p, q)) for k, p in items)]
         h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.place = h[order], item[order].astype(np.int32), place[order].astype(np.int32)
+        order = np.lexsort((place, item, h))
+        h, item, place = h[order], item[order], place[order]
+        # Places of a q-gram that overlaps itself, as in rulers, are one range: each of them is taken to have it.
+        new = np.ones(len(h), dtype=bool)
+        new[1:] = (h[1:] != h[:-1]) | (item[1:] != item[:-1]) | (place[1:] - place[:-1] >= q)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(h)) - 1
+        self.hash, self.item, self.place, self.until = h[first], item[first].astype(np.int32), place[first].astype(np.int32), place[last].astype(np.int32)
         self.slots = np.zeros(1 << SLOTS, dtype=bool)
         self.slots[(self.hash >> np.uint64(64 - SLOTS)).astype(np.int64)] = True
 
-    def shared(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of each q-gram that the text shares with an item."""
-        item, diagonal = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    def shared(self, points: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, half band, count): how many q-grams the text shares with an item in each ``width`` of diagonals, at most.
+
+        The text is counted a block at a time and ranges of places by half bands, so what is held grows with the half
+        bands that have any, however often a q-gram repeats.
+        """
+        sums = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for at in range(0, max(0, len(points) - self.q + 1), BLOCK):
             g = grams(points[at : at + BLOCK + self.q - 1], self.q)
             maybe = np.flatnonzero(self.slots[(g >> np.uint64(64 - SLOTS)).astype(np.int64)])
             lo = np.searchsorted(self.hash, g[maybe], "left")
             n = np.searchsorted(self.hash, g[maybe], "right") - lo
             k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            item.append(self.item[k].astype(np.int64))
-            diagonal.append(np.repeat(maybe + at, n) - self.place[k])
-        return np.concatenate(item), np.concatenate(diagonal)
+            item, here = self.item[k].astype(np.int64), np.repeat(maybe + at, n)
+            low, high = here - self.until[k], here - self.place[k]  # diagonals, both included
+            w = width[item]
+            half, end = low // w, high // w
+            while len(half):
+                count = np.minimum(high, (half + 1) * w - 1) - np.maximum(low, half * w) + 1
+                sums.append(_summed(item, half, count))
+                more = half < end
+                item, half, end, low, high, w = item[more], half[more] + 1, end[more], low[more], high[more], w[more]
+            if len(sums) > 64:
+                sums = [_summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))]
+        return _summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+
+
+def _summed(item: np.ndarray, half: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts summed by item and half band, in order of both."""
+    if not len(item):
+        return item, half, count
+    order = np.lexsort((half, item))
+    item, half, count = item[order], half[order], count[order]
+    first = np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (half[1:] != half[:-1])]))
+    return item[first], half[first], np.add.reduceat(count, first)
 
 
 class Items:
@@ -100,40 +132,47 @@ class Items:
 
     def candidates(self, points: np.ndarray) -> list[tuple[int, int, int]]:
         """(item, lowest, highest diagonal) of bands with enough shared q-grams, for each item those with most first."""
-        found = [g.shared(points) for g in self.grams]
-        if not sum(len(k) for k, _ in found):
-            return []
-        item, diagonal = (np.concatenate(x) for x in zip(*found, strict=True))
-        enough = np.bincount(item, minlength=len(self.need)) >= self.need  # no band has more than all its item's
-        if not enough.any():
-            return []
-        item, diagonal = item[enough[item]], diagonal[enough[item]]
-        if not len(item):
+        found = [g.shared(points, self.edits + 1) for g in self.grams]
+        if not sum(len(k) for k, _, _ in found):
             return []
-        width = self.edits[item] + 1
-        band = np.floor_divide(diagonal, width)
-        # Band b holds diagonals b*width to (b+2)*width - 1, so each shared q-gram counts in two bands.
-        key = np.concatenate([np.stack([item, band]), np.stack([item, band - 1])], axis=1)
-        order = np.lexsort((key[1], key[0]))
-        key = key[:, order]
-        first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-        count = np.diff(np.append(first, key.shape[1]))
-        good = np.flatnonzero(count >= self.need[key[0, first]])
-        good = first[good[np.argsort(-count[good], kind="stable")]]
-        return [(int(k), int(b * (self.edits[k] + 1)), int((b + 2) * (self.edits[k] + 1) - 1)) for k, b in key[:, good].T]
+        item, half, count = (np.concatenate(x) for x in zip(*found, strict=True))
+        enough = np.bincount(item, weights=count, minlength=len(self.need)) >= self.need  # no band has more than all its item's
+        chosen = enough[item]
+        # Band b holds half bands b and b + 1, so each shared q-gram counts in two bands.
+        item, half, count = item[chosen], half[chosen], count[chosen]
+        item, band, count = _summed(np.concatenate([item, item]), np.concatenate([half, half - 1]), np.concatenate([count, count]))
+        good = np.flatnonzero(count >= self.need[item])
+        good = good[np.argsort(-count[good], kind="stable")]
+        return [(k, b * (e + 1), (b + 2) * (e + 1) - 1) for k, b, e in zip(item[good].tolist(), band[good].tolist(), self.edits[item[good]].tolist(), strict=True)]
 
     def find(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, end, edits) in a normalised text; of overlapping places of one item, the best."""
         points = codes(text)
         hits: dict[int, list[tuple[int, int, int]]] = {}
+        whole: dict[int, list[int]] = {}
+        bands: dict[int, list[tuple[int, int]]] = {}
         for k, low, high in self.candidates(points):
-            e = int(self.edits[k])
-            own = hits.setdefault(k, [])
-            if any(edits == 0 and low <= start <= high for edits, start, _ in own):
+            starts = whole.setdefault(k, [])
+            place = bisect_left(starts, low)
+            if place < len(starts) and starts[place] <= high:
                 continue  # nothing in this band is better
-            got = exact(self.points[k], points, low, high) or banded(self.points[k], points, low - e, high + e, e)
-            if got:
-                own.append(got)
+            if got := exact(self.points[k], points, low, high):
+                hits.setdefault(k, []).append(got)
+                insort(starts, got[1])
+            else:
+                bands.setdefault(k, []).append((low, high))
+        for k, left in bands.items():
+            e = int(self.edits[k])
+            width = left[0][1] - left[0][0] + 2 * e + 1
+            step = max(1, CELLS // width)
+            for at in range(0, len(left), step):
+                alike: dict[bytes | int, list[int]] = {}  # bands over equal stretches of text are aligned once
+                for low in (low - e for low, _ in left[at : at + step]):
+                    end = low + width - 1 + len(self.points[k])
+                    alike.setdefault(points[low:end].tobytes() if low >= 0 and end <= len(points) else low, []).append(low)
+                lows = list(alike.values())
+                for row, edits, start, end in banded(self.points[k], points, [same[0] for same in lows], width, e):
+                    hits.setdefault(k, []).extend((edits, start + low - lows[row][0], end + low - lows[row][0]) for low in lows[row])
         for k in self.short:
             pattern = self.rows[k][1]
             at = text.find(pattern)
@@ -143,10 +182,11 @@ class Items:
                 at = text.find(pattern, at + 1)
         out = []
         for k, found in hits.items():
-            taken: list[tuple[int, int]] = []
-            for edits, start, end in sorted(found):
-                if all(end <= s or e <= start for s, e in taken):
-                    taken.append((start, end))
+            taken: list[tuple[int, int]] = []  # in order, none overlapping
+            for edits, start, end in sorted(set(found)):
+                place = bisect_left(taken, (start, end))
+                if (place == 0 or taken[place - 1][1] <= start) and (place == len(taken) or end <= taken[place][0]):
+                    taken.insert(place, (start, end))
                     out.append((self.rows[k][0], start, end, edits))
         return sorted(out, key=lambda x: (x[1], x[2], x[0]))
 
@@ -162,40 +202,42 @@ def exact(item: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int,
     return None
 
 
-def banded(item: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int] | None:
-    """(edits, start, end) of the best alignment of the whole item within diagonals low..high, if at most ``most``.
+def banded(item: np.ndarray, text: np.ndarray, lows: list[int], width: int, most: int) -> list[tuple[int, int, int, int]]:
+    """(band, edits, start, end) of the best alignment of the whole item in each band of ``width`` diagonals from a low one, where it has at most ``most``.
 
-    Cell k of a row stands for diagonal low + k. Each carries its cost and where its alignment began.
+    Bands are rows of one table and drop out once all their cells cost more. Cell k of a row stands for diagonal low + k;
+    each carries its cost and where its alignment began.
     """
-    m, width = len(item), high - low + 1
-    diagonals = np.arange(low, high + 1)
-    far = most + 1
-    inside = (diagonals >= 0) & (diagonals <= len(text))
-    cost = np.where(inside, 0, far).astype(np.int64)
-    begin = np.where(inside, diagonals, 0)
+    m, n, far = len(item), len(text), most + 1
     steps = np.arange(width)
+    diagonals = np.array(lows, dtype=np.int64)[:, None] + steps
+    inside = (diagonals >= 0) & (diagonals <= n)
+    cost, begin, band = np.where(inside, 0, far), np.where(inside, diagonals, 0), np.arange(len(lows))
     for i in range(m):
         at = diagonals + i  # text place of the character that row i + 1 meets
-        inside = (at >= 0) & (at < len(text))
-        same = np.zeros(width, dtype=bool)
-        same[inside] = text[at[inside]] == item[i]
+        inside = (at >= 0) & (at < n)
+        same = inside & (text[np.clip(at, 0, n - 1)] == item[i])
         across = np.where(inside, cost + ~same, far)
         # A dropped item character comes from the next diagonal, an added text character from the one before.
-        down, down_from = np.append(cost[1:] + 1, far), np.append(begin[1:], 0)
-        ok = (at + 1 >= 0) & (at + 1 <= len(text))
-        best = np.where(down < across, down, across)
+        down, down_from = np.full_like(cost, far), np.zeros_like(begin)
+        down[:, :-1], down_from[:, :-1] = cost[:, 1:] + 1, begin[:, 1:]
+        ok = (at + 1 >= 0) & (at + 1 <= n)
         begin = np.where(down < across, down_from, begin)
-        best = np.where(ok, best, far)
+        best = np.where(ok, np.minimum(down, across), far)
         run = best - steps
-        lead = np.minimum.accumulate(run)
-        from_ = np.maximum.accumulate(np.where(run == lead, steps, 0))
-        cost = np.minimum(lead + steps, far)
-        begin = begin[from_]
-        cost[~ok] = far
-        if cost.min() >= far:
-            return None
-    k = int(np.argmin(cost))
-    return (int(cost[k]), int(begin[k]), int(diagonals[k] + m)) if cost[k] <= most else None
+        lead = np.minimum.accumulate(run, axis=1)
+        from_ = np.maximum.accumulate(np.where(run == lead, steps, 0), axis=1)
+        cost = np.where(ok, np.minimum(lead + steps, far), far)
+        begin = np.take_along_axis(begin, from_, axis=1)
+        alive = cost.min(axis=1) < far
+        if not alive.all():
+            diagonals, cost, begin, band = diagonals[alive], cost[alive], begin[alive], band[alive]
+            if not len(cost):
+                return []
+    k = np.argmin(cost, axis=1)
+    rows = np.arange(len(k))
+    found = zip(band.tolist(), cost[rows, k].tolist(), begin[rows, k].tolist(), (diagonals[rows, k] + m).tolist(), strict=True)
+    return [f for f in found if f[1] <= most]
 
 
 def item_blocks(benchmark: DataFrame, q: int, rate: float, block_chars: int) -> Iterator[Items]:
