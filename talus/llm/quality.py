@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 from talus.llm.common import ASCII_SPACE, as_bytes, text_batches, written
 
 SYMBOLS = b"#*$%&|<>"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+#: Printable ASCII other than letters and digits.
+MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_marks")
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -55,7 +57,8 @@ def text_counts(text: bytes | None) -> tuple[int, ...]:
             lines += 1
             dup += line in seen
             seen.add(line)
-    return len(words), points, len(text) - len(text.translate(None, SYMBOLS)), lines, dup, repeat_words(words)
+    symbols, marks = (len(text) - len(text.translate(None, of)) for of in (SYMBOLS, MARKS))
+    return len(words), points, symbols, lines, dup, repeat_words(words), marks
 
 
 def measure(docs: DataFrame) -> DataFrame:
@@ -75,23 +78,32 @@ def measure(docs: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure in whole bins; it fails outside the quartiles by ``reach`` times their distance, ``least`` at least."""
+    """A measure in whole bins; it fails outside the quartiles by ``reach`` times their distance, ``least`` at least.
+
+    ``least`` is for groups whose quartiles coincide, a unit or two of how far apart those of plain prose lie.
+    """
 
     name: str
     bin: Column
     least: int
+    reach: int = 3
     both_sides: bool = False
 
 
 def default_rules() -> list[Rule]:
-    """Symbols and repeats in thousandths, mean word length in hundredths of a character (up to 100)."""
+    """Marks, symbols and repeats in thousandths, mean word length in hundredths of a character (up to 100).
+
+    Nearly every text has punctuation and a mean word length, so their quartiles lie apart and give the cutoff; symbols,
+    repeated lines and repeated words are zero in most texts, and there ``least`` mostly stands in.
+    """
 
     def part(of: str, total: str, scale: int, most: int) -> Column:
         return F.least(F.floor(F.col(of) * scale / F.greatest(F.col(total), F.lit(1))), F.lit(most)).cast("long")
 
     return [
+        Rule("marks", part("n_marks", "word_chars", 1000, 1000), 3, reach=6),
+        Rule("word_length", part("word_chars", "n_words", 100, 10_000), 10, reach=6, both_sides=True),
         Rule("symbols", part("n_symbols", "word_chars", 1000, 1000), 10),
-        Rule("word_length", part("word_chars", "n_words", 100, 10_000), 60, both_sides=True),
         Rule("dup_lines", part("n_dup_lines", "n_lines", 1000, 1000), 200),
         Rule("repeats", part("n_repeat_words", "n_words", 1000, 1000), 150),
     ]
@@ -127,7 +139,7 @@ def merged(first: DataFrame, *others: DataFrame) -> DataFrame:
     return every.groupBy("lang", "source", "rule", "bin").agg(F.sum("n").alias("n"))
 
 
-def cutoffs(sketches: DataFrame, rules: list[Rule], reach: int = 3, prior: int = 100) -> DataFrame:
+def cutoffs(sketches: DataFrame, rules: list[Rule], prior: int = 100) -> DataFrame:
     """(lang, source, rule, low, high): bins outside of which a document fails.
 
     A source's quartiles give its own bounds, its language's the common ones. They are averaged, the source's weighing as
@@ -135,7 +147,7 @@ def cutoffs(sketches: DataFrame, rules: list[Rule], reach: int = 3, prior: int =
     language, many decide, and no number of them switches from one to the other. The result goes no further than
     the common bound once more as far from the language's quartile: a source full of junk doesn't set its own standard.
     """
-    floors = F.create_map(*(F.lit(x) for r in rules for x in (r.name, r.least)))[F.col("rule")]
+    floors, reach = (F.create_map(*(F.lit(x) for r in rules for x in (r.name, of(r))))[F.col("rule")] for of in (lambda r: r.least, lambda r: r.reach))
     sided = F.col("rule").isin([r.name for r in rules if r.both_sides])
     spread = reach * F.greatest(F.col("q3") - F.col("q1"), floors)
     bounds = [F.when(sided, F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"), spread.alias("spread")]
@@ -167,7 +179,7 @@ def _beyond(rules: list[Rule]) -> Column:
     return out
 
 
-def judge(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, prior: int = 100, stored: DataFrame | None = None) -> DataFrame:
+def judge(docs: DataFrame, rules: list[Rule] | None = None, prior: int = 100, stored: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, counts, base_failed, kept.
 
     base_failed: fewer than 50 words, or over half of them in repeated 3-word windows. Of the rest, the sketches give
@@ -179,12 +191,12 @@ def judge(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, prio
     rules = rules or default_rules()
     rows = written(measure(docs), "text-counts").withColumn("base_failed", _base_failed())
     known = sketch(rows.where(~F.col("base_failed")), rules)
-    wide = _wide(cutoffs(known if stored is None else merged(known, stored), rules, reach, prior), rules)
+    wide = _wide(cutoffs(known if stored is None else merged(known, stored), rules, prior), rules)
     out = rows.join(wide, rows.lang.eqNullSafe(wide.l) & rows.source.eqNullSafe(wide.s), "left")
     return out.select("doc_id", *COUNTS, "base_failed", (~(F.col("base_failed") | _beyond(rules))).alias("kept"))
 
 
-def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3, prior: int = 100) -> DataFrame:
+def keep_good(docs: DataFrame, rules: list[Rule] | None = None, prior: int = 100) -> DataFrame:
     """docs without the documents that ``judge`` would not keep; columns stay.
 
     Texts are measured twice, once for the cutoffs and once for the verdict: writing whole rows with their counts instead
@@ -201,7 +213,7 @@ def keep_good(docs: DataFrame, rules: list[Rule] | None = None, reach: int = 3,
             yield pa.RecordBatch.from_arrays([row, *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(len(COUNTS)))], names=["row", *COUNTS])
 
     counts = written(measure(docs), "text-counts").where(~_base_failed())
-    wide = written(_wide(cutoffs(sketch(counts, rules), rules, reach, prior), rules), "cutoffs")
+    wide = written(_wide(cutoffs(sketch(counts, rules), rules, prior), rules), "cutoffs")
     rows = docs.select(F.struct("*").alias("row")).mapInArrow(run, schema).where(~_base_failed())
     out = rows.join(wide, F.col("row.lang").cast("string").eqNullSafe(wide.l) & F.col("row.source").cast("string").eqNullSafe(wide.s), "left")
     return out.where(~_beyond(rules)).select("row.*")

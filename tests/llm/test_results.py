@@ -229,12 +229,16 @@ def test_kept_against_brute_force(docs, rows):
     """Every verdict from sorted values: quartiles by language and by source, averaged by count."""
     counts = {r.doc_id: r for r in quality.judge(docs).collect()}
     about = {r["doc_id"]: (r["lang"], r["source"]) for r in rows}
+    for r in rows:
+        assert counts[r["doc_id"]].n_marks == len(re.findall(r"[!-/:-@\[-`{-~]", r["text"]))
     measures = {
-        "symbols": (lambda c: min(1000, c.n_symbols * 1000 // max(1, c.word_chars)), 10), "word_length": (lambda c: min(10_000, c.word_chars * 100 // max(1, c.n_words)), 60),
-        "dup_lines": (lambda c: min(1000, c.n_dup_lines * 1000 // max(1, c.n_lines)), 200), "repeats": (lambda c: min(1000, c.n_repeat_words * 1000 // max(1, c.n_words)), 150),
+        "marks": (lambda c: min(1000, c.n_marks * 1000 // max(1, c.word_chars)), 3, 6), "word_length": (lambda c: min(10_000, c.word_chars * 100 // max(1, c.n_words)), 10, 6),
+        "symbols": (lambda c: min(1000, c.n_symbols * 1000 // max(1, c.word_chars)), 10, 3),
+        "dup_lines": (lambda c: min(1000, c.n_dup_lines * 1000 // max(1, c.n_lines)), 200, 3), "repeats": (lambda c: min(1000, c.n_repeat_words * 1000 // max(1, c.n_words)), 150, 3),
     }
+    by_quartiles = set()
     bad = {k for k, c in counts.items() if c.base_failed}
-    for name, (measure, least) in measures.items():
+    for name, (measure, least, reach) in measures.items():
         values = collections.defaultdict(list)
         for k, c in counts.items():
             if not c.base_failed:
@@ -244,18 +248,22 @@ def test_kept_against_brute_force(docs, rows):
         def bounds(group):
             v = sorted(values[group])
             q1, q3 = v[math.ceil(len(v) / 4) - 1], v[math.ceil(3 * len(v) / 4) - 1]
-            spread = 3 * max(q3 - q1, least)
-            return q1 - spread, q3 + spread, spread, len(v)
+            spread = reach * max(q3 - q1, least)
+            return q1 - spread, q3 + spread, spread, q3 - q1 > least
 
         for k, c in counts.items():
             if c.base_failed:
                 continue
-            (low, high, _, n), (lang_low, lang_high, spread, _) = bounds(about[k]), bounds(about[k][0])
+            (low, high, _, apart), (lang_low, lang_high, spread, lang_apart) = bounds(about[k]), bounds(about[k][0])
+            n = len(values[about[k]])
             top = min((n * high + 100 * lang_high) / (n + 100), lang_high + spread)
             bottom = max((n * low + 100 * lang_low) / (n + 100), lang_low - spread)
             if measure(c) > top or name == "word_length" and measure(c) < bottom:
                 bad.add(k)
+                if apart and lang_apart:
+                    by_quartiles.add(k)
     assert {k for k, c in counts.items() if not c.kept} == bad
+    assert len(by_quartiles) > 0.9 * sum(not counts[k].base_failed for k in bad)
 
 
 def test_kept_stage_agrees_with_judge(docs):
