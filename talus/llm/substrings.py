@@ -4,7 +4,7 @@ Which windows of ``window`` words repeat is found by a sample of shorter windows
 window, the one with the smallest hash is its anchor. Equal windows have equal anchors, so a window can only repeat
 where its anchor does. A batch's anchors, about two of every ``window - gram + 2``, are merge-joined with the index's
 immutable runs, sorted by anchor; windows whose anchor occurs elsewhere are verified by a second, independent hash of
-all their words. Runs are compacted when there are many.
+all their words. Runs and texts are compacted by size: what is large isn't written again for what is small.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ GRAM_STEP, WINDOW_STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 LAST = (1 << 63) - 1
 #: Into how many a text's copies are dealt.
 SALTS = 16
+#: Up to so many documents of a store are looked up by id, in the buckets and row groups that can hold them.
+LOOKED_UP = 2000
 
 
 class WordHashes(dict):
@@ -93,10 +95,15 @@ class WindowIndex:
     merge-joined with it where it lies. Texts are kept bucketed and sorted by doc_id, so that documents with a common
     anchor are verified without moving a text. Which tables count is said by the newest manifest, created after them: a
     job that dies midway leaves the index as it was. One writer at a time.
+
+    Tables stand in the order of their batches, each with its rows and, of texts, its least and largest doc_id. From
+    ``most_runs`` runs (``most_stores`` texts) on, the newest two are merged, and more as far back as the one before is no
+    larger than twice all behind it: what is large isn't written again for a small batch. Texts are only opened where a
+    document of their range shares an anchor with the batch.
     """
 
-    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 20, gram: int = 8, most_runs: int = 3, buckets: int | None = None):
-        self.spark, self.most_runs = spark, most_runs
+    def __init__(self, spark: SparkSession, folder: str | None = None, window: int = 20, gram: int = 8, most_runs: int = 8, buckets: int | None = None, most_stores: int = 8):
+        self.spark, self.most_runs, self.most_stores = spark, most_runs, most_stores
         self.folder = (folder or new_path(spark, "window-index")).rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -106,6 +113,7 @@ class WindowIndex:
         self.buckets = (found or {}).get("buckets") or buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[str] = (found or {}).get("runs", [])
         self.stores: list[str] = (found or {}).get("stores", [])
+        self.sizes: dict[str, list[int | None]] = (found or {}).get("sizes", {})
         self.last: int | None = (found or {}).get("last")
         self._number: int = (found or {}).get("number", 0)
 
@@ -120,7 +128,7 @@ class WindowIndex:
 
     def _commit(self) -> None:
         self._number += 1
-        state = {"window": self.window, "gram": self.gram, "buckets": self.buckets, "runs": self.runs, "stores": self.stores, "last": self.last, "number": self._number}
+        state = {"window": self.window, "gram": self.gram, "buckets": self.buckets, "runs": self.runs, "stores": self.stores, "sizes": self.sizes, "last": self.last, "number": self._number}
         out = self._store.create(self._path(f"{self.folder}/manifests/{self._number:012d}"), False)
         try:
             out.write(bytearray(json.dumps(state).encode()))
@@ -178,17 +186,18 @@ class WindowIndex:
 
         A word goes if a window over it starts earlier: in a smaller doc_id of this or an earlier batch, or before in
         the same document. So batches come in the order of doc_id; one that reaches back is refused. Rows that share a
-        doc_id count as one document; null doc_ids stand last; null and empty texts have no words; texts under a window
-        stay whole; extra columns are not looked at; a batch without rows changes nothing. Of documents of a batch with
+        doc_id count as one document: of equal windows in them the earliest start stays, in each that has it there. Null
+        doc_ids are one document that stands last, behind later batches too: they hold back no batch, and what an earlier
+        batch gave for them isn't judged anew. Null and empty texts have no words; texts under a window stay whole; extra columns are not looked at; a batch without rows changes nothing. Of documents of a batch with
         the same words the first stands for all: the others are repeats as a whole and aren't indexed.
         """
         spark = self.spark
         text_batches(spark)
-        if len(self.runs) >= self.most_runs:
-            self.compact()
+        self.compact()
         source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
         scanned = written(self._scan(source), "scanned")
-        low, high = scanned.agg(F.min("doc_id"), F.max("doc_id")).first()
+        known = F.when(F.col("doc_id") != LAST, F.col("doc_id"))
+        low, high, rows, nulls = scanned.agg(F.min(known), F.max(known), F.count("*"), F.count_if(F.col("doc_id") == LAST)).first()
         if low is not None and self.last is not None and low <= self.last:
             raise ValueError(f"doc_id {low} isn't behind {self.last}, the last one indexed")
         # Salted: one text may have very many copies. Only texts that have any are written so often.
@@ -200,25 +209,63 @@ class WindowIndex:
         run = self._bucketed(own.select(F.explode("hs").alias("h"), "doc_id"), "run", "h")
         texts = self._bucketed(source, "texts", "doc_id")
         result = written(self._repeats(run, texts, own.drop("hs")), "repeats")
-        if low is None:
+        if not rows:
             self._drop(run)
             self._drop(texts)
             return result
-        self.runs, self.stores, self.last = [*self.runs, run], [*self.stores, texts], high
+        self.runs, self.stores = [*self.runs, run], [*self.stores, texts]
+        self.last = self.last if high is None else high
+        self.sizes |= {run: [rows, None, None], texts: [rows, LAST if low is None else low, LAST if nulls else high]}
         self._commit()
         return result
 
+    def _due(self, names: list[str], most: int) -> int:
+        """How many of the newest tables are to be merged."""
+        if len(names) < max(most, 2):
+            return 0
+        taken, behind = 1, self.sizes[names[-1]][0]
+        for name in names[-2::-1]:
+            if self.sizes[name][0] > 2 * behind:
+                break
+            taken, behind = taken + 1, behind + self.sizes[name][0]
+        return max(taken, 2)
+
     def compact(self) -> None:
-        """Merge all runs into one; the old ones go once a manifest names the new one. Texts stay as they are."""
-        old = self.runs
-        merged = self._run(old[0])
-        for name in old[1:]:
-            merged = merged.unionByName(self._run(name))
-        self.runs = [self._bucketed(merged, "run", "h")]
-        self._commit()
-        for name in old:
+        """Merge what is due; the old tables go once a manifest names the new ones."""
+        gone = []
+        for names, most, kind, key, of in ((self.runs, self.most_runs, "run", "h", self._run), (self.stores, self.most_stores, "texts", "doc_id", self._texts)):
+            old = names[len(names) - self._due(names, most) :]
+            if not old:
+                continue
+            merged = of(old[0])
+            for name in old[1:]:
+                merged = merged.unionByName(of(name))
+            new = self._bucketed(merged, kind, key)
+            sizes = [self.sizes.pop(name) for name in old]
+            ends = [None, None] if key == "h" else [min(s[1] for s in sizes), max(s[2] for s in sizes)]
+            self.sizes[new] = [sum(s[0] for s in sizes), *ends]
+            names[len(names) - len(old) :] = [new]
+            gone += old
+        if gone:
+            self._commit()
+        for name in gone:
             self._drop(name)
 
+    def _shared(self, lists: DataFrame) -> list[DataFrame]:
+        """Texts of the stores that hold a document of lists; of a store with few, only those."""
+        if not self.stores:
+            return []
+        inside = {name: F.col("doc_id").between(*self.sizes[name][1:]) for name in self.stores}
+        counts = lists.agg(*(F.count_if(inside[name]).alias(name) for name in self.stores)).first()
+        out = []
+        for name in self.stores:
+            if 0 < counts[name] <= LOOKED_UP:
+                ids = [r.doc_id for r in lists.where(inside[name]).select("doc_id").collect()]
+                out.append(self._texts(name).where(F.col("doc_id").isin(ids)))
+            elif counts[name]:
+                out.append(self._texts(name))
+        return out
+
     def _repeats(self, run: str, texts: str, own: DataFrame) -> DataFrame:
         spark, least = self.spark, self.window
         batch = self._run(run)
@@ -231,13 +278,13 @@ class WindowIndex:
             found = found.unionByName(self._run(name).join(hits, "h", "left_semi").select("doc_id", "h"))
         lists = written(found.groupBy("doc_id").agg(F.collect_list("h").alias("hits")), "hits")
         windows = None
-        for name in (*self.stores, texts):
-            part = self._texts(name).join(lists, "doc_id").mapInArrow(_windows(self.window, self.gram), "h long, w long, doc_id long, start int")
+        for held in (*self._shared(lists), self._texts(texts)):
+            part = held.join(lists, "doc_id").mapInArrow(_windows(self.window, self.gram), "h long, w long, doc_id long, start int")
             windows = part if windows is None else windows.unionByName(part)
         starts = windows.groupBy("h", "w").agg(F.min(F.struct("doc_id", "start")).alias("x"))
         if self.last is not None:  # firsts of earlier batches are told by all that isn't first here
             starts = starts.where(F.col("x.doc_id") > self.last)
-        starts = written(starts.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list("x.start").alias("starts")), "starts")
+        starts = written(starts.groupBy(F.col("x.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("x.start", "w")).alias("starts")), "starts")
         cut = self._texts(texts).join(lists, "doc_id").join(starts, "doc_id", "left")
         cut = cut.mapInArrow(_cut(self.window, self.gram), "id long, sha_in string, n_removed long, kept_sha256 string").distinct()
         out = own.join(cut, (own.doc_id == cut.id) & (own.sha == cut.sha_in), "left")
@@ -284,10 +331,13 @@ def _cut(window: int, gram: int) -> Callable:
                 words = (text or b"").split()
                 if len(words) < window:
                     continue
-                _, grams, at = anchors(words, cache, window, gram)
+                h, grams, at = anchors(words, cache, window, gram)
                 repeat = _anchored(grams, at, hits)
                 if first.is_valid:
-                    repeat[first.values.to_numpy()] = False
+                    start, w = (first.values.field(k).to_numpy() for k in (0, 1))
+                    there = start < len(repeat)  # another row of the same document may be longer
+                    start, w = start[there], w[there]
+                    repeat[start[rolled(h, window, WINDOW_STEP)[start].view(np.int64) == w]] = False
                 edges = np.zeros(len(words) + 1, np.int64)
                 start = np.flatnonzero(repeat)
                 edges[start] += 1

@@ -312,6 +312,36 @@ def test_window_index_lasts(spark, docs, rows):
         index.add(docs.where(F.col("doc_id") == ids[3]))
 
 
+def test_window_index_of_many_batches(spark, docs, rows, monkeypatch):
+    """Null ids hold back no batch; stores without a shared anchor stay shut; tables grow slower than batches; looking ids up changes nothing."""
+    monkeypatch.setattr(substrings, "LOOKED_UP", 20)
+    ids = sorted(r["doc_id"] for r in rows)
+    index, got, opened = substrings.WindowIndex(spark, new_path(spark, "many"), most_runs=2, most_stores=3), {}, []
+    shared = index._shared
+    index._shared = lambda lists: opened.append(shared(lists)) or opened[-1]
+    nobody = spark.createDataFrame([(None, " ".join(f"nobody{k}" for k in range(30)), "x")], "doc_id long, text string, doc_id_2 string")
+    cuts = [ids[len(ids) * k // 6] for k in range(6)] + [ids[-1] + 1]
+    for k in range(6):
+        batch = docs.where((F.col("doc_id") >= cuts[k]) & (F.col("doc_id") < cuts[k + 1])).select("doc_id", "text")
+        if k == 0:
+            assert len(index.add(nobody).collect()) == 1 and index.last is None
+        got |= removed(index.add(batch.unionByName(nobody.select("doc_id", "text"))))
+        assert got.pop(None)[:2] == (30, 0)
+    assert got == left_by(rows) and index.last == ids[-1]
+    assert len(index.runs) <= 2 and len(index.stores) <= 3 and sorted(index.sizes) == sorted(index.runs + index.stores)
+    opened.clear()
+    index.add(spark.createDataFrame([(ids[-1] + 1, " ".join(f"new{k}" for k in range(40)))], "doc_id long, text string")).collect()
+    assert opened == [[]]
+
+
+def test_window_index_rows_of_one_document(spark):
+    """Rows under one doc_id: a window that stays in one doesn't keep another's at the same place."""
+    a, b = ([f"{x}{k}" for k in range(30)] for x in "ab")
+    data = [(1, " ".join(a)), (2, " ".join(b)), (2, " ".join(["c", *a]))]
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substrings.WindowIndex(spark).add(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {(1, 30): 0, (2, 30): 0, (2, 31): 30}
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
