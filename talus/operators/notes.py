@@ -36,6 +36,25 @@ def page(rows: DataFrame, by: str, key: str, offset: int = 0, limit: int = 50) -
     return rows.orderBy(F.col(by).desc_nulls_last(), key).offset(offset).limit(min(limit, MOST_ROWS))
 
 
+def page_behind(rows: DataFrame, by: str, key: str, last: tuple | None = None, limit: int = 50) -> DataFrame:
+    """The page behind the row whose (by, key) is ``last``, in the order of ``page``; the first page without one.
+
+    Rows before it are left out by a filter that scans can push down, so of files and row groups written in that order
+    only those that can hold the page are read, and a task keeps ``limit`` rows however deep the page lies. Rows that
+    come in before ``last`` between two pages shift nothing. key must not be null.
+    """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    if last is not None:
+        value, seen = last
+        behind = F.col(key) > F.lit(seen)
+        if value is None:
+            rows = rows.where(F.col(by).isNull() & behind)
+        else:
+            rows = rows.where((F.col(by) < F.lit(value)) | ((F.col(by) == F.lit(value)) & behind) | F.col(by).isNull())
+    return page(rows, by, key, limit=limit)
+
+
 def note_filter(notes: DataFrame, note_tags: DataFrame | None = None, tag: str | None = None, search: str | None = None) -> DataFrame:
     if tag:
         notes = notes.join(note_tags.where(F.col("tag") == tag).select(F.col("note_id").alias("id")), "id", "left_semi")

@@ -107,6 +107,14 @@ def paged_notes(spark, sf_dir):
     return notes.page(orders, "created_at", "id", offset=40, limit=200)
 
 
+def notes_page_behind(spark, sf_dir):
+    """The second page, from the last row of the first."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("title"))
+    first = notes.page_behind(orders, "created_at", "id", limit=100)
+    last = first.orderBy(F.col("created_at").asc_nulls_first(), F.desc("id")).select("created_at", "id").first()
+    return notes.page_behind(orders, "created_at", "id", last and tuple(last), limit=100)
+
+
 def latest_n(spark, sf_dir):
     return notes.page(document_notes(spark, sf_dir), "n_chars", "id", limit=5).select("id", "n_chars")
 
@@ -199,6 +207,7 @@ select doc_id as id, source as project_name from documents
 where doc_id in (select note_id from bridge where tag = 'long') and (left(text, 40) ilike '%THE%of%' or text ilike '%THE%of%')""",
     "note_tags_array": TAGS + "select note_id, string_agg(tag, ' ' order by tag) as tags from bridge group by note_id",
     "paged_notes": "select o_orderkey as id, o_orderdate as created_at, o_orderpriority as title from orders order by o_orderdate desc nulls last, o_orderkey limit 100 offset 40",
+    "notes_page_behind": "select o_orderkey as id, o_orderdate as created_at, o_orderpriority as title from orders order by o_orderdate desc nulls last, o_orderkey limit 100 offset 100",
     "latest_n": "select doc_id as id, n_chars from documents order by n_chars desc nulls last, doc_id limit 5",
     "status_summary": """
 select count(*) as conversations, count(*) filter (doc_id % 9 <> 0) as real_conversations, count(*) as notes, (select count(distinct lang) from documents) as tags,
@@ -213,6 +222,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         knn_topk, knn_of_many, knn_of_many_indexed, knn_dedupe, knn_expand, recall_buckets, graph_degree, graph_edges_filtered, neighbours_bidir, no_outgoing_anti, project_colours, tag_counts, tag_semi,
-        note_tags_array, paged_notes, latest_n, status_summary, embedding_texts,
+        note_tags_array, paged_notes, notes_page_behind, latest_n, status_summary, embedding_texts,
     )
 }

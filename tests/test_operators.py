@@ -299,3 +299,19 @@ def test_backfill(spark):
     out, aliases = notes.backfill(rows, about, {"codex": "codex"})
     assert sorted(map(tuple, out.collect())) == [(1, "c", "new", "project", "imported-conversation", "codex"), (2, "c", "k", "global", "manual-note", "x"), (3, "m", None, None, None, None)]
     assert [tuple(r) for r in aliases.collect()] == [("old", "new")]
+
+
+def test_pages_behind_a_row(spark, tmp_path):
+    """Walking by the last row gives the order of offsets, through ties and nulls; the filter reaches the scan."""
+    data = [(k, None if k % 7 == 0 else k // 5 % 9) for k in range(120)]
+    spark.createDataFrame(data, "id long, at int").write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    walked, last = [], None
+    while got := notes.page_behind(rows, "at", "id", last, limit=25).collect():
+        walked += [(r.id, r.at) for r in got]
+        last = (got[-1].at, got[-1].id)
+    assert walked == sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    plan = notes.page_behind(rows, "at", "id", (3, 40), limit=25)._jdf.queryExecution().toString()
+    assert "LessThan(at,3)" in plan and "TakeOrderedAndProject" in plan
+    with pytest.raises(ValueError):
+        notes.page_behind(rows, "at", "id", limit=-1)
