@@ -4,101 +4,181 @@ from __future__ import annotations
 
 import json
 import sqlite3
-from collections.abc import Iterator
 from contextlib import closing
+from itertools import groupby
 
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from talus import models
 from talus.operators import gate, memory, notes, summarise, vectors
 from talus.plans.views import messages, table, tool_messages
 from talus.schemas import CONVERSATION, ensure_columns
+from talus.shared import make_folder, written
 from talus.shared import new_path as shared
 from talus.sources import registry, tool_a, tool_b, tool_c, tool_d, tool_e
 from talus.store import Store
 from talus.streaming.ingest import import_changes
 
 
-def _put(spark, path: str, content: bytes) -> None:
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    store = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = store.create(place, True)
-    try:
-        out.write(bytearray(content))
-    finally:
-        out.close()
+def _put(path: str, content: bytes) -> None:
+    with written(path) as out:
+        out.write(content)
 
 
 def _database(table_name: str, rows: list[tuple[str, str]]) -> bytes:
     with closing(sqlite3.connect(":memory:")) as db:
-        db.execute(f"create table {table_name} (key text, value blob)")
+        db.execute(f"create table {table_name} (key text unique, value blob)")
         db.executemany(f"insert into {table_name} values (?, ?)", rows)
         db.commit()
         return db.serialize()
 
 
-def _sessions(spark, sf_dir) -> Iterator[tuple[int, list]]:
-    """Each conversation's number and turns in order; the driver holds one at a time."""
-    turn = F.struct("turn", "role", "text")
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns")).orderBy("conv_id")
-    return ((r.conv_id, r.turns) for r in rows.toLocalIterator())
-
-
 def _stamp(turn: int) -> str:
     return f"2026-01-01T00:{turn // 60:02}:{turn % 60:02}.000Z"
 
 
-def _lines(rows: list[dict]) -> bytes:
-    return ("\n".join(json.dumps(r) for r in rows) + "\n").encode()
+def _line(row: dict) -> bytes:
+    return json.dumps(row).encode() + b"\n"
+
+
+def _said(row) -> str:
+    return "assistant" if row.role == "assistant" else "user"
+
+
+# Writers: (folder, name of the task, its conversations with their turns in order). They keep a turn, or one file of a
+# key-value tool, of which a new one is begun after ROLL turns.
+ROLL = 5_000
+
+
+def _write_a(root: str, task: int, sessions) -> None:
+    for c, rows in sessions:
+        with written(f"{root}/c--Users-Projects-Shop{c % 3}/a{c}.jsonl") as out:
+            out.write(_line({"type": "noise"}))
+            for r in rows:
+                content = r.text + "<system-reminder>x</system-reminder>" if _said(r) == "user" else [{"type": "text", "text": r.text}, {"type": "tool_use", "id": "t"}]
+                out.write(_line({
+                    "uuid": f"a{c}-{r.turn}", "type": _said(r), "timestamp": _stamp(r.turn), "cwd": f"/home/p{c % 3}", "gitBranch": "main", "slug": f"s{c}",
+                    "message": {"role": _said(r), "content": content}}))
 
 
-def _places(spark, sf_dir) -> dict[str, dict[str, str]]:
-    """Write all conversations once for each tool, as its session files, and say where they are.
+def _write_b(root: str, task: int, sessions) -> None:
+    with written(f"{root}/index/{task}.jsonl") as index:
+        for c, rows in sessions:
+            index.write(b"".join(_line({"id": f"b{c}", "thread_name": n}) for n in (f"old{c}", f"thread{c}")))
+            with written(f"{root}/logs/2026/rollout-2026-01-01T00-00-00-b{c}.jsonl") as out:
+                event = lambda turn, kind, **payload: out.write(_line({"timestamp": _stamp(turn), "type": kind, "payload": payload}))  # noqa: B023, E731
+                event(0, "session_meta", id=f"b{c}", cwd=f"/home/p{c % 3}", git={"branch": "dev"})
+                for r in rows:
+                    if _said(r) == "user":
+                        event(r.turn, "event_msg", type="user_message", message=f"note\n{tool_b.MARKER}{r.text}")
+                        continue
+                    event(r.turn, "event_msg", type="agent_message", message=r.text)
+                    event(r.turn, "response_item", type="message", role="assistant", content=[{"type": "output_text", "text": r.text}])
+                    if r.turn % 2:
+                        event(r.turn, "response_item", type="function_call")
 
-    Only the readers are under test: tools A, B and E have a file a session, C and D keep all sessions in one.
+
+def _workspace(folder: str, rows: list[tuple[str, str]]) -> None:
+    _put(f"{folder}/workspace.json", json.dumps({"folder": "file:///home/my%20shop+1"}).encode())
+    _put(f"{folder}/state.vscdb", _database("ItemTable", rows))
+
+
+def _write_c(root: str, task: int, sessions) -> None:
+    """Every tenth conversation is in no workspace."""
+    heads, bubbles, files = [], [], 0
+
+    def out():
+        nonlocal files
+        _workspace(f"{root}/workspaces/w{task}-{files}", [("composer.composerData", json.dumps({"allComposers": heads}))])
+        _put(f"{root}/global/{task}-{files}.vscdb", _database("cursorDiskKV", bubbles))
+        heads.clear(), bubbles.clear()
+        files += 1
+
+    for c, rows in sessions:
+        if c % 10 != 7:
+            heads.append({"composerId": f"c{c}", "createdAt": 1})
+        for r in rows:
+            bubbles.append((f"bubbleId:c{c}:{r.turn:06}", json.dumps({"type": 1 if _said(r) == "user" else 2, "text": r.text, "createdAt": _stamp(r.turn), "isAgentic": r.turn % 3 == 0})))
+            if len(bubbles) >= ROLL:
+                out()
+    if heads or bubbles:
+        out()
+
+
+def _write_d(root: str, task: int, sessions) -> None:
+    """Replies of every fourth turn are plans: a proposal, a step and what it came to."""
+    stored, held, files = [], 0, 0
+    for c, rows in sessions:
+        said = []
+        for r in rows:
+            about = {"role": _said(r), "content": r.text, "turnIndex": r.turn, "timestamp": 5000 - r.turn, "agentMessageId": f"d{c}-{r.turn}"}
+            if _said(r) == "assistant" and r.turn % 4 == 1:
+                steps = [{"toolName": "edit", "thought": "no", "reasoningContent": "why"}, {"toolName": "finish", "thought": "so be it"}]
+                about |= {"content": "", "agentTaskContent": {"proposal": r.text, "guideline": {"thought": "unused", "planItems": steps}}}
+            said.append(about)
+        stored.append({"sessionId": f"d{c}", "createdAt": 1000, "messages": said})
+        held += len(said)
+        if held >= ROLL:
+            _workspace(f"{root}/w{task}-{files}", [(tool_d.KEY, json.dumps({"list": stored}))])
+            stored, held, files = [], 0, files + 1
+    if stored:
+        _workspace(f"{root}/w{task}-{files}", [(tool_d.KEY, json.dumps({"list": stored}))])
+
+
+def _write_e(root: str, task: int, sessions) -> None:
+    """Odd conversations are JSON lines whose first line is the session."""
+    _put(f"{root}/w{task}/workspace.json", json.dumps({"folder": "file:///home/my%20shop+1"}).encode())
+    for c, rows in sessions:
+        with written(f"{root}/w{task}/chatSessions/e{c}.json{'l' * (c % 2)}") as out:
+            out.write(b'{"kind": 0, "v": ' * (c % 2) + json.dumps({"sessionId": f"e{c}", "customTitle": f"t{c}"}).encode()[:-1] + b', "requests": [')
+            for n, r in enumerate(rows):
+                ask = {"requestId": f"r{r.turn}", "timestamp": 1_700_000_000_000 + 10 * r.turn, "message": {"text": r.text if _said(r) == "user" else ""}, "response": [{"value": r.text}] * (_said(r) == "assistant")}
+                out.write(b"," * (n > 0) + json.dumps(ask).encode())
+            out.write(b"]}" + b'}\n{"kind": 1, "v": {}}\n' * (c % 2))
+
+
+WRITERS = {tool_a.SOURCE: _write_a, tool_b.SOURCE: _write_b, tool_c.SOURCE: _write_c, tool_d.SOURCE: _write_d, tool_e.SOURCE: _write_e}
+
+
+def _places(spark, sf_dir, *sources: str) -> dict[str, dict[str, str]]:
+    """Write all conversations as session files of these tools, and say where they are.
+
+    Only the readers are under test. Files are written by the tasks that hold the conversations, dealt by conversation
+    and sorted by turn: tools A, B and E have a file a session, C and D many sessions in one.
     """
     root = shared(spark)
-    said = lambda r: "assistant" if r.role == "assistant" else "user"
-    bubbles, heads, stored, index = [], [], [], []
-    for c, rows in _sessions(spark, sf_dir):
-        index += [{"id": f"b{c}", "thread_name": n} for n in (f"old{c}", f"thread{c}")]
-        _put(spark, f"{root}/a/c--Users-Projects-Shop{c % 3}/a{c}.jsonl", _lines([{"type": "noise"}] + [
-            {"uuid": f"a{c}-{r.turn}", "type": said(r), "timestamp": _stamp(r.turn), "cwd": f"/home/p{c % 3}", "gitBranch": "main", "slug": f"s{c}",
-             "message": {"role": said(r), "content": r.text + "<system-reminder>x</system-reminder>" if said(r) == "user" else [{"type": "text", "text": r.text}, {"type": "tool_use", "id": "t"}]}} for r in rows]))
-        events = [{"timestamp": _stamp(0), "type": "session_meta", "payload": {"id": f"b{c}", "cwd": f"/home/p{c % 3}", "git": {"branch": "dev"}}}]
-        for r in rows:
-            kind = {"type": "user_message", "message": f"note\n{tool_b.MARKER}{r.text}"} if said(r) == "user" else {"type": "agent_message", "message": r.text}
-            events.append({"timestamp": _stamp(r.turn), "type": "event_msg", "payload": kind})
-            if said(r) == "assistant":
-                events.append({"timestamp": _stamp(r.turn), "type": "response_item", "payload": {"type": "message", "role": "assistant", "content": [{"type": "output_text", "text": r.text}]}})
-                events += [{"timestamp": _stamp(r.turn), "type": "response_item", "payload": {"type": "function_call"}}] * (r.turn % 2)
-        _put(spark, f"{root}/b/2026/rollout-2026-01-01T00-00-00-b{c}.jsonl", _lines(events))
-        heads.append({"composerId": f"c{c}", "createdAt": 1})
-        bubbles += [(f"bubbleId:c{c}:{r.turn:06}", json.dumps({"type": 1 if said(r) == "user" else 2, "text": r.text, "createdAt": _stamp(r.turn), "isAgentic": r.turn % 3 == 0})) for r in rows]
-        stored.append({"sessionId": f"d{c}", "createdAt": 1000, "messages": [{"role": said(r), "content": r.text, "turnIndex": r.turn, "timestamp": 5000 - r.turn, "agentMessageId": f"d{c}-{r.turn}"} for r in rows]})
-        asks = [{"requestId": f"r{r.turn}", "timestamp": 1_700_000_000_000 + 10 * r.turn, "message": {"text": r.text if said(r) == "user" else ""}, "response": [{"value": r.text}] * (said(r) == "assistant")} for r in rows]
-        _put(spark, f"{root}/e/w/chatSessions/e{c}.json", json.dumps({"sessionId": f"e{c}", "customTitle": f"t{c}", "requests": asks}).encode())
-    for tool in ("c", "d", "e"):
-        _put(spark, f"{root}/{tool}/w/workspace.json", json.dumps({"folder": "file:///home/my%20shop+1"}).encode())
-    _put(spark, f"{root}/c/w/state.vscdb", _database("ItemTable", [("composer.composerData", json.dumps({"allComposers": heads}))]))
-    _put(spark, f"{root}/global.vscdb", _database("cursorDiskKV", bubbles))
-    _put(spark, f"{root}/d/w/state.vscdb", _database("ItemTable", [(tool_d.KEY, json.dumps({"list": stored}))]))
-    _put(spark, f"{root}/index.jsonl", _lines(index))
-    return {
-        tool_a.SOURCE: {"root": f"{root}/a"}, tool_b.SOURCE: {"root": f"{root}/b", "index_file": f"{root}/index.jsonl"},
-        tool_c.SOURCE: {"workspaces": f"{root}/c", "global_file": f"{root}/global.vscdb"}, tool_d.SOURCE: {"workspaces": f"{root}/d"}, tool_e.SOURCE: {"workspaces": f"{root}/e"},
-    }
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = {}
+    for source in sources:
+        write, folder = WRITERS[source], f"{root}/{source}"
+        parts = {tool_b.SOURCE: ("logs", "index"), tool_c.SOURCE: ("workspaces", "global")}.get(source, ())
+        for part in parts or ("",):
+            make_folder(spark, f"{folder}/{part}")
+
+        def run(batches, write=write, folder=folder):
+            rows = (r for batch in batches for r in batch.itertuples(index=False))
+            write(folder, TaskContext.get().partitionId(), groupby(rows, key=lambda r: r.conv_id))
+            yield pd.DataFrame({"done": [1]})
+
+        turns.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(run, "done int").agg(F.sum("done")).collect()
+        places[source] = {
+            tool_b.SOURCE: {"root": f"{folder}/logs", "index_file": f"{folder}/index"}, tool_c.SOURCE: {"workspaces": f"{folder}/workspaces", "global_file": f"{folder}/global"},
+            tool_d.SOURCE: {"workspaces": folder}, tool_e.SOURCE: {"workspaces": folder},
+        }.get(source, {"root": folder})
+    return places
 
 
 def _parsed(spark, sf_dir, source):
-    places = {source: _places(spark, sf_dir)[source]}
+    places = _places(spark, sf_dir, source)
     return registry.parse_all(spark, registry.scan_all(spark, places), places)
 
 
 def source_counts(spark, sf_dir):
     """How many sessions the readers find of each tool."""
-    return registry.descriptors(registry.scan_all(spark, _places(spark, sf_dir)))
+    return registry.descriptors(registry.scan_all(spark, _places(spark, sf_dir, *WRITERS)))
 
 
 def _messages_of(source):
@@ -117,11 +197,11 @@ def _conversations_of(source):
 
 def import_twice(spark, sf_dir):
     """Outcomes of an import, of the same again, and of a third after a session of tool A has grown; then what is stored."""
-    places = {s: w for s, w in _places(spark, sf_dir).items() if s in (tool_a.SOURCE, tool_d.SOURCE)}
+    places = _places(spark, sf_dir, tool_a.SOURCE, tool_d.SOURCE)
     store = Store(spark, shared(spark), parts=4)
     rounds = [import_changes(spark, store, places), import_changes(spark, store, places)]
-    _put(spark, f"{places[tool_a.SOURCE]['root']}/c--Users-Projects-Shop0/a0.jsonl", _lines([
-        {"uuid": f"n{k}", "type": "user", "timestamp": _stamp(k), "message": {"role": "user", "content": "z" * 200}} for k in range(3)]))
+    _put(f"{places[tool_a.SOURCE]['root']}/c--Users-Projects-Shop0/a0.jsonl", b"".join(
+        _line({"uuid": f"n{k}", "type": "user", "timestamp": _stamp(k), "message": {"role": "user", "content": "z" * 200}}) for k in range(3)))
     rounds.append(import_changes(spark, store, places))
     counts = [("conversations", store.read("conversations").count()), ("messages", store.read("messages").count()), ("log", store.read("import_log").count())]
     rows = [(f"{k}-{name}", n) for k, r in enumerate(rounds) for name, n in r.items()] + counts
@@ -307,10 +387,10 @@ with m as (
 )"""
 
 
-def _sql_messages(prefix: str, id_: str, tool: str = "false", at: str = "stamp") -> str:
+def _sql_messages(prefix: str, id_: str, tool: str = "false", at: str = "stamp", text: str = "text") -> str:
     return _SAID + f"""
-select '{prefix}' || c as conversation_id, cast(sort_order as bigint) as sort_order, {id_} as id, type, md5(text) as digest, {tool} as has_tool_use,
-       contains(text, '```') as has_code, {at} as timestamp from kept"""
+select '{prefix}' || c as conversation_id, cast(sort_order as bigint) as sort_order, {id_} as id, type, md5({text}) as digest, {tool} as has_tool_use,
+       contains({text}, '```') as has_code, {at} as timestamp from kept"""
 
 
 def _sql_conversations(prefix: str, columns: str, at: str = "stamp") -> str:
@@ -320,6 +400,7 @@ from kept group by c"""
 
 
 _D_AT = "strftime(make_timestamp((sort_order + greatest(1000, max(5000 - turn - sort_order) over (partition by c order by sort_order rows unbounded preceding))) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
+_PLAN = "(type = 'assistant' and turn % 4 = 1)"
 _E_AT = "strftime(make_timestamp((1700000000000 + 10 * turn + case when type = 'assistant' then 1 else 0 end) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 _SPACES = "' ' || chr(9) || chr(10) || chr(13)"
 _LEXICON = gate.Lexicon()
@@ -347,8 +428,8 @@ ORACLE = {
     "tool_b_messages": _sql_messages("b", "'b' || c || ':' || (1 + n + coalesce((select sum(case when o.type = 'assistant' then 1 + o.turn % 2 else 0 end) from m o where o.c = kept.c and o.n < kept.n), 0))", "type = 'assistant' and turn % 2 = 1"),
     "tool_b_conversations": _sql_conversations("b", "'codex' as source, 'p' || (c % 3) as project_name, '/home/p' || (c % 3) as cwd, 'dev' as git_branch, 'thread' || c as slug"),
     "tool_c_messages": _sql_messages("c", "lpad(cast(turn as varchar), 6, '0')", "turn % 3 = 0"),
-    "tool_c_conversations": _sql_conversations("c", "'cursor' as source, 'my shop+1' as project_name, 'home/my shop+1' as cwd, null as git_branch, null as slug"),
-    "tool_d_messages": _sql_messages("d", "'d' || c || '-' || turn", at=_D_AT),
+    "tool_c_conversations": _sql_conversations("c", "'cursor' as source, case when c % 10 = 7 then '' else 'my shop+1' end as project_name, case when c % 10 <> 7 then 'home/my shop+1' end as cwd, null as git_branch, null as slug"),
+    "tool_d_messages": _sql_messages("d", "'d' || c || '-' || turn", _PLAN, _D_AT, f"text || case when {_PLAN} then chr(10) || chr(10) || 'so be it' else '' end"),
     "tool_d_conversations": _SAID + f""", t as (select *, {_D_AT} as ts from kept)
 select 'd' || c as id, 'trae' as source, 'my shop+1' as project_name, 'home/my shop+1' as cwd, null as git_branch, null as slug, count(*) as message_count,
        arg_min(ts, sort_order) as first_message_at, arg_max(ts, sort_order) as last_message_at from t group by c""",

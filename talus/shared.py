@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import BinaryIO
+from urllib.parse import quote, unquote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,3 +36,52 @@ def written(df: DataFrame, name: str = "tables") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
+#: Schemes whose files a task opens by itself. Files of others are read by Spark alone.
+OPENED = ("file", "hdfs", "s3", "gs")
+
+
+def local_path(path: str) -> str | None:
+    """The place of a ``file:`` path on a mounted disk, None for another scheme."""
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return path
+    return re.sub("^/+", "/", rest) if scheme == "file" else None
+
+
+@contextmanager
+def opened(path: str) -> Iterator[BinaryIO]:
+    """A file of the shared store to read from, in a task. Only ``file:`` is covered by tests here."""
+    place = local_path(path)
+    if place is None:
+        store, place = fs.FileSystem.from_uri(quote(path, safe=":/"))
+        with store.open_input_stream(unquote(place)) as stream:
+            yield io.BufferedReader(stream, 1 << 20)
+    else:
+        with open(place, "rb", 1 << 20) as stream:
+            yield stream
+
+
+@contextmanager
+def written(path: str) -> Iterator[BinaryIO]:
+    """A file of the shared store to write to, in a task: it is there whole or not at all, and a repeated task replaces it."""
+    folder, _, name = path.rpartition("/")
+    aside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+    place = local_path(path)
+    if place is None:
+        store, to = fs.FileSystem.from_uri(quote(path, safe=":/"))
+        _, beside = fs.FileSystem.from_uri(quote(aside, safe=":/"))
+        with store.open_output_stream(unquote(beside)) as stream:
+            yield stream
+        store.move(unquote(beside), unquote(to))
+    else:
+        os.makedirs(local_path(folder), exist_ok=True)
+        with open(local_path(aside), "wb", 1 << 20) as stream:
+            yield stream
+        os.replace(local_path(aside), place)

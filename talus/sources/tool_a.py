@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.functions.text import blank, trim_all
-from talus.sources.common import FENCE, META, files, first_seen, lines, numbered, whole_texts, with_bounds
+from talus.sources.common import FENCE, META, file_lines, files, first_seen, numbered, with_bounds
 
 #: Fixed values.
 SOURCE, LEAST_BYTES = "claude-code", 100
@@ -47,7 +47,7 @@ def project_name(folder: Column) -> Column:
 
 def parse(spark: SparkSession, metas: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(conversations, messages) of the sessions in metas. Malformed lines, noise and empty messages are left out."""
-    rows = lines(whole_texts(spark, metas.select(*META)))
+    rows = file_lines(spark, metas.select(*META))
     rows = rows.select(*META, "line_no", F.from_json("line", LINE, {"mode": "PERMISSIVE"}).alias("x"))
     rows = rows.where(F.col("x.uuid").isNotNull() & (F.col("x.uuid") != "") & F.col("x.type").isin("user", "assistant"))
     content = F.col("x.message.content")

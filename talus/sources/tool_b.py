@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions.text import last_segment, trim_all
-from talus.sources.common import FENCE, META, files, iso, last_seen, lines, numbered, whole_texts, with_bounds
+from talus.sources.common import FENCE, META, file_lines, files, iso, last_seen, lines, numbered, with_bounds
 
 #: Fixed values.
 SOURCE, LEAST_BYTES, MARKER = "codex", 50, "## My request for Codex:\n"
@@ -47,7 +47,7 @@ def marked_by_followers(rows: DataFrame, group: str, order: str, head: Column, m
 
 def parse(spark: SparkSession, metas: DataFrame, index: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(conversations, messages). The session's own id is the conversation's; that of the file name stands in for it."""
-    rows = lines(whole_texts(spark, metas.select(*META)))
+    rows = file_lines(spark, metas.select(*META))
     rows = rows.select(*META, "line_no", F.from_json("line", LINE, {"mode": "PERMISSIVE"}).alias("x")).where(F.col("x.payload").isNotNull())
     p = F.col("x.payload")
     kind = (

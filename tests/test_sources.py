@@ -162,3 +162,41 @@ def test_project_keys_of_checkouts(spark, tmp_path):
     rows = spark.createDataFrame([(1, f"{tmp_path}/shop/src/a"), (2, f"{tmp_path}/shop/inner"), (3, "/elsewhere"), (4, None)], "id int, cwd string")
     keys = spark.range(1).select(short_digest(F.lit("x.org/o/shop")).alias("a"), short_digest(F.lit(f"{tmp_path}/shop/inner")).alias("b"), short_digest(F.lit("/elsewhere")).alias("c")).first()
     assert dict(with_project_keys(rows, known).select("id", "project_key").collect()) == {1: f"git:{keys.a}", 2: f"path:{keys.b}", 3: f"cwd:{keys.c}", 4: None}
+
+
+def test_a_large_key_value_file_is_read_by_ranges(spark, tmp_path):
+    """Also one whose journal is a log beside it: what the log holds is not seen."""
+    from pyspark.sql import functions as F
+    from talus.sources import key_values
+
+    path = tmp_path / "has space+%41" / "state.vscdb"
+    path.parent.mkdir()
+    with sqlite3.connect(path) as db:
+        db.execute("pragma journal_mode=wal")
+        db.execute("create table cursorDiskKV (key text unique, value blob)")
+        db.executemany("insert into cursorDiskKV values (?, ?)", ((f"{'bubbleId' if k % 2 else 'other'}:{k:06}", None if k == 1 else f"v{k}" * 9) for k in range(70_000)))
+        db.commit()
+        db.execute("pragma wal_checkpoint(truncate)")
+        db.execute("insert into cursorDiskKV values ('bubbleId:late', 'x')")
+        db.commit()
+        rows = key_values.read(spark, str(tmp_path), "*.vscdb", "cursorDiskKV", "bubbleId:").withColumn("task", F.spark_partition_id()).collect()
+    assert {(r.key, r.value) for r in rows} == {(f"bubbleId:{k:06}", None if k == 1 else f"v{k}" * 9) for k in range(1, 70_000, 2)} and len(rows) == 35_000
+    assert len({r.task for r in rows}) > 1
+    db.close()
+
+
+def test_lines_come_from_tasks_in_blocks(spark, tmp_path):
+    """Line numbers go on over blocks, and no path goes through the driver."""
+    from talus.sources import common
+
+    long = "x" * 100_000
+    (tmp_path / "a b+%41").mkdir()
+    (tmp_path / "a b+%41" / "big.jsonl").write_bytes(b"\r\n".join([b"first", b"", *([long.encode()] * 100), b"  ", "läst".encode()]))
+    (tmp_path / "empty.jsonl").write_text("")
+    metas = common.files(spark, str(tmp_path), "*.jsonl")
+    got = {r.line_no: r.line for r in common.file_lines(spark, metas).collect()}
+    assert got == {0: "first", **dict.fromkeys(range(2, 102), long), 103: "läst"}
+    # What only Spark opens gives the same.
+    assert {r.line_no: r.line for r in common.lines(common._by_spark(spark, metas)).collect()} == got
+    texts = {r.file_path.rsplit("/", 1)[1]: len(r.text) for r in common.whole_texts(spark, metas).collect()}
+    assert texts == {"big.jsonl": 10_000_000 + 5 + 2 + 4 + 2 * 103}  # Spark lists no empty files
