@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions.text import blank, first_non_blank, non_blank, normalised_tags, round_up_ties, trim_all, united, united_values
+from talus.operators import vectors
 from talus.operators.gate import structured_gaps
 from talus.operators.graph import adjacency
 from talus.operators.vectors import DECAY, LEAST_CONFIDENCE, both_ways
@@ -76,35 +77,64 @@ def recall_size(project_limit: int = 5, global_limit: int = 3) -> int:
     return max((project_limit + global_limit) * 3, 1)
 
 
-def recall(hits: DataFrame, notes: DataFrame, relations: DataFrame, keys: DataFrame, project_limit: int = 5, global_limit: int = 3) -> DataFrame:
+def key_sets(tasks: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(query_id, project_key): the canonical key of each task's project and all its aliases; none for a task without a key."""
+    own = canonical_keys(tasks.select("query_id", "project_key").where(non_blank(F.col("project_key")).isNotNull()), aliases, "project_key").select("query_id", "canonical_key")
+    more = own.join(aliases.select("canonical_key", "alias_key"), "canonical_key").select("query_id", F.col("alias_key").alias("project_key"))
+    return own.select("query_id", F.col("canonical_key").alias("project_key")).unionByName(more).distinct()
+
+
+def recall(hits: DataFrame, notes: DataFrame, relations: DataFrame, keys: DataFrame, project_limit: int = 5, global_limit: int = 3, by: tuple[str, ...] = ()) -> DataFrame:
     """Memories of both buckets, in rank order: bucket, position, note_id, title, summary, outcome_type, pitfalls,
     reusable_patterns, related_note_ids, score, why_relevant.
 
     hits: note_id, title, chunk_text, score, via_relation, rank. A project memory is of one of ``keys``; one without a
-    scope counts as the project's. Limits hold after filtering, so fewer can come back than were hit.
+    scope counts as the project's. Limits hold after filtering, so fewer can come back than were hit. ``by`` names the
+    columns of hits and keys that tell tasks apart; limits hold for each.
     """
-    near = relations.join(hits.select(F.col("note_id").alias("source_note_id")), "source_note_id", "left_semi").unionByName(
-        relations.join(hits.select(F.col("note_id").alias("target_note_id")), "target_note_id", "left_semi")
-    ).distinct()
     meta = notes.select("note_id", *(F.col(c).alias(f"_{c}") for c in ("title", "summary", "project_key", "scope", "outcome_type", "pitfalls", "reusable_patterns")))
-    rows = hits.join(meta, "note_id").join(adjacency(near), "note_id", "left")
-    own = keys.select(F.col("project_key").alias("_project_key"), F.lit(True).alias("_own")).distinct()
-    rows = rows.join(own, "_project_key", "left")
+    own = keys.select(*by, F.col("project_key").alias("_project_key"), F.lit(True).alias("_own")).distinct()
+    rows = hits.join(meta, "note_id").join(own, [*by, "_project_key"], "left")
     scope = F.coalesce(non_blank(F.col("_scope")), F.lit("project"))
     bucket = F.when((scope == "project") & F.col("_own"), "project").when(scope == "global", "global")
     rows = rows.withColumn("bucket", bucket).where("bucket is not null")
-    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy("bucket").orderBy("rank")))
-    limit = F.when(F.col("bucket") == "project", project_limit).otherwise(global_limit)
+    rows = rows.withColumn("position", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("rank")))
+    rows = rows.where(F.col("position") <= F.when(F.col("bucket") == "project", project_limit).otherwise(global_limit))
+    # Relations are looked up of what comes back, once a note however many tasks it comes back for.
+    kept = rows.select("note_id").distinct()
+    near = relations.join(kept.withColumnRenamed("note_id", "source_note_id"), "source_note_id", "left_semi").unionByName(
+        relations.join(kept.withColumnRenamed("note_id", "target_note_id"), "target_note_id", "left_semi")
+    ).distinct()
     empty, no_ids = F.array().cast("array<string>"), F.array().cast("array<bigint>")
-    return rows.where(F.col("position") <= limit).select(
-        "bucket", "position", "note_id", first_non_blank(F.col("_title"), F.col("title")).alias("title"),
-        first_non_blank(F.col("_summary"), F.col("chunk_text")).alias("summary"), F.col("_outcome_type").alias("outcome_type"),
+    return rows.join(adjacency(near), "note_id", "left").select(
+        *by, "bucket", "position", "note_id", F.coalesce(F.nullif("_title", F.lit("")), "title").alias("title"),
+        F.coalesce(F.nullif("_summary", F.lit("")), "chunk_text").alias("summary"), F.col("_outcome_type").alias("outcome_type"),
         F.coalesce("_pitfalls", empty).alias("pitfalls"), F.coalesce("_reusable_patterns", empty).alias("reusable_patterns"),
         F.coalesce("related_ids", no_ids).alias("related_note_ids"), "score",
         F.when(F.col("via_relation").isNotNull(), F.concat(F.lit("Matched via relation "), F.col("via_relation"))).otherwise("Matched by semantic similarity").alias("why_relevant"),
     )
 
 
+def recall_many(
+    tasks: DataFrame, chunks: DataFrame, notes: DataFrame, about: DataFrame, relations: DataFrame, aliases: DataFrame, project_limit: int = 5, global_limit: int = 3, index: vectors.VectorIndex | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Recall for many tasks (query_id, vector, project_key) in one plan: (memories, reasons).
+
+    memories are those of ``recall`` with query_id, equal to one call a task; reasons (query_id, reason) has a row for
+    every task: no-project-key, no-matches or ok. query_id tells tasks apart. A task without a key gets global memories
+    alone, one without a vector none. notes: id, title,
+    embedding_status; about: the memories' own columns with note_id. Hits go by task through every window, so a key or a
+    memory that a third of all tasks share fills no task of its own.
+    """
+    asked = tasks.where(F.col("vector").isNotNull())
+    hits = vectors.search_many(chunks, notes, relations, asked.select("query_id", "vector"), recall_size(project_limit, global_limit), index)
+    titled = hits.join(notes.select(F.col("id").alias("note_id"), "title"), "note_id")
+    memories = written(recall(titled, about, relations, key_sets(asked, aliases), project_limit, global_limit, by=("query_id",)), "recalled")
+    found = tasks.select("query_id", "project_key").join(memories.select("query_id", F.lit(True).alias("_met")).distinct(), "query_id", "left")
+    reason = F.when(non_blank(F.col("project_key")).isNull(), "no-project-key").when(F.col("_met"), "ok").otherwise("no-matches")
+    return memories, found.select("query_id", reason.alias("reason"))
+
+
 def recall_reason(memories: DataFrame, key: str | None) -> str:
     return "no-project-key" if not key else "no-matches" if memories.isEmpty() else "ok"
 

@@ -214,17 +214,16 @@ def _with_lists(rows: DataFrame, centres: np.ndarray, probes: int, vector: str,
     return rows.where(F.col(vector).isNotNull()).select(*names, F.col(vector).alias("vector")).mapInPandas(run, f"{columns}, vector array<double>, list int")
 
 
-def direct_hits(hits: DataFrame, notes: DataFrame) -> DataFrame:
-    """Best chunk of each note that is there and embedded: hits' columns with a new rank over notes.
+def direct_hits(hits: DataFrame, notes: DataFrame, *by: str) -> DataFrame:
+    """Best chunk of each note that is there and embedded: hits' columns with a new rank over notes, for each query that ``by`` names.
 
     Notes are looked up before chunks are thinned out, so a stale chunk never hides one that is there.
     """
     ready = notes.where("embedding_status = 'done'").select(F.col("id").alias("note_id"))
-    best = F.row_number().over(Window.partitionBy("note_id").orderBy(F.desc("score"), "rank"))
-    kept = hits.join(ready, "note_id", "left_semi").withColumn("_best", best).where("_best = 1").drop("_best")
-    first = hits.join(ready, "note_id", "left_semi").groupBy("note_id").agg(F.min("rank").alias("_first"))
-    kept = kept.join(first, "note_id").drop("rank")
-    return kept.withColumn("rank", F.row_number().over(Window.orderBy("_first"))).drop("_first")  # at most k rows
+    note = Window.partitionBy(*by, "note_id")
+    rows = hits.join(ready, "note_id", "left_semi").withColumn("_first", F.min("rank").over(note))
+    rows = rows.withColumn("_best", F.row_number().over(note.orderBy(F.desc("score"), "rank"))).where("_best = 1").drop("_best", "rank")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("_first"))).drop("_first")  # at most k rows a query
 
 
 def both_ways(relations: DataFrame) -> DataFrame:
@@ -234,24 +233,25 @@ def both_ways(relations: DataFrame) -> DataFrame:
     return out.unionByName(relations.select(F.col("target_note_id").alias("note_id"), F.col("source_note_id").alias("linked_id"), *columns))
 
 
-def expand(direct: DataFrame, relations: DataFrame, notes: DataFrame) -> DataFrame:
+def expand(direct: DataFrame, relations: DataFrame, notes: DataFrame, *by: str) -> DataFrame:
     """direct hits and the notes one relation away: note_id, chunk_text, score, via_relation, best first.
 
     A neighbour's score is its hit's times 0.7 and the confidence (0.5 at least), to three places. The first hit in rank
-    that reaches a neighbour counts; direct hits are never replaced.
+    that reaches a neighbour counts; direct hits are never replaced. With ``by``, this holds for each query of its own,
+    and rows come in no order.
     """
     ready = notes.where("embedding_status = 'done'").select(F.col("id").alias("linked_id"))
     edges = both_ways(relations.where(F.col("confidence") >= LEAST_CONFIDENCE))
-    near = direct.select("note_id", "score", "rank").join(edges, "note_id").join(ready, "linked_id", "left_semi")
-    near = near.join(direct.select(F.col("note_id").alias("linked_id")), "linked_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("linked_id").orderBy("rank", "relation_id"))
+    near = direct.select(*by, "note_id", "score", "rank").join(edges, "note_id").join(ready, "linked_id", "left_semi")
+    near = near.join(direct.select(*by, F.col("note_id").alias("linked_id")), [*by, "linked_id"], "left_anti")
+    first = F.row_number().over(Window.partitionBy(*by, "linked_id").orderBy("rank", "relation_id"))
     near = near.withColumn("_first", first).where("_first = 1")
     reached = near.select(
-        F.col("linked_id").alias("note_id"), F.lit("").alias("chunk_text"),
+        *by, F.col("linked_id").alias("note_id"), F.lit("").alias("chunk_text"),
         round_up_ties(F.col("score") * DECAY * F.col("confidence"), 3).alias("score"), F.col("relation_type").alias("via_relation"),
     )
-    own = direct.select("note_id", "chunk_text", "score", F.lit(None).cast("string").alias("via_relation"))
-    return own.unionByName(reached).orderBy(F.desc("score"), "note_id")
+    own = direct.select(*by, "note_id", "chunk_text", "score", F.lit(None).cast("string").alias("via_relation"))
+    return own.unionByName(reached) if by else own.unionByName(reached).orderBy(F.desc("score"), "note_id")
 
 
 def search(chunks: DataFrame, notes: DataFrame, relations: DataFrame, query: Sequence[float], k: int = 10, expanded: bool = False) -> DataFrame:
@@ -261,6 +261,20 @@ def search(chunks: DataFrame, notes: DataFrame, relations: DataFrame, query: Seq
     return direct.orderBy("rank").select("note_id", "chunk_text", "score", F.lit(None).cast("string").alias("via_relation"))
 
 
+def search_many(chunks: DataFrame, notes: DataFrame, relations: DataFrame, queries: DataFrame, k: int = 10, index: VectorIndex | None = None) -> DataFrame:
+    """``search`` with expansion for each of many queries (query_id, vector) at once: query_id, note_id, chunk_text, score, via_relation, rank.
+
+    Chunks are scored once a block of queries, or by an index; then all queries are thinned out, expanded and ranked
+    together, each by its own windows. Only the hits, k a query at most, are written before relations are looked up.
+    """
+    k = min(k, MOST_HITS)
+    hits = index.search(queries, k) if index else top_chunks_of_many(chunks, queries, k)
+    direct = direct_hits(hits, notes, "query_id").join(chunks.select("note_id", "chunk_index", "chunk_text"), ["note_id", "chunk_index"])
+    found = expand(written(direct, "direct-hits"), relations, notes, "query_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "note_id")
+    return found.withColumn("rank", F.row_number().over(order))
+
+
 def with_note_tags(hits: DataFrame, note_tags: DataFrame) -> DataFrame:
     """hits with the sorted tags of their notes, an empty list for notes without."""
     return hits.join(tags_of_notes(note_tags), "note_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))

@@ -15,7 +15,7 @@ from talus import models
 from talus.operators import gate, memory, notes, summarise, vectors
 from talus.plans.views import messages, table, tool_messages
 from talus.schemas import CONVERSATION, ensure_columns
-from talus.shared import make_folder, written
+from talus.shared import make_folder, put
 from talus.shared import new_path as shared
 from talus.sources import registry, tool_a, tool_b, tool_c, tool_d, tool_e
 from talus.store import Store
@@ -23,7 +23,7 @@ from talus.streaming.ingest import import_changes
 
 
 def _put(path: str, content: bytes) -> None:
-    with written(path) as out:
+    with put(path) as out:
         out.write(content)
 
 
@@ -54,7 +54,7 @@ ROLL = 5_000
 
 def _write_a(root: str, task: int, sessions) -> None:
     for c, rows in sessions:
-        with written(f"{root}/c--Users-Projects-Shop{c % 3}/a{c}.jsonl") as out:
+        with put(f"{root}/c--Users-Projects-Shop{c % 3}/a{c}.jsonl") as out:
             out.write(_line({"type": "noise"}))
             for r in rows:
                 content = r.text + "<system-reminder>x</system-reminder>" if _said(r) == "user" else [{"type": "text", "text": r.text}, {"type": "tool_use", "id": "t"}]
@@ -64,10 +64,10 @@ def _write_a(root: str, task: int, sessions) -> None:
 
 
 def _write_b(root: str, task: int, sessions) -> None:
-    with written(f"{root}/index/{task}.jsonl") as index:
+    with put(f"{root}/index/{task}.jsonl") as index:
         for c, rows in sessions:
             index.write(b"".join(_line({"id": f"b{c}", "thread_name": n}) for n in (f"old{c}", f"thread{c}")))
-            with written(f"{root}/logs/2026/rollout-2026-01-01T00-00-00-b{c}.jsonl") as out:
+            with put(f"{root}/logs/2026/rollout-2026-01-01T00-00-00-b{c}.jsonl") as out:
                 event = lambda turn, kind, **payload: out.write(_line({"timestamp": _stamp(turn), "type": kind, "payload": payload}))  # noqa: B023, E731
                 event(0, "session_meta", id=f"b{c}", cwd=f"/home/p{c % 3}", git={"branch": "dev"})
                 for r in rows:
@@ -131,7 +131,7 @@ def _write_e(root: str, task: int, sessions) -> None:
     """Odd conversations are JSON lines whose first line is the session."""
     _put(f"{root}/w{task}/workspace.json", json.dumps({"folder": "file:///home/my%20shop+1"}).encode())
     for c, rows in sessions:
-        with written(f"{root}/w{task}/chatSessions/e{c}.json{'l' * (c % 2)}") as out:
+        with put(f"{root}/w{task}/chatSessions/e{c}.json{'l' * (c % 2)}") as out:
             out.write(b'{"kind": 0, "v": ' * (c % 2) + json.dumps({"sessionId": f"e{c}", "customTitle": f"t{c}"}).encode()[:-1] + b', "requests": [')
             for n, r in enumerate(rows):
                 ask = {"requestId": f"r{r.turn}", "timestamp": 1_700_000_000_000 + 10 * r.turn, "message": {"text": r.text if _said(r) == "user" else ""}, "response": [{"value": r.text}] * (_said(r) == "assistant")}

@@ -58,6 +58,35 @@ def recall_buckets(spark, sf_dir):
     return rows.select("bucket", "position", "note_id", "title", "summary", F.size("related_note_ids").cast("long").alias("related"))
 
 
+def _memories(spark, sf_dir):
+    empty = F.lit(None).cast("array<string>")
+    scope = F.when(F.col("label") % 3 == 0, "global").when(F.col("label") % 3 == 1, "project")
+    return vector_notes(spark, sf_dir).select(
+        F.col("id").alias("note_id"), F.concat(F.lit("note "), F.col("id")).alias("title"), F.lit("").alias("summary"), F.concat(F.lit("key"), F.col("id") % 4).alias("project_key"),
+        scope.alias("scope"), F.lit("fix").alias("outcome_type"), empty.alias("pitfalls"), empty.alias("reusable_patterns"),
+    )
+
+
+def _recalled(spark, sf_dir):
+    """Every tenth note asks for its first chunk; one in seven of them has no project. key3 is another name of key1."""
+    key = F.when(F.col("query_id") % 70 != 0, F.concat(F.lit("key"), (F.col("query_id") / 10).cast("long") % 4))
+    tasks = _titles(spark, sf_dir).select("query_id", "vector", key.alias("project_key"))
+    aliases = spark.range(1).select(F.lit("key3").alias("alias_key"), F.lit("key1").alias("canonical_key"))
+    known = vector_notes(spark, sf_dir).withColumn("title", F.lit(""))
+    return memory.recall_many(tasks, chunks(spark, sf_dir), known, _memories(spark, sf_dir), relations(spark, sf_dir), aliases)
+
+
+def recall_of_many(spark, sf_dir):
+    """What each task recalls, found for all tasks at once."""
+    return _recalled(spark, sf_dir)[0].select(
+        "query_id", "bucket", "position", "note_id", "title", "summary", F.size("related_note_ids").cast("long").alias("related"), F.round("score", 6).alias("score"), "why_relevant")
+
+
+def recall_reasons(spark, sf_dir):
+    """Why each task got what it got."""
+    return _recalled(spark, sf_dir)[1]
+
+
 def graph_degree(spark, sf_dir):
     return graph.degrees(relations(spark, sf_dir))
 
@@ -172,7 +201,48 @@ q as (select note_id as query_id, x from v where chunk_index = 0 and note_id % 1
 s as (select query_id, note_id, chunk_index, coalesce(list_dot_product(q.x, v.x) / nullif(sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(v.x, v.x)), 0), 0) as score from q, v)
 select query_id, note_id, chunk_index, round(score, 6) as score, (row_number() over (partition by query_id order by score desc, note_id, chunk_index))::int as rank from s qualify rank <= 10"""
 
+# What tasks recall: the search of each with its expansion, then buckets of memories.
+_RECALLED = """
+with v as (select vec_id // 2 as note_id, (vec_id % 2)::int as chunk_index, embedding::double[] as x from embeddings),
+known as (select vec_id // 2 as id, min(label) as label, case when vec_id // 2 % 7 = 3 then 'pending' else 'done' end as embedding_status from embeddings group by 1, 3),
+tasks as (select note_id as query_id, x, case when note_id % 70 <> 0 then 'key' || (note_id // 10 % 4) end as project_key from v where chunk_index = 0 and note_id % 10 = 0),
+scored as (
+  select query_id, note_id, chunk_index, coalesce(list_dot_product(q.x, v.x) / nullif(sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(v.x, v.x)), 0), 0) as score
+  from tasks q, v
+), hits as (
+  select *, row_number() over (partition by query_id order by score desc, note_id, chunk_index) as rank from scored qualify rank <= 24
+), best as (
+  select h.*, min(rank) over (partition by query_id, note_id) as first, row_number() over (partition by query_id, note_id order by score desc, rank) as nth
+  from hits h where note_id in (select id from known where embedding_status = 'done')
+), direct as (
+  select query_id, note_id, chunk_index, score, row_number() over (partition by query_id order by first) as rank from best where nth = 1
+), relations as (
+  select id * 2 + k as id, id as source_note_id, (id * (case when k = 0 then 3 else 5 end) + 7 + k) % (select max(id) + 1 from known) as target_note_id,
+         case when k = 0 then 'SIMILAR_TO' else 'LEADS_TO' end as relation_type, 0.4::double + (id % 6) / 10.0::double as confidence
+  from known, (values (0), (1)) as v(k)
+), ways as (
+  select id as relation_id, source_note_id as note_id, target_note_id as linked_id, relation_type, confidence from relations
+  union all select id, target_note_id, source_note_id, relation_type, confidence from relations
+), near as (
+  select query_id, linked_id, floor(score * 0.7::double * confidence * 1000 + 0.5) / 1000 as score, relation_type, row_number() over (partition by query_id, linked_id order by rank, relation_id) as nth
+  from direct d join ways using (note_id) where confidence >= 0.5 and linked_id in (select id from known where embedding_status = 'done')
+    and not exists (select 1 from direct e where e.query_id = d.query_id and e.note_id = linked_id)
+), found as (
+  select query_id, note_id, score, null as via, 'chunk ' || (note_id * 2 + chunk_index) as text from direct
+  union all select query_id, linked_id, score, relation_type, '' from near where nth = 1
+), b as (
+  select found.*, case when label % 3 = 0 then 'global' when t.project_key = 'key' || (note_id % 4) or (t.project_key = 'key1' and note_id % 4 = 3) or (t.project_key = 'key3' and note_id % 4 = 1) then 'project' end as bucket
+  from found join known on id = note_id join tasks t using (query_id)
+), ranked as (select *, (row_number() over (partition by query_id, bucket order by score desc, note_id))::int as position from b where bucket is not null
+), kept as (select * from ranked where position <= case when bucket = 'project' then 5 else 3 end)
+"""
+
 ORACLE = {
+    "recall_of_many": _RECALLED + """
+select query_id, bucket, position, note_id, 'note ' || note_id as title, text as summary, (select count(*) from ways w where w.note_id = kept.note_id) as related,
+       round(score, 6) as score, coalesce('Matched via relation ' || via, 'Matched by semantic similarity') as why_relevant from kept""",
+    "recall_reasons": _RECALLED + """
+select query_id, case when project_key is null then 'no-project-key' when query_id in (select query_id from kept) then 'ok' else 'no-matches' end as reason from tasks""",
     "knn_topk": VECTORS + "select note_id, chunk_index, round(score, 6) as score, rank from hits",
     "knn_of_many": _MANY,
     "knn_of_many_indexed": _MANY,
@@ -221,7 +291,7 @@ from documents join t on note_id = doc_id""",
 QUERIES = {
     f.__name__: f
     for f in (
-        knn_topk, knn_of_many, knn_of_many_indexed, knn_dedupe, knn_expand, recall_buckets, graph_degree, graph_edges_filtered, neighbours_bidir, no_outgoing_anti, project_colours, tag_counts, tag_semi,
+        knn_topk, knn_of_many, knn_of_many_indexed, knn_dedupe, knn_expand, recall_buckets, recall_of_many, recall_reasons, graph_degree, graph_edges_filtered, neighbours_bidir, no_outgoing_anti, project_colours, tag_counts, tag_semi,
         note_tags_array, paged_notes, notes_page_behind, latest_n, status_summary, embedding_texts,
     )
 }

@@ -69,7 +69,7 @@ def opened(path: str) -> Iterator[BinaryIO]:
 
 
 @contextmanager
-def written(path: str) -> Iterator[BinaryIO]:
+def put(path: str) -> Iterator[BinaryIO]:
     """A file of the shared store to write to, in a task: it is there whole or not at all, and a repeated task replaces it."""
     folder, _, name = path.rpartition("/")
     aside = f"{folder}/.{name}.{uuid.uuid4().hex}"

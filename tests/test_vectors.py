@@ -89,3 +89,38 @@ def test_relation_candidates_by_the_index(spark, stored, titles):
     exact = {tuple(r) for r in summarise.relation_candidates(notes, titles, stored, 10).collect()}
     near = {tuple(r) for r in summarise.relation_candidates(notes, titles, stored, 10, vectors.VectorIndex.build(stored)).collect()}
     assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_recall_of_many_is_one_recall_each(spark):
+    """Every task's memories and reason are those of a call of its own, tasks without a key, and without any match, included."""
+    from talus.operators import memory
+    from talus.plans.views import relations, vector_notes
+    from tests.oracle import plain
+
+    small = "/root/testdata/sf0.001"
+    chunks, known = chunks_of(spark, small).cache(), vector_notes(spark, small).withColumn("title", F.lit("a title")).cache()
+    about = known.select(
+        F.col("id").alias("note_id"), F.when(F.col("id") % 3 == 0, "").otherwise("own").alias("title"), F.lit(" ").alias("summary"), F.concat(F.lit("k"), F.col("id") % 3).alias("project_key"),
+        F.when(F.col("id") % 5 == 0, "global").alias("scope"), F.lit("fix").alias("outcome_type"), *(F.lit(None).cast("array<string>").alias(c) for c in ("pitfalls", "reusable_patterns")),
+    ).where("note_id % 4 <> 1").cache()
+    edges = relations(spark, small).cache()
+    aliases = spark.createDataFrame([("k2", "k1"), ("k9", "k0")], "alias_key string, canonical_key string")
+    vector = {r.note_id: list(r.vector) for r in chunks.where("chunk_index = 1").collect()}
+    asked = [(n, vector[n], key) for n, key in zip(sorted(vector)[:6], ("k0", "k1", "k2", "k9", None, "  "), strict=True)] + [(99, None, "k1")]
+    memories, reasons = memory.recall_many(spark.createDataFrame(asked, "query_id long, vector array<double>, project_key string"), chunks, known, about, edges, aliases, 4, 2)
+    want = {}
+    for n, x, key in asked:
+        want[n] = "no-matches" if (key or "").strip() else "no-project-key"
+        if x is None:
+            continue
+        k = min(memory.recall_size(4, 2), vectors.MOST_HITS)
+        found = vectors.expand(vectors.direct_hits(vectors.top_chunks(chunks, x, k), known), edges, known).withColumn("title", F.lit("a title"))
+        hits = spark.createDataFrame([(*r, at) for at, r in enumerate(found.collect())], "note_id long, chunk_text string, score double, via_relation string, title string, rank int")
+        canonical = {"k2": "k1", "k9": "k0"}.get(key, key)
+        keys = memory.key_set(aliases, canonical) if want[n] == "no-matches" else aliases.where("false").select(F.col("alias_key").alias("project_key"))
+        one = memory.recall(hits, about, edges, keys, 4, 2).collect()
+        got = memories.where(F.col("query_id") == n).drop("query_id").collect()
+        assert sorted(repr(plain(tuple(r))) for r in got) == sorted(repr(plain(tuple(r))) for r in one) and one
+        assert all(r.position <= (4 if r.bucket == "project" else 2) for r in one)
+        want[n] = memory.recall_reason(memories.where(F.col("query_id") == n), (key or "").strip() or None)
+    assert dict(reasons.collect()) == want and set(want.values()) == {"ok", "no-matches", "no-project-key"}
