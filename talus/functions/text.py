@@ -71,6 +71,16 @@ def united_values(a: Column, b: Column) -> Column:
     return F.coalesce(F.array_distinct(F.concat(a, b)), F.array_distinct(a), F.array_distinct(b))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Whether ``pattern`` is found; with (?i), letters of all scripts are equal in either case.
+
+    Java's (?i) folds ASCII alone, its (?iu) takes the Turkish i's for i as well: those two give way to characters that never occur.
+    """
+    for letter, stand_in in (("\u0130", "\ufdd0"), ("\u0131", "\ufdd1")):
+        text, pattern = F.replace(text, F.lit(letter), F.lit(stand_in)), pattern.replace(letter, stand_in)
+    return text.rlike(pattern.replace("(?i)", "(?iu)"))
+
+
 def contains_literal(text: Column, part: str) -> Column:
     """Whether a text has ``part`` somewhere, whatever its case; nothing in it is a wildcard."""
     return F.contains(F.lower(text), F.lower(F.lit(part)))

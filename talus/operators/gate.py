@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.text import CJK, blank, dense_length, trim_all
+from talus.functions.text import CJK, blank, dense_length, matches, trim_all
 from talus.operators.turns import meaningful
 
 
@@ -53,7 +53,7 @@ def signals(messages: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
     messages = meaningful(messages)
     content = F.coalesce("content", F.lit(""))
     said = F.struct("sort_order", content.alias("content"))
-    effective = (F.col("type") == "user") & ~trim_all(content).rlike(lexicon.low_info)
+    effective = (F.col("type") == "user") & ~matches(trim_all(content), lexicon.low_info)
     rows = messages.groupBy("conversation_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x.content), "\n").alias("text"),
         F.count_if(effective).alias("effective_turns"),
@@ -62,10 +62,10 @@ def signals(messages: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
     text = F.col("text")
     rows = rows.select(
         "conversation_id", "effective_turns", dense_length(text).cast("long").alias("content_chars"),
-        text.rlike(lexicon.problem).alias("has_problem_signal"), text.rlike(lexicon.error).alias("has_error_signal"),
-        (F.col("marked") | text.rlike(lexicon.code)).alias("has_code_signal"), text.rlike(lexicon.process).alias("has_process_signal"),
-        text.rlike(lexicon.decision).alias("has_decision_signal"), text.rlike(lexicon.outcome).alias("has_outcome_signal"),
-        text.rlike(lexicon.reuse).alias("has_reuse_signal"),
+        matches(text, lexicon.problem).alias("has_problem_signal"), matches(text, lexicon.error).alias("has_error_signal"),
+        (F.col("marked") | matches(text, lexicon.code)).alias("has_code_signal"), matches(text, lexicon.process).alias("has_process_signal"),
+        matches(text, lexicon.decision).alias("has_decision_signal"), matches(text, lexicon.outcome).alias("has_outcome_signal"),
+        matches(text, lexicon.reuse).alias("has_reuse_signal"),
     )
     strong = (
         (F.col("effective_turns") == 1) & (F.col("content_chars") >= 120) & F.col("has_problem_signal") & F.col("has_decision_signal")
