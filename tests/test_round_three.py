@@ -23,6 +23,6 @@ def said(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["signals", "gate_prefilter", "gate_combine"])
+@pytest.mark.parametrize("name", ["signals", "gate_prefilter", "gate_combine", "gate_eval_report"])
 def test_signals_in_either_case_of_any_letter(spark, said, name):
     same(spark, QUERIES[name], ORACLE[name], said)
