@@ -85,16 +85,20 @@ def change_detect(spark, sf_dir):
     return store.changed(orders, stored, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
 
 
+def _lines(spark, sf_dir):
+    """Prices by order, and each line's place in its table: lines of an order may share a number, of which SQL takes the first."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"), "l_linenumber", *place)
+
+
 def upsert_last_wins(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"), "l_linenumber")
-    return store.upsert(orders, rows, ["o_orderkey"], "l_linenumber")
+    return store.upsert(orders, _lines(spark, sf_dir).where("o_orderkey % 3 = 0"), ["o_orderkey"], "l_linenumber", ["file", "at"])
 
 
 def insert_ignore(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").alias("price"))
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"), "l_linenumber")
-    return store.insert_ignore(orders, rows, ["o_orderkey"], "l_linenumber")
+    return store.insert_ignore(orders, _lines(spark, sf_dir), ["o_orderkey"], "l_linenumber", ["file", "at"])
 
 
 def cascade_delete(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
@@ -17,9 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
-def last_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One row for each key: the one with the largest ``order``."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc()))
+def last_of(rows: DataFrame, keys: list[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
+    """One row for each key: the one with the largest ``order``, of equal ones that with the smallest ``ties``.
+
+    Where ``order`` isn't unique within a key and ``ties`` are not given, reruns may differ.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc(), *ties))
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -35,17 +38,17 @@ def with_new_ids(rows: DataFrame, key: str, name: str, last: int, buckets: int =
     return rows.withColumn("_within", within).join(sizes, "_bucket").withColumn(name, F.lit(last) + F.col("_before") + F.col("_within")).drop("_bucket", "_within", "_before")
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """target with ``rows`` in place of those with the same keys; of several new rows of a key the last wins."""
-    new = last_of(rows, keys, order).drop(order) if order else rows.dropDuplicates(keys)
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """target with ``rows`` in place of those with the same keys; of several new rows of a key ``last_of`` wins."""
+    new = last_of(rows, keys, order, ties).drop(order, *ties) if order else rows.dropDuplicates(keys)
     return target.join(new.select(*keys), keys, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
-    """target with those rows whose keys it lacks; of several new rows of a key the first wins."""
+def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
+    """target with those rows whose keys it lacks; of several new rows of a key the first by ``order``, then ``ties``, wins."""
     if order:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order)))
-        rows = rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank", order)
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties))
+        rows = rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank", order, *ties)
     else:
         rows = rows.dropDuplicates(keys)
     return target.unionByName(rows.join(target.select(*keys), keys, "left_anti"), allowMissingColumns=True)

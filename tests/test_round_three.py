@@ -26,3 +26,23 @@ def said(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["signals", "gate_prefilter", "gate_combine", "gate_eval_report"])
 def test_signals_in_either_case_of_any_letter(spark, said, name):
     same(spark, QUERIES[name], ORACLE[name], said)
+
+
+@pytest.fixture(scope="module")
+def lines(spark, tmp_path_factory):
+    """Lines of an order that share a number, the later ones in a larger file, which Spark reads first."""
+    folder = tmp_path_factory.mktemp("lines")
+    columns = "l_orderkey long, l_linenumber int, l_extendedprice double"
+    (folder / "lineitem.parquet").mkdir()
+    spark.createDataFrame([(k, n, 10.0 * k + n) for k in (3, 5, 6, 7) for n in (1, 2)], columns).toPandas().to_parquet(folder / "lineitem.parquet" / "part-0.parquet")
+    later = [(k, n, -float(10 * k + n)) for k in (3, 5, 6, 7, *range(1001, 3001)) for n in (2, 1)]
+    spark.createDataFrame(later, columns).toPandas().to_parquet(folder / "lineitem.parquet" / "part-1.parquet")
+    spark.createDataFrame([(3, 0.5), (6, 0.5), (8, 0.5)], "o_orderkey long, o_totalprice double").toPandas().to_parquet(folder / "orders.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name, want", [
+    ("insert_ignore", {3: 31.0, 5: 51.0, 6: 0.5, 7: 71.0, 8: 0.5}),
+])
+def test_of_lines_with_one_number_the_first_of_the_table_wins(spark, lines, name, want):
+    assert dict(QUERIES[name](spark, lines).where("o_orderkey < 10").collect()) == want
