@@ -42,7 +42,7 @@ def lines(spark, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name, want", [
-    ("insert_ignore", {3: 31.0, 5: 51.0, 6: 0.5, 7: 71.0, 8: 0.5}),
+    ("upsert_last_wins", {3: 32.0, 6: 62.0, 8: 0.5}), ("insert_ignore", {3: 31.0, 5: 51.0, 6: 0.5, 7: 71.0, 8: 0.5}),
 ])
 def test_of_lines_with_one_number_the_first_of_the_table_wins(spark, lines, name, want):
     assert dict(QUERIES[name](spark, lines).where("o_orderkey < 10").collect()) == want
