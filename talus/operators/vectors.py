@@ -21,6 +21,8 @@ LEAST_CONFIDENCE = 0.5
 MOST_HITS = 50
 #: Queries of a block that are scored against a batch of chunks at a time.
 SCORED = 256
+#: Hits beyond two times k a query that are held before the best are picked out.
+HELD = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -74,16 +76,26 @@ class BestHits:
         self.least = np.full(len(queries), -np.inf)
         self.rows = [np.zeros(0, t) for t in (np.int64, np.float64, np.int64, np.int64)]  # query, score, note, chunk
 
-    def add(self, vectors: np.ndarray, notes: np.ndarray, places: np.ndarray) -> None:
-        """Score a batch; only what reaches a query's k-th best so far is looked at again."""
-        for at in range(0, len(self.queries), SCORED):
-            scores = self.queries[at : at + SCORED] @ unit(vectors).T
-            floor = self.least[at : at + SCORED]
+    def add(self, vectors: np.ndarray, notes: np.ndarray, places: np.ndarray, only: np.ndarray | None = None) -> None:
+        """Score a batch, by ``only`` these queries if given; only what reaches a query's k-th best so far is looked at again."""
+        only, points = np.arange(len(self.queries)) if only is None else only, unit(vectors).T
+        found, held = [self.rows], len(self.rows[0])
+        for at in range(0, len(only), SCORED):
+            some = only[at : at + SCORED]
+            scores = self.queries[some] @ points
+            floor = self.least[some]
             if scores.shape[1] > self.k:  # what k of this batch beat can't stay
                 floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
             q, c = np.nonzero(scores >= floor[:, None])
-            new = (q + at, scores[q, c], notes[c], places[c])
-            self.rows = [np.concatenate(x) for x in zip(self.rows, new, strict=True)]
+            found.append((some[q], scores[q, c], notes[c], places[c]))
+            held += len(q)
+            if held > 2 * self.k * len(self.queries) + HELD:  # many copies of one chunk tie
+                self._keep(found)
+                found, held = [self.rows], len(self.rows[0])
+        self._keep(found)
+
+    def _keep(self, found: list) -> None:
+        self.rows = [np.concatenate(x) for x in zip(*found, strict=True)]
         self._trim()
 
     def _trim(self) -> None:
@@ -122,12 +134,17 @@ def _block_scores(ids: list[int], vectors: list[list[float]], k: int) -> Callabl
 SAMPLE = 50_000
 #: Stored vectors, at most, that are asked for to find how many lists a query must look at.
 TRIED = 128
-#: Chunks, and queries, of a piece of a list: what a task scores at a time.
+#: Chunks, and queries, of a bundle of lists or a piece of one: what a task scores at a time.
 PIECE = 8192
+#: Rows whose nearness to all centres is held at a time, and rows that a query's slice of a batch is dealt out as, about.
+NEAR, DEALT = 1024, 16_384
 
 
 class VectorIndex:
-    """Chunks in lists by their nearest centre, a list in pieces of about PIECE chunks: a query looks at its nearest lists only.
+    """Chunks in lists by their nearest centre: a query looks at its nearest lists only.
+
+    Small lists are scored in bundles of about PIECE chunks, large ones in pieces of as many, so a query is sent to each
+    bundle once, with the numbers of its lists there, and not to each list.
 
     Centres are fitted on a sample of at most SAMPLE vectors; every chunk is in a list. ``lists`` is twice the square root
     of their number where not given. A list that holds a third of all chunks is cut into pieces like any other.
@@ -149,13 +166,16 @@ class VectorIndex:
         if total:
             model = KMeans(k=lists, seed=seed, maxIter=10, distanceMeasure="cosine", initMode="random").fit(_not_zero(points))
             centres = unit(np.array(model.clusterCenters()))
-        placed = _with_lists(chunks, centres, 1, "vector", "note_id long, chunk_index int").withColumnRenamed("list", "_list")
+        placed = _with_lists(chunks, centres, "vector", "note_id long, chunk_index int").withColumnRenamed("list", "_list")
         placed = written(placed, "vector-lists")
-        sizes = placed.groupBy("_list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_pieces"))
+        before = Window.orderBy("_list").rowsBetween(Window.unboundedPreceding, -1)  # a row a list
+        bundle = F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / PIECE).cast("int")
+        sizes = placed.groupBy("_list").agg(F.count("*").alias("_n")).select("_list", F.ceil(F.col("_n") / PIECE).cast("int").alias("_pieces"), bundle.alias("_bundle"))
+        sizes = written(sizes, "list-sizes")
         cut = placed.join(sizes, "_list").withColumn("_piece", F.pmod(F.xxhash64("note_id", "chunk_index"), F.col("_pieces")).cast("int"))
         cut = written(cut.drop("_pieces"), "vector-index")
         tried = chunks.where("vector is not null").select("vector").sample(min(1.0, 2 * TRIED / max(1, total)), seed).limit(TRIED).collect()
-        return cls(centres, cut, written(sizes, "list-sizes"), _lists_needed(cut, centres, [list(r.vector) for r in tried], recall))
+        return cls(centres, cut, sizes, _lists_needed(cut, centres, [list(r.vector) for r in tried], recall))
 
     def search(self, queries: DataFrame, k: int = 10, probes: int | None = None) -> DataFrame:
         """Top k chunks of each query (query_id, vector) among those of its ``probes`` nearest lists: query_id, note_id, chunk_index, score, rank.
@@ -163,21 +183,30 @@ class VectorIndex:
         ``probes`` is what the index has measured where not given; with all lists the result is exact.
         """
         probes = min(len(self.centres), probes or self.probes)
-        asked = _with_lists(queries, self.centres, probes, "vector", "query_id long").withColumnRenamed("list", "_list")
-        asked = asked.join(self.sizes, "_list").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).drop("_pieces")
-        per = asked.groupBy("_list").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_parts"))  # a piece's queries are dealt out too
-        asked = asked.join(per, "_list").withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")).drop("_parts")
-        held = self.chunks.join(per, "_list").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+        sizes = [(r["_list"], r["_bundle"], r["_pieces"]) for r in self.sizes.collect()]  # 4096 lists at most
+        keys = ["_bundle", "_piece"]
+        asked = _dealt(queries, self.centres, probes, sizes)
+        per = asked.groupBy(*keys).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("_parts"))  # a bundle's queries are dealt out too
+        asked = asked.join(per, keys).withColumn("_part", F.pmod(F.xxhash64("query_id"), F.col("_parts")).cast("int")).drop("_parts")
+        held = self.chunks.join(per, keys).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
 
         def scored(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
             if not len(mine) or not len(near):
                 return pd.DataFrame({"query_id": [], "note_id": [], "chunk_index": [], "score": []})
             best = BestHits(_matrix(mine["vector"]), k)
-            best.add(_matrix(near["vector"]), near["note_id"].to_numpy(), near["chunk_index"].to_numpy())
+            points, notes, places = _matrix(near["vector"]), near["note_id"].to_numpy(), near["chunk_index"].to_numpy()
+            lists, number = np.unique(near["_list"].to_numpy(), return_inverse=True)
+            asks = np.zeros((len(mine), len(lists)), bool)
+            for q, wanted in enumerate(mine["_lists"]):
+                asks[q] = np.isin(lists, wanted)
+            all_ask = asks.all(axis=0)
+            for own, only in [(all_ask[number], None)] + [(number == n, np.flatnonzero(asks[:, n])) for n in np.flatnonzero(~all_ask)]:
+                if own.any():
+                    best.add(points[own], notes[own], places[own], only)
             q, score, note, place = best.rows
             return pd.DataFrame({"query_id": mine["query_id"].to_numpy()[q], "note_id": note, "chunk_index": place.astype(np.int32), "score": score})
 
-        keys = ["_list", "_piece", "_part"]
+        keys = [*keys, "_part"]
         hits = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(scored, "query_id long, note_id long, chunk_index int, score double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "note_id", "chunk_index"))
         return hits.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -200,20 +229,56 @@ def _not_zero(points: DataFrame) -> DataFrame:
     return points.where(F.exists(vector_to_array("features"), lambda x: x != 0))
 
 
-def _with_lists(rows: DataFrame, centres: np.ndarray, probes: int, vector: str, columns: str) -> DataFrame:
-    """``columns``, vector and list: one row for each of the ``probes`` centres nearest to the row's vector."""
+def _nearest(vectors: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """The numbers of the ``probes`` centres nearest to each vector, ties by number."""
+    if probes >= len(centres):
+        return np.tile(np.arange(len(centres)), (len(vectors), 1))
+    scores = unit(vectors) @ centres.T
+    return scores.argmax(axis=1)[:, None] if probes == 1 else np.argsort(-scores, axis=1, kind="stable")[:, :probes]
+
+
+def _with_lists(rows: DataFrame, centres: np.ndarray, vector: str, columns: str) -> DataFrame:
+    """``columns``, vector and list: the centre nearest to the row's vector."""
     names = [c.split()[0] for c in columns.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                near = np.argsort(-(unit(_matrix(batch[vector])) @ centres.T), axis=1, kind="stable")[:, :probes]
-                out = batch.loc[batch.index.repeat(probes)].reset_index(drop=True)
-                yield out.assign(list=near.reshape(-1).astype(np.int32))[[*names, "vector", "list"]]
+            for at in range(0, len(batch), NEAR):
+                some = batch.iloc[at : at + NEAR]
+                yield some.assign(list=_nearest(_matrix(some[vector]), centres, 1)[:, 0].astype(np.int32))[[*names, "vector", "list"]]
 
     return rows.where(F.col(vector).isNotNull()).select(*names, F.col(vector).alias("vector")).mapInPandas(run, f"{columns}, vector array<double>, list int")
 
 
+def _dealt(queries: DataFrame, centres: np.ndarray, probes: int, sizes: list[tuple[int, int, int]]) -> DataFrame:
+    """query_id, vector, _bundle, _piece, _lists: a row for each piece of a bundle in which one of the query's ``probes`` nearest lists lies.
+
+    ``sizes`` has list, bundle and number of pieces. A slice of a batch is dealt out at a time, so that what a task holds
+    grows neither with the queries nor with the lists they look at.
+    """
+    members: dict[tuple[int, int], list[int]] = {}
+    for number, bundle, pieces in sizes:
+        for piece in range(pieces):
+            members.setdefault((bundle, piece), []).append(number)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        slice_ = max(1, min(NEAR, DEALT // max(1, len(members))))
+        for batch in batches:
+            for at in range(0, len(batch), slice_):
+                some = batch.iloc[at : at + slice_]
+                asks = np.zeros((len(some), len(centres)), bool)
+                np.put_along_axis(asks, _nearest(_matrix(some["vector"]), centres, probes), True, axis=1)
+                for (bundle, piece), lists in members.items():
+                    own = asks[:, lists]
+                    there = np.flatnonzero(own.any(axis=1))
+                    if len(there):
+                        numbers = np.array(lists, np.int32)
+                        yield some.iloc[there].assign(_bundle=bundle, _piece=piece, _lists=[numbers[own[q]] for q in there])
+
+    asked = queries.where(F.col("vector").isNotNull()).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    return asked.mapInPandas(run, "query_id long, vector array<double>, _bundle int, _piece int, _lists array<int>")
+
+
 def direct_hits(hits: DataFrame, notes: DataFrame, *by: str) -> DataFrame:
     """Best chunk of each note that is there and embedded: hits' columns with a new rank over notes, for each query that ``by`` names.
 
