@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.functions.text import blank, trim_all
+from talus.shared import written
 from talus.sources.common import FENCE, META, file_lines, files, first_seen, numbered, with_bounds
 
 #: Fixed values.
@@ -46,24 +47,27 @@ def project_name(folder: Column) -> Column:
 
 
 def parse(spark: SparkSession, metas: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conversations, messages) of the sessions in metas. Malformed lines, noise and empty messages are left out."""
+    """(conversations, messages) of the sessions in metas. Malformed lines, noise and empty messages are left out.
+
+    Files are read and their lines cleaned once: what both results go by is written to the shared folder.
+    """
     rows = file_lines(spark, metas.select(*META))
-    rows = rows.select(*META, "line_no", F.from_json("line", LINE, {"mode": "PERMISSIVE"}).alias("x"))
-    rows = rows.where(F.col("x.uuid").isNotNull() & (F.col("x.uuid") != "") & F.col("x.type").isin("user", "assistant"))
-    content = F.col("x.message.content")
+    rows = rows.select(*META, "line_no", F.inline(F.array(F.from_json("line", LINE, {"mode": "PERMISSIVE"}))))  # filters stay behind it, so a line is parsed once
+    rows = rows.where(F.col("uuid").isNotNull() & (F.col("uuid") != "") & F.col("type").isin("user", "assistant"))
+    content = F.col("message.content")
     blocks = F.when(content.startswith("["), F.from_json(content, BLOCKS))
     texts = F.transform(F.filter("blocks", lambda b: (b["type"] == "text") & (b["text"] != "")), lambda b: b["text"])
     thoughts = F.transform(F.filter("blocks", lambda b: (b["type"] == "thinking") & (b["thinking"] != "")), lambda b: b["thinking"])
     rows = rows.withColumn("blocks", blocks)
     as_text = F.col("blocks").isNull()
-    plain = sanitised(F.coalesce(content, F.lit("")))
+    rows = rows.withColumn("clean", sanitised(F.when(as_text, F.coalesce(content, F.lit(""))).otherwise(F.array_join(texts, "\n"))))
     rows = rows.select(
-        *META, "line_no", "x.uuid", "x.parentUuid", "x.type", F.col("x.message.role").alias("role"), "x.cwd", "x.gitBranch", "x.slug", "x.timestamp",
-        F.when(as_text, plain).otherwise(sanitised(F.array_join(texts, "\n"))).alias("content"),
+        *META, "line_no", "uuid", "parentUuid", "type", F.col("message.role").alias("role"), "cwd", "gitBranch", "slug", "timestamp", F.col("clean").alias("content"),
         F.when(~as_text & (F.size(thoughts) > 0), F.array_join(thoughts, "\n")).alias("thinking"),
         F.coalesce(F.exists("blocks", lambda b: b["type"] == "tool_use"), F.lit(False)).alias("has_tool_use"),
-        F.when(as_text, plain.contains(FENCE)).otherwise(F.exists(texts, lambda t: t.contains(FENCE))).alias("has_code"),
+        F.when(as_text, F.col("clean").contains(FENCE)).otherwise(F.exists(texts, lambda t: t.contains(FENCE))).alias("has_code"),
     )
+    rows = written(rows, "parsed")
     about = rows.groupBy(*META).agg(first_seen("cwd"), first_seen("gitBranch"), first_seen("slug"))
     said = rows.where(~blank(F.col("content")) | F.col("thinking").isNotNull() | F.col("has_tool_use"))
     messages = numbered(

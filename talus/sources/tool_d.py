@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from talus.functions.text import file_uri_path, last_segment, trim_all
+from talus.shared import written
 from talus.sources import key_values
 from talus.sources.common import FENCE, META, iso_millis, with_bounds
 
@@ -62,7 +63,8 @@ def parse(spark: SparkSession, metas: DataFrame, workspaces: str) -> tuple[DataF
         F.when(replying & (F.size(thoughts) > 0), F.array_join(thoughts, "\n")).alias("thinking"),
         ((F.col("m.role") == "assistant") & F.coalesce(F.exists(plan, lambda i: F.coalesce(i["toolName"], F.lit("")).isin("", "finish") == F.lit(False)), F.lit(False))).alias("has_tool_use"),
         F.coalesce("m.turnIndex", F.lit(0)).alias("turn"), "pos", F.coalesce("m.timestamp", F.lit(0)).cast("long").alias("real"), "created",
-    ).where((F.col("content") != "") | F.col("thinking").isNotNull())
+    )
+    rows = written(rows, "parsed").where((F.col("content") != "") | F.col("thinking").isNotNull())  # files are read once
     rows = rows.withColumn("sort_order", (F.row_number().over(Window.partitionBy("conversation_id").orderBy("turn", "pos")) - 1).cast("long"))
     ts = monotonic(F.col("real"), F.coalesce("created", F.lit(0)), "sort_order")
     messages = rows.select(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talus.schemas import CONVERSATION, MESSAGE
+from talus.shared import written
 from talus.sources.registry import parse_all, scan_all
 from talus.store import Change, Store, changed
 
@@ -21,7 +22,7 @@ def import_changes(spark: SparkSession, store: Store, places: dict[str, dict[str
     """Import what is new or changed and return counts of outcomes: imported, skipped (too short), unchanged.
 
     Sessions are compared by (file, size, mtime) before any is read, so a log that grows is read again and one that
-    doesn't is not. Only parts of the tables that changed sessions fall in are written. A changed conversation and its messages are replaced together in one commit; notes stay. Running it
+    doesn't is not; tools without a changed session are not read at all. Only parts of the tables that changed sessions fall in are written. A changed conversation and its messages are replaced together in one commit; notes stay. Running it
     again without changes commits nothing, so a batch that died can simply be repeated.
     """
     metas = scan_all(spark, places).cache()
@@ -35,10 +36,12 @@ def import_changes(spark: SparkSession, store: Store, places: dict[str, dict[str
         metas.unpersist()
         new.unpersist()
         return {"imported": 0, "skipped": 0, "unchanged": total}
-    conversations, messages = parse_all(spark, new.select(*metas.columns), places)
+    sources = {r.source for r in new.select("source").distinct().collect()}  # a row a tool
+    conversations, messages = parse_all(spark, new.select(*metas.columns), {s: where for s, where in places.items() if s in sources})
     conversations = conversations.withColumn("status", F.lit("imported")).withColumn("created_at", F.current_timestamp()).withColumn("updated_at", F.current_timestamp())
     long_ones = conversations.where(F.col("message_count") >= LEAST_MESSAGES).dropDuplicates(["id"]).cache()
     kept = messages.join(long_ones.select(F.col("id").alias("conversation_id")), "conversation_id", "left_semi").select(*MESSAGE.names).dropDuplicates(["conversation_id", "id"])
+    kept = written(kept, "imported")  # the commit looks at them more than once, and files are slow to read
     entries = new.select(F.concat_ws("\n", *keys).alias("log_key"), *keys, *MARKS, F.current_timestamp().alias("created_at"))
     imported = long_ones.count()
     ids = long_ones.select("id")
