@@ -93,7 +93,7 @@ def prefilter(rows: DataFrame) -> DataFrame:
 
 
 def combine(rows: DataFrame) -> DataFrame:
-    """rows (signals and DIMENSIONS) with score, decision, confidence and reason."""
+    """rows (signals and DIMENSIONS) with score, decision, confidence and reason. A dimension that is null gives no points."""
     def points(flag: Column, n: int) -> Column:
         return F.when(flag, n).otherwise(0)
 
@@ -101,7 +101,7 @@ def combine(rows: DataFrame) -> DataFrame:
     bonus = F.least(F.lit(10), points(s["error"], 3) + points(s["code"], 2) + points(s["process"], 2) + points(s["decision"], 3))
     alone = (F.col("effective_turns") < 2) & ~F.col("has_strong_single_turn_signal")
     penalty = points(~s["outcome"], 20) + points(~s["reuse"], 20) + points(~s["process"] & ~s["decision"], 30) + points(alone, 25)
-    judged = sum((F.col(d) for d in DIMENSIONS), F.lit(0))
+    judged = sum((F.coalesce(d, F.lit(0)) for d in DIMENSIONS), F.lit(0))  # least() would skip a null and leave 100
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), (judged + bonus - penalty).cast("double")))
     closed = (F.col("outcome_closure") >= 14) & (F.col("reuse_potential") >= 14)
     decision = (

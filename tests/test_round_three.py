@@ -36,6 +36,22 @@ def test_signals_in_either_case_of_any_letter(spark, said, name):
     same(spark, QUERIES[name], ORACLE[name], said)
 
 
+@pytest.fixture(scope="module")
+def half_labelled(spark, tmp_path_factory):
+    """Conversations that the gate would take, with a label whose toxicity or quality isn't known."""
+    folder = tmp_path_factory.mktemp("half_labelled")
+    said = [(c, n, "user", t) for c in range(1, 7) for n, t in enumerate(["tion ou erreur ing thest ness" + (" ble " if c % 2 else " ") + "x" * 900, "and again"])]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").toPandas().to_parquet(folder / "conversations.parquet")
+    labels = [(1, 1, None), (2, 1, None), (3, None, 0), (4, None, None), (5, 1, 0), (6, 0, 1), (6, None, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").toPandas().astype("Int64").to_parquet(folder / "labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["gate_combine"])
+def test_what_is_not_judged_gives_no_points(spark, half_labelled, name):
+    same(spark, QUERIES[name], ORACLE[name], half_labelled)
+
+
 @pytest.fixture(scope="module")
 def lines(spark, tmp_path_factory):
     """Lines of an order that share a number, the later ones in a larger file, which Spark reads first."""
