@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,9 +12,9 @@ SPACE = r"[\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 CJK = r"[\u3400-\u9FFF]"
 
 
-def trim_all(text: Column) -> Column:
-    """White space of any kind off both ends."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
+def trim_all(text: Column, space: str = SPACE) -> Column:
+    """White space of any kind, or of the class ``space``, off both ends."""
+    return F.regexp_replace(text, rf"^{space}+|{space}+\z", "")
 
 
 def blank(text: Column) -> Column:
@@ -24,9 +26,9 @@ def non_blank(text: Column) -> Column:
     return F.when(~blank(text), text)
 
 
-def dense_length(text: Column) -> Column:
-    """Characters that are no white space."""
-    return F.length(F.regexp_replace(text, SPACE, ""))
+def dense_length(text: Column, space: str = SPACE) -> Column:
+    """Characters that are no white space, or not of the class ``space``."""
+    return F.length(F.regexp_replace(text, space, ""))
 
 
 def first_non_blank(*texts: Column) -> Column:
@@ -75,7 +77,9 @@ def matches(text: Column, pattern: str) -> Column:
     """Whether ``pattern`` is found; with (?i), letters of all scripts are equal in either case.
 
     Java's (?i) folds ASCII alone, its (?iu) takes the Turkish i's for i as well: those two give way to characters that never occur.
+    A $ that ends ``pattern`` stands for the very end, where Java's also stands before a last line end.
     """
+    pattern = re.sub(r"(?<!\\)\$\Z", r"\\z", pattern)
     for letter, stand_in in (("\u0130", "\ufdd0"), ("\u0131", "\ufdd1")):
         text, pattern = F.replace(text, F.lit(letter), F.lit(stand_in)), pattern.replace(letter, stand_in)
     return text.rlike(pattern.replace("(?i)", "(?iu)"))

@@ -7,13 +7,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talus.functions.text import CJK, blank, dense_length, matches, trim_all
+from talus.functions.text import CJK, SPACE, blank, dense_length, matches, trim_all
 from talus.operators.turns import meaningful
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """The patterns of each signal, English and Chinese, any case."""
+    """The patterns of each signal, English and Chinese, any case; the white space that lengths leave out, and that ends lose."""
 
     low_info: str = r"(?i)^(?:好|好的|继续|确认|ok|okay|yes|go on|继续吧|可以)$"
     problem: str = (
@@ -29,6 +29,8 @@ class Lexicon:
         r"|修复|通过|完成|解决|验证通过|结论|失败原因)"
     )
     reuse: str = r"(?i)(?:pattern|reusable|reuse|pitfall|lesson|next time|future|similar|principle|模式|复用|踩坑|经验|原则|类似|以后)"
+    space: str = SPACE
+    edge: str = SPACE
 
 
 DIMENSIONS = ("problem_clarity", "process_depth", "decision_value", "outcome_closure", "reuse_potential")
@@ -46,14 +48,14 @@ def signals(messages: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
     """One row per conversation with the ten signals. messages may lack has_code and has_tool_use.
 
     Messages that only call a tool, without text, don't count: a conversation of such alone has no row.
+    A message whose content is null is no effective turn; an empty one is.
     """
     for flag in ("has_code", "has_tool_use"):
         if flag not in messages.columns:
             messages = messages.withColumn(flag, F.lit(False))
     messages = meaningful(messages)
-    content = F.coalesce("content", F.lit(""))
-    said = F.struct("sort_order", content.alias("content"))
-    effective = (F.col("type") == "user") & ~matches(trim_all(content), lexicon.low_info)
+    said = F.struct("sort_order", F.coalesce("content", F.lit("")).alias("content"))
+    effective = (F.col("type") == "user") & ~matches(trim_all(F.col("content"), lexicon.edge), lexicon.low_info)
     rows = messages.groupBy("conversation_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(said)), lambda x: x.content), "\n").alias("text"),
         F.count_if(effective).alias("effective_turns"),
@@ -61,7 +63,7 @@ def signals(messages: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
     )
     text = F.col("text")
     rows = rows.select(
-        "conversation_id", "effective_turns", dense_length(text).cast("long").alias("content_chars"),
+        "conversation_id", "effective_turns", dense_length(text, lexicon.space).cast("long").alias("content_chars"),
         matches(text, lexicon.problem).alias("has_problem_signal"), matches(text, lexicon.error).alias("has_error_signal"),
         (F.col("marked") | matches(text, lexicon.code)).alias("has_code_signal"), matches(text, lexicon.process).alias("has_process_signal"),
         matches(text, lexicon.decision).alias("has_decision_signal"), matches(text, lexicon.outcome).alias("has_outcome_signal"),

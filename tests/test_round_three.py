@@ -52,6 +52,24 @@ def test_what_is_not_judged_gives_no_points(spark, half_labelled, name):
     same(spark, QUERIES[name], ORACLE[name], half_labelled)
 
 
+@pytest.fixture(scope="module")
+def spaced(spark, tmp_path_factory):
+    """Messages that are null, or have white space of which the SQL takes only some; without a decision, so that turns decide."""
+    folder = tmp_path_factory.mktemp("spaced")
+    long = "tion thest ing ble " + "x" * 900
+    second = [None, "", " ok ", "\tok", "ok\n", "\u00a0OK\u3000", "\u2028ok", "ok\x0b", "\ufeffthe.", "\u0085ok", "the.\r\n"]
+    said = [(c, 0, "user", long) for c in range(len(second))] + [(c, 1, "user", t) for c, t in enumerate(second)]
+    said += [(20, 0, "user", "tion ble ez " + "x\u00a0" * 395), (21, 0, "user", "tion ble ez " + "x\t\n " * 790), (22, 0, "user", None), (23, 0, None, long)]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").toPandas().to_parquet(folder / "conversations.parquet")
+    spark.createDataFrame([(c, 1, 0) for c in range(24)], "doc_id long, quality int, toxic int").toPandas().to_parquet(folder / "labels.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["effective_turns", "signals", "gate_prefilter", "gate_combine", "gate_eval_report"])
+def test_null_messages_and_white_space_are_those_of_the_sql(spark, spaced, name):
+    same(spark, QUERIES[name], ORACLE[name], spaced)
+
+
 @pytest.fixture(scope="module")
 def lines(spark, tmp_path_factory):
     """Lines of an order that share a number, the later ones in a larger file, which Spark reads first."""
