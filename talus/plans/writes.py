@@ -85,20 +85,28 @@ def change_detect(spark, sf_dir):
     return store.changed(orders, stored, ["o_orderkey"], ["o_totalprice", "o_orderstatus"])
 
 
+def _orders(spark, sf_dir):
+    """Prices by order; an order without a key is none, to the SQL as well."""
+    return table(spark, sf_dir, "orders").where("o_orderkey is not null").select("o_orderkey", F.col("o_totalprice").alias("price"))
+
+
 def _lines(spark, sf_dir):
-    """Prices by order, and each line's place in its table: lines of an order may share a number, of which SQL takes the first."""
+    """Prices by order, and each line's place in its table: lines of an order may share a number, of which SQL takes the first.
+
+    A line without a price or a number gives way to the others of its order; where there is no other, the price is null.
+    """
     place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")]
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_extendedprice").alias("price"), "l_linenumber", *place)
+    known = F.col("l_extendedprice").isNotNull() & F.col("l_linenumber").isNotNull()
+    line = [F.when(known, F.col(c)).alias(name) for c, name in (("l_extendedprice", "price"), ("l_linenumber", "l_linenumber"))]
+    return table(spark, sf_dir, "lineitem").where("l_orderkey is not null").select(F.col("l_orderkey").alias("o_orderkey"), *line, *place)
 
 
 def upsert_last_wins(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
-    return store.upsert(orders, _lines(spark, sf_dir).where("o_orderkey % 3 = 0"), ["o_orderkey"], "l_linenumber", ["file", "at"])
+    return store.upsert(_orders(spark, sf_dir), _lines(spark, sf_dir).where("o_orderkey % 3 = 0"), ["o_orderkey"], "l_linenumber", ["file", "at"])
 
 
 def insert_ignore(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.col("o_totalprice").alias("price"))
-    return store.insert_ignore(orders, _lines(spark, sf_dir), ["o_orderkey"], "l_linenumber", ["file", "at"])
+    return store.insert_ignore(_orders(spark, sf_dir).where("o_orderkey % 2 = 0"), _lines(spark, sf_dir), ["o_orderkey"], "l_linenumber", ["file", "at"])
 
 
 def cascade_delete(spark, sf_dir):

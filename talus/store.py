@@ -18,11 +18,11 @@ from pyspark.sql.window import Window
 
 
 def last_of(rows: DataFrame, keys: list[str], order: str, ties: Sequence[str] = ()) -> DataFrame:
-    """One row for each key: the one with the largest ``order``, of equal ones that with the smallest ``ties``.
+    """One row for each key: the one with the largest ``order``, of equal ones that with the smallest ``ties``; null comes last.
 
     Where ``order`` isn't unique within a key and ``ties`` are not given, reruns may differ.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc(), *ties))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), *ties))
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
@@ -45,9 +45,9 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], order: str | Non
 
 
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: str | None = None, ties: Sequence[str] = ()) -> DataFrame:
-    """target with those rows whose keys it lacks; of several new rows of a key the first by ``order``, then ``ties``, wins."""
+    """target with those rows whose keys it lacks; of several new rows of a key the first by ``order`` (null last), then ``ties``, wins."""
     if order:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(order).asc_nulls_last(), *ties))
         rows = rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank", order, *ties)
     else:
         rows = rows.dropDuplicates(keys)

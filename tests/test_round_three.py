@@ -3,6 +3,7 @@
 import shutil
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,15 @@ def test_of_lines_with_one_number_the_first_of_the_table_wins(spark, lines, name
     assert dict(QUERIES[name](spark, lines).where("o_orderkey < 10").collect()) == want
 
 
+@pytest.mark.parametrize("name", ["upsert_last_wins", "insert_ignore"])
+def test_lines_without_a_price_or_number_give_way(spark, tmp_path, name):
+    lines = [(3, 1, 10.0), (3, 2, None), (6, None, 5.0), (6, None, 6.0), (9, 1, 7.0), (9, None, 8.0), (12, 1, None), (15, 2, 1.0), (15, 2, 2.0), (15, 1, None), (None, 1, 1.0), (-3, 2, 4.0), (-3, 1, None)]
+    schema = "l_orderkey long, l_linenumber int, l_extendedprice double"
+    pq.write_table(spark.createDataFrame(lines, schema).coalesce(1).toArrow(), tmp_path / "lineitem.parquet")
+    pq.write_table(spark.createDataFrame([(3, 0.5), (6, 0.5), (7, 0.5), (8, None), (None, 0.5)], "o_orderkey long, o_totalprice double").toArrow(), tmp_path / "orders.parquet")
+    same(spark, QUERIES[name], ORACLE[name], str(tmp_path))
+
+
 def test_a_query_goes_to_a_bundle_of_lists_once_and_finds_what_its_lists_hold(spark, monkeypatch):
     monkeypatch.setattr(vectors, "PIECE", 150)
     monkeypatch.setattr(vectors, "HELD", 10)
